@@ -28,7 +28,7 @@ from .merge_queue import Kept, merge_spans
 
 #: Unicode White_Space, which \s stands for in the vocabulary's pattern.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS, KEPT_TOKENS = 100_000, 200_000
 BLOCK = 200_000
 _CODECS: dict = {}
 
@@ -118,9 +118,8 @@ class ByteCodec:
 
         self.chunks = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
         self.pieces = regex.compile(self.pattern.replace("[^\\s", "[^" + BLANK).replace("\\S", f"[^{BLANK}]").replace("\\s", f"[{BLANK}]"))
-        self.words = {v: k for k, v in self.ranks.items()}
         self.kept = Kept(KEPT_CHUNKS)
-        self.tokens = Kept(KEPT_CHUNKS)
+        self.tokens = Kept(KEPT_TOKENS)
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("ranks", "table", "slot_id", "pattern")}
@@ -155,10 +154,11 @@ class ByteCodec:
             out.append(b"".join(map(self.kept.fill(block, self.of_chunks).__getitem__, block)))
         return b"".join(out)
 
-    def decode(self, packed: bytes | None) -> bytes:
-        if not packed:
-            return b""
-        return b"".join(map(self.words.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+
+def decode_ids(packed: bytes | None, words: dict[int, bytes]) -> bytes:
+    if not packed:
+        return b""
+    return b"".join(map(words.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
 def _codec(df: DataFrame, ranks_path: str, pattern: str):
@@ -185,15 +185,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text")
     )
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with decoded (binary: the bytes of the identifiers in ``ids_col``; null gives none)."""
-    codec = _codec(df, ranks_path, pattern)
+    words = df.sparkSession.sparkContext.broadcast({v: k for k, v in load_ranks(ranks_path).items()})
 
     @F.pandas_udf("binary")
     def data(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec.value
+        w = words.value
         for part in ids:
-            yield pd.Series([c.decode(i) for i in part], dtype=object)
+            yield pd.Series([decode_ids(i, w) for i in part], dtype=object)
 
     return df.withColumn("__data", data(F.col(ids_col))).select(*[c for c in df.columns if c != "decoded"], F.col("__data").alias("decoded"))
 
@@ -207,7 +207,7 @@ def encode_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern))
+    return digests(decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
