@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +63,7 @@ def linked_classes(
     ``members``: (key, node, kind), already restricted to keys with two nodes or more; kind has bit 1 for nodes that a
     bucket offers and bit 2 for nodes that look it up, a pair needs one of either. ``verify``: pairs (a, b) -> those that
     are links. First every bucket's smallest offered and smallest looking node meet the bucket's other nodes: pairs as
-    many as members. A bucket all of whose nodes are then in one component can add nothing. ``residual_pairs`` gets the
+    many as members. A bucket of two nodes, or one all of whose nodes are then in one component, can add nothing. ``residual_pairs`` gets the
     others, as (key, node, kind, comp, part_a, part_b), dealt into blocks of bounded size, and returns the pairs of
     different components that may be links: between them these two steps miss no link.
     """
@@ -77,7 +80,7 @@ def linked_classes(
 
     # Labels of nodes without a link are the nodes themselves.
     labelled = members.join(comps, "node", "left").select("key", "node", "kind", F.coalesce("comp", "node").alias("comp"))
-    split = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 <> c2")
+    split = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 <> c2 and n > 2")
     left = labelled.join(split.select("key", "n"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = left.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -85,3 +88,30 @@ def linked_classes(
     more = residual_pairs(dealt).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(verify(materialize(more, "residual")), "links")
     return connected_components(links.union(more))
+
+
+def in_blocks(rows: DataFrame, compare: Callable[[dict[str, np.ndarray], int, int], list[tuple]], schema: str) -> DataFrame:
+    """The tuples that ``compare(columns, first, last)`` gives for each (key, part_a, part_b) block of ``rows``.
+
+    Blocks stream through sorted partitions, many to a batch: most hold a few rows, none more than two parts of a bucket.
+    """
+    by = ["key", "part_a", "part_b"]
+    names = [x.strip().split()[0] for x in schema.split(",")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in itertools.chain(parts, [None]):
+            rows_ = held if part is None else part if held is None else pd.concat([held, part], ignore_index=True)
+            if rows_ is None or not len(rows_):
+                continue
+            ids = rows_[by].to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1), [True])))
+            if part is not None:  # the last block may go on in the next batch
+                held = rows_.iloc[edges[-2] :].reset_index(drop=True)
+                edges = edges[:-1]
+            columns = {c: rows_[c].to_numpy() for c in rows_.columns}
+            out = [x for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) for x in compare(columns, a, b)]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialize, table
 
-from .components import linked_classes
+from .components import in_blocks, linked_classes
 
 EDITS = 2
 MIN_CHARS = 24
@@ -164,14 +164,15 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_binary(nodes), pa.array(lines, pa.string())], ["node", "line"])
 
 
-def _links_in_block(group: pd.DataFrame) -> pd.DataFrame:
+def _links_in_block(cols: dict[str, np.ndarray], first: int, last: int) -> list[tuple]:
     """Links between components inside one block pair of a bucket; those that a found link already implies are left out."""
-    pa_, pb = group["part_a"].iloc[0], group["part_b"].iloc[0]
-    part, kind, lines, node = group["part"].to_numpy(), group["kind"].to_numpy(), group["line"].to_list(), group["node"].to_numpy()
-    _, comp = np.unique(np.array([c.hex() for c in group["comp"]]), return_inverse=True)
+    pa_, pb = cols["part_a"][first], cols["part_b"][first]
+    part, kind, lines, node, comp = (cols[c][first:last] for c in ("part", "kind", "line", "node", "comp"))
+    codes: dict[bytes, int] = {}
+    comp = np.fromiter((codes.setdefault(c, len(codes)) for c in comp), dtype=np.int64, count=len(comp))
     size = np.array([len(x) for x in lines])
     bins = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le"), dtype="<u4") % 61, minlength=61) for x in lines]).astype(np.int32)
-    top = list(range(int(comp.max()) + 1))
+    top = list(range(len(codes)))
 
     def root(c: int) -> int:
         while top[c] != c:
@@ -184,12 +185,13 @@ def _links_in_block(group: pd.DataFrame) -> pd.DataFrame:
     for i in np.flatnonzero(part == pa_):
         js = ys[ys > i] if pa_ == pb else ys
         js = js[(comp[js] != comp[i]) & (np.abs(size[js] - size[i]) <= EDITS) & (((kind[js] & 1) & (kind[i] >> 1)) | ((kind[js] >> 1) & (kind[i] & 1)) > 0)]
-        js = js[np.abs(bins[js] - bins[i]).sum(axis=1) <= 2 * EDITS]
+        if len(js):
+            js = js[np.abs(bins[js] - bins[i]).sum(axis=1) <= 2 * EDITS]
         for j in js:
             if root(comp[i]) != root(comp[j]) and within(lines[i], lines[j]):
                 top[root(comp[i])] = root(comp[j])
                 out.append((node[i], node[j]))
-    return pd.DataFrame(out, columns=["a", "b"])
+    return out
 
 
 def line_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -212,7 +214,7 @@ def line_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return pairs.join(a, "a").join(b, "b").where(F.abs(F.length("la") - F.length("lb")) <= EDITS).where(near("la", "lb")).select("a", "b")
 
     def residual(dealt: DataFrame) -> DataFrame:
-        return dealt.join(lines, "node").groupBy("key", "part_a", "part_b").applyInPandas(_links_in_block, "a binary, b binary")
+        return in_blocks(dealt.join(lines, "node").select("key", "part", "part_a", "part_b", "node", "kind", "comp", "line"), _links_in_block, "a binary, b binary")
 
     return linked_classes(members, verify, residual)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialize, table
 
-from .components import linked_classes
+from .components import in_blocks, linked_classes
 
 SHINGLE = 5
 SYMBOLS, CHUNKS, DISTANCE = 32, 7, 13
@@ -45,6 +45,8 @@ def _odd(n: int, seed: int) -> np.ndarray:
 FACTORS, SKETCH_FACTORS = _odd(SYMBOLS, 10), _odd(SKETCH, 11)
 #: The positions of each chunk.
 SPLIT = np.array_split(np.arange(SYMBOLS), CHUNKS)
+#: What each key hashes: the positions of a chunk but one, and a factor for each.
+PARTS = [(np.delete(at, skip), _odd(len(at) - 1, 1000 + int(at[skip]))) for at in SPLIT for skip in range(len(at))]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -75,17 +77,14 @@ def minima(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return np.array([(s * a).min() for a in factors], dtype=np.uint64)
 
 
-def chunk_keys(symbols: np.ndarray) -> list[int]:
-    """The keys of a signature: each chunk without one of its symbols, as a hash of what is left and where it stands."""
-    import xxhash
-
-    out, data = [], symbols.astype("<u2")
-    for c, at in enumerate(SPLIT):
-        part = data[at]
-        for skip in range(len(at)):
-            rest = np.delete(part, skip).tobytes()
-            out.append(xxhash.xxh3_64_intdigest(rest, seed=c * 16 + skip) - (1 << 63))
-    return out
+def chunk_keys(symbols: np.ndarray) -> np.ndarray:
+    """The keys of signatures, a row for each: every chunk without one of its symbols, hashed with where it stands."""
+    x = symbols.astype(np.uint64) + np.uint64(1)
+    out = np.empty((len(x), SYMBOLS), dtype=np.uint64)
+    for k, (at, factors) in enumerate(PARTS):
+        h = (x[:, at] * factors).sum(axis=1, dtype=np.uint64)
+        out[:, k] = (h ^ (h >> np.uint64(29))) * PRIME + np.uint64(k)
+    return out.view(np.int64)
 
 
 def signatures(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -114,7 +113,7 @@ def near_duplicate_components(df: DataFrame, id_col: str = "doc_id", text_col: s
 
     @F.pandas_udf("array<long>")
     def keys(sigs: pd.Series) -> pd.Series:
-        return pd.Series([chunk_keys(np.frombuffer(s, dtype="<u2")) for s in sigs], dtype=object)
+        return pd.Series(list(chunk_keys(np.frombuffer(b"".join(sigs), dtype="<u2").reshape(-1, SYMBOLS))), dtype=object)
 
     entries = nodes.select("node", F.explode(keys("sig")).alias("key")).repartition("key")
     shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
@@ -147,27 +146,29 @@ def near_duplicate_components(df: DataFrame, id_col: str = "doc_id", text_col: s
     def residual_pairs(dealt: DataFrame) -> DataFrame:
         rows = dealt.join(nodes.select("node", "n", "sig"), "node").join(sets.select("node", "k"), "node")
 
-        def compare(group: pd.DataFrame) -> pd.DataFrame:
-            pa, pb = group["part_a"].iloc[0], group["part_b"].iloc[0]
-            x, y = (np.flatnonzero(group["part"].to_numpy() == p) for p in (pa, pb))
-            n, node, key = group["n"].to_numpy(), group["node"].to_numpy(), group["key"].iloc[0]
-            _, comp = np.unique(np.array([c.hex() for c in group["comp"]]), return_inverse=True)
-            sig = np.stack([np.frombuffer(v, dtype="<u2") for v in group["sig"]])
-            sketch = np.stack([np.frombuffer(v, dtype="u1") for v in group["k"]])
-            out = []
-            for i in x:
+        def compare(cols: dict[str, np.ndarray], first: int, last: int) -> list[tuple]:
+            pa, pb, key = cols["part_a"][first], cols["part_b"][first], cols["key"][first]
+            part, n, node, comp = (cols[c][first:last] for c in ("part", "n", "node", "comp"))
+            codes: dict[bytes, int] = {}
+            comp = np.fromiter((codes.setdefault(c, len(codes)) for c in comp), dtype=np.int64, count=len(comp))
+            sig = np.frombuffer(b"".join(cols["sig"][first:last]), dtype="<u2").reshape(-1, SYMBOLS)
+            sketch = np.frombuffer(b"".join(cols["k"][first:last]), dtype="u1").reshape(-1, SKETCH)
+            y, out = np.flatnonzero(part == pb), []
+            for i in np.flatnonzero(part == pa):
                 js = y[y > i] if pa == pb else y
                 js = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent)]
-                js = js[(sig[js] != sig[i]).sum(axis=1) <= DISTANCE]
-                js = js[(sketch[js] != sketch[i]).sum(axis=1) <= SKETCH_DISTANCE]
-                mine = chunk_keys(sig[i]) if len(js) else []
-                for j in js:
+                if len(js):
+                    js = js[(sig[js] != sig[i]).sum(axis=1) <= DISTANCE]
+                if len(js):
+                    js = js[(sketch[js] != sketch[i]).sum(axis=1) <= SKETCH_DISTANCE]
+                if len(js):
                     # The same pair may share other keys: the first of them reports it.
-                    if next(a for a, b in zip(mine, chunk_keys(sig[j])) if a == b) == key:
-                        out.append((node[i], node[j]))
-            return pd.DataFrame(out, columns=["a", "b"])
+                    same = chunk_keys(sig[js]) == chunk_keys(sig[i : i + 1])
+                    mine = chunk_keys(sig[i : i + 1])[0]
+                    out += [(node[i], node[j]) for j, k in zip(js, mine[same.argmax(axis=1)]) if k == key]
+            return out
 
-        return rows.groupBy("key", "part_a", "part_b").applyInPandas(compare, "a binary, b binary")
+        return in_blocks(rows.select("key", "part", "part_a", "part_b", "node", "comp", "n", "sig", "k"), compare, "a binary, b binary")
 
     comps = linked_classes(members, verify, residual_pairs)
     found = signed.join(comps.toDF("__node", "comp"), "__node", "left").withColumn("__class", F.coalesce("comp", "__node"))
