@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
 
-BLOCK = 1024
+BLOCK = 512
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -56,16 +56,17 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def linked_classes(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    residual_pairs: Callable[[DataFrame], DataFrame],
+    residual_links: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """(node, comp) of the graph whose links are the verified pairs among those that share a bucket.
 
     ``members``: (key, node, kind), already restricted to keys with two nodes or more; kind has bit 1 for nodes that a
     bucket offers and bit 2 for nodes that look it up, a pair needs one of either. ``verify``: pairs (a, b) -> those that
     are links. First every bucket's smallest offered and smallest looking node meet the bucket's other nodes: pairs as
-    many as members. A bucket of two nodes, or one all of whose nodes are then in one component, can add nothing. ``residual_pairs`` gets the
-    others, as (key, node, kind, comp, part_a, part_b), dealt into blocks of bounded size, and returns the pairs of
-    different components that may be links: between them these two steps miss no link.
+    many as members. A bucket of two nodes, or one all of whose nodes are then in one component, can add nothing. ``residual_links`` gets the
+    others, as (key, node, kind, comp, part, part_a, part_b), dealt into blocks of bounded size, and returns enough links
+    between different components: those that join what the links of a block join. Between them these two steps miss no
+    component.
     """
     offered = F.when(F.col("kind").bitwiseAND(1) > 0, F.col("node"))
     looking = F.when(F.col("kind").bitwiseAND(2) > 0, F.col("node"))
@@ -85,8 +86,7 @@ def linked_classes(
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = left.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", "node", "kind", "comp", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
-    more = residual_pairs(dealt).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(verify(materialize(more, "residual")), "links")
+    more = materialize(residual_links(dealt).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     return connected_components(links.union(more))
 
 

@@ -1,15 +1,16 @@
 """Operator 10: MinHash near-duplicates by a multi-index Hamming join.
 
 A document's set is that of its distinct SHINGLE-word shingles. Its signature has SYMBOLS minima, B bits of each. Two
-signatures are near when they differ in at most DISTANCE symbols; the chance that a pair at a similarity of 0.85 differs
-in more is about 5e-5 (binomial, 32 symbols, 0.15). Signatures split into CHUNKS chunks; by pigeonhole, a near pair has a
-chunk with at most one differing symbol, as 2 * CHUNKS > DISTANCE. Each chunk therefore enters the index once for each of
-its symbols, that symbol left out: 32 keys a document find every near pair.
+signatures are near when they differ in at most ``distance`` symbols, which a linked pair exceeds with a chance of at most
+LOSS (binomial in the similarity asked for; 13 of 32 symbols at 0.85). Signatures split into chunks; by pigeonhole, a near
+pair has a chunk with at most one differing symbol, as there are more than half as many chunks as differences. Each
+chunk therefore enters the index once for each of its symbols, that symbol left out: 32 keys a document find every near
+pair.
 
 Documents with the same set are one node, so copies are never paired. Nodes that share a key first meet the bucket's
 smallest node, and links are confirmed on the full sets; buckets that then still fall into several components are
-compared within bounded blocks on both signatures and on a second, longer sketch (SKETCH one-byte minima of which a link
-differs in more than SKETCH_DISTANCE with a chance of about 1e-5), and confirmed too.
+compared within bounded blocks on both signatures and on a second, longer sketch (SKETCH one-byte minima, with a bound of
+its own at the same LOSS), and confirmed too.
 
 Defined results: null and empty texts, and texts of blanks, have an empty set and link with nothing; a text of fewer
 words than a shingle is one shingle; each input row gives one row, repeated ones too; rows that repeat a doc_id with other
@@ -19,6 +20,7 @@ empty tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,7 @@ from corpusloom.session import materialize, table
 from .components import in_blocks, linked_classes
 
 SHINGLE = 5
-SYMBOLS, CHUNKS, DISTANCE = 32, 7, 13
-SKETCH, SKETCH_DISTANCE = 256, 62
+SYMBOLS, SKETCH, LOSS = 32, 256, 5e-5
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 500_000
 _WORDS: dict[bytes, int] = {}
@@ -43,10 +44,36 @@ def _odd(n: int, seed: int) -> np.ndarray:
 
 
 FACTORS, SKETCH_FACTORS = _odd(SYMBOLS, 10), _odd(SKETCH, 11)
-#: The positions of each chunk.
-SPLIT = np.array_split(np.arange(SYMBOLS), CHUNKS)
-#: What each key hashes: the positions of a chunk but one, and a factor for each.
-PARTS = [(np.delete(at, skip), _odd(len(at) - 1, 1000 + int(at[skip]))) for at in SPLIT for skip in range(len(at))]
+
+
+def _bound(n: int, miss: float, loss: float) -> int:
+    """The least t that n tries, each failing with chance ``miss``, exceed with a chance of at most ``loss``."""
+    tail, t = 1.0, -1
+    while tail > loss:
+        t += 1
+        tail -= math.comb(n, t) * miss**t * (1 - miss) ** (n - t)
+    return t
+
+
+class Index:
+    """Distances and keys for a similarity of ``percent`` hundredths."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.distance = _bound(SYMBOLS, 1 - percent / 100, LOSS)
+        self.sketch_distance = _bound(SKETCH, 1 - percent / 100, LOSS)
+        chunks = np.array_split(np.arange(SYMBOLS), self.distance // 2 + 1)
+        #: What each key hashes: the positions of a chunk but one, and a factor for each.
+        self.parts = [(np.delete(at, skip), _odd(len(at) - 1, 1000 + int(at[skip]))) for at in chunks for skip in range(len(at))]
+
+    def keys(self, symbols: np.ndarray) -> np.ndarray:
+        """The keys of signatures, a row for each: every chunk without one of its symbols, hashed with where it stands."""
+        x = symbols.astype(np.uint64) + np.uint64(1)
+        out = np.empty((len(x), len(self.parts)), dtype=np.uint64)
+        for k, (at, factors) in enumerate(self.parts):
+            h = (x[:, at] * factors).sum(axis=1, dtype=np.uint64)
+            out[:, k] = (h ^ (h >> np.uint64(29))) * PRIME + np.uint64(k)
+        return out.view(np.int64)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -77,16 +104,6 @@ def minima(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return np.array([(s * a).min() for a in factors], dtype=np.uint64)
 
 
-def chunk_keys(symbols: np.ndarray) -> np.ndarray:
-    """The keys of signatures, a row for each: every chunk without one of its symbols, hashed with where it stands."""
-    x = symbols.astype(np.uint64) + np.uint64(1)
-    out = np.empty((len(x), SYMBOLS), dtype=np.uint64)
-    for k, (at, factors) in enumerate(PARTS):
-        h = (x[:, at] * factors).sum(axis=1, dtype=np.uint64)
-        out[:, k] = (h ^ (h >> np.uint64(29))) * PRIME + np.uint64(k)
-    return out.view(np.int64)
-
-
 def signatures(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` columns with __n (set size), __node (16 bytes that stand for the set; null if empty) and __sig."""
 
@@ -104,8 +121,9 @@ def signatures(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return df.withColumn("__s", sign(F.col(text_col))).select(*keep, F.col("__s.n").alias("__n"), F.col("__s.node").alias("__node"), F.col("__s.sig").alias("__sig"))
 
 
-def near_duplicate_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row of ``df``; see the module's text. Links: 100 * |A and B| >= percent * |A or B|."""
+def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(__id, __key, __n, __class) for each row; rows of one component share a class, which is null for empty sets."""
+    index = Index(percent)
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__key"))
     signed = materialize(signatures(docs, "__text", ["__id", "__key"]), "signed")
     nodes = signed.where("__node is not null").groupBy("__node").agg(F.min("__key").alias("key"), F.first("__n").alias("n"), F.first("__sig").alias("sig")).withColumnRenamed("__node", "node")
@@ -113,7 +131,7 @@ def near_duplicate_components(df: DataFrame, id_col: str = "doc_id", text_col: s
 
     @F.pandas_udf("array<long>")
     def keys(sigs: pd.Series) -> pd.Series:
-        return pd.Series(list(chunk_keys(np.frombuffer(b"".join(sigs), dtype="<u2").reshape(-1, SYMBOLS))), dtype=object)
+        return pd.Series(list(index.keys(np.frombuffer(b"".join(sigs), dtype="<u2").reshape(-1, SYMBOLS))), dtype=object)
 
     entries = nodes.select("node", F.explode(keys("sig")).alias("key")).repartition("key")
     shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
@@ -143,38 +161,83 @@ def near_duplicate_components(df: DataFrame, id_col: str = "doc_id", text_col: s
         both = F.size(F.array_intersect("sa", "sb"))
         return p.join(a, "a").join(b, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
 
-    def residual_pairs(dealt: DataFrame) -> DataFrame:
+    def residual_links(dealt: DataFrame) -> DataFrame:
         rows = dealt.join(nodes.select("node", "n", "sig"), "node").join(sets.select("node", "k"), "node")
 
-        def compare(cols: dict[str, np.ndarray], first: int, last: int) -> list[tuple]:
+        def candidates(cols: dict[str, np.ndarray], first: int, last: int) -> list[tuple]:
+            """A row for each node of a block that is in a near pair, with those of its partners that come after it."""
             pa, pb, key = cols["part_a"][first], cols["part_b"][first], cols["key"][first]
             part, n, node, comp = (cols[c][first:last] for c in ("part", "n", "node", "comp"))
             codes: dict[bytes, int] = {}
             comp = np.fromiter((codes.setdefault(c, len(codes)) for c in comp), dtype=np.int64, count=len(comp))
             sig = np.frombuffer(b"".join(cols["sig"][first:last]), dtype="<u2").reshape(-1, SYMBOLS)
             sketch = np.frombuffer(b"".join(cols["k"][first:last]), dtype="u1").reshape(-1, SKETCH)
-            y, out = np.flatnonzero(part == pb), []
-            for i in np.flatnonzero(part == pa):
+            y, found, met = np.flatnonzero(part == pb), {}, set()
+            for i in np.flatnonzero(part == pa).tolist():
                 js = y[y > i] if pa == pb else y
                 js = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent)]
                 if len(js):
-                    js = js[(sig[js] != sig[i]).sum(axis=1) <= DISTANCE]
+                    js = js[(sig[js] != sig[i]).sum(axis=1) <= index.distance]
                 if len(js):
-                    js = js[(sketch[js] != sketch[i]).sum(axis=1) <= SKETCH_DISTANCE]
+                    js = js[(sketch[js] != sketch[i]).sum(axis=1) <= index.sketch_distance]
                 if len(js):
                     # The same pair may share other keys: the first of them reports it.
-                    same = chunk_keys(sig[js]) == chunk_keys(sig[i : i + 1])
-                    mine = chunk_keys(sig[i : i + 1])[0]
-                    out += [(node[i], node[j]) for j, k in zip(js, mine[same.argmax(axis=1)]) if k == key]
+                    mine = index.keys(sig[i : i + 1])
+                    js = js[mine[0][(index.keys(sig[js]) == mine).argmax(axis=1)] == key]
+                if len(js):
+                    found[i] = [node[j] for j in js]
+                    met.update(js.tolist())
+            return [(key, pa, pb, node[i], found.get(i, [])) for i in sorted(met | found.keys())]
+
+        def links(cols: dict[str, np.ndarray], first: int, last: int) -> list[tuple]:
+            """Near pairs confirmed on full sets; pairs that the links so far already join are passed over."""
+            at = {node: i for i, node in enumerate(cols["node"][first:last])}
+            full, top, out = cols["s"][first:last], list(range(last - first)), []
+
+            def root(i: int) -> int:
+                while top[i] != i:
+                    top[i] = top[top[i]]
+                    i = top[i]
+                return i
+
+            for node, i in at.items():
+                for other in cols["others"][first + i]:
+                    j = at[other]
+                    if root(i) != root(j):
+                        both = len(np.intersect1d(full[i], full[j], assume_unique=True))
+                        if both * 100 >= (len(full[i]) + len(full[j]) - both) * percent:
+                            top[root(i)] = root(j)
+                            out.append((node, other))
             return out
 
-        return in_blocks(rows.select("key", "part", "part_a", "part_b", "node", "comp", "n", "sig", "k"), compare, "a binary, b binary")
+        near = in_blocks(rows.select("key", "part", "part_a", "part_b", "node", "comp", "n", "sig", "k"), candidates, "key long, part_a int, part_b int, node binary, others array<binary>")
+        return in_blocks(near.join(sets.select("node", "s"), "node"), links, "a binary, b binary")
+
+    comps = linked_classes(members, verify, residual_links)
+    found = signed.join(comps.toDF("__node", "comp"), "__node", "left")
+    return found.select("__id", "__key", "__n", F.coalesce("comp", "__node").alias("__class"))
 
-    comps = linked_classes(members, verify, residual_pairs)
-    found = signed.join(comps.toDF("__node", "comp"), "__node", "left").withColumn("__class", F.coalesce("comp", "__node"))
-    least = found.where("__class is not null").groupBy("__class").agg(F.min("__id").alias("component"))
-    out = found.join(least, "__class", "left").withColumn("component", F.when(F.col("__class").isNull(), F.col("__id")).otherwise(F.col("component")))
-    return out.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("__id").eqNullSafe(F.col("component")).alias("kept"))
+
+def near_duplicate_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row of ``df``; see the module's text. Links: 100 * |A and B| >= percent * |A or B|."""
+    found = _classes(df, id_col, text_col, percent)
+    least = found.where("__class is not null").groupBy("__class").agg(F.min("__id").alias("least"))
+    component = F.when(F.col("__class").isNull(), F.col("__id")).otherwise(F.col("least"))
+    return found.join(least, "__class", "left").select(
+        F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept")
+    )
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """``df`` with one row of each component, that of the smallest id (then of the smallest text hash); empty texts all stay."""
+    found = materialize(_classes(df, id_col, text_col, percent), "classes")
+    first = found.where("__class is not null").groupBy("__class").agg(F.min(F.struct("__id", "__key")).alias("f"))
+    stay = first.select(F.col("f.__id").alias("i"), F.col("f.__key").alias("k")).union(found.where("__class is null").select("__id", "__key")).distinct()
+    same = F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k"))
+    rows = df.select(F.struct(*df.columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key")).join(stay, same, "left_semi")
+    if not found.where("__class is not null").groupBy("__id", "__key").count().where("count > 1").isEmpty():
+        rows = rows.groupBy("__id", "__key").agg(F.first("__doc").alias("__doc"))
+    return rows.select(*[F.col("__doc")[c].alias(c) for c in df.columns])
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
