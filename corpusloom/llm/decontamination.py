@@ -200,7 +200,7 @@ def match_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the words of ``spans``, one line break in place of each."""
     data = text.encode()
-    places = [m.span() for m in WORD.finditer(data)]
+    places = [m.span() for m in WORD.finditer(data.lower())]
     out, at = [], 0
     for a, b in spans:
         out.append(data[at : places[a][0]])
