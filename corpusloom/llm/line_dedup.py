@@ -19,6 +19,7 @@ replaced.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,22 +54,25 @@ def segments(length: int, parts: int = EDITS + 1) -> list[tuple[int, int]]:
     return out
 
 
-def line_keys(line: str, edits: int = EDITS) -> list[tuple[int, int]]:
-    """(key, kind) of a normal line: kind 1 is an index entry, 2 a look-up, 3 both."""
-    import xxhash
-
-    size, data = len(line), line.encode("utf-32-le")
-    digest = xxhash.xxh3_64_intdigest
-    out: dict[int, int] = {}
+@functools.lru_cache(maxsize=20_000)
+def _plan(size: int, edits: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, seed, kind) of the keys of a line of ``size`` characters."""
+    out = []
     for length in range(max(edits + 1, size - edits), size + 1):
         delta = size - length
         for i, (at, n) in enumerate(segments(length, edits + 1)):
             low = max(0, at - i, at + delta - (edits - i))
             high = min(size - n, at + i, at + delta + (edits - i))
-            for p in range(low, high + 1):
-                k = digest(data[4 * p : 4 * (p + n)], seed=length * 16 + i) - (1 << 63)
-                out[k] = out.get(k, 0) | (3 if delta == 0 and p == at else 2)
-    return list(out.items())
+            out += [(p, p + n, length * 16 + i, 3 if delta == 0 and p == at else 2) for p in range(low, high + 1)]
+    return out
+
+
+def line_keys(line: str, edits: int = EDITS) -> list[tuple[int, int]]:
+    """(key, kind) of a normal line: kind 1 is an index entry, 2 a look-up, 3 both; a key may come with several kinds."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    return [(digest(line[p:q], seed) - (1 << 63), kind) for p, q, seed, kind in _plan(len(line), edits)]
 
 
 def within(a: str, b: str, edits: int = EDITS) -> bool:
@@ -118,14 +122,12 @@ def _node(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
-def _binary(digests: list[bytes], repeat: np.ndarray | None = None) -> pa.Array:
-    raw = np.frombuffer(b"".join(digests), dtype="u1").reshape(-1, 16)
-    raw = raw if repeat is None else np.repeat(raw, repeat, axis=0)
-    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(len(raw) + 1, dtype="<i4") * 16), pa.py_buffer(raw.tobytes())])
+def _binary(digests: list[bytes]) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer(np.arange(len(digests) + 1, dtype="<i4") * 16), pa.py_buffer(b"".join(digests))])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, kind) of the lines of texts; a line that the task has just seen isn't repeated."""
+    """(key, hi, lo, kind) of the lines of texts, hi and lo being a node's halves; a line that the task has just seen isn't repeated."""
     seen: set[bytes] = set()
     for batch in batches:
         nodes, counts, keys, kinds = [], [], [], []
@@ -140,11 +142,26 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = line_keys(line)
                 nodes.append(d)
                 counts.append(len(own))
-                for k, kind in own:
-                    keys.append(k)
-                    kinds.append(kind)
+                k, kind = zip(*own)
+                keys += k
+                kinds += kind
         if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _binary(nodes, np.array(counts)), pa.array(kinds, pa.int32())], ["key", "node", "kind"])
+            halves = np.repeat(np.frombuffer(b"".join(nodes), dtype=">i8").astype(np.int64).reshape(-1, 2), counts, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.int64)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(np.array(kinds, dtype=np.int8))], ["key", "hi", "lo", "kind"])
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__id, __key, n, lines): each text's number of lines, and places and nodes of the eligible ones."""
+    for batch in batches:
+        counts, ends, places, nodes = [], [0], [], []
+        for text in batch.column(2).to_pylist():
+            counts.append(text.count("\n") + 1 if text else 0)
+            for i, line in _eligible(text):
+                places.append(i)
+                nodes.append(_node(line))
+            ends.append(len(places))
+        items = pa.StructArray.from_arrays([pa.array(places, pa.int32()), _binary(nodes)], ["line_no", "node"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["__id", "__key", "n", "lines"])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +214,13 @@ def _links_in_block(cols: dict[str, np.ndarray], first: int, last: int) -> list[
 def line_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, comp) of the eligible lines that are linked to another; node is the 128-bit digest of the normal line."""
     texts = docs.select(F.col(text_col).alias("t")).where(F.octet_length("t") >= MIN_CHARS)
-    entries = texts.mapInArrow(_entries, "key long, node binary, kind int").repartition("key")
-    shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.bit_or("kind").alias("k")).where("x <> y and k = 3").select("key")
-    members = materialize(entries.join(shared, "key").groupBy("key", "node").agg(F.bit_or("kind").alias("kind")), "members")
+    # Halves are numbers, which Spark aggregates by hashing, where bytes would have to be sorted.
+    entries = texts.mapInArrow(_entries, "key long, hi long, lo long, kind byte").repartition("key")
+    ends = [f("hi") for f in (F.min, F.max)] + [f("lo") for f in (F.min, F.max)]
+    shared = entries.groupBy("key").agg(*[e.alias(n) for e, n in zip(ends, "abcd")], F.bit_or("kind").alias("k")).where("(a <> b or c <> d) and k = 3").select("key")
+    node = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo")]))
+    found = entries.join(shared, "key").groupBy("key", "hi", "lo").agg(F.bit_or("kind").cast("int").alias("kind"))
+    members = materialize(found.select("key", node.alias("node"), "kind"), "members")
     wanted = members.select("node").distinct()
     few = wanted.count() <= BROADCAST_NODES
     found = texts.mapInArrow(_lines, "node binary, line string").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
@@ -227,12 +248,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = ("n_lines", "n_eligible", "n_dropped", "dropped")
     base = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
 
-    @F.pandas_udf("struct<n:int,lines:array<struct<line_no:int,node:binary>>>")
-    def nodes(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([(t.count("\n") + 1 if t else 0, [{"line_no": i, "node": _node(x)} for i, x in _eligible(t)]) for t in part], columns=["n", "lines"])
-
-    counted = materialize(base.select("__id", "__key", nodes("__text").alias("l")).select("__id", "__key", "l.n", "l.lines"), "occurrences")
+    kind = base.schema["__id"].dataType.simpleString()
+    counted = base.select("__id", "__key", "__text").mapInArrow(_occurrences, f"__id {kind}, __key long, n int, lines array<struct<line_no:int,node:binary>>")
+    counted = materialize(counted, "occurrences")
     counted_lines = counted.select("__id", "__key", F.explode("lines").alias("x")).select("__id", "__key", "x.line_no", "x.node")
     comps = line_classes(docs, text_col)
     placed = counted_lines.join(comps, "node", "left").select("__id", "__key", "line_no", F.coalesce("comp", "node").alias("cls"))
