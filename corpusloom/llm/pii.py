@@ -25,8 +25,8 @@ from corpusloom.session import materialize, table
 KEY = "corpusloom"
 ROUNDS = 24
 #: Titles by gender, given names by gender and script, syllables by script.
-MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "г-н")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "г-жа")
+MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "г-н", "Г-н")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "г-жа", "Г-жа")
 NEUTRAL = ("Dr", "Prof")
 GIVEN = {
     "LM": "Adam Bruno Carlos Daniel Emil Felix Georg Hugo Ivan Jonas Karl Louis Marco Noah Oscar Paul Ruben Simon Tomas Victor".split(),
