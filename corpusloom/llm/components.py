@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
 
-BLOCK = 512
+BLOCK = 1024
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
