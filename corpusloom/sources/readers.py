@@ -67,7 +67,7 @@ def pipe_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("at", "line")).where(F.trim("line").rlike(r"^\|.*\|$"))
     w = Window.partitionBy(id_col).orderBy("at")
     grouped = lines.withColumn("grp", F.col("at") - F.row_number().over(w))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     rows = grouped.withColumn("cells", cells).where(~F.trim("line").rlike(r"^\|[\s:|\-]+\|$"))
     ranked = rows.withColumn("row_no", F.row_number().over(Window.partitionBy(id_col, "grp").orderBy("at")) - 1)
     heads = ranked.where("row_no = 0").select(id_col, "grp", F.col("cells").alias("head")).where(F.size(F.array_distinct("head")) == F.size("head"))
