@@ -10,6 +10,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHIPPED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -24,6 +25,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc in _SHIPPED:
         return
+    # Texts may be long: batches for Python workers are bounded by bytes, unless the session says otherwise.
+    if spark.conf.get(ARROW_BYTES, None) in (None, "67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(ARROW_BYTES, "8388608")
     root = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(), "corpusloom.zip")
     with zipfile.ZipFile(archive, "w") as z:
