@@ -35,8 +35,7 @@ from .components import in_blocks, linked_classes
 SHINGLE = 5
 SYMBOLS, SKETCH, LOSS = 32, 256, 5e-5
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-WORDS_KEPT = 500_000
-_WORDS: dict[bytes, int] = {}
+WORDS_KEPT = 200_000
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -76,10 +75,10 @@ class Index:
         return out.view(np.int64)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words; ``known`` keeps those of a task's words."""
     import xxhash
 
-    known = _WORDS
     if len(known) > WORDS_KEPT:
         known.clear()
     for w in set(words).difference(known):
@@ -87,10 +86,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: str | None, known: dict[bytes, int] | None = None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; bytes.lower() changes A-Z alone, split() cuts at ASCII blanks."""
     words = text.encode().lower().split() if text else []
-    h = word_hashes(words)
+    h = word_hashes(words, {} if known is None else known)
     if not len(h):
         return h
     n = max(1, len(h) - k + 1)
@@ -111,10 +110,11 @@ def signatures(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     def sign(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        known: dict[bytes, int] = {}
         for part in parts:
             rows = []
             for t in part:
-                s = shingle_set(t)
+                s = shingle_set(t, known)
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), minima(s, FACTORS).astype("<u2").tobytes()) if len(s) else (0, None, None))
             yield pd.DataFrame(rows, columns=["n", "node", "sig"])
 
@@ -143,10 +143,11 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
 
     @F.pandas_udf("struct<n:long,s:array<long>,k:binary>")
     def full(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
         for part in parts:
             rows = []
             for t in part:
-                s = shingle_set(t)
+                s = shingle_set(t, known)
                 rows.append((len(s), s.view(np.int64), minima(s, SKETCH_FACTORS).astype("u1").tobytes()))
             yield pd.DataFrame(rows, columns=["n", "s", "k"])
 
