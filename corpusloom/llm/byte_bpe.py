@@ -28,7 +28,9 @@ from .merge_queue import Kept, merge_spans
 
 #: Unicode White_Space, which \s stands for in the vocabulary's pattern.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-KEPT_CHUNKS, KEPT_TOKENS = 100_000, 200_000
+KEPT_CHUNKS, KEPT_TOKENS = 150_000, 250_000
+#: Marks that are a pre-token of their own after a word at a chunk's end.
+ENDS = frozenset(".,;:!?")
 BLOCK = 200_000
 _CODECS: dict = {}
 
@@ -139,8 +141,17 @@ class ByteCodec:
         raw, ids = [t.encode() for t in tokens], self.slot_id
         return {t: ids[slot].to_bytes(4, "little") if slot >= 0 else self.merged(r) for t, r, slot in zip(tokens, raw, self.table.find(raw).tolist())}
 
+    def pre_tokens(self, chunk: str) -> list[str]:
+        """The pattern's matches; a word, after a space or not, and a word with one mark need no pattern."""
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isalpha():
+            return [chunk]
+        if chunk[-1] in ENDS and word[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pieces.findall(chunk)
+
     def of_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        split = [self.pieces.findall(c) for c in chunks]
+        split = [self.pre_tokens(c) for c in chunks]
         packed = self.tokens.fill(itertools.chain.from_iterable(split), self.of_tokens)
         return {c: packed[s[0]] if len(s) == 1 else b"".join([packed[t] for t in s]) for c, s in zip(chunks, split)}
 
@@ -169,19 +180,29 @@ def _codec(df: DataFrame, ranks_path: str, pattern: str):
     return df.sparkSession.sparkContext.broadcast(_CODECS[key])
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ids (binary: little-endian unsigned 32-bit integers) and n_tokens of ``text_col``."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``df`` with ids (binary: little-endian unsigned 32-bit integers) and n_tokens of ``text_col``.
+
+    decoded: also with decoded, the bytes that the identifiers stand for, in the same pass over the rows.
+    """
     codec = _codec(df, ranks_path, pattern)
+    words = {v: k for k, v in load_ranks(ranks_path).items()} if decoded else {}
+    words = df.sparkSession.sparkContext.broadcast(words)
 
-    @F.pandas_udf("binary")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec.value
+    @F.pandas_udf("struct<ids:binary,data:binary>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c, w = codec.value, words.value
         for part in texts:
-            yield pd.Series([c.encode(t) for t in part], dtype=object)
-
-    return (
-        df.withColumn("__ids", ids(F.col(text_col)))
-        .select(*[c for c in df.columns if c not in ("ids", "n_tokens")], F.col("__ids").alias("ids"), (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"))
+            ids = [c.encode(t) for t in part]
+            yield pd.DataFrame({"ids": ids, "data": [decode_ids(i, w) if decoded else None for i in ids]}, dtype=object)
+
+    own = ("ids", "n_tokens", *(["decoded"] if decoded else []))
+    out = df.withColumn("__e", run(F.col(text_col)))
+    return out.select(
+        *[c for c in df.columns if c not in own],
+        F.col("__e.ids").alias("ids"),
+        (F.octet_length("__e.ids") / 4).cast("long").alias("n_tokens"),
+        *([F.col("__e.data").alias("decoded")] if decoded else []),
     )
 
 
@@ -207,7 +228,7 @@ def encode_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path))
+    return digests(encode(docs.select("doc_id", "text"), path, pattern, decoded=True).drop("text"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
