@@ -17,6 +17,9 @@ columns that clash with output names are replaced.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +44,23 @@ ALPHABET = {"l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "|".join((*MALE, *FEMALE, *NEUTRAL))
+#: A value that follows is a secret, whatever it looks like.
+_ASSIGNED = r"(?i:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token) {0,2}[=:] {0,2}[\"']?"
 PATTERNS = {
     "EMAIL": r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]{1,64}+@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*(?<=\.[A-Za-z]{2,24})",
-    "SECRET": r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "SECRET": r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
+    rf"|(?<=[=: \"'])(?<={_ASSIGNED})[A-Za-z0-9_+/=.~\-]{{6,128}}",
     "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "IP": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "PHONE": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<![\d\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])",
     "CARD": r"(?<![\d\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)",
     "SSN": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "NAME": rf"(?<=(?<!\p{{L}})(?:{_TITLE})\.? )\p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
+    # The look-ahead comes first: a look-behind of many titles is dear, and capitals are few.
+    "NAME": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_TITLE})\.? )\p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
 }
+#: What a text with any entity holds: cheap to look for, so that the full pattern runs on few texts.
+GATE = (r"[0-9]{2}|[0-9]\.[0-9]", r"[A-Fa-f0-9]{32}|gh[pousr]_", r"[A-Za-z] {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/=.~\-]{6}", r"[MHFSDPГг](?:r|rs|s|iss|onsieur|adame|me|errn?|rau|eñora?|ra|on|oña|rof|-н|-жа)\.? \p{Lu}")
+SIGNS = ("@", "AKIA", "sk-")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -58,10 +68,11 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _type(mention: Column) -> Column:
-    """The type of a mention, by its look alone, in the order of the patterns."""
+def _type(mention: Column, before: Column) -> Column:
+    """The type of a mention, by its look and the end of the text before it, in the order of the patterns."""
     return (
         F.when(F.contains(mention, F.lit("@")), "EMAIL")
+        .when(before.rlike(_ASSIGNED + "$"), "SECRET")
         .when(mention.rlike(r"^(?:[A-Fa-f0-9]{32,128}|AKIA[A-Z0-9]{16}|gh[pousr]_\w+|sk-\w+)$"), "SECRET")
         .when(mention.rlike(r"^[A-Z]{2}\d"), "IBAN")
         .when(mention.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "IP")
@@ -75,7 +86,7 @@ def _type(mention: Column) -> Column:
 def _canonical(kind: Column, mention: Column) -> Column:
     """What mentions of one entity share: no layout, no case."""
     bare = F.regexp_replace(F.lower(mention), r"[ .()\-]", "")
-    return F.when(kind.isin("PHONE", "CARD", "SSN"), F.regexp_replace(mention, r"\D", "")).when(kind.isin("IBAN"), bare).otherwise(F.lower(mention))
+    return F.when(kind.isin("PHONE", "CARD", "SSN"), F.regexp_replace(mention, r"\D", "")).when(kind == "IBAN", bare).when(kind == "SECRET", mention).otherwise(F.lower(mention))
 
 
 def _stream(kind: Column, canon: Column, attempt: int, key: str) -> Column:
@@ -164,18 +175,19 @@ def _laid_out(mention: Column, surrogate: Column, kind: Column) -> Column:
     filled = F.aggregate(F.split(mention, ""), start, step)["out"]
     filled = F.when(kind == "IBAN", F.upper(filled)).otherwise(filled)
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), filled).when(kind.isin("SECRET", "EMAIL"), cased).otherwise(surrogate)
+    return F.when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), filled).when(kind == "EMAIL", cased).otherwise(surrogate)
 
 
 def surrogate_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text_col``, n_entities (mentions) and entity_types (sorted, distinct)."""
     own = ("n_entities", "entity_types")
     base = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
-    some = F.coalesce(F.col("__text").rlike(ANY), F.lit(False))
+    gate = functools.reduce(operator.or_, [*(F.contains("__text", F.lit(x)) for x in SIGNS), *(F.col("__text").rlike(x) for x in GATE)])
+    some = F.coalesce(gate & F.col("__text").rlike(ANY), F.lit(False))
     having, lacking = base.where(some), base.where(~some)
-    split = having.select("__id", "__key", F.regexp_extract_all("__text", F.lit(ANY), F.lit(0)).alias("found"), F.transform(F.split("__text", ANY, -1), lambda g: F.substring(g, -12, 12)).alias("ends"))
-    mentions = split.select("__id", "__key", "ends", F.posexplode("found").alias("pos", "mention")).withColumn("type", _type(F.col("mention")))
+    split = having.select("__id", "__key", F.regexp_extract_all("__text", F.lit(ANY), F.lit(0)).alias("found"), F.transform(F.split("__text", ANY, -1), lambda g: F.substring(g, -24, 24)).alias("ends"))
     title = F.element_at("ends", F.col("pos") + 1)
+    mentions = split.select("__id", "__key", "ends", F.posexplode("found").alias("pos", "mention")).withColumn("type", _type(F.col("mention"), title))
     gender = F.when(title.rlike(rf"(?:{'|'.join(FEMALE)})\.? $"), "F").when(title.rlike(rf"(?:{'|'.join(MALE)})\.? $"), "M").otherwise("N")
     words = F.when(F.col("type") == "NAME", F.split("mention", " ")).otherwise(F.array("mention"))
     parts = mentions.select("__id", "__key", "pos", "type", gender.alias("gender"), F.size(words).alias("many"), F.posexplode(words).alias("sub", "part"))
