@@ -120,6 +120,10 @@ class ByteCodec:
 
         self.chunks = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
         self.pieces = regex.compile(self.pattern.replace("[^\\s", "[^" + BLANK).replace("\\S", f"[^{BLANK}]").replace("\\s", f"[{BLANK}]"))
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the tables of chunks and tokens."""
         self.kept = Kept(KEPT_CHUNKS)
         self.tokens = Kept(KEPT_TOKENS)
 
@@ -195,6 +199,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
         for part in texts:
             ids = [c.encode(t) for t in part]
             yield pd.DataFrame({"ids": ids, "data": [decode_ids(i, w) if decoded else None for i in ids]}, dtype=object)
+        # Workers outlive their tasks; their tables don't, so that other stages have the memory.
+        c.forget()
 
     own = ("ids", "n_tokens", *(["decoded"] if decoded else []))
     out = df.withColumn("__e", run(F.col(text_col)))

@@ -52,10 +52,10 @@ class Features:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.kept = Kept(300_000)
+        self.kept = Kept(100_000)
 
     def __getstate__(self) -> dict:
-        return {"lexicon": self.lexicon, "kept": Kept(300_000)}
+        return {"lexicon": self.lexicon, "kept": Kept(100_000)}
 
     def weigh(self, words: list[str]) -> dict[str, tuple[float, int, int, int]]:
         """word -> (lexicon weight, insult, second person, obfuscated)."""
