@@ -31,7 +31,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
+    # The text goes along once.
+    packed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "doc_id", "text")
     found = line_dedup.dedup_lines(packed).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     return _sized(found.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]), docs)
 

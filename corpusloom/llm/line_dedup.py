@@ -246,10 +246,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dropped: (line_no, first_id, first_line_no) of each dropped line, first being the class's occurrence that stays.
     """
     own = ("n_lines", "n_eligible", "n_dropped", "dropped")
-    base = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
+    base = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"))
 
     kind = base.schema["__id"].dataType.simpleString()
-    counted = base.select("__id", "__key", "__text").mapInArrow(_occurrences, f"__id {kind}, __key long, n int, lines array<struct<line_no:int,node:binary>>")
+    counted = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text")).mapInArrow(_occurrences, f"__id {kind}, __key long, n int, lines array<struct<line_no:int,node:binary>>")
     counted = materialize(counted, "occurrences")
     counted_lines = counted.select("__id", "__key", F.explode("lines").alias("x")).select("__id", "__key", "x.line_no", "x.node")
     comps = line_classes(docs, text_col)
@@ -263,7 +263,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     facts = sizes.join(dropped, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")), "left").select(F.col("__id").alias("__i"), F.col("__key").alias("__k"), "n", "e", "d")
     out = base.join(facts, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")))
     numbers = F.transform("d", lambda x: x["line_no"])
-    text = F.when(F.col("d").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(F.split("__text", "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n"))
+    whole = F.col("__doc")[text_col]
+    text = F.when(F.col("d").isNull(), whole).otherwise(F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n"))
     return out.select(
         *[(text if c == text_col else F.col("__doc")[c]).alias(c) for c in docs.columns if c not in own or c == text_col],
         F.col("n").alias("n_lines"),
