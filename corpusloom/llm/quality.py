@@ -29,6 +29,8 @@ from corpusloom.session import materialize, table
 
 MAX_LABELLED = 12_000
 KEEP = 0.5
+#: Up to so many sites are broadcast (some tens of bytes each), so that texts needn't be shuffled; beyond, sites are joined by a shuffle.
+BROADCAST_SITES = 200_000
 #: How much of the site's log odds counts, and the bounds of the prior weights (in documents).
 SITE_SHARE, LEAST_WEIGHT, MOST_WEIGHT = 0.5, 5.0, 1e6
 UPPER = bytes(range(0x41, 0x5B))
@@ -136,7 +138,9 @@ def score_quality(docs: DataFrame, classifier: DocumentClassifier, source_col: s
     below = paths.where("__path is not null").join(hosts.withColumnRenamed("__host", "__h"), F.col("__host").eqNullSafe(F.col("__h"))).select("n", "s", (F.col("hs") / F.col("hn")).alias("hm"))
     by_path = _weight(below, "n", "s", F.col("hm"))
     sites = paths.join(hosts.withColumnRenamed("__host", "__h"), F.col("__host").eqNullSafe(F.col("__h"))).select(F.col("__host").alias("h"), F.col("__path").alias("q"), "n", "s", "hn", "hs")
-    found = scored.join(sites, F.col("__host").eqNullSafe(F.col("h")) & F.col("__path").eqNullSafe(F.col("q")))
+    sites = materialize(sites, "sites")
+    few = sites.count() <= BROADCAST_SITES
+    found = scored.join(F.broadcast(sites) if few else sites, F.col("__host").eqNullSafe(F.col("h")) & F.col("__path").eqNullSafe(F.col("q")))
     host_score = (F.col("hs") - F.col("__p") + by_host * mean) / (F.col("hn") - 1 + by_host)
     path_score = (F.col("s") - F.col("__p") + by_path * host_score) / (F.col("n") - 1 + by_path)
     found = found.withColumn("__site", F.when(F.col("__path").isNull(), host_score).otherwise(path_score))
