@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> None:
         return
     # Texts may be long: batches for Python workers are bounded by bytes, unless the session says otherwise.
     if spark.conf.get(ARROW_BYTES, None) in (None, "67108864", "67108864b", "64m", "64MB"):
-        spark.conf.set(ARROW_BYTES, "8388608")
+        spark.conf.set(ARROW_BYTES, "4194304")
     root = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(), "corpusloom.zip")
     with zipfile.ZipFile(archive, "w") as z:
