@@ -28,7 +28,7 @@ from .merge_queue import Kept, merge_spans
 
 #: Unicode White_Space, which \s stands for in the vocabulary's pattern.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-KEPT_CHUNKS, KEPT_TOKENS = 150_000, 250_000
+KEPT_CHUNKS, KEPT_TOKENS = 50_000, 100_000
 #: Marks that are a pre-token of their own after a word at a chunk's end.
 ENDS = frozenset(".,;:!?")
 BLOCK = 200_000
