@@ -1,9 +1,9 @@
 """Operator 7: byte-level BPE encoding and decoding with a two-tier lookup.
 
 Tier one is a minimal perfect hash (hash and displace) over the vocabulary: it resolves a whole pre-token that is itself
-a vocabulary entry, for all new pre-tokens of a batch at once. Tier two merges the bytes of a miss with a heap over a
-linked list. Texts first divide into blank-then-nonblank chunks, whose pre-tokens never reach into the next chunk; the
-identifiers of chunks stay in a bounded table in each worker.
+a vocabulary entry. Tier two merges the bytes of a miss with a heap over a linked list. Texts first divide into
+blank-then-nonblank chunks, whose pre-tokens never reach into the next chunk; the identifiers of chunks and pre-tokens
+stay in bounded tables for a task.
 
 Defined results: null and empty texts have no identifiers and decode to no bytes; every row gives one row; input columns
 that clash with output names are replaced; an empty table gives an empty table; texts of any length are encoded whole.
@@ -12,7 +12,6 @@ that clash with output names are replaced; an empty table gives an empty table;
 from __future__ import annotations
 
 import base64
-import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -24,14 +23,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import table
 
-from .merge_queue import Kept, merge_spans
+from .merge_queue import Made, merge_spans
 
 #: Unicode White_Space, which \s stands for in the vocabulary's pattern.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-KEPT_CHUNKS, KEPT_TOKENS = 50_000, 100_000
+KEPT_CHUNKS, KEPT_TOKENS = 150_000, 150_000
 #: Marks that are a pre-token of their own after a word at a chunk's end.
 ENDS = frozenset(".,;:!?")
-BLOCK = 200_000
+WORD = (1 << 64) - 1
 _CODECS: dict = {}
 
 
@@ -44,7 +43,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class PerfectHash:
     """Minimal perfect hash of byte strings: a bucket's displacement sends its keys to slots of their own."""
 
-    MIX = np.uint64(0x9E3779B97F4A7C15)
+    MIX, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
     def __init__(self, keys: list[bytes]):
         self.n = max(1, len(keys))
@@ -82,6 +81,7 @@ class PerfectHash:
             slot = int(next(rest))
             self.shift[b] = -slot - 1
             self.slots[slot] = keys[order[bounds[b]]]
+        self.ready()
 
     @staticmethod
     def hashes(keys: list[bytes]) -> np.ndarray:
@@ -90,19 +90,32 @@ class PerfectHash:
         return np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
 
     def place(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
-        x = (h ^ ((d + np.uint64(1)) * self.MIX)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (h ^ ((d + np.uint64(1)) * self.MIX)) * self.SPREAD
         return ((x >> np.uint64(33)) % np.uint64(self.n)).astype(np.int64)
 
     def find(self, keys: list[bytes]) -> np.ndarray:
         """The slot of each key that is in the table, else -1."""
-        if not keys:
-            return np.zeros(0, dtype=np.int64)
-        h = self.hashes(keys)
-        d = self.shift[(h % np.uint64(self.buckets)).astype(np.int64)]
-        slot = np.where(d < 0, -d - 1, self.place(h, np.maximum(d, 0).astype(np.uint64)))
-        slots = self.slots
-        same = np.fromiter((slots[s] == k for s, k in zip(slot.tolist(), keys)), dtype=bool, count=len(keys))
-        return np.where(same, slot, -1)
+        return np.array([self.slot(k) for k in keys], dtype=np.int64)
+
+    def slot(self, key: bytes) -> int:
+        h = self.digest(key)
+        d = self.shifts[h % self.buckets]
+        slot = -d - 1 if d < 0 else (((h ^ (d + 1) * self.mix & WORD) * self.spread & WORD) >> 33) % self.n
+        return slot if self.slots[slot] == key else -1
+
+    def ready(self) -> None:
+        """What ``slot`` reads: Python numbers, which single look-ups are faster with."""
+        import xxhash
+
+        self.digest, self.shifts = xxhash.xxh3_64_intdigest, self.shift.tolist()
+        self.mix, self.spread = int(self.MIX), int(self.SPREAD)
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("n", "buckets", "shift", "slots")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.ready()
 
 
 class ByteCodec:
@@ -120,12 +133,14 @@ class ByteCodec:
 
         self.chunks = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
         self.pieces = regex.compile(self.pattern.replace("[^\\s", "[^" + BLANK).replace("\\S", f"[^{BLANK}]").replace("\\s", f"[{BLANK}]"))
+        #: Ranks of two bytes by the first and the second.
+        self.pairs = [[self.ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
         self.forget()
 
     def forget(self) -> None:
         """Empty the tables of chunks and tokens."""
-        self.kept = Kept(KEPT_CHUNKS)
-        self.tokens = Kept(KEPT_TOKENS)
+        self.kept = Made(KEPT_CHUNKS, self.of_chunk)
+        self.tokens = Made(KEPT_TOKENS, self.of_token)
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("ranks", "table", "slot_id", "pattern")}
@@ -134,40 +149,32 @@ class ByteCodec:
         self.__dict__.update(state)
         self._ready()
 
-    def merged(self, token: bytes) -> bytes:
-        """Tier two: the identifiers, packed, of a pre-token that isn't an entry."""
+    def of_token(self, token: str) -> bytes:
+        """The identifiers, packed: tier one for entries of the vocabulary, tier two for the rest."""
+        raw = token.encode()
+        slot = self.table.slot(raw)
+        if slot >= 0:
+            return self.slot_id[slot].to_bytes(4, "little")
         ranks = self.ranks
-        ends, _ = merge_spans(token, ranks)
-        return array("I", [ranks[token[i:e]] for i, e in enumerate(ends) if e]).tobytes()
-
-    def of_tokens(self, tokens: list[str]) -> dict[str, bytes]:
-        """Tier one for all new pre-tokens together, tier two for the misses."""
-        raw, ids = [t.encode() for t in tokens], self.slot_id
-        return {t: ids[slot].to_bytes(4, "little") if slot >= 0 else self.merged(r) for t, r, slot in zip(tokens, raw, self.table.find(raw).tolist())}
+        ends, _ = merge_spans(raw, ranks, self.pairs)
+        return array("I", [ranks[raw[i:e]] for i, e in enumerate(ends) if e]).tobytes()
 
-    def pre_tokens(self, chunk: str) -> list[str]:
-        """The pattern's matches; a word, after a space or not, and a word with one mark need no pattern."""
+    def of_chunk(self, chunk: str) -> bytes:
+        """Of the pattern's matches; a word, after a space or not, and a word with one mark need no pattern."""
+        tokens = self.tokens
         word = chunk[1:] if chunk[0] == " " else chunk
         if word.isalpha():
-            return [chunk]
+            return tokens[chunk]
         if chunk[-1] in ENDS and word[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return self.pieces.findall(chunk)
-
-    def of_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        split = [self.pre_tokens(c) for c in chunks]
-        packed = self.tokens.fill(itertools.chain.from_iterable(split), self.of_tokens)
-        return {c: packed[s[0]] if len(s) == 1 else b"".join([packed[t] for t in s]) for c, s in zip(chunks, split)}
+            return tokens[chunk[:-1]] + tokens[chunk[-1]]
+        return b"".join([tokens[t] for t in self.pieces.findall(chunk)])
 
     def encode(self, text: str | None) -> bytes:
         """Identifiers as little-endian unsigned 32-bit integers, end to end."""
         if not text:
             return b""
-        chunks = (m.group() for m in self.chunks.finditer(text)) if len(text) > 1_000_000 else iter(self.chunks.findall(text))
-        out = []
-        while block := list(itertools.islice(chunks, BLOCK)):
-            out.append(b"".join(map(self.kept.fill(block, self.of_chunks).__getitem__, block)))
-        return b"".join(out)
+        chunks = (m.group() for m in self.chunks.finditer(text)) if len(text) > 1_000_000 else self.chunks.findall(text)
+        return b"".join(map(self.kept.__getitem__, chunks))
 
 
 def decode_ids(packed: bytes | None, words: dict[int, bytes]) -> bytes:

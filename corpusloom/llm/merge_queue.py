@@ -9,17 +9,21 @@ SHIFT = 32
 MASK = (1 << SHIFT) - 1
 
 
-def merge_spans(piece, ranks: dict) -> tuple[list[int], int]:
+def merge_spans(piece, ranks: dict, pairs: list | None = None) -> tuple[list[int], int]:
     """Merge the symbols of ``piece`` (str or bytes) by ``ranks`` (substring -> rank) and return (ends, symbols left).
 
     ``ends[i]`` is the end of the symbol that begins at ``i``, or 0 if none begins there. The heap holds
     (rank, start) of adjacent pairs as one integer; the pair of lowest rank, leftmost among equals, merges first.
+    ``pairs``, if given, has the ranks of two bytes as a list of lists.
     ``now[i]`` is the rank of the pair that begins at ``i`` at present: an entry with another rank is stale.
     """
     get, pop, push = ranks.get, heapq.heappop, heapq.heappush
     n = left = len(piece)
     ends = list(range(1, n + 1))
-    now = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    if pairs is None:
+        now = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    else:
+        now = [pairs[a][b] for a, b in zip(piece, piece[1:])]
     now.append(-1)
     heap = [r << SHIFT | i for i, r in enumerate(now) if r >= 0]
     if not heap:
@@ -71,3 +75,20 @@ class Kept:
         if lacking:
             young.update(make(lacking))
         return young
+
+
+class Made(dict):
+    """Values made when they are first asked for; two generations as in ``Kept``."""
+
+    def __init__(self, most: int, make: Callable):
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key):
+        v = self.old.get(key)
+        if v is None:
+            v = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = v
+        return v
