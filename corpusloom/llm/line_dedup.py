@@ -1,10 +1,16 @@
 """Operator 9: near-duplicate lines by a segment-partition edit join.
 
-Lines are compared in a normal form (blanks squeezed, lower case); a line is eligible from MIN_CHARS characters on, as
-short ones ("Yes.") repeat by nature. Two lines are linked when their edit distance is at most EDITS. A line of length L
-is cut into EDITS + 1 segments; by pigeonhole a line within EDITS holds one of them unchanged, near its place. The index
-has (L, segment number, segment); a line of length M looks up the substrings of the multi-match-aware positions for every
-L from M - EDITS to M. Lines that share a key are verified by a banded bit-parallel edit distance. Equal lines are one
+Lines are compared in a normal form (blanks squeezed, lower case); a line is eligible from MIN_EXACT characters on, as
+shorter ones ("Yes.") repeat by nature. Equal lines are always linked. Two lines of MIN_CHARS characters or more are also
+linked when their edit distance is at most EDITS characters, or at most ``word_edits`` words, a number that grows with the
+words of the shorter line: one from MIN_WORDS words on, then the root of a twelfth of the words (2 from 48, 3 from 108, 4
+from 192, without an end). By the root, as the keys of a line grow with the cube of the threshold. A line of one long word
+or without blanks is compared by characters only.
+
+A line of length L is cut into threshold + 1 segments; by pigeonhole a line within the threshold holds one of them
+unchanged, near its place. The index has (L, segment number, segment); a line of length M looks up the substrings of the
+multi-match-aware positions for every L that may lie so near. Characters and words are two such indexes, and L has its own
+threshold in the second. Lines that share a key are verified by a banded bit-parallel edit distance. Equal lines are one
 node; buckets are joined through their smallest nodes first and through bounded blocks where that leaves several
 components (see ``components``).
 
@@ -20,6 +26,8 @@ replaced.
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +42,11 @@ from .components import in_blocks, linked_classes
 
 EDITS = 2
 MIN_CHARS = 24
+#: Equal lines are copies from so many characters on.
+MIN_EXACT = 5
+MIN_WORDS = 8
+#: Keys of words have seeds from here on.
+WORD_SEEDS = 1 << 56
 #: Candidate lines up to so many are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_NODES = 500_000
 SEEN = 300_000
@@ -54,19 +67,38 @@ def segments(length: int, parts: int = EDITS + 1) -> list[tuple[int, int]]:
     return out
 
 
-@functools.lru_cache(maxsize=20_000)
-def _plan(size: int, edits: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, seed, kind) of the keys of a line of ``size`` characters."""
+def word_edits(words: int) -> int:
+    """Words that may differ between a line of so many words and one that isn't shorter."""
+    return max(1, math.isqrt(words // 12)) if words >= MIN_WORDS else 0
+
+
+def _spans(size: int, length: int, edits: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, seed, kind) of what ``size`` units look up among lines of ``length``, and of their own entries."""
     out = []
-    for length in range(max(edits + 1, size - edits), size + 1):
-        delta = size - length
-        for i, (at, n) in enumerate(segments(length, edits + 1)):
-            low = max(0, at - i, at + delta - (edits - i))
-            high = min(size - n, at + i, at + delta + (edits - i))
-            out += [(p, p + n, length * 16 + i, 3 if delta == 0 and p == at else 2) for p in range(low, high + 1)]
+    delta = size - length
+    for i, (at, n) in enumerate(segments(length, edits + 1)):
+        low = max(0, at - i, at + delta - (edits - i))
+        high = min(size - n, at + i, at + delta + (edits - i))
+        out += [(p, p + n, seed + i, 3 if delta == 0 and p == at else 2) for p in range(low, high + 1)]
     return out
 
 
+@functools.lru_cache(maxsize=20_000)
+def _plan(size: int, edits: int) -> list[tuple[int, int, int, int]]:
+    """The spans of a line of ``size`` characters."""
+    return [x for length in range(max(edits + 1, size - edits), size + 1) for x in _spans(size, length, edits, length * 16)]
+
+
+def _long_word_plan(size: int) -> list[tuple[int, int, int, int]]:
+    lengths = range(max(MIN_WORDS, size - word_edits(size)), size + 1)
+    return [x for n in lengths if size - n <= word_edits(n) for x in _spans(size, n, word_edits(n), WORD_SEEDS + (n << 24))]
+
+
+@functools.lru_cache(maxsize=512)
+def _short_word_plan(size: int) -> list[tuple[int, int, int, int]]:
+    return _long_word_plan(size)
+
+
 def line_keys(line: str, edits: int = EDITS) -> list[tuple[int, int]]:
     """(key, kind) of a normal line: kind 1 is an index entry, 2 a look-up, 3 both; a key may come with several kinds."""
     import xxhash
@@ -75,7 +107,28 @@ def line_keys(line: str, edits: int = EDITS) -> list[tuple[int, int]]:
     return [(digest(line[p:q], seed) - (1 << 63), kind) for p, q, seed, kind in _plan(len(line), edits)]
 
 
-def within(a: str, b: str, edits: int = EDITS) -> bool:
+def word_keys(line: str) -> list[tuple[int, int]]:
+    """Like ``line_keys``, of spans of words."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    words = line.split(" ")
+    if len(words) < MIN_WORDS:
+        return []
+    at = [0, *itertools.accumulate(len(w) + 1 for w in words)]
+    plan = _short_word_plan(len(words)) if len(words) <= 512 else _long_word_plan(len(words))
+    return [(digest(line[at[p] : at[q] - 1], seed) - (1 << 63), kind) for p, q, seed, kind in plan]
+
+
+def linked(a: str, b: str) -> bool:
+    """Whether two normal lines of MIN_CHARS or more are near: by characters, or by words."""
+    if within(a, b):
+        return True
+    edits = word_edits(min(a.count(" "), b.count(" ")) + 1)
+    return bool(edits) and within(a.split(" "), b.split(" "), edits)
+
+
+def within(a: str | list[str], b: str | list[str], edits: int = EDITS) -> bool:
     """Whether the edit distance is at most ``edits``.
 
     A bit-parallel automaton over the band of 2 * edits + 1 diagonals: bit d of level e says that a prefix of ``a``,
@@ -112,7 +165,7 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
 
 def _eligible(text: str | None) -> Iterator[tuple[int, str]]:
     for i, line in enumerate(text.split("\n") if text else ()):
-        if len(line) >= MIN_CHARS and len(x := normal(line)) >= MIN_CHARS:
+        if len(line) >= MIN_EXACT and len(x := normal(line)) >= MIN_EXACT:
             yield i, x
 
 
@@ -133,13 +186,15 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, counts, keys, kinds = [], [], [], []
         for text in batch.column(0).to_pylist():
             for _, line in _eligible(text):
+                if len(line) < MIN_CHARS:
+                    continue
                 d = _node(line)
                 if d in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(d)
-                own = line_keys(line)
+                own = line_keys(line) + word_keys(line)
                 nodes.append(d)
                 counts.append(len(own))
                 k, kind = zip(*own)
@@ -170,8 +225,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, lines = [], []
         for text in batch.column(0).to_pylist():
             for _, line in _eligible(text):
-                d = _node(line)
-                if d not in seen:
+                if len(line) >= MIN_CHARS and (d := _node(line)) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(d)
@@ -189,6 +243,10 @@ def _links_in_block(cols: dict[str, np.ndarray], first: int, last: int) -> list[
     comp = np.fromiter((codes.setdefault(c, len(codes)) for c in comp), dtype=np.int64, count=len(comp))
     size = np.array([len(x) for x in lines])
     bins = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le"), dtype="<u4") % 61, minlength=61) for x in lines]).astype(np.int32)
+    words = [[hash(w) % 61 for w in x.split(" ")] for x in lines]
+    many = np.array([len(w) for w in words])
+    may = np.array([word_edits(n) for n in many.tolist()])
+    word_bins = np.stack([np.bincount(w, minlength=61) for w in words]).astype(np.int32)
     top = list(range(len(codes)))
 
     def root(c: int) -> int:
@@ -201,11 +259,15 @@ def _links_in_block(cols: dict[str, np.ndarray], first: int, last: int) -> list[
     ys = np.flatnonzero(part == pb)
     for i in np.flatnonzero(part == pa_):
         js = ys[ys > i] if pa_ == pb else ys
-        js = js[(comp[js] != comp[i]) & (np.abs(size[js] - size[i]) <= EDITS) & (((kind[js] & 1) & (kind[i] >> 1)) | ((kind[js] >> 1) & (kind[i] & 1)) > 0)]
+        js = js[(comp[js] != comp[i]) & (((kind[js] & 1) & (kind[i] >> 1)) | ((kind[js] >> 1) & (kind[i] & 1)) > 0)]
+        edits = np.minimum(may[js], may[i])
+        js = js[(np.abs(size[js] - size[i]) <= EDITS) | (np.abs(many[js] - many[i]) <= edits)]
         if len(js):
-            js = js[np.abs(bins[js] - bins[i]).sum(axis=1) <= 2 * EDITS]
+            edits = np.minimum(may[js], may[i])
+            by_words = (edits > 0) & (np.abs(word_bins[js] - word_bins[i]).sum(axis=1) <= 2 * edits)
+            js = js[by_words | (np.abs(bins[js] - bins[i]).sum(axis=1) <= 2 * EDITS)]
         for j in js:
-            if root(comp[i]) != root(comp[j]) and within(lines[i], lines[j]):
+            if root(comp[i]) != root(comp[j]) and linked(lines[i], lines[j]):
                 top[root(comp[i])] = root(comp[j])
                 out.append((node[i], node[j]))
     return out
@@ -228,11 +290,11 @@ def line_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within(x, y) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([linked(x, y) for x, y in zip(a, b)], dtype=bool)
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = lines.select(F.col("node").alias("a"), F.col("line").alias("la")), lines.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-        return pairs.join(a, "a").join(b, "b").where(F.abs(F.length("la") - F.length("lb")) <= EDITS).where(near("la", "lb")).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(near("la", "lb")).select("a", "b")
 
     def residual(dealt: DataFrame) -> DataFrame:
         return in_blocks(dealt.join(lines, "node").select("key", "part", "part_a", "part_b", "node", "kind", "comp", "line"), _links_in_block, "a binary, b binary")

@@ -182,6 +182,42 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_links_changed_words_and_short_copies(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 12))) for _ in range(300)]
+    docs = []
+    for n in (8, 12, 30, 48, 60, 110, 200, 700):
+        for change in ("replace", "insert", "delete"):
+            w = [rng.choice(vocab) for _ in range(n)]
+            docs.append((len(docs), " ".join(w) + "\nshort copy"))
+            at = [rng.randrange(n * k // line_dedup.word_edits(n), n * (k + 1) // line_dedup.word_edits(n)) for k in range(line_dedup.word_edits(n))] if change == "replace" else [rng.randrange(n)]
+            for k in at:
+                w[k : k + (change != "insert")] = [] if change == "delete" else ["zzzzzzzz"]
+            docs.append((len(docs), " ".join(w) + "\nno\nshort  COPY"))
+    # Eight words of which one is gone are seven, too few.
+    lost = {i for i, t in docs if i % 2 and len(docs[i][1].split("\n")[0].split()) < 8}
+    assert lost == {5}
+    out = {r.doc_id: [d.line_no for d in r.dropped] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    for i, _ in docs:
+        assert out[i] == ([0] if i % 2 and i not in lost else []) + ([2 if i % 2 else 1] if i else [])
+
+
+def test_word_keys_find_all_near_lines():
+    rng = random.Random(9)
+    for n in (8, 9, 47, 48, 50, 108, 130):
+        for _ in range(60):
+            a = [rng.choice(["aa", "b", "ccc"]) for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.randint(0, line_dedup.word_edits(n))):
+                at = rng.randrange(len(b))
+                b[at : at + rng.randint(0, 1)] = rng.choice([[], ["dd"], ["b"]])
+            edits = line_dedup.word_edits(min(len(a), len(b)))
+            if a != b and edits and levenshtein(a, b) <= edits:
+                a, b = " ".join(a), " ".join(b)
+                assert line_dedup.linked(a, b)
+                assert any(k == m and (i & 1 and j & 2 or i & 2 and j & 1) for k, i in line_dedup.word_keys(a) for m, j in line_dedup.word_keys(b))
+
+
 def shingles(t):
     w = t.encode().lower().split() if t else []
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
