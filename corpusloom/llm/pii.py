@@ -3,7 +3,8 @@
 Entities (mail and network addresses, phone, card, bank and social security numbers, secrets, names after a title) are
 found in whole texts by one pattern. Each distinct entity of a type gets one surrogate, made from a keyed hash: digits
 become digits, letters letters of the same script and case, punctuation stays; a card keeps its first digit and its check
-residue, a phone its country code, a mail address its top-level domain; a given name becomes one of the same gender and
+residue, a phone its country code, a mail address its top-level domain; an IPv6 address becomes one of eight groups; a
+given name becomes one of the same gender and
 script, family names are built of syllables of the script.
 
 Surrogates are unique within a type and never equal an entity of the corpus: candidates are checked in rounds, and those
@@ -43,24 +44,32 @@ SYLLABLES = {"L": "ba co de fi gu ha jo ke li mu na po re si tu va wo xe yi zu".
 ALPHABET = {"l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "c": "абвгдежзиклмнопрстуфхцчшщыэюя", "C": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "g": "αβγδεζηθικλμνξοπρστυφχψω", "G": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer around "::" with a digit among them (a::b alone is code).
+_IP6 = rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:]|\.\d)"
+#: A word of a name goes on over hyphens and apostrophes, but not over a possessive or contracted ending.
+_MORE = r"[\p{L}\p{M}]++(?:-\p{L}[\p{L}\p{M}]*+|['’](?!(?:s|ll|ve|re|d|m)(?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+"
+_WORD = rf"\p{{Lu}}(?:{_MORE}|(?:['’\-]\p{{L}}[\p{{L}}\p{{M}}]*+)++)"
+_INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
+_PARTICLES = r"(?: (?:von|vom|van|de|del|della|der|den|dem|di|da|du|la|le|los|las|zu|zur|zum|ten|ter|y|e|bin|ibn|al))*+"
 _TITLE = "|".join((*MALE, *FEMALE, *NEUTRAL))
 #: A value that follows is a secret, whatever it looks like.
 _ASSIGNED = r"(?i:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token) {0,2}[=:] {0,2}[\"']?"
 PATTERNS = {
-    "EMAIL": r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]{1,64}+@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*(?<=\.[A-Za-z]{2,24})",
-    "SECRET": r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
-    rf"|(?<=[=: \"'])(?<={_ASSIGNED})[A-Za-z0-9_+/=.~\-]{{6,128}}",
+    "EMAIL": r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*(?<=\.[A-Za-z]{2,24})",
+    "SECRET": r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,}+|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])"
+    rf"|(?<=[=: \"'])(?<={_ASSIGNED})[A-Za-z0-9_+/=.~\-]{{6,}}+",
     "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "IP": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "IP": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)|{_IP6}",
     "PHONE": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<![\d\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])",
     "CARD": r"(?<![\d\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)",
     "SSN": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     # The look-ahead comes first: a look-behind of many titles is dear, and capitals are few.
-    "NAME": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_TITLE})\.? )\p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
+    "NAME": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_TITLE})\.? )(?:{_WORD}|{_INITIALS}(?={_PARTICLES} \p{{Lu}}))(?:{_PARTICLES} (?:{_WORD}|{_INITIALS}|\p{{Lu}}(?= \p{{Lu}}\p{{L}})))*+",
 }
 #: What a text with any entity holds: cheap to look for, so that the full pattern runs on few texts.
-GATE = (r"[0-9]{2}|[0-9]\.[0-9]", r"[A-Fa-f0-9]{32}|gh[pousr]_", r"[A-Za-z] {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/=.~\-]{6}", r"[MHFSDPГг](?:r|rs|s|iss|onsieur|adame|me|errn?|rau|eñora?|ra|on|oña|rof|-н|-жа)\.? \p{Lu}")
-SIGNS = ("@", "AKIA", "sk-")
+GATE = (r"[0-9]{2}|[0-9]\.[0-9]", r"[A-Fa-f0-9]{32}|gh[pousr]_|[A-Fa-f0-9]:[A-Fa-f0-9]{1,4}:", r"[A-Za-z] {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/=.~\-]{6}", r"[MHFSDPГг](?:r|rs|s|iss|onsieur|adame|me|errn?|rau|eñora?|ra|on|oña|rof|-н|-жа)\.? \p{Lu}")
+SIGNS = ("@", "AKIA", "sk-", "::")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -73,9 +82,10 @@ def _type(mention: Column, before: Column) -> Column:
     return (
         F.when(F.contains(mention, F.lit("@")), "EMAIL")
         .when(before.rlike(_ASSIGNED + "$"), "SECRET")
-        .when(mention.rlike(r"^(?:[A-Fa-f0-9]{32,128}|AKIA[A-Z0-9]{16}|gh[pousr]_\w+|sk-\w+)$"), "SECRET")
+        .when(mention.rlike(r"^(?:[A-Fa-f0-9]{32,}|AKIA[A-Z0-9]{16}|gh[pousr]_\w+|sk-\w+)$"), "SECRET")
         .when(mention.rlike(r"^[A-Z]{2}\d"), "IBAN")
         .when(mention.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "IP")
+        .when(mention.rlike("^[A-Fa-f0-9]*:"), "IP")
         .when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "SSN")
         .when(mention.rlike(r"^\+|^\(|^\d{3}[\-.]\d{3}[\-.]"), "PHONE")
         .when(mention.rlike(r"^\d"), "CARD")
@@ -91,8 +101,11 @@ def _canonical(kind: Column, mention: Column) -> Column:
 
 def _stream(kind: Column, canon: Column, attempt: int, key: str) -> Column:
     """Keyed bytes as hexadecimal digits, two for each character of the entity and some more."""
-    block = lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt)), b.cast("string")), 512)
-    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(canon) / 60).cast("int")), block), "")
+    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(canon) / 60).cast("int")), lambda b: _block(kind, canon, attempt, key, b)), "")
+
+
+def _block(kind: Column, canon: Column, attempt: int, key: str, b: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt)), b.cast("string")), 512)
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -126,8 +139,17 @@ def _surrogate(kind: Column, canon: Column, fixed: Column, attempt: int, key: st
     """The candidate of an entity; ``fixed`` leading characters stay as they are."""
     s = _stream(kind, canon, attempt, key)
     hexadecimal = (kind == "SECRET") & canon.rlike("^[a-f0-9]+$")
-    chars = F.transform(F.split(canon, ""), lambda c, i: F.when(i < fixed, c).otherwise(_character(c, _byte(s, i), hexadecimal)))
-    plain = F.array_join(chars, "")
+
+    # Secrets have any length: each piece of 60 characters has its block; what blocks share is bound once by lists of one.
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    short = F.when(F.length(canon) <= 60, canon).otherwise(F.sha2(canon, 512))
+
+    def replaced(hexa: bool) -> Column:
+        one = lambda p, block, b: F.array_join(F.transform(F.split(p, ""), lambda c, i: F.when(b * 60 + i < fixed, c).otherwise(_character(c, _byte(block, i), F.lit(hexa)))), "")
+        piece = lambda p, b, own: bound(_block(kind, own, attempt, key, b), lambda block: one(p, block, b))
+        return bound(short, lambda own: F.array_join(F.transform(F.split(canon, r"(?<=\G[\s\S]{60})"), lambda p, b: piece(p, b, own)), ""))
+
+    plain = F.when(hexadecimal, replaced(True)).otherwise(replaced(False))
     last = F.pmod(F.substring(plain, -1, 1).cast("int") + _luhn(canon) - _luhn(plain), F.lit(10))
     card = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), last.cast("string"))
     top = F.regexp_extract(canon, r"\.[a-z]+$", 0)
@@ -147,7 +169,8 @@ def _surrogate(kind: Column, canon: Column, fixed: Column, attempt: int, key: st
     for name, values in SYLLABLES.items():
         parts = F.transform(F.sequence(F.lit(0), F.lit(2 + attempt // 4)), lambda i: _array(values)[F.pmod(_byte(s, i), F.lit(len(values))).cast("int")])
         family = F.when(script == name, F.initcap(F.array_join(parts, ""))).otherwise(family)
-    return F.when(kind == "IP", F.array_join(octets, ".")).when(kind == "CARD", card).when(kind == "EMAIL", mail).when(kind == "FAMILY", family).when(kind.startswith("GIVEN"), pool).otherwise(plain)
+    groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat(F.lit("2"), F.substring(s, (i * 3 + 1).cast("int"), F.lit(3)))), ":")
+    return F.when(kind == "IP", F.array_join(octets, ".")).when(kind == "IP6", groups).when(kind == "CARD", card).when(kind == "EMAIL", mail).when(kind == "FAMILY", family).when(kind.startswith("GIVEN"), pool).otherwise(plain)
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -191,7 +214,7 @@ def surrogate_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gender = F.when(title.rlike(rf"(?:{'|'.join(FEMALE)})\.? $"), "F").when(title.rlike(rf"(?:{'|'.join(MALE)})\.? $"), "M").otherwise("N")
     words = F.when(F.col("type") == "NAME", F.split("mention", " ")).otherwise(F.array("mention"))
     parts = mentions.select("__id", "__key", "pos", "type", gender.alias("gender"), F.size(words).alias("many"), F.posexplode(words).alias("sub", "part"))
-    kind = F.when(F.col("type") != "NAME", F.col("type")).when(F.col("sub") < F.col("many") - 1, F.concat(F.lit("GIVEN_"), F.col("gender"))).otherwise("FAMILY")
+    kind = F.when((F.col("type") == "IP") & F.contains("part", F.lit(":")), "IP6").when(F.col("type") != "NAME", F.col("type")).when(F.col("sub") < F.col("many") - 1, F.concat(F.lit("GIVEN_"), F.col("gender"))).otherwise("FAMILY")
     parts = parts.withColumn("kind", kind).withColumn("canon", _canonical(F.col("kind"), F.col("part")))
     # Leading characters that stay: a card's issuer digit, an international number's country code, a bank account's country, a key's prefix.
     country = F.length(F.regexp_extract("part", r"^\+(\d{1,3})(?:[ .(\-]|$)", 1))

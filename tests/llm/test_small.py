@@ -380,6 +380,27 @@ def test_pii(spark):
     assert pii.surrogate_entities(df.limit(0)).count() == 0
 
 
+def test_pii_whole_entities(spark):
+    jwt = "".join(random.Random(1).choice("ABCDEFGHabcdefgh0123456789_-") for _ in range(400))
+    cases = [
+        (f"token={jwt} end", jwt), ("see " + "0a1b2c3d" * 40 + " end", "0a1b2c3d" * 40), ("key sk-" + "Ab3d5F7h" * 12 + " end", "Ab3d5F7h" * 12), (f"mail {'q.w' * 30}@mail.example.com end", "q.w" * 30),
+        ("Dr. Anna Maria Schmidt end", "Anna Maria Schmidt"), ("Mr. John F. Kennedy end", "John F. Kennedy"), ("Frau Müller-Lüdenscheidt end", "Müller-Lüdenscheidt"), ("Mrs. O'Brien end", "O'Brien"),
+        ("Prof. J. R. R. Tolkien end", "J. R. R. Tolkien"), ("Herr Ludwig van Beethoven end", "Ludwig Beethoven"), ("Mr. Ian MacDonald end", "Ian MacDonald"), ("Miss Smith's end", "Smith"),
+        ("from fe80::1ff:fe23:4567:890a end", "fe80::1ff:fe23:4567:890a"), ("2001:0db8:85a3:0000:0000:8a2e:0370:7334 end", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("at ::1 end", "::1"),
+    ]
+    plain = ["std::vector and a::b at 12:30:45 end", "no name in Mr and 00:1a:2b:3c:4d:5e end"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([c for c, _ in cases] + plain)], DOCS)
+    by = {r.doc_id: r for r in pii.surrogate_entities(df).collect()}
+    for i, (text, entity) in enumerate(cases):
+        assert by[i].n_entities == 1 and by[i].text.endswith(" end"), text
+        for k in range(0, max(1, len(entity) - 8), 8):
+            assert entity[k : k + 8] not in by[i].text, text
+        for word in entity.split():
+            assert word not in by[i].text.split(), text
+    assert [by[len(cases) + k].text for k in range(2)] == plain
+    assert len(by[0].text) == len(cases[0][0]) and by[11].text.endswith("'s end") and by[12].entity_types == ["IP"]
+
+
 def test_surrogates_stay_distinct(spark):
     e = spark.createDataFrame([("GIVEN_F", f"name{i}", 0) for i in range(300)] + [("SSN", f"{i:03d}", 0) for i in range(120)], "kind string, canon string, fixed int")
     rows = pii.assign(e).collect()
