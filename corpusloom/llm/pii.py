@@ -9,7 +9,11 @@ script, family names are built of syllables of the script.
 
 Surrogates are unique within a type and never equal an entity of the corpus: candidates are checked in rounds, and those
 that collide try again with the next attempt number. Mentions that differ in layout only ((555) 010-2000, 5550102000)
-are one entity and each keeps its layout, so coreference survives within and across documents.
+are one entity and each keeps its layout, so coreference survives within and across documents. A word of a name is one
+entity wherever it stands: it is a given name if it comes before another word of a name in any mention, otherwise a family
+name, and its gender is that of most of its titled mentions (neutral for a tie). Later mentions without a title are found
+as well: capitalised words that are words of a titled name of the same text get its surrogate; they don't count as mentions
+of their own.
 
 Only mentions and the texts that hold any are shuffled. Defined results: null and empty texts stay and have no entity;
 rows that agree in id and text get the same text; null ids are handled like any id; empty tables give empty tables; input
@@ -50,6 +54,8 @@ _IP6 = rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*\d)(?:{_HEX}(?::{_HE
 #: A word of a name goes on over hyphens and apostrophes, but not over a possessive or contracted ending.
 _MORE = r"[\p{L}\p{M}]++(?:-\p{L}[\p{L}\p{M}]*+|['’](?!(?:s|ll|ve|re|d|m)(?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+"
 _WORD = rf"\p{{Lu}}(?:{_MORE}|(?:['’\-]\p{{L}}[\p{{L}}\p{{M}}]*+)++)"
+#: Where a capitalised word of a name begins or ends in other text.
+_EDGES = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?<![\p{{L}}\p{{M}}]['’\-])(?=\p{{Lu}})|(?<=[\p{{L}}\p{{M}}])(?![\p{{L}}\p{{M}}\p{{N}}_'’\-])|(?<=[\p{{L}}\p{{M}}])(?=['’](?:s|ll|ve|re|d|m)(?!\p{{L}}))|(?<=[\p{{L}}\p{{M}}])(?=['’\-]+(?!\p{{L}}))"
 _INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
 _PARTICLES = r"(?: (?:von|vom|van|de|del|della|der|den|dem|di|da|du|la|le|los|las|zu|zur|zum|ten|ter|y|e|bin|ibn|al))*+"
 _TITLE = "|".join((*MALE, *FEMALE, *NEUTRAL))
@@ -214,19 +220,29 @@ def surrogate_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gender = F.when(title.rlike(rf"(?:{'|'.join(FEMALE)})\.? $"), "F").when(title.rlike(rf"(?:{'|'.join(MALE)})\.? $"), "M").otherwise("N")
     words = F.when(F.col("type") == "NAME", F.split("mention", " ")).otherwise(F.array("mention"))
     parts = mentions.select("__id", "__key", "pos", "type", gender.alias("gender"), F.size(words).alias("many"), F.posexplode(words).alias("sub", "part"))
-    kind = F.when((F.col("type") == "IP") & F.contains("part", F.lit(":")), "IP6").when(F.col("type") != "NAME", F.col("type")).when(F.col("sub") < F.col("many") - 1, F.concat(F.lit("GIVEN_"), F.col("gender"))).otherwise("FAMILY")
+    kind = F.when((F.col("type") == "IP") & F.contains("part", F.lit(":")), "IP6").otherwise(F.col("type"))
     parts = parts.withColumn("kind", kind).withColumn("canon", _canonical(F.col("kind"), F.col("part")))
     # Leading characters that stay: a card's issuer digit, an international number's country code, a bank account's country, a key's prefix.
     country = F.length(F.regexp_extract("part", r"^\+(\d{1,3})(?:[ .(\-]|$)", 1))
     fixed = F.when(F.col("kind") == "CARD", 1).when(F.col("kind") == "PHONE", country).when(F.col("kind") == "IBAN", 2).when(F.col("part").startswith("AKIA") | F.col("part").rlike("^gh[pousr]_"), 4).when(F.col("part").startswith("sk-"), 3).otherwise(0)
-    parts = materialize(parts.select("__id", "__key", "pos", "sub", "type", "kind", "part", "canon", fixed.alias("fixed")), "mentions")
-    assigned = assign(parts.groupBy("kind", "canon").agg(F.max("fixed").alias("fixed")), key)
-    put = parts.join(assigned, ["kind", "canon"]).select("__id", "__key", "pos", "sub", "type", _laid_out(F.col("part"), F.col("surrogate"), F.col("kind")).alias("put"))
+    given = F.col("sub") < F.col("many") - 1
+    parts = materialize(parts.select("__id", "__key", "pos", "sub", "type", "kind", "part", "canon", "gender", given.alias("given"), fixed.alias("fixed")), "mentions")
+    lean = F.sum(F.when(F.col("gender") == "F", 1).when(F.col("gender") == "M", -1).otherwise(0))
+    entities = parts.groupBy("kind", "canon").agg(F.max("fixed").alias("fixed"), F.max("given").alias("given"), lean.alias("lean"))
+    settled = F.when(F.col("kind") != "NAME", F.col("kind")).when(~F.col("given"), "FAMILY").when(F.col("lean") > 0, "GIVEN_F").when(F.col("lean") < 0, "GIVEN_M").otherwise("GIVEN_N")
+    assigned = assign(entities.select(settled.alias("kind"), "canon", "fixed"), key)
+    assigned = assigned.withColumn("kind", F.when(F.col("kind").startswith("GIVEN") | (F.col("kind") == "FAMILY"), "NAME").otherwise(F.col("kind")))
+    put = parts.join(assigned, ["kind", "canon"]).select("__id", "__key", "pos", "sub", "type", _laid_out(F.col("part"), F.col("surrogate"), F.col("kind")).alias("put"), F.when(F.col("type") == "NAME", F.col("part")).alias("name"))
     # A set, as rows that repeat with id and text bring each mention again; a text's mentions stay together.
-    puts = put.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.struct("pos", "sub", "put"))).alias("puts"), F.array_sort(F.collect_set("type")).alias("types"))
+    # Initials and particles aren't looked for without a title.
+    word = F.when(F.col("name").rlike(r"^\p{Lu}[\p{L}\p{M}'’\-]+$"), F.struct(F.col("name").alias("key"), F.col("put").alias("value")))
+    puts = put.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.struct("pos", "sub", "put"))).alias("puts"), F.array_sort(F.collect_set("type")).alias("types"), F.map_from_entries(F.collect_set(word)).alias("names"))
     puts = puts.withColumnsRenamed({"__id": "i", "__key": "k"})
     joined = having.join(puts, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k")))
-    gaps = F.split("__text", ANY, -1)
+    # Words of names in the gaps: what lies between words stays.
+    repeat = lambda w: F.coalesce(F.col("names")[w], w)
+    known = lambda g: F.array_join(F.transform(F.split(g, _EDGES), repeat), "")
+    gaps = F.when(F.size("names") > 0, F.transform(F.split("__text", ANY, -1), known)).otherwise(F.split("__text", ANY, -1))
     piece = lambda p: F.concat(F.when(p["sub"] > 0, F.lit(" ")).otherwise(F.element_at(F.col("__gaps"), p["pos"] + 1)), p["put"])
     text = F.concat(F.array_join(F.transform("puts", piece), ""), F.element_at("__gaps", -1))
     done = joined.withColumn("__gaps", gaps).select("__doc", text.alias("__text"), F.size(F.filter("puts", lambda p: p["sub"] == 0)).alias("n_entities"), F.col("types").alias("entity_types"))

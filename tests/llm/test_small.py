@@ -401,6 +401,17 @@ def test_pii_whole_entities(spark):
     assert len(by[0].text) == len(cases[0][0]) and by[11].text.endswith("'s end") and by[12].entity_types == ["IP"]
 
 
+def test_pii_names_keep_their_coreference(spark):
+    texts = ["Dr. Anna Schmidt came. Schmidt said so, and Anna's 'Schmidt' too: (Schmidt) Schmidts Schmidt-", "Frau Anna Schmidt left.", "Frau Anna met Mr. O'Brien; O'Brien and Herr Müller-Lüden, Müller-Lüden, Müller spoke.", "Schmidt is not titled here."]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0]])), DOCS)
+    by = {r.doc_id: r.text for r in pii.surrogate_entities(df).collect()}
+    given, family = by[1].split()[1:3]
+    assert given in pii.GIVEN["LF"]
+    assert by[0] == by[4] == f"Dr. {given} {family} came. {family} said so, and {given}'s '{family}' too: ({family}) Schmidts {family}-"
+    words = by[2].replace(",", "").replace(";", "").split()
+    assert words[1] == given and words[4] == words[5] != "O'Brien" and words[8] == words[9] != "Müller-Lüden" and by[3] == texts[3]
+
+
 def test_surrogates_stay_distinct(spark):
     e = spark.createDataFrame([("GIVEN_F", f"name{i}", 0) for i in range(300)] + [("SSN", f"{i:03d}", 0) for i in range(120)], "kind string, canon string, fixed int")
     rows = pii.assign(e).collect()
