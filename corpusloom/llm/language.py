@@ -7,9 +7,10 @@ below MARGIN of the total makes the result unreliable: ``lang`` is then ``und``,
 Before compression texts are lower-cased and all but letters (ASCII others) become single blanks, so that capitals and
 junk characters say nothing.
 
-Dictionaries come from a bounded sample of labelled rows: at most SAMPLE_ROWS distinct texts of at most SAMPLE_BYTES bytes
-for each language, DICT_BYTES bytes in all; which ones is decided by a hash of the text. Languages are those of the
-labels. All prediction covers whole texts.
+Dictionaries come from a bounded sample of labelled rows: at most SAMPLE_ROWS distinct texts for each language, of each at
+most SAMPLE_BYTES characters from its first letter on, DICT_BYTES bytes in all; which ones is decided by a hash of the
+text, at a rate that follows from the number of distinct texts. Every labelled language with a letter has a dictionary.
+All prediction covers whole texts.
 
 Defined results: ``und`` and a score of 0 for null or empty texts, texts without a letter, and where no row is labelled;
 null labels teach nothing; repeated rows give repeated results; empty tables give empty tables; input columns that clash
@@ -78,12 +79,13 @@ class Compressors:
 
 def learn_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """language -> dictionary, from the bounded sample that the module's text describes."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and octet_length(text) between 1 and " + str(SAMPLE_BYTES))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    # Copies pass or fail together, so the rate counts a text once.
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * SAMPLE_ROWS / n))])
-    hashed = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    hashed = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).withColumn("text", F.regexp_extract("text", rf"\p{{L}}[\s\S]{{0,{SAMPLE_BYTES - 1}}}", 0))
     few = hashed.groupBy("lang", "h").agg(F.min("text").alias("text"))
     ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("k") <= SAMPLE_ROWS)
     found: dict[str, bytes] = {lang: b"" for lang in counts}

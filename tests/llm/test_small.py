@@ -318,6 +318,15 @@ def test_language(spark):
     assert language.learn_dictionaries(df.limit(0)) == {} and language.identify(df, {}).first().lang_pred == "und"
 
 
+def test_every_labelled_language_is_learned(spark):
+    # aa: 40 distinct texts in 400,000 rows; bb: long texts only; cc: long and digits first; dd: no letter.
+    many = spark.range(400_000).select(F.concat(F.lit("lorem ipsum dolor "), F.translate((F.col("id") % 40).cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("aa").alias("lang"))
+    long = spark.createDataFrame([("zunach gerheit ung " * 2000, "bb"), ("12 " * 9000 + "quis velit " * 500, "cc"), ("12 34", "dd"), (None, "dd")], "text string, lang string")
+    found = language.learn_dictionaries(many.union(long))
+    assert sorted(found) == ["aa", "bb", "cc"] and found["aa"].count(b"lorem") == 40
+    assert all(len(found[k]) <= language.SAMPLE_BYTES + 1 for k in ("bb", "cc")) and found["cc"].startswith(b"quis velit")
+
+
 def test_toxicity_and_quality_held_out(spark):
     rng = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "kappa", "omega", "sigma", "theta"]
