@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,14 +27,31 @@ def span_containment(spans: DataFrame, docs: DataFrame, span_id: str, doc_id: st
     """(span, doc): documents whose squeezed lower-case text contains the span's.
 
     A text that contains the span holds its first ``anchor`` words as a shingle, so only such pairs are tested. The last
-    word of an anchor may go on in the document; anchors therefore leave out a span's outermost words.
+    word of an anchor may go on in the document; anchors therefore leave out a span's outermost words. Spans of three words
+    or more that are too short for such an anchor have a shorter one of all their inner words. Spans of one or two words
+    have no inner word: their first word lies inside a document word, or ends one, which is looked for among the distinct
+    words of all documents. Only lengths that occur cost a pass.
     """
     words = lambda c: F.split(squeeze(F.lower(F.col(c))), " ")
-    s = spans.select(span_id, squeeze(F.lower(F.col("text"))).alias("span"), words("text").alias("w")).where(F.size("w") >= anchor + 2)
-    s = s.withColumn("gram", F.array_join(F.slice("w", 2, anchor), " "))
-    d = docs.select(doc_id, words("text").alias("w")).where(F.size("w") >= anchor)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (anchor - 1)), lambda i: F.array_join(F.slice("w", i, anchor), " ")))
-    pairs = s.select(span_id, "gram").join(d.select(doc_id, F.explode(grams).alias("gram")), "gram").select(span_id, doc_id).distinct()
+    s = spans.select(span_id, squeeze(F.lower(F.col("text"))).alias("span"), words("text").alias("w")).where(F.col("span").isNotNull())
+    s = s.withColumn("inner", F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(anchor)))
+    d = docs.select(doc_id, words("text").alias("w")).where(F.size("w") > 0)
+    found = []
+    for n in sorted(r["inner"] for r in s.select("inner").distinct().collect()):
+        own = s.where(F.col("inner") == n)
+        if n:
+            asked = own.select(span_id, F.array_join(F.slice("w", 2, n), " ").alias("gram"))
+            grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " ")))
+            held = d.where(F.size("w") >= n).select(doc_id, F.explode(grams).alias("gram"))
+        else:
+            held = d.select(doc_id, F.explode(F.array_distinct("w")).alias("gram"))
+            first = own.select(span_id, F.col("w")[0].alias("first"), (F.size("w") == 1).alias("alone"))
+            fits = F.when(F.col("alone"), F.contains("gram", F.col("first"))).otherwise(F.endswith("gram", F.col("first")))
+            asked = held.select("gram").distinct().join(first, fits).select(span_id, "gram")
+        found.append(asked.join(held, "gram").select(span_id, doc_id))
+    if not found:
+        return spans.select(span_id).limit(0).crossJoin(docs.select(doc_id).limit(0))
+    pairs = functools.reduce(DataFrame.union, found).distinct()
     # Texts are read again for the few pairs, not carried along with every shingle.
     full = docs.select(doc_id, squeeze(F.lower(F.col("text"))).alias("doc"))
     return pairs.join(s.select(span_id, "span"), span_id).join(full, doc_id).where(F.contains("doc", F.col("span"))).select(span_id, doc_id).distinct()

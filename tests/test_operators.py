@@ -116,3 +116,17 @@ def test_index_and_stream(spark, tmp_path):
     q = streams.append(streams.sessions(streams.read_events(spark, str(tmp_path / "in"))), str(tmp_path / "out2"), str(tmp_path / "ck2"))
     q.awaitTermination()
     assert q.exception() is None
+
+
+def test_span_containment_of_every_length(spark):
+    from corpusloom.operators.evidence import span_containment
+
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    texts = [" ".join(words), "xalpha  betax", "Beta\tgamma delta EPSILON zeta", "alphabet", "pre" + " ".join(words[2:8]) + "post", "", None, "alpha", "beta alpha gamma"]
+    spans = [" ".join(words[i : i + n]) for n in range(1, 8) for i in (0, 1, 2) if i + n <= 8] + ["ph", "a b", "a  b c", "", None, "omega", "lpha beta gamma delta epsilon zet"]
+    made = span_containment(spark.createDataFrame(list(enumerate(spans)), "i long, text string"), spark.createDataFrame(list(enumerate(texts)), "d long, text string"), "i", "d")
+    plain = lambda t: " ".join(t.lower().split())
+    want = {(i, d) for i, s in enumerate(spans) for d, t in enumerate(texts) if s is not None and t is not None and plain(s) in plain(t)}
+    rows = [tuple(r) for r in made.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert span_containment(spark.createDataFrame([], "i long, text string"), spark.createDataFrame([], "d long, text string"), "i", "d").count() == 0
