@@ -1,16 +1,20 @@
 """Operator 4: approximate nearest neighbours by learned partitions.
 
-A bounded sample of vectors (SAMPLE, by a hash of the vector) makes a neighbour graph, which is cut into balanced parts:
-median splits along principal directions start it, and moves that gain neighbours within a part, under a bound on its
-size, refine it. A small network learns, from the parts of each sampled vector's neighbours, where a vector's neighbours
-are. It files every vector under its most probable part and sends a query to the most probable parts for exact reranking:
-as many as give the sample's held-out vectors a recall of TARGET, and at least as together hold ENOUGH vectors. Neighbours
-in the sample are farther away than in the whole, so that recall is, if anything, an underestimate. Data without any
-structure need most of the parts, clustered data a few. More vectors get more parts, up to MAX_PARTS; parts are
-scanned in blocks of bounded size, so a part of any size, or many queries for it, spread over tasks.
+A bounded sample of vectors (by a hash of the vector: SAMPLE, or SAMPLED_PER_PART for each part where that is more, up to
+MOST_SAMPLED) makes a neighbour graph, which is cut into balanced parts: median splits along principal directions start
+it, and moves that gain neighbours within a part, under a bound on its size, refine it. A small network learns, from the
+parts of each sampled vector's neighbours, where a vector's neighbours are. It files every vector under its most probable
+part and sends a query to the most probable parts for exact reranking: as many as give the sample's held-out vectors a
+recall of TARGET, and at least as together hold ENOUGH vectors. Neighbours in the sample are farther away than in the
+whole, so that recall is, if anything, an underestimate. Data without any structure need most of the parts, clustered data
+a few. There is a part for every PART_SIZE distinct vectors, from two parts on, and as many as MOST_SAMPLED can teach at
+most; parts are scanned in blocks of bounded bytes, so a part of any size, or many queries for it, spread over tasks, and a
+query moves once to each block of its parts.
 
 Equal vectors are one entry with its K + 1 smallest ids, which is all that the K nearest with ties to smaller ids can need;
-equal queries are searched once. Up to EXACT_BELOW distinct vectors there is one part, and results are exact.
+equal queries are searched once. Within the parts searched results are exact: a block keeps every vector as near as its
+K + 1 nearest, however many tie, until distances are exact and ids have settled the ties. Fewer than two parts of K + 1
+vectors are one part.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another dimension than most, and rows
 with a null id take no part, neither as queries nor as candidates; rows that repeat id and vector count once; with fewer
@@ -25,23 +29,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.session import materialize, table
+from corpusloom.session import materialize, ship, table
 
 K = 10
-SAMPLE, GRAPH_K, HIDDEN = 4096, 12, 96
-PART_SIZE, MAX_PARTS, EXACT_BELOW = 1024, 64, 2048
+SAMPLE, SAMPLED_PER_PART, MOST_SAMPLED = 4096, 32, 65_536
+GRAPH_K, HIDDEN, PART_SIZE = 12, 96, 1024
 TARGET, HELD_OUT, ENOUGH = 0.95, 384, 512
-INDEX_BLOCK, QUERY_BLOCK = 4096, 2048
+#: Numbers in a block of the index and of queries: 8 MB and 4 MB.
+INDEX_NUMBERS, QUERY_NUMBERS = 1 << 20, 1 << 19
 
 
 def neighbour_graph(x: np.ndarray, k: int = GRAPH_K) -> np.ndarray:
     """The k nearest of each row of ``x`` (without itself)."""
-    sq = (x * x).sum(1)
+    sq, k = (x * x).sum(1), min(k, len(x) - 1)
     out = np.empty((len(x), k), dtype=np.int64)
     for a in range(0, len(x), 512):
         d = sq[None, :] - 2 * x[a : a + 512] @ x.T
         d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        out[a : a + 512] = np.argpartition(d, k, axis=1)[:, :k]
+        out[a : a + 512] = np.argpartition(d, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -125,14 +130,14 @@ def fit_router(x: np.ndarray, parts: int) -> Router:
     return Router(x, (target / target.sum(1, keepdims=True)).astype(np.float32))
 
 
-def probes_for(router: Router, x: np.ndarray, k: int = K, target: float = TARGET) -> int:
-    """The fewest parts that hold ``target`` of the k nearest sample vectors of the first HELD_OUT ones."""
-    asked = x[:HELD_OUT]
+def probes_for(router: Router, x: np.ndarray, held_out: int, k: int = K, target: float = TARGET) -> int:
+    """The fewest parts that hold ``target`` of the k nearest sample vectors of the first ``held_out`` ones."""
+    asked, k = x[:held_out], min(k, len(x) - 1)
     d = (x * x).sum(1)[None, :] - 2 * asked @ x.T
     d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
     parts = router(x).argmax(1)
     rank = np.argsort(np.argsort(-router(asked), axis=1), axis=1)
-    reached = np.sort(np.take_along_axis(rank, parts[np.argpartition(d, k, axis=1)[:, :k]], axis=1).ravel())
+    reached = np.sort(np.take_along_axis(rank, parts[np.argpartition(d, k - 1, axis=1)[:, :k]], axis=1).ravel())
     return int(reached[int(np.ceil(target * len(reached))) - 1]) + 1
 
 
@@ -143,13 +148,14 @@ def usable(vector: Column) -> Column:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, probes: int | None = None, max_parts: int = MAX_PARTS
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, probes: int | None = None
 ) -> DataFrame:
     """(query_id, rank from 1, id, score): the k nearest found of each row that ``is_query`` (on ``id``) marks.
 
     ``probes``: the number of parts to search; by default the fit chooses it.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     rows = rows.where(F.size("v") == (sizes.d if sizes else 0))
@@ -157,14 +163,16 @@ def nearest(
     ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     entries = materialize(ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "vectors")
     n = entries.count()
-    parts = 1 if n <= EXACT_BELOW else min(max_parts, max(2, round(n / PART_SIZE)))
+    parts = 1 if n < 2 * (k + 1) else min(MOST_SAMPLED // SAMPLED_PER_PART, max(2, round(n / PART_SIZE)))
     router = None
     if parts > 1:
-        few = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < (1 << 30) * 2 * SAMPLE / n).orderBy(F.xxhash64("v")).limit(SAMPLE).select("v")
+        size = max(SAMPLE, SAMPLED_PER_PART * parts)
+        few = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < (1 << 30) * 2 * size / n).orderBy(F.xxhash64("v")).limit(size).select("v")
         sample = np.stack([np.asarray(r.v, dtype=np.float64) for r in few.collect()])
         # Held-out vectors are the sample's first; the order is that of a hash.
-        router = fit_router(sample[HELD_OUT:], parts)
-        probes = probes or probes_for(router, sample)
+        held_out = min(HELD_OUT, len(sample) // 4)
+        router = fit_router(sample[held_out:], parts)
+        probes = probes or probes_for(router, sample, held_out)
     shared = spark.sparkContext.broadcast(router)
 
     @F.pandas_udf("int")
@@ -174,7 +182,7 @@ def nearest(
         return pd.Series(shared.value(np.stack(v.to_numpy())).argmax(1).astype(np.int32))
 
     index = materialize(entries.withColumn("part", file_under("v")), "index")
-    count = {r.part: r["count"] for r in index.groupBy("part").count().collect()}  # MAX_PARTS rows at most
+    count = {r.part: r["count"] for r in index.groupBy("part").count().collect()}  # a row for each part
 
     @F.pandas_udf("array<int>")
     def route(v: pd.Series) -> pd.Series:
@@ -190,23 +198,28 @@ def nearest(
 
     asked = rows.where(is_query).groupBy("v").agg(F.min("id").alias("q"))
     asked = materialize(asked.withColumn("part", F.explode(route("v"))), "queries")
+    dims = max(1, sizes.d if sizes else 1)
+    index_rows, query_rows = max(64, INDEX_NUMBERS // dims), max(64, QUERY_NUMBERS // dims)
     load = {r.part: r["count"] for r in asked.groupBy("part").count().collect()}
     blocks = lambda held, most: F.coalesce(F.create_map(*[F.lit(x) for p, c in held.items() for x in (p, -(-c // most))])[F.col("part")], F.lit(1)) if held else F.lit(1)
-    a = index.withColumn("ib", F.pmod(F.xxhash64("v"), blocks(count, INDEX_BLOCK)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), blocks(load, QUERY_BLOCK) - 1)))
-    b = asked.withColumn("qb", F.pmod(F.xxhash64("q"), blocks(load, QUERY_BLOCK)).cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), blocks(count, INDEX_BLOCK) - 1)))
+    a = index.withColumn("ib", F.pmod(F.xxhash64("v"), blocks(count, index_rows)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), blocks(load, query_rows) - 1)))
+    b = asked.withColumn("qb", F.pmod(F.xxhash64("q"), blocks(load, query_rows)).cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), blocks(count, index_rows) - 1)))
 
     def scan(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(entries) or not len(queries):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         x, y = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (entries, queries))
-        sq, most, out = (x * x).sum(1), min(len(x), 2 * k + 12), []
+        sq, most, out = (x * x).sum(1), min(len(x), k + 1), []
         ids = entries["ids"].to_list()
         for s in range(0, len(y), 256):
-            rough = sq[None, :] - 2 * y[s : s + 256] @ x.T
-            first = np.argpartition(rough, most - 1, axis=1)[:, :most]
-            exact = np.sqrt(((x[first] - y[s : s + 256, None, :]) ** 2).sum(2))
+            part = y[s : s + 256]
+            rough = sq[None, :] - 2 * part @ x.T
+            # Rounding moves a rough value by far less than this.
+            reach = np.partition(rough, most - 1, axis=1)[:, most - 1] + 1e-9 * (sq.max() + (part * part).sum(1))
             for i, q in enumerate(queries["q"].to_numpy()[s : s + 256]):
-                found = sorted((d, v) for d, j in zip(exact[i].tolist(), first[i].tolist()) for v in ids[j])
+                near = np.flatnonzero(rough[i] <= reach[i])
+                exact = np.sqrt(((x[near] - part[i]) ** 2).sum(1))
+                found = sorted((d, v) for d, j in zip(exact.tolist(), near.tolist()) for v in ids[j])
                 out += [(q, v, d) for d, v in found[: k + 1]]
         return pd.DataFrame(out, columns=["q", "id", "score"])
 
