@@ -13,6 +13,20 @@ from pyspark.sql import functions as F
 from corpusloom.session import materialize
 
 BLOCK = 1024
+#: A key is hot from so many rows on, or from a HOT_KEYS-th of all rows, whichever is more: HOT_KEYS keys at most are hot.
+HOT_ROWS, HOT_KEYS = 2048, 50_000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``facts``, one row for each ``key``, whose ``count`` column says how many of ``rows`` have it.
+
+    Facts of hot keys are broadcast, HOT_KEYS of them at most, and their rows stay where they are; the others are shuffled,
+    so that no task gets more than HOT_ROWS rows, or a HOT_KEYS-th of all, for one key. ``rows`` are read twice.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot, cold = F.broadcast(facts.where(F.col(count) >= least)), facts.where(F.col(count) < least)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -57,6 +71,7 @@ def linked_classes(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     residual_links: Callable[[DataFrame], DataFrame],
+    refine: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, comp) of the graph whose links are the verified pairs among those that share a bucket.
 
@@ -67,7 +82,29 @@ def linked_classes(
     others, as (key, node, kind, comp, part, part_a, part_b), dealt into blocks of bounded size, and returns enough links
     between different components: those that join what the links of a block join. Between them these two steps miss no
     component.
+
+    ``refine``, if given, gets the buckets of more than BLOCK nodes among those others, and returns them as (key, node, kind)
+    of finer buckets in which all their links share a key too: these go through the same steps first, so that blocks are
+    made only of what two levels of buckets leave.
     """
+    links, comps = _hub_links(members, verify, None)
+    labelled, split = _split_buckets(members, comps)
+    if refine is not None:
+        large = split.where(F.col("n") > BLOCK).select("key")
+        finer = materialize(refine(labelled.join(F.broadcast(large), "key").select("key", "node", "kind")), "finer")
+        if not finer.isEmpty():
+            links, comps = _hub_links(finer, verify, links)
+            labelled, split = _split_buckets(finer.union(labelled.join(F.broadcast(large), "key", "left_anti").select("key", "node", "kind")), comps)
+    left = labelled.join(split.select("key", "n"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = left.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", "node", "kind", "comp", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
+    more = materialize(residual_links(dealt).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    return connected_components(links.union(more))
+
+
+def _hub_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links of each bucket's nodes with its hubs, added to the known ones, and components by all of them."""
     offered = F.when(F.col("kind").bitwiseAND(1) > 0, F.col("node"))
     looking = F.when(F.col("kind").bitwiseAND(2) > 0, F.col("node"))
     hubs = members.groupBy("key").agg(F.min(offered).alias("hub1"), F.min(looking).alias("hub2"))
@@ -77,17 +114,15 @@ def linked_classes(
     pair = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     tried = materialize(pair(first, "hub", "node"), "tried")
     links = materialize(verify(tried), "links")
-    comps = connected_components(links)
+    links = links if known is None else links.union(known)
+    return links, connected_components(links)
 
-    # Labels of nodes without a link are the nodes themselves.
+
+def _split_buckets(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their component (nodes without a link are their own), and (key, n) of buckets of several ones that can add a link."""
     labelled = members.join(comps, "node", "left").select("key", "node", "kind", F.coalesce("comp", "node").alias("comp"))
     split = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 <> c2 and n > 2")
-    left = labelled.join(split.select("key", "n"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = left.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", "node", "kind", "comp", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
-    more = materialize(residual_links(dealt).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    return connected_components(links.union(more))
+    return labelled, split.select("key", "n")
 
 
 def in_blocks(rows: DataFrame, compare: Callable[[dict[str, np.ndarray], int, int], list[tuple]], schema: str) -> DataFrame:

@@ -8,9 +8,10 @@ chunk therefore enters the index once for each of its symbols, that symbol left
 pair.
 
 Documents with the same set are one node, so copies are never paired. Nodes that share a key first meet the bucket's
-smallest node, and links are confirmed on the full sets; buckets that then still fall into several components are
-compared within bounded blocks on both signatures and on a second, longer sketch (SKETCH one-byte minima, with a bound of
-its own at the same LOSS), and confirmed too.
+smallest node, and links are confirmed on the full sets. Buckets that then still fall into several components are compared
+within bounded blocks by sizes and signatures, and confirmed on the full sets too; those of more than a block's nodes first
+become finer ones by a second pigeonhole, on all symbols in more chunks than a near pair has differences, of which it
+therefore shares one without an error.
 
 Defined results: null and empty texts, and texts of blanks, have an empty set and link with nothing; a text of fewer
 words than a shingle is one shingle; each input row gives one row, repeated ones too; rows that repeat a doc_id with other
@@ -28,12 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize, table
+from corpusloom.session import materialize, ship, table
 
-from .components import in_blocks, linked_classes
+from .components import in_blocks, join_facts, linked_classes
 
 SHINGLE = 5
-SYMBOLS, SKETCH, LOSS = 32, 256, 5e-5
+SYMBOLS, LOSS = 32, 5e-5
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 200_000
 
@@ -42,7 +43,7 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-FACTORS, SKETCH_FACTORS = _odd(SYMBOLS, 10), _odd(SKETCH, 11)
+FACTORS = _odd(SYMBOLS, 10)
 
 
 def _bound(n: int, miss: float, loss: float) -> int:
@@ -60,10 +61,10 @@ class Index:
     def __init__(self, percent: int):
         self.percent = percent
         self.distance = _bound(SYMBOLS, 1 - percent / 100, LOSS)
-        self.sketch_distance = _bound(SKETCH, 1 - percent / 100, LOSS)
         chunks = np.array_split(np.arange(SYMBOLS), self.distance // 2 + 1)
         #: What each key hashes: the positions of a chunk but one, and a factor for each.
         self.parts = [(np.delete(at, skip), _odd(len(at) - 1, 1000 + int(at[skip]))) for at in chunks for skip in range(len(at))]
+        self.finer = np.array_split(np.arange(SYMBOLS), self.distance + 1)
 
     def keys(self, symbols: np.ndarray) -> np.ndarray:
         """The keys of signatures, a row for each: every chunk without one of its symbols, hashed with where it stands."""
@@ -74,6 +75,17 @@ class Index:
             out[:, k] = (h ^ (h >> np.uint64(29))) * PRIME + np.uint64(k)
         return out.view(np.int64)
 
+    def finer_keys(self, keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Keys below ``keys``: one for each chunk of the second pigeonhole, of its symbols and the key."""
+        x, k = symbols.astype(np.uint64), keys.astype(np.int64).view(np.uint64)
+        out = np.empty((len(x), len(self.finer)), dtype=np.uint64)
+        for c, at in enumerate(self.finer):
+            h = k * PRIME + np.uint64(c)
+            for i in at:
+                h = (h ^ (h >> np.uint64(29))) * PRIME + x[:, i]
+            out[:, c] = (h ^ (h >> np.uint64(31))) * PRIME
+        return out.view(np.int64)
+
 
 def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     """64-bit hashes of words; ``known`` keeps those of a task's words."""
@@ -121,12 +133,21 @@ def signatures(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return df.withColumn("__s", sign(F.col(text_col))).select(*keep, F.col("__s.n").alias("__n"), F.col("__s.node").alias("__node"), F.col("__s.sig").alias("__sig"))
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(__id, __key, __n, __class) for each row; rows of one component share a class, which is null for empty sets."""
+def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(__id, __key, __n, __node) for each row, and (__node, rows, comp, first) for each node.
+
+    __node stands for the row's set and is null for empty ones; comp is the component's smallest node, first the smallest
+    (__id, __key) of its rows with an id, or null.
+    """
     index = Index(percent)
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__key"))
     signed = materialize(signatures(docs, "__text", ["__id", "__key"]), "signed")
-    nodes = signed.where("__node is not null").groupBy("__node").agg(F.min("__key").alias("key"), F.first("__n").alias("n"), F.first("__sig").alias("sig")).withColumnRenamed("__node", "node")
+    row = F.struct("__id", "__key")
+    # Any row has the set; the one with the smallest id stands for it, so that copies don't meet in a task.
+    nodes = signed.where("__node is not null").groupBy(F.col("__node").alias("node")).agg(
+        F.count("*").alias("rows"), F.min(row).alias("row"), F.min(F.when(F.col("__id").isNotNull(), row)).alias("first"), F.first("__n").alias("n"), F.first("__sig").alias("sig")
+    )
     nodes = materialize(nodes, "nodes")
 
     @F.pandas_udf("array<long>")
@@ -137,21 +158,17 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
     members = materialize(entries.join(shared, "key").select("key", "node", F.lit(3).alias("kind")), "members")
 
-    # Full sets and longer sketches, of nodes that share a key only, from one text of each.
-    wanted = members.select("node").distinct().join(nodes.select("node", "key"), "node").select(F.col("key").alias("__key"), F.col("node").alias("want"))
-    texts = docs.select("__key", "__text").join(wanted, "__key").groupBy("__key", "want").agg(F.first("__text").alias("__text"))
+    # Full sets, of nodes that share a key only, from one text of each.
+    wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node").select(F.col("row.__id").alias("i"), F.col("row.__key").alias("k"), F.col("node").alias("want"))
+    texts = docs.join(wanted, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k"))).groupBy("want").agg(F.first("__text").alias("__text"))
 
-    @F.pandas_udf("struct<n:long,s:array<long>,k:binary>")
-    def full(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<long>")
+    def full(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[bytes, int] = {}
         for part in parts:
-            rows = []
-            for t in part:
-                s = shingle_set(t, known)
-                rows.append((len(s), s.view(np.int64), minima(s, SKETCH_FACTORS).astype("u1").tobytes()))
-            yield pd.DataFrame(rows, columns=["n", "s", "k"])
+            yield pd.Series([shingle_set(t, known).view(np.int64) for t in part], dtype=object)
 
-    sets = materialize(texts.withColumn("__f", full("__text")).select(F.col("want").alias("node"), F.col("__f.n").alias("n"), F.col("__f.s").alias("s"), F.col("__f.k").alias("k")), "sets")
+    sets = materialize(texts.select(F.col("want").alias("node"), full("__text").alias("s")).join(nodes.select("node", "n"), "node"), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
@@ -163,28 +180,21 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
         return p.join(a, "a").join(b, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
 
     def residual_links(dealt: DataFrame) -> DataFrame:
-        rows = dealt.join(nodes.select("node", "n", "sig"), "node").join(sets.select("node", "k"), "node")
+        rows = dealt.join(nodes.select("node", "n", "sig"), "node")
 
         def candidates(cols: dict[str, np.ndarray], first: int, last: int) -> list[tuple]:
             """A row for each node of a block that is in a near pair, with those of its partners that come after it."""
-            pa, pb, key = cols["part_a"][first], cols["part_b"][first], cols["key"][first]
+            pa, pb, key = cols["part_a"][first], cols["part_b"][first], int(cols["key"][first])
             part, n, node, comp = (cols[c][first:last] for c in ("part", "n", "node", "comp"))
             codes: dict[bytes, int] = {}
             comp = np.fromiter((codes.setdefault(c, len(codes)) for c in comp), dtype=np.int64, count=len(comp))
             sig = np.frombuffer(b"".join(cols["sig"][first:last]), dtype="<u2").reshape(-1, SYMBOLS)
-            sketch = np.frombuffer(b"".join(cols["k"][first:last]), dtype="u1").reshape(-1, SKETCH)
             y, found, met = np.flatnonzero(part == pb), {}, set()
             for i in np.flatnonzero(part == pa).tolist():
                 js = y[y > i] if pa == pb else y
                 js = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent)]
                 if len(js):
                     js = js[(sig[js] != sig[i]).sum(axis=1) <= index.distance]
-                if len(js):
-                    js = js[(sketch[js] != sketch[i]).sum(axis=1) <= index.sketch_distance]
-                if len(js):
-                    # The same pair may share other keys: the first of them reports it.
-                    mine = index.keys(sig[i : i + 1])
-                    js = js[mine[0][(index.keys(sig[js]) == mine).argmax(axis=1)] == key]
                 if len(js):
                     found[i] = [node[j] for j in js]
                     met.update(js.tolist())
@@ -211,34 +221,50 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
                             out.append((node, other))
             return out
 
-        near = in_blocks(rows.select("key", "part", "part_a", "part_b", "node", "comp", "n", "sig", "k"), candidates, "key long, part_a int, part_b int, node binary, others array<binary>")
+        near = in_blocks(rows.select("key", "part", "part_a", "part_b", "node", "comp", "n", "sig"), candidates, "key long, part_a int, part_b int, node binary, others array<binary>")
         return in_blocks(near.join(sets.select("node", "s"), "node"), links, "a binary, b binary")
 
-    comps = linked_classes(members, verify, residual_links)
-    found = signed.join(comps.toDF("__node", "comp"), "__node", "left")
-    return found.select("__id", "__key", "__n", F.coalesce("comp", "__node").alias("__class"))
+    def refine(large: DataFrame) -> DataFrame:
+        @F.pandas_udf("array<long>")
+        def finer(keys_: pd.Series, sigs: pd.Series) -> pd.Series:
+            return pd.Series(list(index.finer_keys(keys_.to_numpy(), np.frombuffer(b"".join(sigs), dtype="<u2").reshape(-1, SYMBOLS))), dtype=object)
+
+        entries = large.join(nodes.select("node", "sig"), "node").select("node", F.explode(finer("key", "sig")).alias("key"))
+        several = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+        return entries.join(several, "key").select("key", "node", F.lit(3).alias("kind"))
+
+    comps = linked_classes(members, verify, residual_links, refine)
+    of_nodes = nodes.select("node", "rows", "first").join(comps, "node", "left").select("node", "rows", "first", F.coalesce("comp", "node").alias("comp"))
+    of_nodes = materialize(of_nodes, "nodes")
+    of_comps = of_nodes.groupBy("comp").agg(F.count("*").alias("many"), F.min("first").alias("first"))
+    # A node that is alone in its component needn't be joined with it.
+    whole = join_facts(of_nodes.select("node", "rows", "comp"), of_comps, "comp", "many", "inner")
+    return signed.select("__id", "__key", "__n", "__node"), whole.select(F.col("node").alias("__node"), "rows", "comp", "first")
 
 
 def near_duplicate_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``df``; see the module's text. Links: 100 * |A and B| >= percent * |A or B|."""
-    found = _classes(df, id_col, text_col, percent)
-    least = found.where("__class is not null").groupBy("__class").agg(F.min("__id").alias("least"))
-    component = F.when(F.col("__class").isNull(), F.col("__id")).otherwise(F.col("least"))
-    return found.join(least, "__class", "left").select(
-        F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept")
-    )
+    rows, facts = _classes(df, id_col, text_col, percent)
+    found = join_facts(rows.where("__node is not null"), facts, "__node", "rows", "inner").select("__id", "__n", F.col("first.__id").alias("least"))
+    empty = rows.where("__node is null").select("__id", "__n", F.col("__id").alias("least"))
+    return found.union(empty).select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("__id").eqNullSafe(F.col("least")).alias("kept"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """``df`` with one row of each component, that of the smallest id (then of the smallest text hash); empty texts all stay."""
-    found = materialize(_classes(df, id_col, text_col, percent), "classes")
-    first = found.where("__class is not null").groupBy("__class").agg(F.min(F.struct("__id", "__key")).alias("f"))
-    stay = first.select(F.col("f.__id").alias("i"), F.col("f.__key").alias("k")).union(found.where("__class is null").select("__id", "__key")).distinct()
-    same = F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k"))
-    rows = df.select(F.struct(*df.columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key")).join(stay, same, "left_semi")
-    if not found.where("__class is not null").groupBy("__id", "__key").count().where("count > 1").isEmpty():
-        rows = rows.groupBy("__id", "__key").agg(F.first("__doc").alias("__doc"))
-    return rows.select(*[F.col("__doc")[c].alias(c) for c in df.columns])
+    """``df`` with one row of each component, that of the smallest id (then of the smallest text hash); empty texts all stay.
+
+    Null ids come first. Which of several rows that agree in id and text stays isn't determined.
+    """
+    rows, facts = _classes(df, id_col, text_col, percent)
+    nodes = rows.where("__node is not null").groupBy("__node").agg(F.min(F.struct("__id", "__key")).alias("row"), F.count("*").alias("n"))
+    first = nodes.join(facts.select("__node", "comp"), "__node").groupBy("comp").agg(F.min("row").alias("row"))
+    stay = materialize(first.select(F.col("row.__id").alias("i"), F.col("row.__key").alias("k"), F.lit(False).alias("blank")).union(rows.where("__node is null").select("__id", "__key", F.lit(True)).distinct()), "stay")
+    same = F.col("__id").eqNullSafe(F.col("i")) & F.col("__key").eqNullSafe(F.col("k"))
+    kept = df.select(F.struct(*df.columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key")).join(stay, same)
+    again = rows.where("__node is not null").groupBy("__id", "__key").count().where("count > 1")
+    if not again.isEmpty():
+        kept = kept.where("blank").select("__doc").union(kept.where("not blank").groupBy("__id", "__key").agg(F.first("__doc").alias("__doc")).select("__doc"))
+    return kept.select(*[F.col("__doc")[c].alias(c) for c in df.columns])
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
