@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize, table
+from corpusloom.session import materialize, ship, table
 
-from .components import in_blocks, linked_classes
+from .components import in_blocks, join_facts, linked_classes
 
 EDITS = 2
 MIN_CHARS = 24
@@ -308,6 +308,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dropped: (line_no, first_id, first_line_no) of each dropped line, first being the class's occurrence that stays.
     """
     own = ("n_lines", "n_eligible", "n_dropped", "dropped")
+    ship(docs.sparkSession)
     base = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"))
 
     kind = base.schema["__id"].dataType.simpleString()
@@ -315,9 +316,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counted = materialize(counted, "occurrences")
     counted_lines = counted.select("__id", "__key", F.explode("lines").alias("x")).select("__id", "__key", "x.line_no", "x.node")
     comps = line_classes(docs, text_col)
-    placed = counted_lines.join(comps, "node", "left").select("__id", "__key", "line_no", F.coalesce("comp", "node").alias("cls"))
-    firsts = placed.groupBy("cls").agg(F.min(F.struct("__id", "__key", "line_no")).alias("f"), F.max(F.struct("__id", "__key", "line_no")).alias("l")).where("not (f <=> l)").select("cls", "f")
-    again = placed.join(firsts, "cls").where(~F.struct("__id", "__key", "line_no").eqNullSafe(F.col("f")))
+    # A row for each distinct line, so that a very common one is a row too when classes are looked up.
+    at = F.struct("__id", "__key", "line_no")
+    nodes = counted_lines.groupBy("node").agg(F.count("*").alias("rows"), F.min(at).alias("f"), F.max(at).alias("l"))
+    nodes = materialize(nodes.join(comps, "node", "left").select("node", "rows", "f", "l", F.coalesce("comp", "node").alias("cls")), "nodes")
+    classes = nodes.groupBy("cls").agg(F.count("*").alias("many"), F.min("f").alias("f"), F.max("l").alias("l")).where("not (f <=> l)")
+    facts = materialize(join_facts(nodes.select("node", "rows", "cls"), classes.select("cls", "many", "f"), "cls", "many", "inner").select("node", "rows", "f"), "facts")
+    again = join_facts(counted_lines, facts, "node", "rows", "inner").where(~at.eqNullSafe(F.col("f")))
     # A row that repeats with its id and text has each line twice; a set keeps one of each.
     dropped = again.groupBy("__id", "__key").agg(F.collect_set(F.struct("line_no", F.col("f.__id").alias("first_id"), F.col("f.line_no").alias("first_line_no"))).alias("d"))
     dropped = dropped.select(F.col("__id").alias("__i"), F.col("__key").alias("__k"), F.array_sort("d").alias("d"))
