@@ -2,7 +2,7 @@
 
 Each language has a zstandard raw-content dictionary of known text. A text is cut into blocks of BLOCK bytes, every block
 is compressed with every dictionary, and the language of the smallest total wins, ties to the first by name. A margin
-below MARGIN of the total makes the result unreliable: ``lang`` is then ``und``, while ``lang_pred`` still names the winner.
+below MARGIN of the total rejects the winner: ``lang_kept`` is then ``und``, while ``lang_pred`` still names it.
 
 Before compression texts are lower-cased and all but letters (ASCII others) become single blanks, so that capitals and
 junk characters say nothing.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.session import table
+from corpusloom.session import ship, table
 
 DICT_BYTES, BLOCK, LEVEL = 131_072, 4096, 9
 SAMPLE_ROWS, SAMPLE_BYTES = 160, 8192
@@ -96,7 +96,8 @@ def learn_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: st
 
 
 def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """``df`` with lang_pred, score (0 to 1), margin and reliable (margin >= MARGIN)."""
+    """``df`` with lang_pred, score (0 to 1), margin, reliable (margin >= MARGIN) and lang_kept (lang_pred, or ``und`` if it isn't)."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Compressors(dictionaries))
 
     @F.pandas_udf("struct<l:string,s:double,m:double>")
@@ -105,10 +106,10 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
         for part in parts:
             yield pd.DataFrame([c.predict(t) for t in part], columns=["l", "s", "m"])
 
-    own = ("lang_pred", "score", "margin", "reliable")
+    own = ("lang_pred", "score", "margin", "reliable", "lang_kept")
     out = df.withColumn("__p", predict(F.col(text_col)))
     reliable = F.col("__p.m") >= MARGIN
-    return out.select(*[c for c in df.columns if c not in own], F.col("__p.l").alias("lang_pred"), F.col("__p.s").alias("score"), F.col("__p.m").alias("margin"), reliable.alias("reliable"))
+    return out.select(*[c for c in df.columns if c not in own], F.col("__p.l").alias("lang_pred"), F.col("__p.s").alias("score"), F.col("__p.m").alias("margin"), reliable.alias("reliable"), F.when(reliable, F.col("__p.l")).otherwise(UNKNOWN).alias("lang_kept"))
 
 
 def fold_of(id_col: str, folds: int) -> Column:
@@ -120,7 +121,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = learn_dictionaries(docs.where(fold_of("doc_id", 3) != 1))
     found = identify(docs.select("doc_id", "text"), dictionaries)
-    return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "reliable")
+    return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "reliable", "lang_kept")
 
 
 QUERIES = {"op8_language_id": op8_language_id}
