@@ -5,8 +5,10 @@ length of the longest item passage that ends at each word tells whether a window
 a whole shorter item) ends there. ``match_items`` reports hits, ``decontaminate`` removes hit spans and drops documents
 whose hit share exceeds a limit.
 
-The automaton is built on the driver from at most SHARD_BYTES of item text and broadcast. More item text goes into more
-automata, by a hash of the item: documents pass each in turn, without a shuffle, and their hits add up.
+The automaton is built on the driver from at most about SHARD_BYTES of item text and broadcast. More item text goes into
+more automata, by a hash of the item: documents pass one at a time, without a shuffle, and are written with the hits so far
+before the next is made, so that neither the driver nor a worker ever holds more than one (an item longer than that is an
+automaton of its own size).
 
 Defined results: null and empty texts have no words and no hits; an item without words has no window; items that repeat
 or share an item_id count once for each item_id; an item with a null item_id marks words but isn't listed; empty tables
@@ -21,10 +23,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import table
+from corpusloom.session import materialize, ship, table
 
 WINDOW = 10
 SHARD_BYTES = 8_000_000
@@ -161,40 +164,62 @@ def _union(spans: list) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def _automata(items: DataFrame, item_col: str, text_col: str, window: int) -> list[SuffixAutomaton]:
-    size = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+MATCH = "n:long,s:array<struct<a:int,b:int>>,i:array<string>"
+
+
+def _pass(docs: DataFrame, automaton: SuffixAutomaton, text_col: str, cover: float | None) -> tuple[DataFrame, Broadcast]:
+    """``docs`` with __m, the hits of ``automaton`` added to those in __m, and the broadcast.
+
+    cover: also with the text that is left without hit spans, where their share is at most that; in the same pass, so that a
+    task needs one Python worker.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    @F.pandas_udf(f"struct<{MATCH},t:string>")
+    def match(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        a = shared.value
+        for texts, before in parts:
+            rows = []
+            for t, s, i in zip(texts, before["s"], before["i"]):
+                words = words_of(t)
+                spans, found = a.hits(words)
+                if s is not None and len(s):
+                    spans, found = _union([*spans, *((x["a"], x["b"]) for x in s)]), found | set(i)
+                cut = cut_spans(t, spans) if cover is not None and spans and sum(y - x for x, y in spans) <= len(words) * cover else None
+                rows.append((len(words), [{"a": x, "b": y} for x, y in spans], sorted(x for x in found if x is not None), cut))
+            yield pd.DataFrame(rows, columns=["n", "s", "i", "t"])
+
+    # A condition on the hits must not be pushed below, where it would match every text a second time in a second worker.
+    return docs.withColumn("__m", match.asNondeterministic()(F.col(text_col), F.col("__m"))), shared
+
+
+def _matched(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, cover: float | None = None) -> DataFrame:
+    ship(docs.sparkSession)
+    rows = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
-    rows = items.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    out = []
+    if shards > 1:
+        rows = materialize(rows.withColumn("k", F.pmod(F.xxhash64("t"), F.lit(shards))), "items")
+    out = docs.withColumn("__m", F.lit(None).cast(f"struct<{MATCH},t:string>"))
     for k in range(shards):
-        own = rows if shards == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == k)
-        out.append(SuffixAutomaton([(r.i, words_of(r.t)) for r in own.distinct().toLocalIterator()], window))
+        own = rows if shards == 1 else rows.where(F.col("k") == k).select("i", "t")
+        automaton = SuffixAutomaton([(r.i, words_of(r.t)) for r in own.distinct().toLocalIterator()], window)
+        out, shared = _pass(out, automaton, text_col, cover if k == shards - 1 else None)
+        if k < shards - 1:
+            out = materialize(out, "matched")
+            shared.destroy()
     return out
 
 
 def match_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_spans (word positions [first, last)) and hit_items (item ids as sorted strings)."""
     own = ("n_words", "n_hit", "hit_spans", "hit_items")
-    out = docs.withColumn("__m", F.lit(None).cast("struct<n:long,s:array<struct<a:int,b:int>>,i:array<string>>"))
-    for automaton in _automata(items, item_col, item_text_col, window):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        @F.pandas_udf("struct<n:long,s:array<struct<a:int,b:int>>,i:array<string>>")
-        def match(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-            a = shared.value
-            for texts, before in parts:
-                rows = []
-                for t, s, i in zip(texts, before["s"], before["i"]):
-                    words = words_of(t)
-                    spans, found = a.hits(words)
-                    if s is not None and len(s):
-                        spans, found = _union([*spans, *((x["a"], x["b"]) for x in s)]), found | set(i)
-                    rows.append((len(words), [{"a": x, "b": y} for x, y in spans], sorted(x for x in found if x is not None)))
-                yield pd.DataFrame(rows, columns=["n", "s", "i"])
-
-        out = out.withColumn("__m", match(F.col(text_col), F.col("__m")))
-    hit = F.aggregate("__m.s", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
-    return out.select(*[c for c in docs.columns if c not in own], F.col("__m.n").alias("n_words"), hit.alias("n_hit"), F.col("__m.s").alias("hit_spans"), F.col("__m.i").alias("hit_items"))
+    out = _matched(docs, items, text_col, item_col, item_text_col, window)
+    return out.select(*[c for c in docs.columns if c not in own], F.col("__m.n").alias("n_words"), _hit_words().alias("n_hit"), F.col("__m.s").alias("hit_spans"), F.col("__m.i").alias("hit_items"))
+
+
+def _hit_words() -> Column:
+    return F.aggregate("__m.s", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -215,15 +240,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", win
     Documents without hits stay as they are, null and empty ones too.
     """
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or not len(s) else cut_spans(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
-
     # Documents carry their own columns in a struct, so that none clashes with those of the match.
-    packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text_col).alias("__text")) if docs.columns else docs
-    found = match_items(packed, items, "__text", window=window).where(F.col("n_hit") <= F.col("n_words") * max_coverage)
-    clean = F.when(F.col("n_hit") == 0, F.col("__text")).otherwise(cut("__text", F.when(F.col("n_hit") > 0, F.col("hit_spans"))))
-    return found.select(*[clean.alias(c) if c == text_col else F.col("__doc")[c].alias(c) for c in docs.columns])
+    packed = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("__doc") if len(docs.columns) > 1 else F.lit(0).alias("__doc"), F.col(text_col).alias("__text"))
+    found = _matched(packed, items, "__text", "item_id", "text", window, max_coverage).where(_hit_words() <= F.col("__m.n") * max_coverage)
+    return found.select(*[F.coalesce("__m.t", "__text").alias(c) if c == text_col else F.col("__doc")[c].alias(c) for c in docs.columns])
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
