@@ -8,7 +8,7 @@ probability adds the site's log odds against the global ones, its own document l
 
 The classifier learns from at most MAX_LABELLED labelled rows, chosen by a hash of the id; site statistics cover all rows.
 
-Defined results: null and empty texts have no evidence of quality and a score of 0; a null source is a host of its own; null labels
+Defined results: null and empty texts, and texts of blanks, have no evidence of quality and a score of 0; a null source is a host of its own; null labels
 teach nothing, several labels of an id count as their smallest; without both labels every document with a word has the
 share of label 1 (1 without labels); repeated rows count as often as they are there and give the same result; empty
 tables give empty tables; input columns that clash with output names are replaced.
@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize, table
+from corpusloom.session import materialize, ship, table
 
 MAX_LABELLED = 12_000
 KEEP = 0.5
@@ -78,7 +78,7 @@ class DocumentClassifier:
 
     def evidence(self, df: DataFrame, text_col: str) -> DataFrame:
         """``df`` with __p, the document's own probability."""
-        empty = F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) == 0
+        empty = ~F.coalesce(F.col(text_col).rlike("[^ \\t-\\r]"), F.lit(False))
         if self.model is None:
             return df.withColumn("__p", F.when(empty, 0.0).otherwise(F.lit(float(self.share))))
         found = self.model.transform(_vectors(df, text_col)).withColumn("__q", vector_to_array("__prob")[1])
@@ -86,6 +86,7 @@ class DocumentClassifier:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DocumentClassifier:
+    ship(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("y"))
     total = marks.count()
     few = marks.where(F.pmod(F.xxhash64(F.lit("quality"), "__id"), F.lit(1_000_000)) < 1_000_000 * MAX_LABELLED / max(total, 1)).orderBy(F.xxhash64("__id")).limit(2 * MAX_LABELLED)
@@ -125,11 +126,17 @@ def _log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def score_quality(docs: DataFrame, classifier: DocumentClassifier, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``docs`` with doc_score (the document alone), site_score (its site's posterior without it), score and keep (score >= KEEP)."""
+def score_quality(docs: DataFrame, classifier: DocumentClassifier, source_col: str = "source", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """``docs`` with doc_score (the document alone), site_score (its site's posterior without it), score and keep (score >= KEEP).
+
+    Rows are written once with doc_score, so that texts are looked at once; with_text: whether the text goes along.
+    """
+    ship(docs.sparkSession)
     own = ("doc_score", "site_score", "score", "keep")
     host, path = site_of(F.col(source_col))
-    scored = classifier.evidence(docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text_col).alias("__text"), host.alias("__host"), path.alias("__path")), "__text")
+    columns = [c for c in docs.columns if c not in own and c != text_col]
+    scored = classifier.evidence(docs.select(F.struct(F.lit(0).alias("__"), *columns).alias("__doc"), F.col(text_col).alias("__text"), host.alias("__host"), path.alias("__path")), "__text")
+    scored = materialize(scored if with_text else scored.drop("__text"), "scored")
     paths = materialize(scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("__p").alias("s")), "sites")
     hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     all_ = hosts.agg(F.sum("hn"), F.sum("hs")).first()
@@ -147,7 +154,7 @@ def score_quality(docs: DataFrame, classifier: DocumentClassifier, source_col: s
     odds = _log_odds(F.col("__p")) + SITE_SHARE * (_log_odds(F.col("__site")) - _log_odds(F.lit(mean)))
     found = found.withColumn("__score", F.when(F.col("__p") == 0, 0.0).otherwise(1 / (1 + F.exp(-odds))))
     return found.select(
-        *[F.col("__doc")[c].alias(c) for c in docs.columns if c not in own],
+        *[F.col("__text").alias(c) if c == text_col else F.col("__doc")[c].alias(c) for c in docs.columns if c in columns or c == text_col and with_text],
         F.col("__p").alias("doc_score"),
         F.col("__site").alias("site_score"),
         F.col("__score").alias("score"),
@@ -158,7 +165,7 @@ def score_quality(docs: DataFrame, classifier: DocumentClassifier, source_col: s
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs.select("doc_id", "source", "text"), model).select("doc_id", "doc_score", "site_score", "score", "keep")
+    return score_quality(docs.select("doc_id", "source", "text"), model, with_text=False).select("doc_id", "doc_score", "site_score", "score", "keep")
 
 
 QUERIES = {"op3_quality": op3_quality}
