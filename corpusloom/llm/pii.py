@@ -1,14 +1,16 @@
 """Operator 6: personal data replaced by keyed surrogates, in DataFrame functions alone.
 
 Entities (mail and network addresses, phone, card, bank and social security numbers, secrets, names after a title) are
-found in whole texts by one pattern. Each distinct entity of a type gets one surrogate, made from a keyed hash: digits
-become digits, letters letters of the same script and case, punctuation stays; a card keeps its first digit and its check
-residue, a phone its country code, a mail address its top-level domain; an IPv6 address becomes one of eight groups; a
-given name becomes one of the same gender and
-script, family names are built of syllables of the script.
+found in whole texts by one pattern, which runs once: texts are written with what it finds. A number in a card's layout
+whose check residue isn't a card's is no entity. Each distinct entity of a type gets one surrogate, made from a keyed hash:
+digits become digits, letters letters of the same script and case, punctuation stays; a card keeps its first digit and its
+check residue, a bank account its country and the residue of its check digits, a phone its country code or leading zero, a
+mail address its top-level domain; an IPv6 address becomes one of eight groups; a given name becomes one of the same gender
+and script, family names are built of syllables of the script (letter by letter in scripts without a list here).
 
 Surrogates are unique within a type and never equal an entity of the corpus: candidates are checked in rounds, and those
-that collide try again with the next attempt number. Mentions that differ in layout only ((555) 010-2000, 5550102000)
+that collide try again with the next attempt number; mail addresses and names grow with it. What is still without a
+surrogate after ROUNDS attempts, as its layout is used up by the corpus itself, gets a tag of its type and a keyed hash. Mentions that differ in layout only ((555) 010-2000, 5550102000)
 are one entity and each keeps its layout, so coreference survives within and across documents. A word of a name is one
 entity wherever it stands: it is a given name if it comes before another word of a name in any mention, otherwise a family
 name, and its gender is that of most of its titled mentions (neutral for a tie). Later mentions without a title are found
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialize, table
 
+from .components import join_facts
+
 KEY = "corpusloom"
 ROUNDS = 24
 #: Titles by gender, given names by gender and script, syllables by script.
@@ -43,9 +47,17 @@ GIVEN = {
     "CM": "Алексей Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег".split(),
     "CF": "Анна Вера Галина Дарья Елена Зоя Ирина Ксения Лидия Мария Нина Ольга".split(),
     "CN": "Женя Саша Валя Слава Шура Паша".split(),
+    "GM": "Αλέξανδρος Βασίλης Γιώργος Δημήτρης Κώστας Λεωνίδας Μιχάλης Νίκος Πέτρος Σταύρος".split(),
+    "GF": "Αγγελική Βασιλική Δέσποινα Ελένη Ιωάννα Κατερίνα Μαρία Νίκη Σοφία Χριστίνα".split(),
+    "GN": "Άγγελος Κυριακή Φώτης Χαρά Ανέστης Δάφνη".split(),
 }
-SYLLABLES = {"L": "ba co de fi gu ha jo ke li mu na po re si tu va wo xe yi zu".split(), "C": "ба ве ги до жу за ка ле ми но пу ра се ти фо ху".split()}
+SYLLABLES = {"G": "βα γε δι ζο θα κε λι μο να πε ρι σο τα φε χι ψα".split(), "L": "ba co de fi gu ha jo ke li mu na po re si tu va wo xe yi zu".split(), "C": "ба ве ги до жу за ка ле ми но пу ра се ти фо ху".split()}
 ALPHABET = {"l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "c": "абвгдежзиклмнопрстуфхцчшщыэюя", "C": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "g": "αβγδεζηθικλμνξοπρστυφχψω", "G": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
+#: Letters with marks, by case, and the code points of letters of scripts without case (first and last).
+MARKED = {"l": "àáâäçèéêëìíîïñòóôöùúûü", "u": "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ"}
+RANGES = {"IsHan": (0x4E00, 0x9FA5), "IsHangul": (0xAC00, 0xD7A3), "IsHiragana": (0x3042, 0x308F), "IsKatakana": (0x30A2, 0x30EF), "IsArabic": (0x0628, 0x063A), "IsHebrew": (0x05D0, 0x05EA), "IsDevanagari": (0x0915, 0x0939), "IsThai": (0x0E01, 0x0E2E)}
+#: Words that follow Miss or Don as words, not as titles of names.
+NO_NAME = "You|Your|The|This|That|It|Its|A|An|I|We|They|He|She|My|Our|All|No|Not"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
@@ -67,11 +79,11 @@ PATTERNS = {
     rf"|(?<=[=: \"'])(?<={_ASSIGNED})[A-Za-z0-9_+/=.~\-]{{6,}}+",
     "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "IP": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)|{_IP6}",
-    "PHONE": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<![\d\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])",
+    "PHONE": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<![\d\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])|(?<![\w.+\-/])0\d{2,4}[ /\-]\d{5,8}(?![\d\-])",
     "CARD": r"(?<![\d\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)",
     "SSN": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     # The look-ahead comes first: a look-behind of many titles is dear, and capitals are few.
-    "NAME": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_TITLE})\.? )(?:{_WORD}|{_INITIALS}(?={_PARTICLES} \p{{Lu}}))(?:{_PARTICLES} (?:{_WORD}|{_INITIALS}|\p{{Lu}}(?= \p{{Lu}}\p{{L}})))*+",
+    "NAME": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_TITLE})\.? )(?!(?:{NO_NAME})(?!\p{{L}}))(?:{_WORD}|{_INITIALS}(?={_PARTICLES} \p{{Lu}}))(?:{_PARTICLES} (?:{_WORD}|{_INITIALS}|\p{{Lu}}(?= \p{{Lu}}\p{{L}})))*+",
 }
 #: What a text with any entity holds: cheap to look for, so that the full pattern runs on few texts.
 GATE = (r"[0-9]{2}|[0-9]\.[0-9]", r"[A-Fa-f0-9]{32}|gh[pousr]_|[A-Fa-f0-9]:[A-Fa-f0-9]{1,4}:", r"[A-Za-z] {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/=.~\-]{6}", r"[MHFSDPГг](?:r|rs|s|iss|onsieur|adame|me|errn?|rau|eñora?|ra|on|oña|rof|-н|-жа)\.? \p{Lu}")
@@ -93,7 +105,7 @@ def _type(mention: Column, before: Column) -> Column:
         .when(mention.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "IP")
         .when(mention.rlike("^[A-Fa-f0-9]*:"), "IP")
         .when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "SSN")
-        .when(mention.rlike(r"^\+|^\(|^\d{3}[\-.]\d{3}[\-.]"), "PHONE")
+        .when(mention.rlike(r"^\+|^\(|^\d{3}[\-.]\d{3}[\-.]|^0\d{2,4}[ /\-]\d{5,8}$"), "PHONE")
         .when(mention.rlike(r"^\d"), "CARD")
         .otherwise("NAME")
     )
@@ -122,14 +134,24 @@ def _pick(text: str, n: Column) -> Column:
     return F.substring(F.lit(text), (F.pmod(n, F.lit(len(text))) + 1).cast("int"), F.lit(1))
 
 
+def _of_script(c: Column, n: Column) -> Column:
+    """A letter of the same script for a letter beyond ASCII; what no script here knows stays a letter, of ASCII."""
+    out = F.when(c.rlike(r"^\p{IsCyrillic}$"), F.when(c.rlike(r"^\p{Lu}$"), _pick(ALPHABET["C"], n)).otherwise(_pick(ALPHABET["c"], n)))
+    out = out.when(c.rlike(r"^\p{IsGreek}$"), F.when(c.rlike(r"^\p{Lu}$"), _pick(ALPHABET["G"], n)).otherwise(_pick(ALPHABET["g"], n)))
+    out = out.when(c.rlike(r"^\p{IsLatin}$"), F.when(c.rlike(r"^\p{Lu}$"), _pick(MARKED["u"], n)).otherwise(_pick(MARKED["l"], n)))
+    for script, (first, last) in RANGES.items():
+        code = F.lit(first) + F.pmod(n * 37, F.lit(last - first + 1))
+        out = out.when(c.rlike(rf"^\p{{{script}}}$"), F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE"))
+    return out.otherwise(_pick(ALPHABET["l"], n))
+
+
 def _character(c: Column, n: Column, hexadecimal: Column) -> Column:
     return (
         F.when(c.rlike("^[0-9]$"), F.when(hexadecimal, _pick("0123456789abcdef", n)).otherwise(_pick("0123456789", n)))
         .when(hexadecimal & c.rlike("^[a-f]$"), _pick("0123456789abcdef", n))
-        .when(c.rlike(r"^\p{IsCyrillic}$"), F.when(c.rlike(r"^\p{Lu}$"), _pick(ALPHABET["C"], n)).otherwise(_pick(ALPHABET["c"], n)))
-        .when(c.rlike(r"^\p{IsGreek}$"), F.when(c.rlike(r"^\p{Lu}$"), _pick(ALPHABET["G"], n)).otherwise(_pick(ALPHABET["g"], n)))
-        .when(c.rlike(r"^\p{Lu}$"), _pick(ALPHABET["u"], n))
-        .when(c.rlike(r"^\p{L}$"), _pick(ALPHABET["l"], n))
+        .when(c.rlike("^[A-Z]$"), _pick(ALPHABET["u"], n))
+        .when(c.rlike("^[a-z]$"), _pick(ALPHABET["l"], n))
+        .when(c.rlike(r"^\p{L}$"), _of_script(c, n))
         .otherwise(c)
     )
 
@@ -141,6 +163,12 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(parts, one), F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
+def _mod97(account: Column) -> Column:
+    """The check residue of a bank account: 1 for a valid one."""
+    chars = F.split(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4)), "")
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.rlike("^[0-9]$"), F.pmod(a * 10 + c.cast("int"), F.lit(97))).when(c != "", F.pmod(a * 100 + F.ascii(F.upper(c)) - 55, F.lit(97))).otherwise(a))
+
+
 def _surrogate(kind: Column, canon: Column, fixed: Column, attempt: int, key: str) -> Column:
     """The candidate of an entity; ``fixed`` leading characters stay as they are."""
     s = _stream(kind, canon, attempt, key)
@@ -158,10 +186,14 @@ def _surrogate(kind: Column, canon: Column, fixed: Column, attempt: int, key: st
     plain = F.when(hexadecimal, replaced(True)).otherwise(replaced(False))
     last = F.pmod(F.substring(plain, -1, 1).cast("int") + _luhn(canon) - _luhn(plain), F.lit(10))
     card = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), last.cast("string"))
+    body = F.substring(plain, F.lit(5), F.length(plain))
+    check = F.pmod(_mod97(canon) - _mod97(F.concat(F.substring(plain, 1, 2), F.lit("00"), body)), F.lit(97))
+    account = F.concat(F.substring(plain, 1, 2), F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), body)
     top = F.regexp_extract(canon, r"\.[a-z]+$", 0)
-    mail = F.concat(F.substring(plain, F.lit(1), F.length(plain) - F.length(top)), top)
+    longer = F.array_join(F.array(*[_pick(ALPHABET["l"], _byte(s, F.lit(40 + i))) for i in range(attempt // 3)]), "") if attempt > 2 else F.lit("")
+    mail = F.concat(longer, F.substring(plain, F.lit(1), F.length(plain) - F.length(top)), top)
     octets = F.transform(F.split(canon, r"\."), lambda o, i: (F.pmod(_byte(s, i), F.lit(254)) + 1).cast("string"))
-    script = F.when(canon.rlike(r"^\p{IsCyrillic}"), "C").otherwise("L")
+    script = F.when(canon.rlike(r"^\p{IsCyrillic}"), "C").when(canon.rlike(r"^\p{IsGreek}"), "G").when(canon.rlike(r"^\p{IsLatin}"), "L")
     pool = F.lit(None)
     for name, values in GIVEN.items():
         first = _array(values)[F.pmod(_byte(s, F.lit(0)) * 256 + _byte(s, F.lit(1)), F.lit(len(values))).cast("int")]
@@ -176,7 +208,7 @@ def _surrogate(kind: Column, canon: Column, fixed: Column, attempt: int, key: st
         parts = F.transform(F.sequence(F.lit(0), F.lit(2 + attempt // 4)), lambda i: _array(values)[F.pmod(_byte(s, i), F.lit(len(values))).cast("int")])
         family = F.when(script == name, F.initcap(F.array_join(parts, ""))).otherwise(family)
     groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat(F.lit("2"), F.substring(s, (i * 3 + 1).cast("int"), F.lit(3)))), ":")
-    return F.when(kind == "IP", F.array_join(octets, ".")).when(kind == "IP6", groups).when(kind == "CARD", card).when(kind == "EMAIL", mail).when(kind == "FAMILY", family).when(kind.startswith("GIVEN"), pool).otherwise(plain)
+    return F.when(kind == "IP", F.array_join(octets, ".")).when(kind == "IP6", groups).when(kind == "CARD", card).when(kind == "IBAN", account).when(kind == "EMAIL", mail).when(kind == "FAMILY", F.coalesce(family, F.initcap(plain))).when(kind.startswith("GIVEN"), F.coalesce(pool, F.initcap(plain))).otherwise(plain)
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -194,7 +226,8 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         waiting = materialize(waiting.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), "waiting")
         if waiting.isEmpty():
             return settled
-    raise RuntimeError(f"some entities found no surrogate in {ROUNDS} attempts")
+    tag = F.concat(F.lit("["), "kind", F.lit(" "), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "canon"), 256), 1, 24), F.lit("]"))
+    return settled.union(waiting.select("kind", "canon", tag.alias("surrogate")))
 
 
 def _laid_out(mention: Column, surrogate: Column, kind: Column) -> Column:
@@ -204,19 +237,25 @@ def _laid_out(mention: Column, surrogate: Column, kind: Column) -> Column:
     filled = F.aggregate(F.split(mention, ""), start, step)["out"]
     filled = F.when(kind == "IBAN", F.upper(filled)).otherwise(filled)
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), filled).when(kind == "EMAIL", cased).otherwise(surrogate)
+    return F.when(surrogate.startswith("["), surrogate).when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), filled).when(kind == "EMAIL", cased).otherwise(surrogate)
 
 
 def surrogate_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text_col``, n_entities (mentions) and entity_types (sorted, distinct)."""
     own = ("n_entities", "entity_types")
-    base = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
+    columns = [c for c in docs.columns if c not in own and c != text_col]
+    base = docs.select(F.struct(F.lit(0).alias("__"), *columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
     gate = functools.reduce(operator.or_, [*(F.contains("__text", F.lit(x)) for x in SIGNS), *(F.col("__text").rlike(x) for x in GATE)])
-    some = F.coalesce(gate & F.col("__text").rlike(ANY), F.lit(False))
+    base = base.withColumn("found", F.when(gate, F.regexp_extract_all("__text", F.lit(ANY), F.lit(0))))
+    base = materialize(base.withColumn("gaps", F.when(F.size("found") > 0, F.split("__text", ANY, -1))), "found")
+    some = F.coalesce(F.size("found") > 0, F.lit(False))
     having, lacking = base.where(some), base.where(~some)
-    split = having.select("__id", "__key", F.regexp_extract_all("__text", F.lit(ANY), F.lit(0)).alias("found"), F.transform(F.split("__text", ANY, -1), lambda g: F.substring(g, -24, 24)).alias("ends"))
+    split = having.select("__id", "__key", "found", F.transform("gaps", lambda g: F.substring(g, -24, 24)).alias("ends"))
     title = F.element_at("ends", F.col("pos") + 1)
     mentions = split.select("__id", "__key", "ends", F.posexplode("found").alias("pos", "mention")).withColumn("type", _type(F.col("mention"), title))
+    digits = F.regexp_replace("mention", r"\D", "")
+    # What only looks like a card stays where it is, as a mention without a type.
+    mentions = mentions.withColumn("type", F.when((F.col("type") != "CARD") | ((F.length(digits) >= 13) & (_luhn(digits) == 0)), F.col("type")))
     gender = F.when(title.rlike(rf"(?:{'|'.join(FEMALE)})\.? $"), "F").when(title.rlike(rf"(?:{'|'.join(MALE)})\.? $"), "M").otherwise("N")
     words = F.when(F.col("type") == "NAME", F.split("mention", " ")).otherwise(F.array("mention"))
     parts = mentions.select("__id", "__key", "pos", "type", gender.alias("gender"), F.size(words).alias("many"), F.posexplode(words).alias("sub", "part"))
@@ -224,28 +263,33 @@ def surrogate_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = parts.withColumn("kind", kind).withColumn("canon", _canonical(F.col("kind"), F.col("part")))
     # Leading characters that stay: a card's issuer digit, an international number's country code, a bank account's country, a key's prefix.
     country = F.length(F.regexp_extract("part", r"^\+(\d{1,3})(?:[ .(\-]|$)", 1))
-    fixed = F.when(F.col("kind") == "CARD", 1).when(F.col("kind") == "PHONE", country).when(F.col("kind") == "IBAN", 2).when(F.col("part").startswith("AKIA") | F.col("part").rlike("^gh[pousr]_"), 4).when(F.col("part").startswith("sk-"), 3).otherwise(0)
+    fixed = F.when(F.col("kind") == "CARD", 1).when((F.col("kind") == "PHONE") & F.col("part").startswith("0"), 1).when(F.col("kind") == "PHONE", country).when(F.col("kind") == "IBAN", 2).when(F.col("part").startswith("AKIA") | F.col("part").rlike("^gh[pousr]_"), 4).when(F.col("part").startswith("sk-"), 3).otherwise(0)
     given = F.col("sub") < F.col("many") - 1
     parts = materialize(parts.select("__id", "__key", "pos", "sub", "type", "kind", "part", "canon", "gender", given.alias("given"), fixed.alias("fixed")), "mentions")
     lean = F.sum(F.when(F.col("gender") == "F", 1).when(F.col("gender") == "M", -1).otherwise(0))
-    entities = parts.groupBy("kind", "canon").agg(F.max("fixed").alias("fixed"), F.max("given").alias("given"), lean.alias("lean"))
+    entity = F.concat_ws("\x1f", "kind", "canon")
+    entities = parts.where("type is not null").groupBy("kind", "canon").agg(F.max("fixed").alias("fixed"), F.max("given").alias("given"), lean.alias("lean"), F.count("*").alias("rows"))
+    entities = materialize(entities, "entities")
     settled = F.when(F.col("kind") != "NAME", F.col("kind")).when(~F.col("given"), "FAMILY").when(F.col("lean") > 0, "GIVEN_F").when(F.col("lean") < 0, "GIVEN_M").otherwise("GIVEN_N")
     assigned = assign(entities.select(settled.alias("kind"), "canon", "fixed"), key)
     assigned = assigned.withColumn("kind", F.when(F.col("kind").startswith("GIVEN") | (F.col("kind") == "FAMILY"), "NAME").otherwise(F.col("kind")))
-    put = parts.join(assigned, ["kind", "canon"]).select("__id", "__key", "pos", "sub", "type", _laid_out(F.col("part"), F.col("surrogate"), F.col("kind")).alias("put"), F.when(F.col("type") == "NAME", F.col("part")).alias("name"))
+    assigned = materialize(assigned.join(entities.select("kind", "canon", "rows"), ["kind", "canon"]).select(entity.alias("entity"), "rows", "surrogate"), "assigned")
+    named = join_facts(parts.where("type is not null").withColumn("entity", entity), assigned, "entity", "rows", "inner")
+    named = named.unionByName(parts.where("type is null"), allowMissingColumns=True).withColumn("surrogate", F.coalesce("surrogate", "part"))
+    put = named.select("__id", "__key", "pos", "sub", "type", F.when(F.col("type").isNull(), F.col("part")).otherwise(_laid_out(F.col("part"), F.col("surrogate"), F.col("kind"))).alias("put"), F.when(F.col("type") == "NAME", F.col("part")).alias("name"))
     # A set, as rows that repeat with id and text bring each mention again; a text's mentions stay together.
     # Initials and particles aren't looked for without a title.
     word = F.when(F.col("name").rlike(r"^\p{Lu}[\p{L}\p{M}'’\-]+$"), F.struct(F.col("name").alias("key"), F.col("put").alias("value")))
-    puts = put.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.struct("pos", "sub", "put"))).alias("puts"), F.array_sort(F.collect_set("type")).alias("types"), F.map_from_entries(F.collect_set(word)).alias("names"))
+    puts = put.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.struct("pos", "sub", "put", F.col("type").isNotNull().alias("is")))).alias("puts"), F.array_sort(F.collect_set("type")).alias("types"), F.map_from_entries(F.collect_set(word)).alias("names"))
     puts = puts.withColumnsRenamed({"__id": "i", "__key": "k"})
     joined = having.join(puts, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k")))
     # Words of names in the gaps: what lies between words stays.
     repeat = lambda w: F.coalesce(F.col("names")[w], w)
     known = lambda g: F.array_join(F.transform(F.split(g, _EDGES), repeat), "")
-    gaps = F.when(F.size("names") > 0, F.transform(F.split("__text", ANY, -1), known)).otherwise(F.split("__text", ANY, -1))
+    gaps = F.when(F.size("names") > 0, F.transform("gaps", known)).otherwise(F.col("gaps"))
     piece = lambda p: F.concat(F.when(p["sub"] > 0, F.lit(" ")).otherwise(F.element_at(F.col("__gaps"), p["pos"] + 1)), p["put"])
     text = F.concat(F.array_join(F.transform("puts", piece), ""), F.element_at("__gaps", -1))
-    done = joined.withColumn("__gaps", gaps).select("__doc", text.alias("__text"), F.size(F.filter("puts", lambda p: p["sub"] == 0)).alias("n_entities"), F.col("types").alias("entity_types"))
+    done = joined.withColumn("__gaps", gaps).select("__doc", text.alias("__text"), F.size(F.filter("puts", lambda p: (p["sub"] == 0) & p["is"])).alias("n_entities"), F.col("types").alias("entity_types"))
     rest = lacking.select("__doc", "__text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("entity_types"))
     return done.union(rest).select(*[(F.col("__text") if c == text_col else F.col("__doc")[c]).alias(c) for c in docs.columns if c not in own], "n_entities", "entity_types")
 
