@@ -47,7 +47,7 @@ MIN_EXACT = 5
 MIN_WORDS = 8
 #: Keys of words have seeds from here on.
 WORD_SEEDS = 1 << 56
-#: Candidate lines up to so many are broadcast (16 bytes each); beyond, they are joined by a shuffle.
+#: Candidate lines up to so many are broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_NODES = 500_000
 SEEN = 300_000
 
@@ -179,8 +179,13 @@ def _binary(digests: list[bytes]) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer(np.arange(len(digests) + 1, dtype="<i4") * 16), pa.py_buffer(b"".join(digests))])
 
 
+def _short(digests: list[bytes]) -> np.ndarray:
+    """The first 62 bits of nodes, which tell a bucket's lines apart."""
+    return np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64)[::2] >> 2
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, hi, lo, kind) of the lines of texts, hi and lo being a node's halves; a line that the task has just seen isn't repeated."""
+    """(key, mark) of the lines of texts, a mark being a line's short node and the kind in its last two bits; a line that the task has just seen isn't repeated."""
     seen: set[bytes] = set()
     for batch in batches:
         nodes, counts, keys, kinds = [], [], [], []
@@ -201,8 +206,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys += k
                 kinds += kind
         if nodes:
-            halves = np.repeat(np.frombuffer(b"".join(nodes), dtype=">i8").astype(np.int64).reshape(-1, 2), counts, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.int64)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(np.array(kinds, dtype=np.int8))], ["key", "hi", "lo", "kind"])
+            marks = np.repeat(_short(nodes) << 2, counts) | np.array(kinds, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.int64)), pa.array(marks)], ["key", "mark"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +237,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     nodes.append(d)
                     lines.append(line)
         if nodes:
-            yield pa.RecordBatch.from_arrays([_binary(nodes), pa.array(lines, pa.string())], ["node", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(_short(nodes)), _binary(nodes), pa.array(lines, pa.string())], ["short", "node", "line"])
 
 
 def _links_in_block(cols: dict[str, np.ndarray], first: int, last: int) -> list[tuple]:
@@ -276,17 +281,17 @@ def _links_in_block(cols: dict[str, np.ndarray], first: int, last: int) -> list[
 def line_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, comp) of the eligible lines that are linked to another; node is the 128-bit digest of the normal line."""
     texts = docs.select(F.col(text_col).alias("t")).where(F.octet_length("t") >= MIN_CHARS)
-    # Halves are numbers, which Spark aggregates by hashing, where bytes would have to be sorted.
-    entries = texts.mapInArrow(_entries, "key long, hi long, lo long, kind byte").repartition("key")
-    ends = [f("hi") for f in (F.min, F.max)] + [f("lo") for f in (F.min, F.max)]
-    shared = entries.groupBy("key").agg(*[e.alias(n) for e, n in zip(ends, "abcd")], F.bit_or("kind").alias("k")).where("(a <> b or c <> d) and k = 3").select("key")
-    node = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo")]))
-    found = entries.join(shared, "key").groupBy("key", "hi", "lo").agg(F.bit_or("kind").cast("int").alias("kind"))
-    members = materialize(found.select("key", node.alias("node"), "kind"), "members")
-    wanted = members.select("node").distinct()
+    # Two numbers a row: this is the widest shuffle, and Spark aggregates numbers by hashing, where bytes would have to be sorted.
+    entries = texts.mapInArrow(_entries, "key long, mark long").repartition("key")
+    short, kind = F.shiftright("mark", 2), F.col("mark").bitwiseAND(3)
+    shared = entries.groupBy("key").agg(F.min(short).alias("a"), F.max(short).alias("b"), F.bit_or(kind).alias("k")).where("a <> b and k = 3").select("key")
+    found = entries.join(shared, "key").groupBy("key", short.alias("short")).agg(F.bit_or(kind).cast("int").alias("kind"))
+    found = materialize(found, "members")
+    wanted = found.select("short").distinct()
     few = wanted.count() <= BROADCAST_NODES
-    found = texts.mapInArrow(_lines, "node binary, line string").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
-    lines = materialize(found.groupBy("node").agg(F.first("line").alias("line")), "lines")
+    held = texts.mapInArrow(_lines, "short long, node binary, line string").join(F.broadcast(wanted) if few else wanted, "short", "left_semi")
+    lines = materialize(held.groupBy("node").agg(F.first("short").alias("short"), F.first("line").alias("line")), "lines")
+    members = materialize(found.join(lines.select("short", "node"), "short").select("key", "node", "kind"), "members")
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -318,9 +323,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     comps = line_classes(docs, text_col)
     # A row for each distinct line, so that a very common one is a row too when classes are looked up.
     at = F.struct("__id", "__key", "line_no")
-    nodes = counted_lines.groupBy("node").agg(F.count("*").alias("rows"), F.min(at).alias("f"), F.max(at).alias("l"))
-    nodes = materialize(nodes.join(comps, "node", "left").select("node", "rows", "f", "l", F.coalesce("comp", "node").alias("cls")), "nodes")
-    classes = nodes.groupBy("cls").agg(F.count("*").alias("many"), F.min("f").alias("f"), F.max("l").alias("l")).where("not (f <=> l)")
+    nodes = counted_lines.groupBy("node").agg(F.count("*").alias("rows"), F.min(at).alias("f"))
+    nodes = nodes.join(comps, "node", "left").where("rows > 1 or comp is not null")
+    nodes = materialize(nodes.select("node", "rows", "f", F.coalesce("comp", "node").alias("cls")), "nodes")
+    classes = nodes.groupBy("cls").agg(F.count("*").alias("many"), F.min("f").alias("f"))
     facts = materialize(join_facts(nodes.select("node", "rows", "cls"), classes.select("cls", "many", "f"), "cls", "many", "inner").select("node", "rows", "f"), "facts")
     again = join_facts(counted_lines, facts, "node", "rows", "inner").where(~at.eqNullSafe(F.col("f")))
     # A row that repeats with its id and text has each line twice; a set keeps one of each.
