@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import curation, evidence, metrics, retrieval, session, verification
+from . import curation, evidence, metrics, retrieval, segments, session, verification
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (retrieval, metrics, curation, evidence, verification, session):
+for _part in (retrieval, metrics, curation, evidence, segments, verification, session):
     QUERIES.update(_part.QUERIES)
     SQL.update(_part.SQL)
