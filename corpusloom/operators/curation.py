@@ -30,18 +30,35 @@ def shingle_leakage(docs: DataFrame, targets: DataFrame, n: int, doc_id: str, ta
     return grams(docs, doc_id, n).join(wanted, "gram", "left_semi").groupBy(doc_id).agg(F.count("*").alias("shared"))
 
 
+def heads(sets: DataFrame, id_col: str) -> DataFrame:
+    """(id, word, s) of the first words of each set ``w`` of s words, in an order that all sets share.
+
+    Two sets with a similarity of 0.8 or more share one of their first s - ceil(0.8 s) + 1 words; long words come first, as
+    they are rarer, so that common words rarely are in a head.
+    """
+    ordered = F.transform(F.array_sort(F.transform("w", lambda x: F.struct((-F.length(x)).alias("l"), F.xxhash64(x).alias("h"), x.alias("x")))), lambda y: y["x"])
+    n = F.size("w")
+    return sets.select(id_col, n.alias("s"), F.explode(F.slice(ordered, F.lit(1), (n - F.ceil(n * 8 / 10) + 1).cast("int"))).alias("word"))
+
+
 def leakage_pairs(docs: DataFrame, targets: DataFrame, doc_id: str, target_id: str, n: int = 8, least: int = 6) -> DataFrame:
     """(target, doc, shared_grams, jaccard): pairs that share an n-word shingle, or whose word sets have a similarity of 0.8.
 
-    Similar sets of ``least`` words or more have sizes within a factor of 0.8, which is tested before words are joined.
+    Similar sets of ``least`` words or more have sizes within a factor of 0.8, and share a word of their heads (see ``heads``):
+    only such pairs meet.
     """
     by_gram = grams(targets, target_id, n).join(grams(docs, doc_id, n), "gram").groupBy(target_id, doc_id).agg(F.count("*").alias("shared_grams"))
-    words = lambda df, i, s: df.select(i, F.array_distinct(tokens(F.col("text"))).alias("w")).where(F.size("w") >= least).select(i, F.size("w").alias(s), F.explode("w").alias("word"))
-    small = targets.select(F.size(F.array_distinct(tokens(F.col("text")))).alias("s")).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    d = words(docs, doc_id, "ds").join(F.broadcast(small), (F.col("ds") * 10 >= F.col("lo") * 8) & (F.col("ds") * 8 <= F.col("hi") * 10))  # one row
-    both = words(targets, target_id, "ts").join(d, "word").where((F.col("ds") * 10 >= F.col("ts") * 8) & (F.col("ts") * 10 >= F.col("ds") * 8))
-    by_set = both.groupBy(target_id, doc_id, "ts", "ds").agg(F.count("*").alias("both"))
-    by_set = by_set.withColumn("jaccard", F.col("both") / (F.col("ts") + F.col("ds") - F.col("both"))).where("jaccard >= 0.8").select(target_id, doc_id, "jaccard")
+    sets = lambda df, i: df.select(i, F.array_distinct(tokens(F.col("text"))).alias("w")).where(F.size("w") >= least)
+    t, d = sets(targets, target_id), sets(docs, doc_id)
+    small = t.select(F.size("w").alias("s")).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    d = d.join(F.broadcast(small), (F.size("w") * 10 >= F.col("lo") * 8) & (F.size("w") * 8 <= F.col("hi") * 10)).drop("lo", "hi")  # one row
+    a = heads(t, target_id).withColumnRenamed("s", "ts")
+    b = heads(d, doc_id).withColumnRenamed("s", "ds")
+    pairs = a.join(b, "word").where((F.col("ds") * 10 >= F.col("ts") * 8) & (F.col("ts") * 10 >= F.col("ds") * 8)).select(target_id, doc_id).distinct()
+    both = pairs.join(t.withColumnRenamed("w", "tw"), target_id).join(d.withColumnRenamed("w", "dw"), doc_id)
+    common = F.size(F.array_intersect("tw", "dw"))
+    jaccard = common / (F.size("tw") + F.size("dw") - common)
+    by_set = both.select(target_id, doc_id, jaccard.alias("jaccard")).where("jaccard >= 0.8")
     return by_gram.join(by_set, [target_id, doc_id], "full_outer").select(target_id, doc_id, F.coalesce("shared_grams", F.lit(0)).alias("shared_grams"), F.round("jaccard", 9).alias("jaccard"))
 
 

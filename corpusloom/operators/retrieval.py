@@ -2,42 +2,64 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import tokens
+from corpusloom.session import materialize, ship
 
 #: Okapi parameters, fixed values: term saturation, length normalisation, floor of negative idf as a share of the mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Query terms up to so many are broadcast (some tens of bytes each).
+FEW_TERMS = 200_000
+#: Numbers in a block of rows and of queries: 8 MB and 4 MB.
+ROW_NUMBERS, QUERY_NUMBERS = 1 << 20, 1 << 19
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, term, tf, dl): term frequencies and document lengths; counted inside a document, so nothing is shuffled.
+    """(doc, term, tf), written once: the one pass over texts that a search makes.
 
-    A window or a group by document would shuffle every token; sorting an array of tokens in its row doesn't.
+    A document's tokens are in one task, so its terms are counted there, and the shuffle has a row for each posting.
     """
-    words = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("w"))
-    return words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    words = docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term"))
+    return materialize(words.groupBy("doc", "term").agg(F.count("*").alias("tf")), "postings")
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, as it is otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query, doc, score, rank): Okapi scores of documents that share a term with a query; ties keep document order.
 
     A negative idf becomes EPSILON times the mean idf over all terms. Repeated query terms count repeatedly. Scores are
-    rounded to nine decimals before ranking. Only postings of query terms meet the queries.
+    rounded to nine decimals before ranking. Terms and lengths come from the written postings; only postings of query terms
+    meet the queries, without a shuffle as long as these have at most FEW_TERMS terms.
     """
-    index = postings(docs, doc_id, text_col)
-    terms = index.groupBy("term").agg(F.count("*").alias("df"))
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col))).cast("double")).alias("avgdl"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    scored = terms.crossJoin(F.broadcast(sizes)).withColumn("raw", raw)  # one row
-    mean = scored.agg(F.avg("raw").alias("mean"))
-    idf = scored.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
+    return bm25_from_postings(postings(docs, doc_id, text_col), docs.count(), queries, k, query_id, text_col)
+
+
+def bm25_from_postings(index: DataFrame, n: int, queries: DataFrame, k: int, query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``bm25_topk`` on written (doc, term, tf) of ``n`` documents."""
+    terms = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tokens"))
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = materialize(terms.select("term", "df", "tokens", raw.alias("raw")), "terms")
+    all_ = terms.agg(F.avg("raw"), F.sum("tokens")).first()
+    mean, avgdl = all_[0] or 0.0, (all_[1] or 0) / max(n, 1)
     asked = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = asked.join(idf, "term").join(index, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))
-    return topk(hits, k, "query", "doc")
+    idf = terms.select("term", F.when(F.col("raw") < 0, F.lit(mean) * EPSILON).otherwise(F.col("raw")).alias("idf"))
+    asked = materialize(asked.join(idf, "term"), "asked")
+    met = few(asked.select("term").distinct(), FEW_TERMS)
+    # Lengths of all documents, from the same postings, meet the hits.
+    lengths = index.groupBy("doc").agg(F.sum("tf").alias("dl"))
+    hits = index.join(met, "term").join(lengths, "doc")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    scored = hits.join(few(asked, FEW_TERMS), "term").groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))
+    return topk(scored, k, "query", "doc")
 
 
 def topk(hits: DataFrame, k: int, query: str = "query", doc: str = "doc") -> DataFrame:
@@ -54,12 +76,35 @@ def exclude_seen(hits: DataFrame, seen: DataFrame, k: int) -> DataFrame:
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
     """(query, doc, score, rank): exact inner products in double precision of all rows but the query's own.
 
-    The query set is small by contract and meets all rows in one pass, row by row, without a shuffle of vectors.
+    Queries and rows meet in blocks, each a product of two matrices, of which the k best of each query leave it: a row moves
+    once for each block of QUERY_NUMBERS numbers of queries, a query once for each block of ROW_NUMBERS numbers of rows.
     """
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv"))
-    d = vectors.select(F.col(id_col).alias("doc"), F.col(vector_col).alias("dv"))
-    product = F.aggregate(F.zip_with("qv", "dv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    hits = d.join(q, F.col("query") != F.col("doc")).select("query", "doc", F.round(product, digits).alias("score"))
+    ship(vectors.sparkSession)
+    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).cast("array<double>").alias("v")).where("query is not null and v is not null")
+    d = vectors.select(F.col(id_col).alias("doc"), F.col(vector_col).cast("array<double>").alias("v")).where("doc is not null and v is not null")
+    n, m, dims = d.count(), q.count(), d.agg(F.max(F.size("v"))).first()[0] or 1
+    rows, asks = (max(1, -(-have * dims // most)) for have, most in ((n, ROW_NUMBERS), (m, QUERY_NUMBERS)))
+    a = d.withColumn("rb", F.pmod(F.xxhash64("doc"), F.lit(rows))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+    b = q.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(asks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+
+    def best(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(held) and len(asked):
+            held = held.sort_values("doc", kind="stable")
+            ids, x = held["doc"].to_numpy(), np.stack(held["v"].to_numpy())
+            for first in range(0, len(asked), 256):
+                part = asked.iloc[first : first + 256]
+                score = np.round(np.stack(part["v"].to_numpy()) @ x.T, digits)
+                score[part["query"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                for i, query in enumerate(part["query"].to_numpy()):
+                    least = np.partition(score[i], -min(k, len(ids)))[-min(k, len(ids))]
+                    near = np.flatnonzero(score[i] >= least)
+                    near = near[np.argsort(-score[i][near], kind="stable")[:k]]
+                    out += [(query, ids[j], score[i][j]) for j in near if np.isfinite(score[i][j])]
+        return pd.DataFrame(out, columns=["query", "doc", "score"])
+
+    by = ("rb", "qb")
+    hits = a.withColumn("rb", F.col("rb").cast("int")).groupBy(*by).cogroup(b.withColumn("rb", F.col("rb").cast("int")).groupBy(*by)).applyInPandas(best, "query long, doc long, score double")
     return topk(hits, k)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import shingles, tokens
 from corpusloom.operators import retrieval as R
-from corpusloom.session import table
+from corpusloom.session import materialize, table
 
 TOP = 10
 
@@ -31,19 +31,19 @@ r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY s
 
 def bm25_excluding_seen(spark: SparkSession, sf: str) -> DataFrame:
     """The next best after each query's first three are taken as seen."""
-    hits = R.bm25_topk(table(spark, sf, "documents"), table(spark, sf, "benchmark"), TOP + 3)
+    hits = materialize(R.bm25_topk(table(spark, sf, "documents"), table(spark, sf, "benchmark"), TOP + 3), "hits")
     return R.exclude_seen(hits, hits.where("rank <= 3"), TOP).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 def dense_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Queries: rows whose vec_id is divisible by 100."""
+    """Queries: rows whose vec_id is divisible by 20."""
     v = table(spark, sf, "embeddings")
-    return R.dense_topk(v, v.where("vec_id % 100 = 0"), TOP)
+    return R.dense_topk(v, v.where("vec_id % 20 = 0"), TOP)
 
 
 _DENSE = """
 WITH h AS (SELECT q.vec_id AS query, d.vec_id AS doc, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q JOIN embeddings d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+  FROM embeddings q JOIN embeddings d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h)
 """
 
@@ -51,7 +51,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)
 def dense_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """A row of the same label is relevant."""
     v = table(spark, sf, "embeddings")
-    asked = v.where("vec_id % 100 = 0")
+    asked = v.where("vec_id % 20 = 0")
     relevant = asked.select(F.col("vec_id").alias("query"), "label").join(v.select(F.col("vec_id").alias("doc"), "label"), "label").where("query <> doc").select("query", "doc")
     return R.retrieval_metrics(R.dense_topk(v, asked, TOP), relevant, TOP)
 
@@ -110,7 +110,7 @@ SQL = {
     "bm25_search": _BM25 + "SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "bm25_excluding_seen": _BM25 + "SELECT query, doc, round(score, 6) AS score, rank - 3 AS rank FROM r WHERE rank BETWEEN 4 AND 13",
     "dense_search": _DENSE + "SELECT * FROM r WHERE rank <= 10",
-    "dense_metrics": _DENSE + ", rel AS (SELECT q.vec_id AS query, d.vec_id AS doc FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id)," + _METRICS,
+    "dense_metrics": _DENSE + ", rel AS (SELECT q.vec_id AS query, d.vec_id AS doc FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)," + _METRICS,
     "bm25_metrics": _BM25 + f", rel AS (SELECT DISTINCT item_id AS query, doc_id AS doc FROM ({_GRAMS.format('item_id', 'benchmark')}) JOIN ({_GRAMS.format('doc_id', 'documents')}) USING (gram))," + _METRICS,
     "latency_p95": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY event_type",
     "fallback_purity": "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS fallbacks, CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN round(avg(value), 6) END AS metric FROM events GROUP BY user_id",

@@ -86,13 +86,37 @@ def write_routed(rows: DataFrame, reason: str, accepted: str, rejected: str) ->
     return {r["__part"]: r["count"] for r in both.groupBy("__part").count().collect()}
 
 
-def write_index(docs: DataFrame, folder: str) -> None:
-    """Postings, document and term tables of a corpus; a manifest is written last, so its absence marks a partial index."""
+def _checksum(postings: DataFrame) -> tuple[int, int, int]:
+    """(documents with a token, postings, sum of their hashes): equal for equal postings, in any order."""
+    r = postings.agg(F.countDistinct("doc"), F.count("*"), F.sum(F.xxhash64("doc", "term", "tf").cast("decimal(38,0)"))).first()
+    return r[0], r[1], int(r[2] or 0)
+
+
+def write_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Postings (sorted by term), documents with their lengths, those without tokens too, and terms of a corpus with unique ids.
+
+    A manifest with counts and a checksum is written last, so its absence marks a partial index. A folder that exists is an error.
+    """
+    from corpusloom.operators.curation import corpus_gate
     from corpusloom.operators.retrieval import postings
 
-    p = postings(docs)
-    p.repartition("term").write.mode("errorifexists").parquet(f"{folder}/postings")
+    gate = corpus_gate(docs, id_col, text_col).first()
+    if gate.rows != gate.ids or gate.null_ids:
+        raise ValueError("ids must be unique and not null")
+    postings(docs, id_col, text_col).repartition("term").sortWithinPartitions("term", "doc").write.mode("errorifexists").parquet(f"{folder}/postings")
     saved = docs.sparkSession.read.parquet(f"{folder}/postings")
-    saved.groupBy("doc").agg(F.first("dl").alias("dl")).write.mode("errorifexists").parquet(f"{folder}/documents")
+    lengths = saved.groupBy("doc").agg(F.sum("tf").alias("dl"))
+    docs.select(F.col(id_col).alias("doc")).join(lengths, "doc", "left").select("doc", F.coalesce("dl", F.lit(0)).alias("dl")).write.mode("errorifexists").parquet(f"{folder}/documents")
     saved.groupBy("term").agg(F.count("*").alias("df")).write.mode("errorifexists").parquet(f"{folder}/terms")
-    saved.agg(F.countDistinct("doc").alias("documents"), F.countDistinct("term").alias("terms"), F.count("*").alias("postings")).write.mode("errorifexists").json(f"{folder}/manifest")
+    with_tokens, n, total = _checksum(saved)
+    row = [(gate.rows, with_tokens, n, str(total))]
+    docs.sparkSession.createDataFrame(row, "documents long, with_tokens long, postings long, checksum string").coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """(postings, number of documents) of a written index, for ``retrieval.bm25_from_postings``; one that doesn't fit its manifest is an error."""
+    m = spark.read.schema("documents long, with_tokens long, postings long, checksum string").json(f"{folder}/manifest").first()
+    saved = spark.read.parquet(f"{folder}/postings")
+    if m is None or (m.with_tokens, m.postings, int(m.checksum)) != _checksum(saved):
+        raise ValueError("the index isn't whole")
+    return saved, m.documents
