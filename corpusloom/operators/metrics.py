@@ -84,3 +84,94 @@ def label_and(parts: DataFrame, group: str, label: str = "label") -> DataFrame:
 
 def is_true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
+
+
+def required_keys(rows: DataFrame, required: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: required keys that lack, others that are there, repeats, and whether rows have exactly the required ones, once each."""
+    have = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    named = lambda df, mark: df.select(*keys, F.lit(1).alias(mark))
+    j = have.withColumn("h", F.lit(1)).join(named(required.distinct(), "r"), keys, "full_outer")
+    r = j.agg(F.count_if(F.col("h").isNull()).alias("missing"), F.count_if(F.col("r").isNull()).alias("extra"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return r.select("*", ((F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("repeated") == 0)).alias("exact"))
+
+
+def positional_join(a: DataFrame, b: DataFrame, ordinal: str, check: str) -> DataFrame:
+    """Rows of ``a`` and ``b`` (its columns with _b) at the same ordinal; another ``check`` value at an ordinal, or a side without it, is an error."""
+    renamed = b.select(*[F.col(c).alias(c if c == ordinal else f"{c}_b") for c in b.columns], F.lit(1).alias("__b"))
+    j = a.withColumn("__a", F.lit(1)).join(renamed, ordinal, "full_outer")
+    good = F.col("__a").isNotNull() & F.col("__b").isNotNull() & F.col(check).eqNullSafe(F.col(f"{check}_b"))
+    return j.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("rows differ at "), F.col(ordinal).cast("string"))).cast("boolean"))).drop("__a", "__b", f"{check}_b")
+
+
+def evidence_rates(rows: DataFrame, spans: str = "spans", context: str = "context", answerable: str = "answerable", supported: str = "supported") -> DataFrame:
+    """One row: spans, their share that is verbatim in the context, and shares of answerable and other rows said to be supported; null where there are none."""
+    each = F.filter(F.coalesce(F.col(spans), F.array().cast("array<string>")), lambda s: s.isNotNull())
+    yes = F.coalesce(F.col(supported), F.lit(False))
+    r = rows.agg(
+        F.count("*").alias("n"), F.sum(F.size(each)).alias("evidence_spans"), F.sum(F.size(F.filter(each, lambda s: F.contains(F.col(context), s)))).alias("found"),
+        F.count_if(F.col(answerable)).alias("a"), F.count_if(F.col(answerable) & yes).alias("a_yes"), F.count_if(~F.col(answerable)).alias("u"), F.count_if(~F.col(answerable) & yes).alias("u_yes"),
+    )
+    share = lambda p, w: F.round(F.try_divide(p, w), 9)
+    return r.select("n", "evidence_spans", share("found", "evidence_spans").alias("verbatim_rate"), share("a_yes", "a").alias("answerable_supported"), share("u_yes", "u").alias("unanswerable_supported"))
+
+
+def diagnostics(rows: DataFrame, threshold: float) -> DataFrame:
+    """One row over (gold, predicted, status, score, calls): failures, false support, support from ``threshold`` on with coverage and precision, and whether calibration may be stated: only if no row failed."""
+    accepted = (F.col("status") == "ok") & (F.col("predicted") == "support") & (F.col("score") >= threshold)
+    wrong = F.col("gold") != "support"
+    r = rows.agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") != "ok").alias("failed"), F.count_if((F.col("predicted") == "support") & wrong).alias("false_support"),
+        F.count_if(accepted).alias("accepted"), F.count_if(accepted & wrong).alias("false_accepted"), F.sum("calls").alias("calls"),
+    )
+    return r.select("*", F.round(F.try_divide("accepted", "n"), 9).alias("coverage"), F.round(1 - F.try_divide("false_accepted", "accepted"), 9).alias("precision"), ((F.col("n") > 0) & (F.col("failed") == 0)).alias("calibrated"))
+
+
+def row_issues(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """``rows`` (label, claim, context, reasoning, indices, sentences) with issues, every one that holds, in a fixed order."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    none = F.col("label") == "not_enough_info"
+    indices, sentences = F.coalesce(F.size("indices"), F.lit(0)), F.coalesce(F.size("sentences"), F.lit(0))
+    found = [
+        (~F.coalesce(F.col("label").isin(*labels), F.lit(False)), "invalid_label"), (blank("claim"), "empty_claim"), (blank("context"), "empty_context"), (blank("reasoning"), "empty_reasoning"),
+        (indices != sentences, "index_text_length"), (none & ((indices > 0) | (sentences > 0)), "nei_with_evidence"), (~none & (sentences <= 0), "labelled_without_evidence"),
+        (F.coalesce(F.exists("sentences", lambda s: ~F.contains(F.col("context"), F.trim(s))), F.lit(False)), "not_verbatim"),
+    ]
+    return rows.withColumn("issues", F.array_compact(F.array(*[F.when(when, F.lit(name)) for when, name in found])))
+
+
+def later_duplicates(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``rows`` with duplicate: whether an earlier row by ``order`` has the same key."""
+    from pyspark.sql.window import Window
+
+    return rows.withColumn("duplicate", F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1)
+
+
+def router_report(rows: DataFrame) -> DataFrame:
+    """One row over (expected, chosen, said_relevant, is_relevant; a null chosen is a parse error): accuracy with parse errors in its denominator, precision of 'irrelevant', parse error rate and whether all pass."""
+    read = F.col("chosen").isNotNull()
+    no = read & ~F.coalesce("said_relevant", F.lit(True))
+    r = rows.agg(F.count("*").alias("n"), F.count_if(read & (F.col("chosen") == F.col("expected"))).alias("right"), F.count_if(no).alias("no"), F.count_if(no & ~F.col("is_relevant")).alias("no_right"), F.count_if(~read).alias("errors"))
+    a, p, e = ratio(F.col("right"), F.col("n")), ratio(F.col("no_right"), F.col("no")), ratio(F.col("errors"), F.col("n"))
+    return r.select("n", F.round(a, 9).alias("accuracy"), F.round(p, 9).alias("critique_precision"), F.round(e, 9).alias("parse_error_rate"), ((F.col("right") * 10 >= F.col("n") * 8) & (F.col("no_right") * 4 >= F.col("no") * 3) & (F.col("no") > 0) & (F.col("errors") == 0)).alias("passed"))
+
+
+def recovery_report(attempts: DataFrame) -> DataFrame:
+    """One row over (case, expected, attempt, tool, success): share of cases whose first tool was right, and of the others that succeeded in the end; null without others."""
+    per = attempts.groupBy("case").agg(F.min_by("tool", "attempt").alias("first"), F.first("expected").alias("expected"), F.bool_or("success").alias("done"))
+    right = F.coalesce(F.col("first") == F.col("expected"), F.lit(False))
+    r = per.agg(F.count("*").alias("n"), F.count_if(right).alias("right"), F.count_if(~right & F.col("done")).alias("recovered"))
+    return r.select("n", F.round(ratio(F.col("right"), F.col("n")), 9).alias("accuracy"), F.round(F.try_divide(F.col("recovered"), F.col("n") - F.col("right")), 9).alias("recovery_rate"))
+
+
+def nli_veto(label: Column, entailment: Column, contradiction: Column, neutral: Column, least: float) -> Column:
+    """The label if its own score is at least ``least`` and strictly the largest, else not_enough_info."""
+    support = (label == "support") & (entailment >= least) & (entailment > contradiction) & (entailment > neutral)
+    against = (label == "contradict") & (contradiction >= least) & (contradiction > entailment) & (contradiction > neutral)
+    return F.when(F.coalesce(support | against, F.lit(False)), label).otherwise("not_enough_info")
+
+
+def judge_agreement(label: Column, judged: Column, quoted: Column, lacking: Column) -> Column:
+    """(agrees, verified, status) of a verdict beside a judge's; a null label is no verdict; quoted and lacking: quotes and missing facts there are."""
+    agrees = F.coalesce(label == judged, F.lit(False))
+    status = F.when(~agrees | (lacking > 0) | (label == "not_enough_info"), "needs_context").otherwise("label_agreement")
+    return F.struct(agrees.alias("agrees"), (agrees & (judged == "support") & (quoted > 0) & (lacking == 0)).alias("verified"), status.alias("status"))
