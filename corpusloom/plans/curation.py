@@ -63,8 +63,8 @@ def chunk_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraphs of raw pages, an adaptation of page blocks to HTML, with the page's title."""
-    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1)).alias("b"))
+    """Paragraphs of raw pages, with what inner markup holds, an adaptation of page blocks to HTML, with the page's title."""
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.transform(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1)), lambda x: F.regexp_replace(x, "<[^>]*>", "")).alias("b"))
     return p.select("page_id", "title", F.posexplode("b").alias("block_no", "block")).select("page_id", F.length("title").alias("title_size"), "block_no", F.length("block").alias("size"), F.md5("block").alias("digest"))
 
 
@@ -120,7 +120,7 @@ count(*) FILTER (coalesce(trim(text), '') = '') AS blank FROM documents)""",
 SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS pos FROM lineitem) GROUP BY pos""",
     "chunk_fixed": "SELECT doc_id, part_no, length(chunk) AS size, md5(chunk) AS digest FROM (SELECT doc_id, part_no, substring(text, part_no * 800 + 1, 800) AS chunk FROM (SELECT doc_id, text, unnest(range((length(text) + 799) // 800)) AS part_no FROM documents))",
     "page_blocks": """SELECT page_id, length(title) AS title_size, i - 1 AS block_no, length(b[i]) AS size, md5(b[i]) AS digest FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM (
-SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS b FROM pages))""",
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS b FROM pages))""",
     "eligible_paragraphs": r"""SELECT * FROM (SELECT source, doc_id, words, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR)) AS rank FROM (
 SELECT *, len(regexp_split_to_array(trim(text), '[ \t\n\r]+')) AS words FROM documents) WHERE words BETWEEN 35 AND 200 AND NOT regexp_matches(text, '[$\\{}|]') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) WHERE rank <= 2""",
     "stratified_sample": "SELECT * FROM (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY md5('s' || doc_id)) AS rank FROM documents) WHERE rank <= 5",

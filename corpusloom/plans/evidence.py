@@ -29,7 +29,7 @@ def context_pack(spark: SparkSession, sf: str) -> DataFrame:
 def citation_integrity(spark: SparkSession, sf: str) -> DataFrame:
     """Parts that event properties cite, against the parts there are."""
     cited = table(spark, sf, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("p_partkey"))
-    broken = cited.join(table(spark, sf, "part").where("p_size <= 25").select("p_partkey"), "p_partkey", "left_anti")
+    broken = cited.join(table(spark, sf, "part").select("p_partkey"), "p_partkey", "left_anti")
     return cited.groupBy("event_type").agg(F.count("*").alias("cited")).join(broken.groupBy("event_type").agg(F.count("*").alias("broken")), "event_type", "left").select("event_type", "cited", F.coalesce("broken", F.lit(0)).alias("broken"))
 
 
@@ -99,7 +99,7 @@ SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' ||
 p AS (SELECT conv_id, 0 AS k, ''::VARCHAR AS kept, 0::BIGINT AS used FROM (SELECT DISTINCT conv_id FROM c)
 UNION ALL SELECT p.conv_id, c.k, CASE WHEN used + size <= 1500 THEN kept || CASE WHEN kept = '' THEN '' ELSE ',' END || turn ELSE kept END, CASE WHEN used + size <= 1500 THEN used + size ELSE used END FROM p JOIN c ON c.conv_id = p.conv_id AND c.k = p.k + 1)
 SELECT conv_id, arg_max(kept, k) AS kept, arg_max(used, k) AS used FROM p GROUP BY conv_id""",
-    "citation_integrity": "SELECT event_type, count(*) AS cited, count(*) FILTER (p_partkey IS NULL) AS broken FROM (SELECT event_type, (props->>'$.k')::BIGINT AS k FROM events) LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ON k = p_partkey GROUP BY event_type",
+    "citation_integrity": "SELECT event_type, count(*) AS cited, count(*) FILTER (p_partkey IS NULL) AS broken FROM (SELECT event_type, (props->>'$.k')::BIGINT AS k FROM events) LEFT JOIN (SELECT p_partkey FROM part) ON k = p_partkey GROUP BY event_type",
     "lineage": """SELECT r_name, n_name, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
     "band_join": """WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS at FROM events)

@@ -13,7 +13,7 @@ from corpusloom.session import table
 def evidence_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Spans: a text's first 40 characters, and the next 40 in capitals."""
     k = F.col("doc_id")
-    rows = table(spark, sf, "documents").where("length(text) >= 80").select(
+    rows = table(spark, sf, "documents").where("text is not null").select(
         F.array(F.substring("text", 1, 40), F.upper(F.substring("text", 41, 40))).alias("spans"), F.col("text").alias("context"), (k % 4 != 0).alias("answerable"), F.when(k % 3 != 0, k % 2 == 0).alias("supported")
     )
     return M.evidence_rates(rows)
@@ -29,7 +29,7 @@ def row_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as labelled rows, with faults by id; counts of each issue."""
     k = F.col("doc_id")
     first = F.substring("text", 1, 30)
-    rows = table(spark, sf, "documents").where("length(trim(text)) >= 30").select(
+    rows = table(spark, sf, "documents").select(
         F.when(k % 13 == 0, "perhaps").when(k % 2 == 0, "support").otherwise("not_enough_info").alias("label"), F.when(k % 17 == 0, "  ").otherwise("A claim").alias("claim"), F.col("text").alias("context"), F.when(k % 19 != 0, "why").alias("reasoning"),
         F.when(k % 2 == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("indices"), F.when((k % 2 == 0) & (k % 5 != 0), F.array(F.when(k % 3 == 0, "no such sentence").otherwise(first))).otherwise(F.array().cast("array<string>")).alias("sentences"),
     )
@@ -82,14 +82,14 @@ def positional_join(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (evidence_rates, diagnostics, row_issues, later_duplicates, router_report, recovery_report, nli_vetoes, required_keys, positional_join)}
 _PRED = "(SELECT doc_id, n_chars, CASE WHEN toxic = 1 THEN 'contradict' WHEN quality = 1 THEN 'support' ELSE 'not_enough_info' END AS gold FROM documents JOIN labels USING (doc_id))"
 SQL = {
-    "evidence_rates": """WITH d AS (SELECT doc_id AS k, text, upper(substr(text, 41, 40)) AS u, coalesce(doc_id % 3 <> 0 AND doc_id % 2 = 0, false) AS y FROM documents WHERE length(text) >= 80)
+    "evidence_rates": """WITH d AS (SELECT doc_id AS k, text, upper(substr(text, 41, 40)) AS u, coalesce(doc_id % 3 <> 0 AND doc_id % 2 = 0, false) AS y FROM documents WHERE text IS NOT NULL)
 SELECT count(*) AS n, count(*) * 2 AS evidence_spans, round((count(*) + count(*) FILTER (contains(text, u))) / (count(*) * 2), 9) AS verbatim_rate, round(count(*) FILTER (k % 4 <> 0 AND y) / count(*) FILTER (k % 4 <> 0), 9) AS answerable_supported,
 round(count(*) FILTER (k % 4 = 0 AND y) / count(*) FILTER (k % 4 = 0), 9) AS unanswerable_supported FROM d""",
     "diagnostics": f"""WITH p AS (SELECT gold, CASE WHEN n_chars % 7 = 0 THEN 'not_enough_info' WHEN n_chars % 11 = 0 THEN 'contradict' WHEN n_chars % 13 = 0 THEN NULL ELSE gold END AS predicted, CASE WHEN n_chars % 17 <> 0 THEN (doc_id * 37 % 101) / 100 END AS score, doc_id % 3 + 1 AS calls FROM {_PRED}),
 r AS (SELECT count(*) AS n, count(*) FILTER (score IS NULL) AS failed, count(*) FILTER (predicted = 'support' AND gold <> 'support') AS false_support, count(*) FILTER (predicted = 'support' AND score >= 0.6) AS accepted, count(*) FILTER (predicted = 'support' AND score >= 0.6 AND gold <> 'support') AS false_accepted, sum(calls)::BIGINT AS calls FROM p)
 SELECT *, round(accepted / n, 9) AS coverage, round(1 - false_accepted / nullif(accepted, 0), 9) AS "precision", n > 0 AND failed = 0 AS calibrated FROM r""",
-    "row_issues": """WITH d AS (SELECT doc_id AS k, text, substr(text, 1, 30) AS f, doc_id % 2 = 0 AND doc_id % 5 <> 0 AS has, CASE WHEN doc_id % 13 = 0 THEN 'perhaps' WHEN doc_id % 2 = 0 THEN 'support' ELSE 'not_enough_info' END AS label FROM documents WHERE length(trim(text, ' ')) >= 30),
-i AS (SELECT unnest([CASE WHEN label = 'perhaps' THEN 'invalid_label' END, CASE WHEN k % 17 = 0 THEN 'empty_claim' END, CASE WHEN k % 19 = 0 THEN 'empty_reasoning' END, CASE WHEN k % 2 = 0 AND NOT has THEN 'index_text_length' END, CASE WHEN label <> 'not_enough_info' AND NOT has THEN 'labelled_without_evidence' END,
+    "row_issues": """WITH d AS (SELECT doc_id AS k, text, substr(text, 1, 30) AS f, doc_id % 2 = 0 AND doc_id % 5 <> 0 AS has, CASE WHEN doc_id % 13 = 0 THEN 'perhaps' WHEN doc_id % 2 = 0 THEN 'support' ELSE 'not_enough_info' END AS label FROM documents),
+i AS (SELECT unnest([CASE WHEN label = 'perhaps' THEN 'invalid_label' END, CASE WHEN k % 17 = 0 THEN 'empty_claim' END, CASE WHEN coalesce(trim(text, ' '), '') = '' THEN 'empty_context' END, CASE WHEN k % 19 = 0 THEN 'empty_reasoning' END, CASE WHEN k % 2 = 0 AND NOT has THEN 'index_text_length' END, CASE WHEN label <> 'not_enough_info' AND NOT has THEN 'labelled_without_evidence' END,
 CASE WHEN has AND NOT contains(text, CASE WHEN k % 3 = 0 THEN 'no such sentence' ELSE trim(f, ' ') END) THEN 'not_verbatim' END]) AS issue FROM d)
 SELECT issue, count(*) AS n FROM i WHERE issue IS NOT NULL GROUP BY issue""",
     "later_duplicates": "SELECT source, count(*) AS n, count(*) FILTER (r > 1) AS later FROM (SELECT source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL) GROUP BY source",

@@ -48,7 +48,7 @@ def tool_route(spark: SparkSession, sf: str) -> DataFrame:
 def choose_action(spark: SparkSession, sf: str) -> DataFrame:
     """The next action of each user's session."""
     n = lambda k: F.count_if(F.col("event_type") == k)
-    s = table(spark, sf, "events").where("value < 120").groupBy("user_id").agg(F.count("*").alias("step"), n("view").alias("seen"), n("purchase").alias("verified"), (n("error") / 8).cast("int").alias("failed"))
+    s = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("step"), n("view").alias("seen"), n("purchase").alias("verified"), (n("error") / 8).cast("int").alias("failed"))
     return s.select("user_id", "step", S.next_action(F.col("step"), F.col("seen"), F.col("verified"), F.col("failed")).alias("action"))
 
 
@@ -78,7 +78,7 @@ FROM (SELECT *, floor(epoch(ts))::BIGINT AS sec FROM events)) GROUP BY user_id""
     "tool_route": """SELECT CASE WHEN contains(lower(html), '<table') THEN 'tables' WHEN contains(lower(html), '<pre') OR contains(lower(html), '<code') THEN 'code' WHEN length(html) < 1500 THEN 'short' ELSE 'text' END AS tool,
 count(*) AS n, sum(length(html))::BIGINT AS size FROM pages GROUP BY 1""",
     "choose_action": """SELECT user_id, step, CASE WHEN failed >= 3 THEN 'stop' WHEN seen = 0 THEN 'retrieve' WHEN verified = 0 THEN 'verify' WHEN step >= 10 THEN 'write' ELSE 'continue' END AS action FROM (
-SELECT user_id, count(*) AS step, count(*) FILTER (event_type = 'view') AS seen, count(*) FILTER (event_type = 'purchase') AS verified, count(*) FILTER (event_type = 'error') // 8 AS failed FROM events WHERE value < 120 GROUP BY user_id)""",
+SELECT user_id, count(*) AS step, count(*) FILTER (event_type = 'view') AS seen, count(*) FILTER (event_type = 'purchase') AS verified, count(*) FILTER (event_type = 'error') // 8 AS failed FROM events GROUP BY user_id)""",
     "hourly_actions": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "turn_reviews": """SELECT conv_id, count(*) AS turns, count(*) FILTER (flat = before) AS copies FROM (SELECT *, lag(flat) OVER (PARTITION BY conv_id ORDER BY turn) AS before
 FROM (SELECT *, lower(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS flat FROM conversations)) WHERE role = 'assistant' GROUP BY conv_id""",
