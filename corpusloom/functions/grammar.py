@@ -143,3 +143,46 @@ def names(text: Column) -> Column:
     """Words of a name or heading: key tokens with a scale's letter joined to its number, docs as documents and ood as out-of-domain."""
     words = key_tokens(F.regexp_replace(text, r"(?<=\d)\s+([BKM])\b", "$1"))
     return F.transform(words, lambda w: F.when(w == "docs", "documents").when(w == "ood", "out-of-domain").otherwise(w))
+
+
+def evidence_numbers(text: Column) -> Column:
+    """Distinct measured numbers, with % and without commas or blanks; numbers of tables, figures, sections and appendices are none."""
+    bare = F.regexp_replace(text, r"(?iU)(?<![\w/])(?:table|figure|section|appendix)[ \t]+\d+(?:\.\d+)*[a-z]?(?!\w|\.\d|[ \t]*%)", "")
+    found = F.regexp_extract_all(bare, F.lit(r"(?U)(?<![\w.])(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:\s*%)?(?!\w|\.\d)"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"[,\s]", "")))
+
+
+def quantifier(text: Column) -> Column:
+    """all, some or none where a text has words of that kind alone, atomic where it has none, null where it mixes them."""
+    kinds = {"all": r"(?i)\b(?:all|every|each)\b", "some": r"(?i)\b(?:some|at least one|one or more)\b", "none": r"(?i)\b(?:none|no)\b"}
+    found = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in kinds.items()]))
+    return F.when(F.size(found) == 0, "atomic").when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
+def split_claims(answer: Column) -> Column:
+    """Claims of an answer: items of a list, cut after . ! ? before a blank and a capital, digit or quote; blank ones are none."""
+    sections = F.split(F.trim(answer), r"\n\s*(?=[-*•]\s|\d+[.)]\s)")
+    parts = F.flatten(F.transform(sections, lambda s: F.split(F.regexp_replace(s, r"^\s*(?:[-*•]|\d+[.)])\s+", ""), r"(?<=[.!?])\s+(?=[\p{Lu}\p{N}\"'“‘(])")))
+    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+
+
+def clean_json(text: Column) -> Column:
+    """What a fence holds, or else from the first brace to the last, or else the text."""
+    fence = F.trim(F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)\s*```", 1))
+    braces = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
+    return F.when(text.rlike(r"```(?:json)?\s*[\s\S]*?\s*```"), fence).when(braces != "", braces).otherwise(F.trim(text))
+
+
+def joined_lines(text: Column) -> Column:
+    """A page's text without hyphens at line ends before small letters, blanks squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)(?<=\w)-[ \t]*\r?\n[ \t]*(?=[a-z])", ""), r"(?U)\s+", " "))
+
+
+def compatible_units(claimed: Column, observed: Column) -> Column:
+    """Whether a count's claimed words are, in order, among the observed ones, with one plural noun at the end; physical units must be equal."""
+    left, right = F.split(F.trim(F.lower(claimed)), r"\s+"), F.split(F.trim(F.lower(observed)), r"\s+")
+    last = F.element_at(left, -1)
+    physical = F.array(*[F.lit(w) for w in "ms s seconds minutes hours days weeks months years liters meters grams watts".split()])
+    met = F.aggregate(right, F.lit(0), lambda at, w: F.when((at < F.size(left)) & (F.get(left, at) == w), at + 1).otherwise(at))
+    plain = last.endswith("s") & (last == F.element_at(right, -1))
+    return F.when(~plain, False).when(F.array_contains(physical, last), F.lower(claimed) == F.lower(observed)).otherwise(met == F.size(left))

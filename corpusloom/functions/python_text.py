@@ -61,3 +61,46 @@ def canonical_json(text: Column) -> Column:
         return s.map(one)
 
     return run(text)
+
+
+def first_object(text: Column) -> Column:
+    """The first JSON object of a text, fenced or amid other text, as JSON; null where there is none."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if t is None or (at := t.find("{")) < 0:
+                return None
+            try:
+                value, _ = json.JSONDecoder().raw_decode(t[at:])
+            except ValueError:
+                return None
+            return json.dumps(value, ensure_ascii=False)
+
+        return s.map(one)
+
+    return run(text)
+
+
+def leaf_strings(text: Column) -> Column:
+    """Every string value in a JSON text, however deep, in order; null where it doesn't parse."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[str] | None:
+            try:
+                todo = [json.loads(t)] if t is not None else []
+            except ValueError:
+                return None
+            out: list[str] = []
+            while todo:
+                v = todo.pop()
+                if isinstance(v, str):
+                    out.append(v)
+                elif isinstance(v, (dict, list)):
+                    todo += reversed(list(v.values()) if isinstance(v, dict) else v)
+            return None if t is None else out
+
+        return s.map(one)
+
+    return run(text)
