@@ -83,41 +83,47 @@ def _spans(size: int, length: int, edits: int, seed: int) -> list[tuple[int, int
     return out
 
 
+#: Spans (start, end, seed) and the kind of each.
+Plan = tuple[list[tuple[int, int, int]], list[int]]
+
+
+def _parted(spans: list[tuple[int, int, int, int]]) -> Plan:
+    return [x[:3] for x in spans], [x[3] for x in spans]
+
+
 @functools.lru_cache(maxsize=20_000)
-def _plan(size: int, edits: int) -> list[tuple[int, int, int, int]]:
+def _plan(size: int, edits: int) -> Plan:
     """The spans of a line of ``size`` characters."""
-    return [x for length in range(max(edits + 1, size - edits), size + 1) for x in _spans(size, length, edits, length * 16)]
+    return _parted([x for length in range(max(edits + 1, size - edits), size + 1) for x in _spans(size, length, edits, length * 16)])
 
 
-def _long_word_plan(size: int) -> list[tuple[int, int, int, int]]:
+def _long_word_plan(size: int) -> Plan:
     lengths = range(max(MIN_WORDS, size - word_edits(size)), size + 1)
-    return [x for n in lengths if size - n <= word_edits(n) for x in _spans(size, n, word_edits(n), WORD_SEEDS + (n << 24))]
+    return _parted([x for n in lengths if size - n <= word_edits(n) for x in _spans(size, n, word_edits(n), WORD_SEEDS + (n << 24))])
 
 
 @functools.lru_cache(maxsize=512)
-def _short_word_plan(size: int) -> list[tuple[int, int, int, int]]:
+def _short_word_plan(size: int) -> Plan:
     return _long_word_plan(size)
 
 
-def line_keys(line: str, edits: int = EDITS) -> list[tuple[int, int]]:
-    """(key, kind) of a normal line: kind 1 is an index entry, 2 a look-up, 3 both; a key may come with several kinds."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    return [(digest(line[p:q], seed) - (1 << 63), kind) for p, q, seed, kind in _plan(len(line), edits)]
+def _keys(line: str, digest) -> Plan:
+    """64-bit keys of a normal line by characters and by words, and the kind of each."""
+    spans, kinds = _plan(len(line), EDITS)
+    keys = [digest(line[p:q], seed) for p, q, seed in spans]
+    if (blanks := line.count(" ")) >= MIN_WORDS - 1:
+        at = [0, *itertools.accumulate([len(w) + 1 for w in line.split(" ")])]
+        spans, more = _short_word_plan(blanks + 1) if blanks < 512 else _long_word_plan(blanks + 1)
+        keys += [digest(line[at[p] : at[q] - 1], seed) for p, q, seed in spans]
+        kinds = kinds + more
+    return keys, kinds
 
 
-def word_keys(line: str) -> list[tuple[int, int]]:
-    """Like ``line_keys``, of spans of words."""
+def line_keys(line: str) -> list[tuple[int, int]]:
+    """(key, kind) of a normal line: kind 1 is an index entry, 2 a look-up, 3 both; a key may come with several kinds."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
-    words = line.split(" ")
-    if len(words) < MIN_WORDS:
-        return []
-    at = [0, *itertools.accumulate(len(w) + 1 for w in words)]
-    plan = _short_word_plan(len(words)) if len(words) <= 512 else _long_word_plan(len(words))
-    return [(digest(line[at[p] : at[q] - 1], seed) - (1 << 63), kind) for p, q, seed, kind in plan]
+    return list(zip(*_keys(line, xxhash.xxh3_64_intdigest)))
 
 
 def linked(a: str, b: str) -> bool:
@@ -186,6 +192,8 @@ def _short(digests: list[bytes]) -> np.ndarray:
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, mark) of the lines of texts, a mark being a line's short node and the kind in its last two bits; a line that the task has just seen isn't repeated."""
+    import xxhash
+
     seen: set[bytes] = set()
     for batch in batches:
         nodes, counts, keys, kinds = [], [], [], []
@@ -199,15 +207,14 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(d)
-                own = line_keys(line) + word_keys(line)
+                own, kind = _keys(line, xxhash.xxh3_64_intdigest)
                 nodes.append(d)
                 counts.append(len(own))
-                k, kind = zip(*own)
-                keys += k
+                keys += own
                 kinds += kind
         if nodes:
             marks = np.repeat(_short(nodes) << 2, counts) | np.array(kinds, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.int64)), pa.array(marks)], ["key", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(marks)], ["key", "mark"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

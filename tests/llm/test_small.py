@@ -215,7 +215,7 @@ def test_word_keys_find_all_near_lines():
             if a != b and edits and levenshtein(a, b) <= edits:
                 a, b = " ".join(a), " ".join(b)
                 assert line_dedup.linked(a, b)
-                assert any(k == m and (i & 1 and j & 2 or i & 2 and j & 1) for k, i in line_dedup.word_keys(a) for m, j in line_dedup.word_keys(b))
+                assert any(k == m and (i & 1 and j & 2 or i & 2 and j & 1) for k, i in line_dedup.line_keys(a) for m, j in line_dedup.line_keys(b))
 
 
 def shingles(t):
