@@ -169,21 +169,19 @@ def _mod97(account: Column) -> Column:
     return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.rlike("^[0-9]$"), F.pmod(a * 10 + c.cast("int"), F.lit(97))).when(c != "", F.pmod(a * 100 + F.ascii(F.upper(c)) - 55, F.lit(97))).otherwise(a))
 
 
-def _surrogate(kind: Column, canon: Column, fixed: Column, attempt: int, key: str) -> Column:
-    """The candidate of an entity; ``fixed`` leading characters stay as they are."""
-    s = _stream(kind, canon, attempt, key)
-    hexadecimal = (kind == "SECRET") & canon.rlike("^[a-f0-9]+$")
-
+def _plain(kind: Column, canon: Column, fixed: Column, hexadecimal: Column, attempt: int, key: str) -> Column:
+    """Each character by one of its kind; ``fixed`` leading characters stay as they are."""
     # Secrets have any length: each piece of 60 characters has its block; what blocks share is bound once by lists of one.
     bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
     short = F.when(F.length(canon) <= 60, canon).otherwise(F.sha2(canon, 512))
 
-    def replaced(hexa: bool) -> Column:
-        one = lambda p, block, b: F.array_join(F.transform(F.split(p, ""), lambda c, i: F.when(b * 60 + i < fixed, c).otherwise(_character(c, _byte(block, i), F.lit(hexa)))), "")
-        piece = lambda p, b, own: bound(_block(kind, own, attempt, key, b), lambda block: one(p, block, b))
-        return bound(short, lambda own: F.array_join(F.transform(F.split(canon, r"(?<=\G[\s\S]{60})"), lambda p, b: piece(p, b, own)), ""))
+    one = lambda p, block, b: F.array_join(F.transform(F.split(p, ""), lambda c, i: F.when(b * 60 + i < fixed, c).otherwise(_character(c, _byte(block, i), hexadecimal))), "")
+    piece = lambda p, b, own: bound(_block(kind, own, attempt, key, b), lambda block: one(p, block, b))
+    return bound(short, lambda own: F.array_join(F.transform(F.split(canon, r"(?<=\G[\s\S]{60})"), lambda p, b: piece(p, b, own)), ""))
+
 
-    plain = F.when(hexadecimal, replaced(True)).otherwise(replaced(False))
+def _surrogate(kind: Column, canon: Column, plain: Column, s: Column, attempt: int) -> Column:
+    """The candidate of an entity, from its ``plain`` replacement and its stream ``s``."""
     last = F.pmod(F.substring(plain, -1, 1).cast("int") + _luhn(canon) - _luhn(plain), F.lit(10))
     card = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), last.cast("string"))
     body = F.substring(plain, F.lit(5), F.length(plain))
@@ -217,7 +215,11 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     real = waiting.select("kind", F.lower("canon").alias("low"))
     settled = None
     for attempt in range(ROUNDS):
-        tried = waiting.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), F.col("fixed"), attempt, key)).withColumn("low", F.lower("surrogate"))
+        # Columns of their own, as an expression that is used again and again makes plans too large for the driver.
+        kind, canon = F.col("kind"), F.col("canon")
+        tried = waiting.withColumn("hexa", (kind == "SECRET") & canon.rlike("^[a-f0-9]+$")).withColumn("stream", _stream(kind, canon, attempt, key))
+        tried = tried.withColumn("plain", _plain(kind, canon, F.col("fixed"), F.col("hexa"), attempt, key))
+        tried = tried.withColumn("surrogate", _surrogate(kind, canon, F.col("plain"), F.col("stream"), attempt)).withColumn("low", F.lower("surrogate"))
         taken = real if settled is None else real.union(settled.select("kind", F.lower("surrogate").alias("low")))
         free = tried.join(taken, ["kind", "low"], "left_anti")
         first = free.groupBy("kind", "low").agg(F.min(F.struct("canon", "surrogate")).alias("w"))
