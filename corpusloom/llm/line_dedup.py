@@ -50,6 +50,10 @@ WORD_SEEDS = 1 << 56
 #: Candidate lines up to so many are broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_NODES = 500_000
 SEEN = 300_000
+#: Characters whose keys are made together, and what spans are hashed with.
+CHUNK = 200_000
+BASE, MIX, SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def normal(line: str) -> str:
@@ -83,23 +87,24 @@ def _spans(size: int, length: int, edits: int, seed: int) -> list[tuple[int, int
     return out
 
 
-#: Spans (start, end, seed) and the kind of each.
-Plan = tuple[list[tuple[int, int, int]], list[int]]
+#: Starts, ends, seeds and kinds of a line's spans, in characters or in words.
+Plan = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _parted(spans: list[tuple[int, int, int, int]]) -> Plan:
-    return [x[:3] for x in spans], [x[3] for x in spans]
+def _arrays(spans: list[tuple[int, int, int, int]]) -> Plan:
+    columns = list(zip(*spans)) or [(), (), (), ()]
+    return tuple(np.array(c, dtype=np.uint64 if k == 2 else np.int64) for k, c in enumerate(columns))
 
 
 @functools.lru_cache(maxsize=20_000)
-def _plan(size: int, edits: int) -> Plan:
+def _plan(size: int, edits: int = EDITS) -> Plan:
     """The spans of a line of ``size`` characters."""
-    return _parted([x for length in range(max(edits + 1, size - edits), size + 1) for x in _spans(size, length, edits, length * 16)])
+    return _arrays([x for length in range(max(edits + 1, size - edits), size + 1) for x in _spans(size, length, edits, length * 16)])
 
 
 def _long_word_plan(size: int) -> Plan:
     lengths = range(max(MIN_WORDS, size - word_edits(size)), size + 1)
-    return _parted([x for n in lengths if size - n <= word_edits(n) for x in _spans(size, n, word_edits(n), WORD_SEEDS + (n << 24))])
+    return _arrays([x for n in lengths if size - n <= word_edits(n) for x in _spans(size, n, word_edits(n), WORD_SEEDS + (n << 24))])
 
 
 @functools.lru_cache(maxsize=512)
@@ -107,23 +112,55 @@ def _short_word_plan(size: int) -> Plan:
     return _long_word_plan(size)
 
 
-def _keys(line: str, digest) -> Plan:
-    """64-bit keys of a normal line by characters and by words, and the kind of each."""
-    spans, kinds = _plan(len(line), EDITS)
-    keys = [digest(line[p:q], seed) for p, q, seed in spans]
-    if (blanks := line.count(" ")) >= MIN_WORDS - 1:
-        at = [0, *itertools.accumulate([len(w) + 1 for w in line.split(" ")])]
-        spans, more = _short_word_plan(blanks + 1) if blanks < 512 else _long_word_plan(blanks + 1)
-        keys += [digest(line[at[p] : at[q] - 1], seed) for p, q, seed in spans]
-        kinds = kinds + more
-    return keys, kinds
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of BASE and of its inverse, modulo 2**64."""
+    one = np.ones(1, dtype=np.uint64)
+    return tuple(np.concatenate((one, np.multiply.accumulate(np.full(n, b, dtype=np.uint64)))) for b in (BASE, INVERSE))
+
+
+def _keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, kinds, places in ``lines``) of normal lines: spans of characters, and of words where there are enough.
+
+    A span's hash is a polynomial of its characters, from sums over all lines together. Equal spans have equal keys; others
+    that collide are told apart when links are verified.
+    """
+    text = " ".join(lines)
+    plans: list[list] = [[], []]
+    at, first = 0, 0
+    for k, line in enumerate(lines):
+        words = line.count(" ") + 1
+        plans[0].append((_plan(len(line)), at, k))
+        if words >= MIN_WORDS:
+            plans[1].append((_short_word_plan(words) if words <= 512 else _long_word_plan(words), first, k))
+        at += len(line) + 1
+        first += words
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    up, down = _powers(-(-(len(codes) + 1) // CHUNK) * CHUNK)
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+    places = [np.arange(len(codes) + 2), np.concatenate(([0], np.flatnonzero(codes == 32) + 1, [len(codes) + 1]))]
+    keys, kinds, of = [], [], []
+    for unit, (own, place) in enumerate(zip(plans, places)):
+        if not own:
+            continue
+        counts = [len(p[0]) for p, _, _ in own]
+        starts, ends, seeds, kind = (np.concatenate([p[c] for p, _, _ in own]) for c in range(4))
+        shift = np.repeat([a for _, a, _ in own], counts)
+        starts, ends = place[starts + shift], place[ends + shift] - unit
+        h = ((sums[ends] - sums[starts]) * down[starts]) ^ (seeds * MIX)
+        h = (h ^ (h >> np.uint64(29))) * SPREAD
+        h = (h ^ (h >> np.uint64(32))) * MIX
+        keys.append((h ^ (h >> np.uint64(29))).view(np.int64))
+        kinds.append(kind)
+        of.append(np.repeat([k for _, _, k in own], counts))
+    return np.concatenate(keys), np.concatenate(kinds), np.concatenate(of)
 
 
 def line_keys(line: str) -> list[tuple[int, int]]:
     """(key, kind) of a normal line: kind 1 is an index entry, 2 a look-up, 3 both; a key may come with several kinds."""
-    import xxhash
-
-    return list(zip(*_keys(line, xxhash.xxh3_64_intdigest)))
+    keys, kinds, _ = _keys([line])
+    return list(zip(keys.tolist(), kinds.tolist()))
 
 
 def linked(a: str, b: str) -> bool:
@@ -192,11 +229,14 @@ def _short(digests: list[bytes]) -> np.ndarray:
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, mark) of the lines of texts, a mark being a line's short node and the kind in its last two bits; a line that the task has just seen isn't repeated."""
-    import xxhash
-
     seen: set[bytes] = set()
+
+    def made() -> pa.RecordBatch:
+        keys, kinds, of = _keys(lines)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array((_short(nodes) << 2)[of] | kinds)], ["key", "mark"])
+
     for batch in batches:
-        nodes, counts, keys, kinds = [], [], [], []
+        nodes, lines, size = [], [], 0
         for text in batch.column(0).to_pylist():
             for _, line in _eligible(text):
                 if len(line) < MIN_CHARS:
@@ -207,14 +247,14 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(d)
-                own, kind = _keys(line, xxhash.xxh3_64_intdigest)
                 nodes.append(d)
-                counts.append(len(own))
-                keys += own
-                kinds += kind
+                lines.append(line)
+                size += len(line) + 1
+                if size >= CHUNK:
+                    yield made()
+                    nodes, lines, size = [], [], 0
         if nodes:
-            marks = np.repeat(_short(nodes) << 2, counts) | np.array(kinds, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(marks)], ["key", "mark"])
+            yield made()
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
