@@ -231,8 +231,7 @@ def _end_digests(ends: DataFrame) -> DataFrame:
 def prefix_trie(sequences: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each node of the trie of ``sequences`` (as ``rebuilt`` gives them), with counts and sums over its subtree.
 
-    conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256, and the
-    path's light depth.
+    conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
     """
     ship(sequences.sparkSession)
     sequences = materialize(sequences, "sequences")
@@ -278,7 +277,6 @@ def prefix_trie(sequences: DataFrame, block: int = BLOCK) -> DataFrame:
         F.col("leaves").alias("n_leaves"),
         F.col("saved").alias("saved_tokens"),
         F.coalesce("ends_sha256", F.lit(NO_MEMBER)).alias("ends_sha256"),
-        F.col("level").cast("long").alias("light_depth"),
     )
 
 
@@ -287,4 +285,22 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_prefix_trie": op12_prefix_trie}
-SQL: dict[str, str] = {}
+SQL = {
+    "op12_prefix_trie": """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(s) + 1),
+        lambda k: [CAST(ascii(s[k]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 9 AS h FROM i),
+r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos < h
+      UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+s AS (SELECT c.conv_id, coalesce(list(struct_pack(role := role, text := text) ORDER BY part, pos) FILTER (WHERE part IS NOT NULL), []) AS turns FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY 1),
+m AS (SELECT conv_id, len(turns) AS n, d, list_slice(turns, 1, d) AS key FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM s)),
+k AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends FROM m GROUP BY key, d),
+u AS (SELECT key, d, k.conv_id, n_convs, ends, coalesce(kids, 0) AS kids, CASE WHEN d > 0 THEN (n_convs - 1) * strlen(key[d].text) ELSE 0 END AS saved
+      FROM k LEFT JOIN (SELECT list_slice(key, 1, d - 1) AS up, d - 1 AS up_d, count(*) AS kids FROM k WHERE d > 0 GROUP BY 1, 2) ON up = key AND up_d = d),
+b AS (SELECT m.key, m.d, count(*) FILTER (WHERE kids = 0) AS n_leaves, sum(saved) AS saved FROM u JOIN m ON m.conv_id = u.conv_id AND m.d <= u.d GROUP BY 1, 2)
+SELECT u.conv_id, u.d AS depth, p.conv_id AS parent_conv_id, u.n_convs, u.kids AS n_children, n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(u.ends) AS ends_sha256
+FROM u JOIN b ON b.key = u.key AND b.d = u.d LEFT JOIN k p ON u.d > 0 AND p.d = u.d - 1 AND p.key = list_slice(u.key, 1, u.d - 1)"""
+}

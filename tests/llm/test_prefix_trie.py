@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 
@@ -54,6 +55,10 @@ def test_query(spark):
     df = pt.op12_prefix_trie(spark, "/root/testdata/sf0.001")
     assert [f"{c} {dict(df.dtypes)[c]}" for c in COLUMNS[:-1]] == [f"{c} bigint" for c in COLUMNS[:-1]] and dict(df.dtypes)["ends_sha256"] == "string"
     assert got(df) == expected(rows)
+    db = duckdb.connect()
+    db.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    want = db.execute(pt.SQL["op12_prefix_trie"])
+    assert tuple(x[0] for x in want.description) == COLUMNS == tuple(df.columns) and set(want.fetchall()) == expected(rows)
 
 
 def test_nulls_ties_repeats_and_missing_bases(spark):
