@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,12 +56,60 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: a cut lineage that survives lost executors.
 
-    The folder goes when the session's file system closes.
+    The folder goes by ``release``, at the end of the ``scratch`` it was written in, or when the session's file system closes.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    jpath, files = _path(spark, path)
+    files.deleteOnExit(jpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = (path,)
+    if _OPEN:
+        _OPEN[-1].append(out)
+    return out
+
+
+#: Tables written inside each open ``scratch``.
+_OPEN: list[list[DataFrame]] = []
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete scratch tables whose readers have all been written. Frames that ``materialize`` or ``hold`` didn't make are passed over."""
+    for t in tables:
+        for path in getattr(t, "_scratch", ()):
+            jpath, files = _path(t.sparkSession, path)
+            files.delete(jpath, True)
+
+
+def hold(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, to be released with the scratch tables that it is made of."""
+    df._scratch = tuple(p for t in tables for p in getattr(t, "_scratch", ()))
+    return df
+
+
+@contextlib.contextmanager
+def written() -> Iterator[list[DataFrame]]:
+    """The list that it gives gets the scratch tables written inside."""
+    _OPEN.append([])
+    try:
+        yield _OPEN[-1]
+    finally:
+        done = _OPEN.pop()
+        if _OPEN:
+            _OPEN[-1].extend(done)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Scratch tables written inside go at the end, but for those that the list it gives holds by then."""
+    kept: list[DataFrame] = []
+    with written() as tables:
+        yield kept
+    stay = {p for t in kept for p in getattr(t, "_scratch", ())}
+    release(*(t for t in tables if not stay & set(t._scratch)))
