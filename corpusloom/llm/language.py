@@ -20,10 +20,10 @@ with output names are replaced.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +36,8 @@ MARGIN = 0.01
 #: Natural-log odds that a saved byte is worth in the score.
 BYTE_ODDS = 0.35
 LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters alone: numerals such as fractions and Roman ones are none.
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -107,9 +108,9 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
             yield pd.DataFrame([c.predict(t) for t in part], columns=["l", "s", "m"])
 
     own = ("lang_pred", "score", "margin", "reliable", "lang_kept")
-    out = df.withColumn("__p", predict(F.col(text_col)))
+    out = df.select(F.struct(F.lit(0).alias("__"), *df.columns).alias("__doc"), predict(F.col(text_col)).alias("__p"))
     reliable = F.col("__p.m") >= MARGIN
-    return out.select(*[c for c in df.columns if c not in own], F.col("__p.l").alias("lang_pred"), F.col("__p.s").alias("score"), F.col("__p.m").alias("margin"), reliable.alias("reliable"), F.when(reliable, F.col("__p.l")).otherwise(UNKNOWN).alias("lang_kept"))
+    return out.select(*[F.col("__doc")[c].alias(c) for c in df.columns if c not in own], F.col("__p.l").alias("lang_pred"), F.col("__p.s").alias("score"), F.col("__p.m").alias("margin"), reliable.alias("reliable"), F.when(reliable, F.col("__p.l")).otherwise(UNKNOWN).alias("lang_kept"))
 
 
 def fold_of(id_col: str, folds: int) -> Column:
