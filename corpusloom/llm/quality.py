@@ -8,7 +8,7 @@ probability adds the site's log odds against the global ones, its own document l
 
 The classifier learns from at most MAX_LABELLED labelled rows, chosen by a hash of the id; site statistics cover all rows.
 
-Defined results: null and empty texts, and texts of blanks, have no evidence of quality and a score of 0; a null source is a host of its own; null labels
+Defined results: null and empty texts, and texts of blanks, have no evidence of quality, a score of 0 and no say in their site's; a null source is a host of its own; null labels
 teach nothing, several labels of an id count as their smallest; without both labels every document with a word has the
 share of label 1 (1 without labels); repeated rows count as often as they are there and give the same result; empty
 tables give empty tables; input columns that clash with output names are replaced.
@@ -25,11 +25,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.components import join_facts
 from corpusloom.session import materialize, ship, table
 
+#: What a text that isn't blank holds.
+WORDY = r"[^ \t-\r]"
 MAX_LABELLED = 12_000
 KEEP = 0.5
-#: Up to so many sites are broadcast (some tens of bytes each), so that texts needn't be shuffled; beyond, sites are joined by a shuffle.
+#: Up to so many sites are broadcast (some tens of bytes each), so that texts needn't be shuffled; beyond, those of hot sites are, and the others are joined by a shuffle.
 BROADCAST_SITES = 200_000
 #: How much of the site's log odds counts, and the bounds of the prior weights (in documents).
 SITE_SHARE, LEAST_WEIGHT, MOST_WEIGHT = 0.5, 5.0, 1e6
@@ -78,7 +81,7 @@ class DocumentClassifier:
 
     def evidence(self, df: DataFrame, text_col: str) -> DataFrame:
         """``df`` with __p, the document's own probability."""
-        empty = ~F.coalesce(F.col(text_col).rlike("[^ \\t-\\r]"), F.lit(False))
+        empty = ~F.coalesce(F.col(text_col).rlike(WORDY), F.lit(False))
         if self.model is None:
             return df.withColumn("__p", F.when(empty, 0.0).otherwise(F.lit(float(self.share))))
         found = self.model.transform(_vectors(df, text_col)).withColumn("__q", vector_to_array("__prob")[1])
@@ -107,6 +110,11 @@ def site_of(source: Column) -> tuple[Column, Column]:
     return F.regexp_extract(bare, r"^[^/?#]*", 0), F.when(path != "", path)
 
 
+def _site_key(host: str, path: str) -> Column:
+    """Host and path as one text; null and empty differ, and no host holds a stroke."""
+    return F.concat(*[F.coalesce(F.concat(F.lit(mark), F.col(c)), F.lit("n")) for mark, c in (("h", host), ("/p", path))])
+
+
 def _weight(groups: DataFrame, n: str, total: str, mean: Column) -> float:
     """Prior weight, in documents, of a level: within-site variance over the variance between sites, by moments."""
     g = groups.where(F.col(n) > 0).withColumn("m", F.col(total) / F.col(n))
@@ -136,20 +144,25 @@ def score_quality(docs: DataFrame, classifier: DocumentClassifier, source_col: s
     host, path = site_of(F.col(source_col))
     columns = [c for c in docs.columns if c not in own and c != text_col]
     scored = classifier.evidence(docs.select(F.struct(F.lit(0).alias("__"), *columns).alias("__doc"), F.col(text_col).alias("__text"), host.alias("__host"), path.alias("__path")), "__text")
+    scored = scored.withColumn("__own", F.coalesce(F.col("__text").rlike(WORDY), F.lit(False)).cast("int"))
     scored = materialize(scored if with_text else scored.drop("__text"), "scored")
-    paths = materialize(scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("__p").alias("s")), "sites")
+    # Blank texts are no evidence of a site.
+    told = F.sum(F.when(F.col("__own") == 1, F.col("__p")).otherwise(0.0))
+    paths = materialize(scored.groupBy("__host", "__path").agg(F.count("*").alias("rows"), F.sum("__own").alias("n"), told.alias("s")), "sites")
     hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     all_ = hosts.agg(F.sum("hn"), F.sum("hs")).first()
     mean = all_[1] / all_[0] if all_[0] else 0.5
     by_host = _weight(hosts, "hn", "hs", F.lit(mean))
-    below = paths.where("__path is not null").join(hosts.withColumnRenamed("__host", "__h"), F.col("__host").eqNullSafe(F.col("__h"))).select("n", "s", (F.col("hs") / F.col("hn")).alias("hm"))
+    below = paths.where("__path is not null").join(hosts.withColumnRenamed("__host", "__h"), F.col("__host").eqNullSafe(F.col("__h"))).select("n", "s", F.try_divide("hs", "hn").alias("hm"))
     by_path = _weight(below, "n", "s", F.col("hm"))
-    sites = paths.join(hosts.withColumnRenamed("__host", "__h"), F.col("__host").eqNullSafe(F.col("__h"))).select(F.col("__host").alias("h"), F.col("__path").alias("q"), "n", "s", "hn", "hs")
+    sites = paths.join(hosts.withColumnRenamed("__host", "__h"), F.col("__host").eqNullSafe(F.col("__h"))).select(_site_key("__host", "__path").alias("__site_key"), "rows", "n", "s", "hn", "hs")
     sites = materialize(sites, "sites")
+    keyed = scored.withColumn("__site_key", _site_key("__host", "__path"))
     few = sites.count() <= BROADCAST_SITES
-    found = scored.join(F.broadcast(sites) if few else sites, F.col("__host").eqNullSafe(F.col("h")) & F.col("__path").eqNullSafe(F.col("q")))
-    host_score = (F.col("hs") - F.col("__p") + by_host * mean) / (F.col("hn") - 1 + by_host)
-    path_score = (F.col("s") - F.col("__p") + by_path * host_score) / (F.col("n") - 1 + by_path)
+    found = keyed.join(F.broadcast(sites), "__site_key") if few else join_facts(keyed, sites, "__site_key", "rows", "inner")
+    one, p = F.col("__own"), F.col("__p") * F.col("__own")
+    host_score = (F.col("hs") - p + by_host * mean) / (F.col("hn") - one + by_host)
+    path_score = (F.col("s") - p + by_path * host_score) / (F.col("n") - one + by_path)
     found = found.withColumn("__site", F.when(F.col("__path").isNull(), host_score).otherwise(path_score))
     odds = _log_odds(F.col("__p")) + SITE_SHARE * (_log_odds(F.col("__site")) - _log_odds(F.lit(mean)))
     found = found.withColumn("__score", F.when(F.col("__p") == 0, 0.0).otherwise(1 / (1 + F.exp(-odds))))
