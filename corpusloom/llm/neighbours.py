@@ -5,11 +5,13 @@ MOST_SAMPLED) makes a neighbour graph, which is cut into balanced parts: median
 it, and moves that gain neighbours within a part, under a bound on its size, refine it. A small network learns, from the
 parts of each sampled vector's neighbours, where a vector's neighbours are. It files every vector under its most probable
 part and sends a query to the most probable parts for exact reranking: as many as give the sample's held-out vectors a
-recall of TARGET, and at least as together hold ENOUGH vectors. Neighbours in the sample are farther away than in the
+recall of TARGET, and at least as together hold ENOUGH times k vectors. Neighbours in the sample are farther away than in the
 whole, so that recall is, if anything, an underestimate. Data without any structure need most of the parts, clustered data
-a few. There is a part for every PART_SIZE distinct vectors, from two parts on, and as many as MOST_SAMPLED can teach at
-most; parts are scanned in blocks of bounded bytes, so a part of any size, or many queries for it, spread over tasks, and a
-query moves once to each block of its parts.
+a few. Parts have PART_SIZE distinct vectors up to a few thousand vectors, then their number grows with the root of the
+vectors (ROOTS times it), so that routing and scanning stay in balance, up to what MOST_SAMPLED can teach; parts are scanned
+in blocks of bounded bytes, so a part of any size, or many queries for it, spread over tasks, and a query moves once to each
+block of its parts. Huge components are held to a bound before the network sees them; distances are those of the vectors
+themselves, and differences whose squares leave the range of a double are scaled first.
 
 Equal vectors are one entry with its K + 1 smallest ids, which is all that the K nearest with ties to smaller ids can need;
 equal queries are searched once. Within the parts searched results are exact: a block keeps every vector as near as its
@@ -29,12 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.session import materialize, ship, table
+from corpusloom.session import materialize, release, ship, table
 
 K = 10
 SAMPLE, SAMPLED_PER_PART, MOST_SAMPLED = 4096, 32, 65_536
-GRAPH_K, HIDDEN, PART_SIZE = 12, 96, 1024
-TARGET, HELD_OUT, ENOUGH = 0.95, 384, 512
+GRAPH_K, HIDDEN, PART_SIZE, ROOTS = 12, 96, 64, 0.75
+TARGET, HELD_OUT, ENOUGH = 0.95, 384, 4
 #: Numbers in a block of the index and of queries: 8 MB and 4 MB.
 INDEX_NUMBERS, QUERY_NUMBERS = 1 << 20, 1 << 19
 
@@ -90,11 +92,12 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 8
 class Router:
     """One hidden layer and a softmax over parts; fitted by Adam to the parts of a vector's neighbours."""
 
-    def __init__(self, x: np.ndarray, target: np.ndarray, epochs: int = 16, seed: int = 1):
+    def __init__(self, x: np.ndarray, own: np.ndarray, near: np.ndarray, parts: int, limit: float = np.inf, epochs: int = 16, seed: int = 1):
+        """own: the part of each row; near: those of its neighbours, which count half together. limit: of components."""
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = x.mean(0), x.std() + 1e-12
+        self.limit, self.mean, self.scale = limit, x.mean(0), x.std() + 1e-12
         z = ((x - self.mean) / self.scale).astype(np.float32)
-        dims, parts = z.shape[1], target.shape[1]
+        dims = z.shape[1]
         w = [rng.normal(0, dims**-0.5, (dims, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, parts)), np.zeros(parts)]
         self.w = [a.astype(np.float32) for a in w]
         m, v, t = [np.zeros_like(a) for a in self.w], [np.zeros_like(a) for a in self.w], 0
@@ -103,7 +106,11 @@ class Router:
             for a in range(0, len(z), 256):
                 b = order[a : a + 256]
                 h = np.maximum(z[b] @ self.w[0] + self.w[1], 0)
-                g = (self._softmax(h @ self.w[2] + self.w[3]) - target[b]) / len(b)
+                g = self._softmax(h @ self.w[2] + self.w[3])
+                rows = np.arange(len(b))
+                g[rows, own[b]] -= 0.5
+                np.subtract.at(g, (rows[:, None], near[b]), 0.5 / near.shape[1])
+                g /= len(b)
                 back = (g @ self.w[2].T) * (h > 0)
                 grads, t = [z[b].T @ back, back.sum(0), h.T @ g, g.sum(0)], t + 1
                 for k, d in enumerate(grads):
@@ -117,30 +124,55 @@ class Router:
         return e / e.sum(1, keepdims=True)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale).astype(np.float32)
+        z = ((np.clip(x, -self.limit, self.limit) - self.mean) / self.scale).astype(np.float32)
         return self._softmax(np.maximum(z @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
 
 
+    def parts_of(self, x: np.ndarray) -> np.ndarray:
+        """The most probable part of each row, some rows at a time."""
+        return np.concatenate([self(x[a : a + 4096]).argmax(1) for a in range(0, len(x), 4096)] or [np.zeros(0, dtype=np.int64)])
+
+
+def limit_of(x: np.ndarray) -> float:
+    """What components are held to: far above the usual ones, far below where squares leave a double's range."""
+    usual = np.abs(x[x != 0])
+    return min(1e100, 1e3 * float(np.median(usual))) if len(usual) else 1.0
+
+
 def fit_router(x: np.ndarray, parts: int) -> Router:
+    limit = limit_of(x)
+    x = np.clip(x, -limit, limit)
     graph = neighbour_graph(x)
     part = balanced_parts(x, graph, parts)
-    target = np.eye(parts)[part]
-    for j in range(graph.shape[1]):
-        target += np.eye(parts)[part[graph[:, j]]] / graph.shape[1]
-    return Router(x, (target / target.sum(1, keepdims=True)).astype(np.float32))
+    return Router(x, part, part[graph], parts, limit)
 
 
 def probes_for(router: Router, x: np.ndarray, held_out: int, k: int = K, target: float = TARGET) -> int:
     """The fewest parts that hold ``target`` of the k nearest sample vectors of the first ``held_out`` ones."""
-    asked, k = x[:held_out], min(k, len(x) - 1)
-    d = (x * x).sum(1)[None, :] - 2 * asked @ x.T
-    d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
-    parts = router(x).argmax(1)
-    rank = np.argsort(np.argsort(-router(asked), axis=1), axis=1)
-    reached = np.sort(np.take_along_axis(rank, parts[np.argpartition(d, k - 1, axis=1)[:, :k]], axis=1).ravel())
+    x, k, found = np.clip(x, -router.limit, router.limit), min(k, len(x) - 1), []
+    parts, sq = router.parts_of(x), (x * x).sum(1)
+    for a in range(0, held_out, 64):
+        asked = x[a : min(a + 64, held_out)]
+        d = sq[None, :] - 2 * asked @ x.T
+        d[np.arange(len(asked)), np.arange(a, a + len(asked))] = np.inf
+        rank = np.argsort(np.argsort(-router(asked), axis=1), axis=1)
+        found.append(np.take_along_axis(rank, parts[np.argpartition(d, k - 1, axis=1)[:, :k]], axis=1).ravel())
+    reached = np.sort(np.concatenate(found))
     return int(reached[int(np.ceil(target * len(reached))) - 1]) + 1
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of ``q`` to rows; where squares leave the range of a double, by differences in their own unit."""
+    with np.errstate(over="ignore", under="ignore"):
+        d = x - q
+        out = np.sqrt((d * d).sum(1))
+        odd = ~np.isfinite(out) | ((out < 1e-140) & d.any(axis=1))
+        if odd.any():
+            unit = np.abs(d[odd]).max(axis=1)
+            out[odd] = unit * np.sqrt(((d[odd] / unit[:, None]) ** 2).sum(1))
+    return out
+
+
 def usable(vector: Column) -> Column:
     """Neither null nor zero, every component there and finite."""
     finite = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -163,7 +195,7 @@ def nearest(
     ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     entries = materialize(ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "vectors")
     n = entries.count()
-    parts = 1 if n < 2 * (k + 1) else min(MOST_SAMPLED // SAMPLED_PER_PART, max(2, round(n / PART_SIZE)))
+    parts = 1 if n < 2 * (k + 1) else min(MOST_SAMPLED // SAMPLED_PER_PART, max(2, min(round(n / PART_SIZE), round(ROOTS * n**0.5))))
     router = None
     if parts > 1:
         size = max(SAMPLE, SAMPLED_PER_PART * parts)
@@ -179,9 +211,10 @@ def nearest(
     def file_under(v: pd.Series) -> pd.Series:
         if shared.value is None or not len(v):
             return pd.Series(np.zeros(len(v), dtype=np.int32))
-        return pd.Series(shared.value(np.stack(v.to_numpy())).argmax(1).astype(np.int32))
+        return pd.Series(shared.value.parts_of(np.stack(v.to_numpy())).astype(np.int32))
 
     index = materialize(entries.withColumn("part", file_under("v")), "index")
+    release(entries)
     count = {r.part: r["count"] for r in index.groupBy("part").count().collect()}  # a row for each part
 
     @F.pandas_udf("array<int>")
@@ -192,7 +225,7 @@ def nearest(
         held = np.array([count.get(p, 0) for p in range(parts)])
         out = []
         for o in order:
-            reach = int(np.searchsorted(np.cumsum(held[o]), ENOUGH)) + 1
+            reach = int(np.searchsorted(np.cumsum(held[o]), ENOUGH * k)) + 1
             out.append([int(p) for p in o[: max(probes or 1, reach)] if held[p]])
         return pd.Series(out, dtype=object)
 
@@ -209,16 +242,20 @@ def nearest(
         if not len(entries) or not len(queries):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         x, y = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (entries, queries))
-        sq, most, out = (x * x).sum(1), min(len(x), k + 1), []
+        # Rough values in a unit in which no square leaves the range of a double.
+        big = max(np.abs(x).max(), np.abs(y).max())
+        unit = big if big > 1e100 or big < 1e-100 else 1.0
+        u = x / unit
+        sq, most, out = (u * u).sum(1), min(len(x), k + 1), []
         ids = entries["ids"].to_list()
         for s in range(0, len(y), 256):
-            part = y[s : s + 256]
-            rough = sq[None, :] - 2 * part @ x.T
+            part, rough_part = y[s : s + 256], y[s : s + 256] / unit
+            rough = sq[None, :] - 2 * rough_part @ u.T
             # Rounding moves a rough value by far less than this.
-            reach = np.partition(rough, most - 1, axis=1)[:, most - 1] + 1e-9 * (sq.max() + (part * part).sum(1))
+            reach = np.partition(rough, most - 1, axis=1)[:, most - 1] + 1e-9 * (sq.max() + (rough_part * rough_part).sum(1))
             for i, q in enumerate(queries["q"].to_numpy()[s : s + 256]):
                 near = np.flatnonzero(rough[i] <= reach[i])
-                exact = np.sqrt(((x[near] - part[i]) ** 2).sum(1))
+                exact = distances(x[near], part[i])
                 found = sorted((d, v) for d, j in zip(exact.tolist(), near.tolist()) for v in ids[j])
                 out += [(q, v, d) for d, v in found[: k + 1]]
         return pd.DataFrame(out, columns=["q", "id", "score"])
