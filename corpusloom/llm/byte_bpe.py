@@ -211,9 +211,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
         c.forget()
 
     own = ("ids", "n_tokens", *(["decoded"] if decoded else []))
-    out = df.withColumn("__e", run(F.col(text_col)))
+    out = df.select(F.struct(F.lit(0).alias("__"), *[c for c in df.columns if c not in own]).alias("__doc"), run(F.col(text_col)).alias("__e"))
     return out.select(
-        *[c for c in df.columns if c not in own],
+        *[F.col("__doc")[c].alias(c) for c in df.columns if c not in own],
         F.col("__e.ids").alias("ids"),
         (F.octet_length("__e.ids") / 4).cast("long").alias("n_tokens"),
         *([F.col("__e.data").alias("decoded")] if decoded else []),
@@ -231,7 +231,8 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
         for part in ids:
             yield pd.Series([decode_ids(i, w) for i in part], dtype=object)
 
-    return df.withColumn("__data", data(F.col(ids_col))).select(*[c for c in df.columns if c != "decoded"], F.col("__data").alias("decoded"))
+    packed = df.select(F.struct(F.lit(0).alias("__"), *[c for c in df.columns if c != "decoded"]).alias("__doc"), data(F.col(ids_col)).alias("__data"))
+    return packed.select(*[F.col("__doc")[c].alias(c) for c in df.columns if c != "decoded"], F.col("__data").alias("decoded"))
 
 
 def digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -214,8 +214,9 @@ def _matched(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, it
 def match_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_spans (word positions [first, last)) and hit_items (item ids as sorted strings)."""
     own = ("n_words", "n_hit", "hit_spans", "hit_items")
-    out = _matched(docs, items, text_col, item_col, item_text_col, window)
-    return out.select(*[c for c in docs.columns if c not in own], F.col("__m.n").alias("n_words"), _hit_words().alias("n_hit"), F.col("__m.s").alias("hit_spans"), F.col("__m.i").alias("hit_items"))
+    packed = docs.select(F.struct(F.lit(0).alias("__"), *[c for c in docs.columns if c not in (*own, text_col)]).alias("__doc"), F.col(text_col).alias("__text"))
+    out = _matched(packed, items, "__text", item_col, item_text_col, window)
+    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col("__doc")[c].alias(c) for c in docs.columns if c not in own], F.col("__m.n").alias("n_words"), _hit_words().alias("n_hit"), F.col("__m.s").alias("hit_spans"), F.col("__m.i").alias("hit_items"))
 
 
 def _hit_words() -> Column:

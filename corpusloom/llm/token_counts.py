@@ -112,10 +112,10 @@ def count_tokens(df: DataFrame, model_path: str, text_col: str = "text", limit:
     own = {"n_bytes", "n_tokens", "over_limit"}
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
-        df.withColumn("__n", tokens(text))
+        df.select(F.struct(F.lit(0).alias("__"), *[c for c in df.columns if c not in own]).alias("__doc"), F.octet_length(text).cast("long").alias("n_bytes"), tokens(text).alias("__n"))
         .select(
-            *[c for c in df.columns if c not in own],
-            F.octet_length(text).cast("long").alias("n_bytes"),
+            *[F.col("__doc")[c].alias(c) for c in df.columns if c not in own],
+            "n_bytes",
             F.col("__n").alias("n_tokens"),
             (F.col("__n") > limit).alias("over_limit"),
         )

@@ -175,14 +175,15 @@ class ToxicityModel:
     def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """``df`` with score (0 to 1) and predicted (1 from 0.5 on)."""
         own = ("score", "predicted")
+        packed = df.select(F.struct(F.lit(0).alias("__"), *[c for c in df.columns if c not in own]).alias("__doc"), F.col(text_col).alias("__text"))
         if self.trees is None:
-            out = df.withColumn("__score", F.lit(float(self.share)))
+            out = packed.withColumn("__score", F.lit(float(self.share)))
         else:
-            found = self.trees.transform(_vectors(df, text_col, self.lexicon)).withColumn("__raw", vector_to_array("__p")[1])
+            found = self.trees.transform(_vectors(packed, "__text", self.lexicon)).withColumn("__raw", vector_to_array("__p")[1])
             found = self.calibration.transform(found) if self.calibration is not None else found.withColumn("__c", F.col("__raw"))
             # The calibrated value is a step function; a thousandth of the trees' own keeps their order within a step.
             out = found.withColumn("__score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__c") * 0.999 + F.col("__raw") * 0.001)))
-        return out.select(*[c for c in df.columns if c not in own], F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+        return out.select(*[F.col("__doc")[c].alias(c) for c in df.columns if c not in own], F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
