@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.session import hold, materialize, release
 
 BLOCK = 1024
 #: A key is hot from so many rows on, or from a HOT_KEYS-th of all rows, whichever is more: HOT_KEYS keys at most are hot.
 HOT_ROWS, HOT_KEYS = 2048, 50_000
+#: Keys of large buckets are broadcast up to so many (8 bytes each).
+BROADCAST_KEYS = 500_000
 
 
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
@@ -57,14 +59,15 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     last = state(edges)
     for _ in range(max_rounds):
-        edges = materialize(small(large(edges)), "stars")
+        before, edges = edges, materialize(small(large(edges)), "stars")
+        release(before)
         now = state(edges)
         if now == last:
             break
         last = now
     else:
         raise RuntimeError("components didn't settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select(F.col("b"), F.col("b")).distinct())
+    return hold(edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select(F.col("b"), F.col("b")).distinct()), edges)
 
 
 def linked_classes(
@@ -89,18 +92,31 @@ def linked_classes(
     """
     links, comps = _hub_links(members, verify, None)
     labelled, split = _split_buckets(members, comps)
+    read = [links, comps]
     if refine is not None:
         large = split.where(F.col("n") > BLOCK).select("key")
-        finer = materialize(refine(labelled.join(F.broadcast(large), "key").select("key", "node", "kind")), "finer")
+        finer = materialize(refine(join_keys(labelled, large).select("key", "node", "kind")), "finer")
+        read.append(finer)
         if not finer.isEmpty():
+            coarse = materialize(join_keys(labelled, large, "left_anti").select("key", "node", "kind"), "coarse")
+            release(comps)
             links, comps = _hub_links(finer, verify, links)
-            labelled, split = _split_buckets(finer.union(labelled.join(F.broadcast(large), "key", "left_anti").select("key", "node", "kind")), comps)
+            labelled, split = _split_buckets(finer.union(coarse), comps)
+            read += [coarse, links, comps]
     left = labelled.join(split.select("key", "n"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = left.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", "node", "kind", "comp", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
     more = materialize(residual_links(dealt).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    return connected_components(links.union(more))
+    out = connected_components(links.union(more))
+    release(more, *read)
+    return out
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose key is among ``keys`` (or isn't), which are broadcast up to BROADCAST_KEYS of them, else shuffled."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, "key", how)
 
 
 def _hub_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -113,8 +129,9 @@ def _hub_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], kno
     )
     pair = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     tried = materialize(pair(first, "hub", "node"), "tried")
-    links = materialize(verify(tried), "links")
-    links = links if known is None else links.union(known)
+    own = materialize(verify(tried), "links")
+    release(tried)
+    links = own if known is None else hold(own.union(known), own, known)
     return links, connected_components(links)
 
 

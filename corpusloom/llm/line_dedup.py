@@ -1,16 +1,18 @@
 """Operator 9: near-duplicate lines by a segment-partition edit join.
 
-Lines are compared in a normal form (blanks squeezed, lower case); a line is eligible from MIN_EXACT characters on, as
-shorter ones ("Yes.") repeat by nature. Equal lines are always linked. Two lines of MIN_CHARS characters or more are also
-linked when their edit distance is at most EDITS characters, or at most ``word_edits`` words, a number that grows with the
+Lines are compared in a normal form (blanks squeezed, lower case); a line is eligible from ``min_exact`` characters on
+(MIN_EXACT by default), as shorter ones ("Yes.") repeat by nature; with 1 every line that isn't blank is. Equal eligible lines
+are always linked. Two lines of ``min_chars`` characters or more (MIN_CHARS by default, 1 at least) are also linked when their edit distance is at most EDITS characters, or at most ``word_edits`` words, a number that grows with the
 words of the shorter line: one from MIN_WORDS words on, then the root of a twelfth of the words (2 from 48, 3 from 108, 4
-from 192, without an end). By the root, as the keys of a line grow with the cube of the threshold. A line of one long word
+from 192, up to MOST_WORD_EDITS from 768 on). By the root and with an end, as the keys of a line grow with the cube of the
+threshold: a line of any length has some hundreds of keys of words at most. A line of one long word
 or without blanks is compared by characters only.
 
 A line of length L is cut into threshold + 1 segments; by pigeonhole a line within the threshold holds one of them
 unchanged, near its place. The index has (L, segment number, segment); a line of length M looks up the substrings of the
 multi-match-aware positions for every L that may lie so near. Characters and words are two such indexes, and L has its own
-threshold in the second. Lines that share a key are verified by a banded bit-parallel edit distance. Equal lines are one
+threshold in the second. Lines too short for segments of their own have the keys of what is left of them without up to EDITS
+characters, which near lines share. Lines that share a key are verified by a banded bit-parallel edit distance. Equal lines are one
 node; buckets are joined through their smallest nodes first and through bounded blocks where that leaves several
 components (see ``components``).
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize, ship, table
+from corpusloom.session import materialize, release, ship, table
 
 from .components import in_blocks, join_facts, linked_classes
 
@@ -45,8 +47,10 @@ MIN_CHARS = 24
 #: Equal lines are copies from so many characters on.
 MIN_EXACT = 5
 MIN_WORDS = 8
+MOST_WORD_EDITS = 8
 #: Keys of words have seeds from here on.
 WORD_SEEDS = 1 << 56
+SHORT_SEED = 7
 #: Candidate lines up to so many are broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_NODES = 500_000
 SEEN = 300_000
@@ -73,7 +77,7 @@ def segments(length: int, parts: int = EDITS + 1) -> list[tuple[int, int]]:
 
 def word_edits(words: int) -> int:
     """Words that may differ between a line of so many words and one that isn't shorter."""
-    return max(1, math.isqrt(words // 12)) if words >= MIN_WORDS else 0
+    return min(MOST_WORD_EDITS, max(1, math.isqrt(words // 12))) if words >= MIN_WORDS else 0
 
 
 def _spans(size: int, length: int, edits: int, seed: int) -> list[tuple[int, int, int, int]]:
@@ -154,9 +158,25 @@ def _keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys.append((h ^ (h >> np.uint64(29))).view(np.int64))
         kinds.append(kind)
         of.append(np.repeat([k for _, _, k in own], counts))
+    short = [(k, x) for k, line in enumerate(lines) if len(line) <= 2 * EDITS for x in _left_of(line)]
+    if short:
+        keys.append(np.array([_short_key(x) for _, x in short], dtype=np.int64))
+        kinds.append(np.full(len(short), 3))
+        of.append(np.array([k for k, _ in short]))
     return np.concatenate(keys), np.concatenate(kinds), np.concatenate(of)
 
 
+def _left_of(line: str) -> set[str]:
+    """What is left of a short line without up to EDITS of its characters."""
+    return {"".join(c) for n in range(max(0, len(line) - EDITS), len(line) + 1) for c in itertools.combinations(line, n)}
+
+
+def _short_key(left: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(left, SHORT_SEED) - (1 << 63)
+
+
 def line_keys(line: str) -> list[tuple[int, int]]:
     """(key, kind) of a normal line: kind 1 is an index entry, 2 a look-up, 3 both; a key may come with several kinds."""
     keys, kinds, _ = _keys([line])
@@ -206,9 +226,9 @@ def within(a: str | list[str], b: str | list[str], edits: int = EDITS) -> bool:
     return bool(level[edits] >> (len(a) - len(b) + edits) & 1)
 
 
-def _eligible(text: str | None) -> Iterator[tuple[int, str]]:
+def _eligible(text: str | None, least: int = MIN_EXACT) -> Iterator[tuple[int, str]]:
     for i, line in enumerate(text.split("\n") if text else ()):
-        if len(line) >= MIN_EXACT and len(x := normal(line)) >= MIN_EXACT:
+        if len(line) >= least and len(x := normal(line)) >= least:
             yield i, x
 
 
@@ -227,7 +247,7 @@ def _short(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64)[::2] >> 2
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, mark) of the lines of texts, a mark being a line's short node and the kind in its last two bits; a line that the task has just seen isn't repeated."""
     seen: set[bytes] = set()
 
@@ -238,9 +258,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, lines, size = [], [], 0
         for text in batch.column(0).to_pylist():
-            for _, line in _eligible(text):
-                if len(line) < MIN_CHARS:
-                    continue
+            for _, line in _eligible(text, least):
                 d = _node(line)
                 if d in seen:
                     continue
@@ -257,13 +275,13 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield made()
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _occurrences(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(__id, __key, n, lines): each text's number of lines, and places and nodes of the eligible ones."""
     for batch in batches:
         counts, ends, places, nodes = [], [0], [], []
         for text in batch.column(2).to_pylist():
             counts.append(text.count("\n") + 1 if text else 0)
-            for i, line in _eligible(text):
+            for i, line in _eligible(text, least):
                 places.append(i)
                 nodes.append(_node(line))
             ends.append(len(places))
@@ -271,13 +289,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["__id", "__key", "n", "lines"])
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for batch in batches:
         nodes, lines = [], []
         for text in batch.column(0).to_pylist():
-            for _, line in _eligible(text):
-                if len(line) >= MIN_CHARS and (d := _node(line)) not in seen:
+            for _, line in _eligible(text, least):
+                if (d := _node(line)) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(d)
@@ -325,20 +343,22 @@ def _links_in_block(cols: dict[str, np.ndarray], first: int, last: int) -> list[
     return out
 
 
-def line_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(node, comp) of the eligible lines that are linked to another; node is the 128-bit digest of the normal line."""
-    texts = docs.select(F.col(text_col).alias("t")).where(F.octet_length("t") >= MIN_CHARS)
+def line_classes(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(node, comp) of the lines of ``min_chars`` or more that are linked to another; node is the 128-bit digest of the normal line."""
+    least = max(1, min_chars)
+    texts = docs.select(F.col(text_col).alias("t")).where(F.octet_length("t") >= least)
     # Two numbers a row: this is the widest shuffle, and Spark aggregates numbers by hashing, where bytes would have to be sorted.
-    entries = texts.mapInArrow(_entries, "key long, mark long").repartition("key")
+    entries = texts.mapInArrow(functools.partial(_entries, least), "key long, mark long").repartition("key")
     short, kind = F.shiftright("mark", 2), F.col("mark").bitwiseAND(3)
     shared = entries.groupBy("key").agg(F.min(short).alias("a"), F.max(short).alias("b"), F.bit_or(kind).alias("k")).where("a <> b and k = 3").select("key")
     found = entries.join(shared, "key").groupBy("key", short.alias("short")).agg(F.bit_or(kind).cast("int").alias("kind"))
     found = materialize(found, "members")
     wanted = found.select("short").distinct()
     few = wanted.count() <= BROADCAST_NODES
-    held = texts.mapInArrow(_lines, "short long, node binary, line string").join(F.broadcast(wanted) if few else wanted, "short", "left_semi")
+    held = texts.mapInArrow(functools.partial(_lines, least), "short long, node binary, line string").join(F.broadcast(wanted) if few else wanted, "short", "left_semi")
     lines = materialize(held.groupBy("node").agg(F.first("short").alias("short"), F.first("line").alias("line")), "lines")
     members = materialize(found.join(lines.select("short", "node"), "short").select("key", "node", "kind"), "members")
+    release(found)
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -351,30 +371,35 @@ def line_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def residual(dealt: DataFrame) -> DataFrame:
         return in_blocks(dealt.join(lines, "node").select("key", "part", "part_a", "part_b", "node", "kind", "comp", "line"), _links_in_block, "a binary, b binary")
 
-    return linked_classes(members, verify, residual)
+    comps = linked_classes(members, verify, residual)
+    release(members, lines)
+    return comps
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_exact: int = MIN_EXACT, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``text_col`` rid of dropped lines, n_lines, n_eligible, n_dropped and dropped.
 
     dropped: (line_no, first_id, first_line_no) of each dropped line, first being the class's occurrence that stays.
+    min_exact, min_chars: from how many characters on equal and near lines are linked; lines that may be near may be equal too.
     """
     own = ("n_lines", "n_eligible", "n_dropped", "dropped")
     ship(docs.sparkSession)
     base = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"))
 
     kind = base.schema["__id"].dataType.simpleString()
-    counted = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text")).mapInArrow(_occurrences, f"__id {kind}, __key long, n int, lines array<struct<line_no:int,node:binary>>")
+    counted = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text")).mapInArrow(functools.partial(_occurrences, max(1, min(min_exact, min_chars))), f"__id {kind}, __key long, n int, lines array<struct<line_no:int,node:binary>>")
     counted = materialize(counted, "occurrences")
     counted_lines = counted.select("__id", "__key", F.explode("lines").alias("x")).select("__id", "__key", "x.line_no", "x.node")
-    comps = line_classes(docs, text_col)
+    comps = line_classes(docs, text_col, min_chars)
     # A row for each distinct line, so that a very common one is a row too when classes are looked up.
     at = F.struct("__id", "__key", "line_no")
     nodes = counted_lines.groupBy("node").agg(F.count("*").alias("rows"), F.min(at).alias("f"))
     nodes = nodes.join(comps, "node", "left").where("rows > 1 or comp is not null")
     nodes = materialize(nodes.select("node", "rows", "f", F.coalesce("comp", "node").alias("cls")), "nodes")
+    release(comps)
     classes = nodes.groupBy("cls").agg(F.count("*").alias("many"), F.min("f").alias("f"))
     facts = materialize(join_facts(nodes.select("node", "rows", "cls"), classes.select("cls", "many", "f"), "cls", "many", "inner").select("node", "rows", "f"), "facts")
+    release(nodes)
     again = join_facts(counted_lines, facts, "node", "rows", "inner").where(~at.eqNullSafe(F.col("f")))
     # A row that repeats with its id and text has each line twice; a set keeps one of each.
     dropped = again.groupBy("__id", "__key").agg(F.collect_set(F.struct("line_no", F.col("f.__id").alias("first_id"), F.col("f.line_no").alias("first_line_no"))).alias("d"))

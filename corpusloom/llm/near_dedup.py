@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize, ship, table
+from corpusloom.session import materialize, release, ship, table
 
 from .components import in_blocks, join_facts, linked_classes
 
@@ -236,6 +236,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     comps = linked_classes(members, verify, residual_links, refine)
     of_nodes = nodes.select("node", "rows", "first").join(comps, "node", "left").select("node", "rows", "first", F.coalesce("comp", "node").alias("comp"))
     of_nodes = materialize(of_nodes, "nodes")
+    release(members, sets, nodes, comps)
     of_comps = of_nodes.groupBy("comp").agg(F.count("*").alias("many"), F.min("first").alias("first"))
     # A node that is alone in its component needn't be joined with it.
     whole = join_facts(of_nodes.select("node", "rows", "comp"), of_comps, "comp", "many", "inner")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm.components import join_facts
-from corpusloom.session import materialize, ship, table
+from corpusloom.session import materialize, release, ship, table
 
 #: Turns of a conversation, or nodes of a path, in a block; conv_ids in a chunk of a node's members.
 BLOCK, CHUNK = 1024, 4096
@@ -237,6 +237,7 @@ def prefix_trie(sequences: DataFrame, block: int = BLOCK) -> DataFrame:
     sequences = materialize(sequences, "sequences")
     longest = sequences.agg(F.max("length")).first()[0] or 0
     rows = materialize(prefix_keys(sequences, block, longest), "prefixes")
+    release(sequences)
     key, up = ["k1", "k2"], ["p1", "p2"]
     constant = [F.max("depth").alias("depth"), F.max("n_bytes").alias("n_bytes"), F.min("p1").alias("p1"), F.min("p2").alias("p2")]
     nodes = materialize(rows.groupBy(*key).agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("owner"), *constant), "nodes")
@@ -254,6 +255,7 @@ def prefix_trie(sequences: DataFrame, block: int = BLOCK) -> DataFrame:
     tree = tree.select(*key, F.col("conv_id"), "depth", "light", "level", F.col("head.k1").alias("h1"), F.col("head.k2").alias("h2"), "node.*")
     tree = tree.withColumn("saved", (F.col("n_convs") - 1) * F.col("n_bytes")).withColumn("leaves", F.col("children").isNull().cast("long"))
     tree = materialize(tree, "tree")
+    release(nodes, heavy, facts)
     # Levels are at most log2 of the number of conversations.
     levels = sorted((r.level for r in tree.select("level").distinct().collect()), reverse=True)
     done = None
