@@ -7,15 +7,41 @@
 5. encode: byte-level BPE; one row of digests for each document.
 
 Empty and null texts have no evidence of quality and go with the first stage; an empty table passes every stage.
+
+A stage's scratch tables are needed until its result has been written. They go when the next stage begins, whose documents are
+then read from that result (if they still are read from the scratch tables themselves, these stay).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_bpe, decontamination, line_dedup, near_dedup, quality
-from corpusloom.session import materialize, table
+from corpusloom.session import materialize, release, scratch, table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch tables of the stage that ran last.
+_LEFT: list[DataFrame] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _LEFT:
+            read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()}
+            if not any(p.rsplit("/", 1)[-1] in read for t in _LEFT for p in t._scratch):
+                release(*(t for t in _LEFT if t.sparkSession.sparkContext is spark.sparkContext))
+            _LEFT.clear()
+        with written() as tables:
+            out = stage(spark, docs, sf_dir)
+        _LEFT.extend(tables)
+        return out
+
+    return run_stage
 
 
 def _sized(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -23,6 +49,7 @@ def _sized(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType)) if "n_chars" in like.columns else df
 
 
+@_tidy
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     # The operator's columns must not hide those of documents.
@@ -30,6 +57,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_quality(packed, model).where("keep").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
+@_tidy
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The text goes along once.
     packed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "doc_id", "text")
@@ -37,14 +65,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _sized(found.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]), docs)
 
 
+@_tidy
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.keep_one(docs)
 
 
+@_tidy
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _sized(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")), docs)
 
 
+@_tidy
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(docs)
 
@@ -61,7 +92,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch() as kept:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
