@@ -8,12 +8,15 @@ check residue, a bank account its country and the residue of its check digits, a
 mail address its top-level domain; an IPv6 address becomes one of eight groups; a given name becomes one of the same gender
 and script, family names are built of syllables of the script (letter by letter in scripts without a list here).
 
-Surrogates are unique within a type and never equal an entity of the corpus: candidates are checked in rounds, and those
-that collide try again with the next attempt number; mail addresses and names grow with it. What is still without a
+Surrogates are unique within a type and never equal an entity of the corpus (names of all kinds are one type here, so that no
+surrogate is another person's name): candidates are checked in rounds, and those that collide try again with the next attempt number; mail addresses and names grow with it. What is still without a
 surrogate after ROUNDS attempts, as its layout is used up by the corpus itself, gets a tag of its type and a keyed hash. Mentions that differ in layout only ((555) 010-2000, 5550102000)
 are one entity and each keeps its layout, so coreference survives within and across documents. A word of a name is one
 entity wherever it stands: it is a given name if it comes before another word of a name in any mention, otherwise a family
-name, and its gender is that of most of its titled mentions (neutral for a tie). Later mentions without a title are found
+name, and its gender is that of most of its titled mentions (neutral for a tie). Words joined by a hyphen are words of their
+own with the hyphen between; particles (von, de) stay, the letters of initials are rotated in their alphabet by the key (they
+are too few to be kept off other initials), and a word in capitals gets capitals. After a title, one or two words of a script
+without case count as a name. Names that never follow a title, addresses and dates of birth are not looked for. Later mentions without a title are found
 as well: capitalised words that are words of a titled name of the same text get its surrogate; they don't count as mentions
 of their own.
 
@@ -25,6 +28,7 @@ columns that clash with output names are replaced.
 from __future__ import annotations
 
 import functools
+import hashlib
 import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,7 +61,8 @@ ALPHABET = {"l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKED = {"l": "àáâäçèéêëìíîïñòóôöùúûü", "u": "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ"}
 RANGES = {"IsHan": (0x4E00, 0x9FA5), "IsHangul": (0xAC00, 0xD7A3), "IsHiragana": (0x3042, 0x308F), "IsKatakana": (0x30A2, 0x30EF), "IsArabic": (0x0628, 0x063A), "IsHebrew": (0x05D0, 0x05EA), "IsDevanagari": (0x0915, 0x0939), "IsThai": (0x0E01, 0x0E2E)}
 #: Words that follow Miss or Don as words, not as titles of names.
-NO_NAME = "You|Your|The|This|That|It|Its|A|An|I|We|They|He|She|My|Our|All|No|Not"
+NO_NAME = "You|Your|The|This|That|It|Its|A|An|I|We|They|He|She|My|Our|All|No|Not|President|Chairman|Chairwoman|Speaker|Secretary|Minister|Universe|World|America|Right|Wrong"
+PARTICLES = "von|vom|van|de|del|della|der|den|dem|di|da|du|la|le|los|las|zu|zur|zum|ten|ter|y|e|bin|ibn|al"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
@@ -67,9 +72,11 @@ _IP6 = rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*\d)(?:{_HEX}(?::{_HE
 _MORE = r"[\p{L}\p{M}]++(?:-\p{L}[\p{L}\p{M}]*+|['’](?!(?:s|ll|ve|re|d|m)(?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+"
 _WORD = rf"\p{{Lu}}(?:{_MORE}|(?:['’\-]\p{{L}}[\p{{L}}\p{{M}}]*+)++)"
 #: Where a capitalised word of a name begins or ends in other text.
-_EDGES = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?<![\p{{L}}\p{{M}}]['’\-])(?=\p{{Lu}})|(?<=[\p{{L}}\p{{M}}])(?![\p{{L}}\p{{M}}\p{{N}}_'’\-])|(?<=[\p{{L}}\p{{M}}])(?=['’](?:s|ll|ve|re|d|m)(?!\p{{L}}))|(?<=[\p{{L}}\p{{M}}])(?=['’\-]+(?!\p{{L}}))"
+_EDGES = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?<![\p{{L}}\p{{M}}]['’])(?=\p{{Lu}})|(?<=[\p{{L}}\p{{M}}])(?![\p{{L}}\p{{M}}\p{{N}}_'’])|(?<=[\p{{L}}\p{{M}}])(?=['’](?:s|ll|ve|re|d|m)(?!\p{{L}}))|(?<=[\p{{L}}\p{{M}}])(?=['’\-]+(?!\p{{L}}))"
 _INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
-_PARTICLES = r"(?: (?:von|vom|van|de|del|della|der|den|dem|di|da|du|la|le|los|las|zu|zur|zum|ten|ter|y|e|bin|ibn|al))*+"
+_PARTICLES = rf"(?: (?:{PARTICLES}))*+"
+#: A name of one or two words in a script without case.
+_CASELESS = r"\p{Lo}[\p{Lo}\p{M}]*+(?: \p{Lo}[\p{Lo}\p{M}]*+)?+"
 _TITLE = "|".join((*MALE, *FEMALE, *NEUTRAL))
 #: A value that follows is a secret, whatever it looks like.
 _ASSIGNED = r"(?i:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token) {0,2}[=:] {0,2}[\"']?"
@@ -83,10 +90,10 @@ PATTERNS = {
     "CARD": r"(?<![\d\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)",
     "SSN": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     # The look-ahead comes first: a look-behind of many titles is dear, and capitals are few.
-    "NAME": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_TITLE})\.? )(?!(?:{NO_NAME})(?!\p{{L}}))(?:{_WORD}|{_INITIALS}(?={_PARTICLES} \p{{Lu}}))(?:{_PARTICLES} (?:{_WORD}|{_INITIALS}|\p{{Lu}}(?= \p{{Lu}}\p{{L}})))*+",
+    "NAME": rf"(?=[\p{{Lu}}\p{{Lo}}])(?<=(?<!\p{{L}})(?:{_TITLE})\.? )(?!(?:{NO_NAME})(?!\p{{L}}))(?:{_CASELESS}|(?:{_WORD}|{_INITIALS}(?={_PARTICLES} \p{{Lu}}))(?:{_PARTICLES} (?:{_WORD}|{_INITIALS}|\p{{Lu}}(?= \p{{Lu}}\p{{L}})))*+)",
 }
 #: What a text with any entity holds: cheap to look for, so that the full pattern runs on few texts.
-GATE = (r"[0-9]{2}|[0-9]\.[0-9]", r"[A-Fa-f0-9]{32}|gh[pousr]_|[A-Fa-f0-9]:[A-Fa-f0-9]{1,4}:", r"[A-Za-z] {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/=.~\-]{6}", r"[MHFSDPГг](?:r|rs|s|iss|onsieur|adame|me|errn?|rau|eñora?|ra|on|oña|rof|-н|-жа)\.? \p{Lu}")
+GATE = (r"[0-9]{2}|[0-9]\.[0-9]", r"[A-Fa-f0-9]{32}|gh[pousr]_|[A-Fa-f0-9]:[A-Fa-f0-9]{1,4}:", r"[A-Za-z] {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/=.~\-]{6}", r"[MHFSDPГг](?:r|rs|s|iss|onsieur|adame|me|errn?|rau|eñora?|ra|on|oña|rof|-н|-жа)\.? [\p{Lu}\p{Lo}]")
 SIGNS = ("@", "AKIA", "sk-", "::")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -210,9 +217,10 @@ def _surrogate(kind: Column, canon: Column, plain: Column, s: Column, attempt: i
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canon, surrogate) for distinct (kind, canon, fixed): unique within a kind, and no entity of the corpus."""
+    """(kind, canon, surrogate) for distinct (kind, canon, fixed): unique within a kind, all names together, and no entity of the corpus."""
+    space = F.when(F.col("kind").startswith("GIVEN") | (F.col("kind") == "FAMILY"), "NAME").otherwise(F.col("kind")).alias("space")
     waiting = materialize(entities, "entities")
-    real = waiting.select("kind", F.lower("canon").alias("low"))
+    real = waiting.select(space, F.lower("canon").alias("low"))
     settled = None
     for attempt in range(ROUNDS):
         # Columns of their own, as an expression that is used again and again makes plans too large for the driver.
@@ -220,10 +228,10 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         tried = waiting.withColumn("hexa", (kind == "SECRET") & canon.rlike("^[a-f0-9]+$")).withColumn("stream", _stream(kind, canon, attempt, key))
         tried = tried.withColumn("plain", _plain(kind, canon, F.col("fixed"), F.col("hexa"), attempt, key))
         tried = tried.withColumn("surrogate", _surrogate(kind, canon, F.col("plain"), F.col("stream"), attempt)).withColumn("low", F.lower("surrogate"))
-        taken = real if settled is None else real.union(settled.select("kind", F.lower("surrogate").alias("low")))
-        free = tried.join(taken, ["kind", "low"], "left_anti")
-        first = free.groupBy("kind", "low").agg(F.min(F.struct("canon", "surrogate")).alias("w"))
-        won = materialize(first.select("kind", F.col("w.canon").alias("canon"), F.col("w.surrogate").alias("surrogate")), "assigned")
+        taken = real if settled is None else real.union(settled.select(space, F.lower("surrogate").alias("low")))
+        free = tried.select("*", space).join(taken, ["space", "low"], "left_anti")
+        first = free.groupBy("space", "low").agg(F.min(F.struct("canon", "kind", "surrogate")).alias("w"))
+        won = materialize(first.select(F.col("w.kind").alias("kind"), F.col("w.canon").alias("canon"), F.col("w.surrogate").alias("surrogate")), "assigned")
         settled = won if settled is None else settled.union(won)
         waiting = materialize(waiting.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), "waiting")
         if waiting.isEmpty():
@@ -239,7 +247,17 @@ def _laid_out(mention: Column, surrogate: Column, kind: Column) -> Column:
     filled = F.aggregate(F.split(mention, ""), start, step)["out"]
     filled = F.when(kind == "IBAN", F.upper(filled)).otherwise(filled)
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(surrogate.startswith("["), surrogate).when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), filled).when(kind == "EMAIL", cased).otherwise(surrogate)
+    cased = F.when(F.length(mention) > 1, cased).otherwise(surrogate)
+    return F.when(surrogate.startswith("["), surrogate).when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), filled).when(kind.isin("EMAIL", "NAME"), cased).otherwise(surrogate)
+
+
+def _initials(part: Column, key: str) -> Column:
+    """Initials with each letter moved on in its alphabet, as far as the key says: two stay two."""
+    out = part
+    for letters in (ALPHABET["u"], ALPHABET["C"], ALPHABET["G"]):
+        far = int(hashlib.sha256(f"{key}{letters}".encode()).hexdigest(), 16) % (len(letters) - 1) + 1
+        out = F.translate(out, letters, letters[far:] + letters[:far])
+    return out
 
 
 def surrogate_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
@@ -259,37 +277,48 @@ def surrogate_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # What only looks like a card stays where it is, as a mention without a type.
     mentions = mentions.withColumn("type", F.when((F.col("type") != "CARD") | ((F.length(digits) >= 13) & (_luhn(digits) == 0)), F.col("type")))
     gender = F.when(title.rlike(rf"(?:{'|'.join(FEMALE)})\.? $"), "F").when(title.rlike(rf"(?:{'|'.join(MALE)})\.? $"), "M").otherwise("N")
+    # Names go word by word, what a hyphen joins too; each part keeps what stood before it.
+    pieces = lambda w, i: F.transform(F.split(w, "-"), lambda p, j: F.struct(p.alias("part"), F.when(j > 0, "-").when(i > 0, " ").otherwise("").alias("sep"), i.alias("word")))
     words = F.when(F.col("type") == "NAME", F.split("mention", " ")).otherwise(F.array("mention"))
-    parts = mentions.select("__id", "__key", "pos", "type", gender.alias("gender"), F.size(words).alias("many"), F.posexplode(words).alias("sub", "part"))
+    whole = F.transform(words, lambda w, i: F.array(F.struct(w.alias("part"), F.lit("").alias("sep"), i.alias("word"))))
+    split_ = F.when(F.col("type") == "NAME", F.transform(words, pieces)).otherwise(whole)
+    parts = mentions.select("__id", "__key", "pos", "type", gender.alias("gender"), F.size(words).alias("many"), F.posexplode(F.flatten(split_)).alias("sub", "p"))
+    parts = parts.select("__id", "__key", "pos", "type", "gender", "many", "sub", "p.part", "p.sep", "p.word")
+    # Parts of a name that are no entity of their own.
+    initial = (F.col("type") == "NAME") & F.col("part").rlike(r"^(?:\p{Lu}\.)+$|^\p{Lu}$")
+    aside = F.coalesce((F.col("type") == "NAME") & F.col("part").rlike(rf"^(?:{PARTICLES})$") | initial, F.lit(False))
+    parts = parts.withColumn("aside", aside)
     kind = F.when((F.col("type") == "IP") & F.contains("part", F.lit(":")), "IP6").otherwise(F.col("type"))
     parts = parts.withColumn("kind", kind).withColumn("canon", _canonical(F.col("kind"), F.col("part")))
     # Leading characters that stay: a card's issuer digit, an international number's country code, a bank account's country, a key's prefix.
     country = F.length(F.regexp_extract("part", r"^\+(\d{1,3})(?:[ .(\-]|$)", 1))
     fixed = F.when(F.col("kind") == "CARD", 1).when((F.col("kind") == "PHONE") & F.col("part").startswith("0"), 1).when(F.col("kind") == "PHONE", country).when(F.col("kind") == "IBAN", 2).when(F.col("part").startswith("AKIA") | F.col("part").rlike("^gh[pousr]_"), 4).when(F.col("part").startswith("sk-"), 3).otherwise(0)
-    given = F.col("sub") < F.col("many") - 1
-    parts = materialize(parts.select("__id", "__key", "pos", "sub", "type", "kind", "part", "canon", "gender", given.alias("given"), fixed.alias("fixed")), "mentions")
+    given = F.col("word") < F.col("many") - 1
+    parts = materialize(parts.select("__id", "__key", "pos", "sub", "sep", "type", "kind", "part", "aside", "canon", "gender", given.alias("given"), fixed.alias("fixed")), "mentions")
     lean = F.sum(F.when(F.col("gender") == "F", 1).when(F.col("gender") == "M", -1).otherwise(0))
     entity = F.concat_ws("\x1f", "kind", "canon")
-    entities = parts.where("type is not null").groupBy("kind", "canon").agg(F.max("fixed").alias("fixed"), F.max("given").alias("given"), lean.alias("lean"), F.count("*").alias("rows"))
+    own_parts = parts.where("type is not null and not aside")
+    entities = own_parts.groupBy("kind", "canon").agg(F.max("fixed").alias("fixed"), F.max("given").alias("given"), lean.alias("lean"), F.count("*").alias("rows"))
     entities = materialize(entities, "entities")
     settled = F.when(F.col("kind") != "NAME", F.col("kind")).when(~F.col("given"), "FAMILY").when(F.col("lean") > 0, "GIVEN_F").when(F.col("lean") < 0, "GIVEN_M").otherwise("GIVEN_N")
     assigned = assign(entities.select(settled.alias("kind"), "canon", "fixed"), key)
     assigned = assigned.withColumn("kind", F.when(F.col("kind").startswith("GIVEN") | (F.col("kind") == "FAMILY"), "NAME").otherwise(F.col("kind")))
     assigned = materialize(assigned.join(entities.select("kind", "canon", "rows"), ["kind", "canon"]).select(entity.alias("entity"), "rows", "surrogate"), "assigned")
-    named = join_facts(parts.where("type is not null").withColumn("entity", entity), assigned, "entity", "rows", "inner")
-    named = named.unionByName(parts.where("type is null"), allowMissingColumns=True).withColumn("surrogate", F.coalesce("surrogate", "part"))
-    put = named.select("__id", "__key", "pos", "sub", "type", F.when(F.col("type").isNull(), F.col("part")).otherwise(_laid_out(F.col("part"), F.col("surrogate"), F.col("kind"))).alias("put"), F.when(F.col("type") == "NAME", F.col("part")).alias("name"))
+    named = join_facts(own_parts.withColumn("entity", entity), assigned, "entity", "rows", "inner")
+    rest = parts.where("type is null or aside").withColumn("surrogate", F.when(F.col("aside") & F.col("part").rlike(r"^\p{Lu}"), _initials(F.col("part"), key)).otherwise(F.col("part")))
+    named = named.unionByName(rest, allowMissingColumns=True)
+    put = named.select("__id", "__key", "pos", "sub", "sep", "type", F.when(F.col("type").isNull() | F.col("aside"), F.col("surrogate")).otherwise(_laid_out(F.col("part"), F.col("surrogate"), F.col("kind"))).alias("put"), F.when(F.col("type") == "NAME", F.col("part")).alias("name"))
     # A set, as rows that repeat with id and text bring each mention again; a text's mentions stay together.
     # Initials and particles aren't looked for without a title.
     word = F.when(F.col("name").rlike(r"^\p{Lu}[\p{L}\p{M}'’\-]+$"), F.struct(F.col("name").alias("key"), F.col("put").alias("value")))
-    puts = put.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.struct("pos", "sub", "put", F.col("type").isNotNull().alias("is")))).alias("puts"), F.array_sort(F.collect_set("type")).alias("types"), F.map_from_entries(F.collect_set(word)).alias("names"))
+    puts = put.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.struct("pos", "sub", "put", F.col("type").isNotNull().alias("is"), "sep"))).alias("puts"), F.array_sort(F.collect_set("type")).alias("types"), F.map_from_entries(F.collect_set(word)).alias("names"))
     puts = puts.withColumnsRenamed({"__id": "i", "__key": "k"})
     joined = having.join(puts, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k")))
     # Words of names in the gaps: what lies between words stays.
     repeat = lambda w: F.coalesce(F.col("names")[w], w)
     known = lambda g: F.array_join(F.transform(F.split(g, _EDGES), repeat), "")
     gaps = F.when(F.size("names") > 0, F.transform("gaps", known)).otherwise(F.col("gaps"))
-    piece = lambda p: F.concat(F.when(p["sub"] > 0, F.lit(" ")).otherwise(F.element_at(F.col("__gaps"), p["pos"] + 1)), p["put"])
+    piece = lambda p: F.concat(F.when(p["sub"] > 0, p["sep"]).otherwise(F.element_at(F.col("__gaps"), p["pos"] + 1)), p["put"])
     text = F.concat(F.array_join(F.transform("puts", piece), ""), F.element_at("__gaps", -1))
     done = joined.withColumn("__gaps", gaps).select("__doc", text.alias("__text"), F.size(F.filter("puts", lambda p: (p["sub"] == 0) & p["is"])).alias("n_entities"), F.col("types").alias("entity_types"))
     rest = lacking.select("__doc", "__text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("entity_types"))
