@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusloom.session import hold, materialize, release
@@ -40,7 +40,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     def large(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        # Links that this makes twice become one in the small stars.
+        return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
@@ -53,15 +54,17 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        """``e`` written, with its number of links and a sum of their hashes, taken while they are written."""
+        seen = Observation()
+        out = materialize(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), name)
+        return out, (seen.get["n"], seen.get["h"])
 
-    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    last = state(edges)
+    edges, last = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     for _ in range(max_rounds):
-        before, edges = edges, materialize(small(large(edges)), "stars")
+        before = edges
+        edges, now = settled(small(large(before)), "stars")
         release(before)
-        now = state(edges)
         if now == last:
             break
         last = now
