@@ -14,7 +14,7 @@ def test_no_surrogate_is_a_real_name_of_any_kind(spark):
     neutral = pii.GIVEN["LN"]
     women = [f"Frau {n} Meier{i}" for i, n in enumerate(neutral)]
     texts = [f"{w.rstrip('0123456789')}x kam." for w in women] + [f"Dr. {n}a Schmidt kam." for n in neutral] + [f"Herr {n} Anna kam." for n in pii.GIVEN["LF"]]
-    real = {w.lower() for t in texts for w in re.findall(r"(?<=\. |au |rr )\w+ \w+|\w+", t)} | {w.lower() for t in texts for w in t.split()}
+    real = {w.lower() for t in texts for w in t.split()}
     out = replaced(spark, texts)
     for before, after in zip(texts, out):
         old, new = before.split()[1:3], after.split()[1:3]
