@@ -24,7 +24,15 @@ SCREEN_WORDS = (
     "a an the and or but on in of for to from with by at as than its it that this these those all every each some none no one after before same "
     "uses use used retains retain retained became become was is were are has had improved improves worsened"
 ).split() + [w for words in DIRECTIONS.values() for w in words]
+#: Named numbers that are no quantities, numbered places of a document, and where a list's items and sentences end.
+NAMED_NUMBER = r"\b(?:(?i:table|figure|fig\.?|section|appendix|group|fold|phase|chapter|equation)\s+[A-Za-z]?\d+(?:\.\d+)*|[A-Z][A-Za-z0-9]*[-‐‑]\d+(?:\.\d+)*[a-z]?)\b(?![.,]\d|\s*%)"
+NUMBERED_PLACE = r"(?iU)(?<![\w/])(?:table|figure|section|appendix)[ \t]+\d+(?:\.\d+)*[a-z]?(?!\w|\.\d|[ \t]*%)"
+MEASURED = r"(?U)(?<![\w.])(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:\s*%)?(?!\w|\.\d)"
+LIST_ITEM, ITEM_MARK = r"\n\s*(?=[-*•]\s|\d+[.)]\s)", r"^\s*(?:[-*•]|\d+[.)])\s+"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[\p{Lu}\p{N}\"'“‘(])"
 DECIMAL = "decimal(38,10)"
+#: What fits into DECIMAL without rounding, and the base of the parts in which larger products are compared.
+FITS, LIMB = r"^-?\d{1,28}(?:\.\d{1,10})?$", 10**13
 
 
 def _words_of(values: dict | list) -> Column:
@@ -52,33 +60,74 @@ def content_words(text: Column) -> Column:
     return F.array_except(plain_words(text), F.array(*[F.lit(w) for w in [*SCREEN_WORDS, *CARDINALS]]))
 
 
+def canonical(text: Column) -> Column:
+    """One spelling for each value of a decimal literal of any length: no commas, plus, needless zeros or point; -0 is 0."""
+    bare = F.regexp_replace(F.translate(text, "−", "-"), "[,+\\s]", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"^(-?)0+(?=\d)", "$1"), r"(\.\d*?)0+$", "$1")
+    return F.regexp_replace(F.regexp_replace(bare, r"\.$", ""), "^-0$", "0")
+
+
+def exact_decimal(spelling: Column) -> Column:
+    """A canonical spelling as DECIMAL where that holds it exactly, else null."""
+    return F.when(spelling.rlike(FITS), spelling.try_cast(DECIMAL))
+
+
 def number(text: Column) -> Column:
-    """(num, den), the exact rational of a literal: digits with commas and decimals, a fraction, a cardinal or ordinal word, any with -fold; null for others."""
+    """(num, den, exact), the exact rational of a literal: digits with commas and decimals, a fraction, a cardinal or ordinal word, any with -fold; null for others.
+
+    exact spells a number that is no fraction, whatever its length; num and den are null where DECIMAL can't hold them.
+    """
     value = F.regexp_replace(F.translate(F.lower(text), "−", "-"), "-?fold$", "")
     small = {w: i for i, w in enumerate(CARDINALS[:11])} | {w: i for i, w in enumerate(ORDINALS, 1)}
     word = _words_of(small)[value].cast(DECIMAL)
     part = r"[+-]?(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?"
-    pieces = F.transform(F.split(value, "/"), lambda p: F.replace(p, F.lit(","), F.lit("")).cast(DECIMAL))
+    pieces = F.transform(F.split(value, "/"), canonical)
     one = F.lit(1).cast(DECIMAL)
-    den = F.when(F.size(pieces) > 1, F.get(pieces, F.lit(1))).otherwise(one)
-    read = F.when(value.rlike(rf"^{part}(?:/{part})?$") & (den != 0), F.struct(F.get(pieces, F.lit(0)).alias("num"), den.alias("den")))
-    return F.coalesce(F.when(word.isNotNull(), F.struct(word.alias("num"), one.alias("den"))), read)
+    top, below = F.get(pieces, F.lit(0)), F.get(pieces, F.lit(1))
+    den = F.when(F.size(pieces) > 1, exact_decimal(below)).otherwise(one)
+    plain = F.when((F.size(pieces) == 1) | (below == "1"), top)
+    fine = value.rlike(rf"^{part}(?:/{part})?$") & ((F.size(pieces) == 1) | (below != "0"))
+    read = F.when(fine, F.struct(exact_decimal(top).alias("num"), den.alias("den"), plain.alias("exact")))
+    return F.coalesce(F.when(word.isNotNull(), F.struct(word.alias("num"), one.alias("den"), _words_of(small)[value].cast("string").alias("exact"))), read)
 
 
 def same_number(a: Column, b: Column) -> Column:
-    """Whether two rationals are equal; null where either is."""
-    wide = "decimal(19,5)"
-    return a["num"].cast(wide) * b["den"].cast(wide) == b["num"].cast(wide) * a["den"].cast(wide)
+    """Whether two rationals are equal, exactly; null where either is, or a fraction is too long for DECIMAL."""
+    same_spelling = F.when(a["exact"].isNotNull() & b["exact"].isNotNull(), a["exact"] == b["exact"])
+    return F.coalesce(same_spelling, _product(a["num"], b["den"]) == _product(b["num"], a["den"]))
+
+
+def _product(x: Column, y: Column) -> Column:
+    """The product of two DECIMALs as its sign and parts in base LIMB, so that equal products are equal arrays."""
+
+    def limbs(v: Column) -> list[Column]:
+        digits = F.lpad(F.when(v == 0, "0").otherwise(F.translate(F.abs(v).cast("string"), ".", "")), 39, "0")
+        return [F.substring(digits, 27 - 13 * k, 13).cast("decimal(38,0)") for k in range(3)]
+
+    a, b = limbs(x), limbs(y)
+    parts, carry = [], F.lit(0).cast("decimal(38,0)")
+    for k in range(5):
+        total = carry
+        for i in range(max(0, k - 2), min(k, 2) + 1):
+            total = total + (a[i].cast("decimal(14,0)") * b[k - i].cast("decimal(14,0)")).cast("decimal(38,0)")
+        total = total.cast("decimal(38,0)")
+        parts.append((total % LIMB).cast("decimal(38,0)"))
+        carry = F.floor(total / F.lit(LIMB).cast("decimal(14,0)")).cast("decimal(38,0)")
+    sign = F.signum(x.cast("double")) * F.signum(y.cast("double"))
+    return F.when(x.isNotNull() & y.isNotNull(), F.array(sign.cast("decimal(38,0)"), *parts, carry))
 
 
 def quantities(text: Column, claim: bool = False) -> Column:
-    """Distinct (value, kind: percent or number) of a text; in a claim, 'at least one' and 'one or more' are no quantity."""
+    """Distinct (value, kind: percent or number, exact) of a text; in a claim, 'at least one' and 'one or more' are no quantity.
+
+    exact spells the value whatever its length; value is null where DECIMAL can't hold it.
+    """
     if claim:
         text = F.regexp_replace(text, r"(?i)\b(?:at least one|one or more)\b", "")
     values, marks = (F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(g)) for g in (1, 2))
-    digits = F.zip_with(values, marks, lambda v, m: F.struct(F.replace(v, F.lit(","), F.lit("")).cast(DECIMAL).alias("value"), F.when(m == "", "number").otherwise("percent").alias("kind")))
+    digits = F.zip_with(values, marks, lambda v, m: F.struct(exact_decimal(canonical(v)).alias("value"), F.when(m == "", "number").otherwise("percent").alias("kind"), canonical(v).alias("exact")))
     known = F.filter(F.transform(plain_words(text), lambda w: F.try_element_at(_words_of(CARDINALS), w)), lambda n: n.isNotNull())
-    words = F.transform(known, lambda n: F.struct(n.cast(DECIMAL).alias("value"), F.lit("number").alias("kind")))
+    words = F.transform(known, lambda n: F.struct(n.cast(DECIMAL).alias("value"), F.lit("number").alias("kind"), n.cast("string").alias("exact")))
     return F.array_distinct(F.concat(digits, words))
 
 
@@ -95,24 +144,28 @@ def direction(text: Column, loose: bool = False) -> Column:
 
 
 def cell_value(text: Column) -> Column:
-    """(value, unit: percent or number) of a table cell: a number with %, or k, M or B, and a spread after ±; null for others."""
+    """(value, unit: percent or number) of a table cell: a number with %, or k, M or B, and a spread after ±; null for others, and where DECIMAL can't hold it."""
     value, mark = (F.trim(F.regexp_extract(text, CELL, g)) for g in (1, 2))
-    plain = F.translate(value, "−,", "-").cast(DECIMAL)
-    scale = F.coalesce(F.try_element_at(_words_of({k: v for k, v in SCALES.items() if len(k) == 1}), F.lower(mark)), F.lit(1)).cast("decimal(12,0)")
-    return F.when(value != "", F.struct((plain.cast("decimal(25,10)") * scale).cast(DECIMAL).alias("value"), F.when(mark == "%", "percent").otherwise("number").alias("unit")))
+    scale = F.coalesce(F.try_element_at(_words_of({k: v for k, v in SCALES.items() if len(k) == 1}), F.lower(mark)), F.lit(1))
+    scaled = _scaled(canonical(value), scale)
+    return F.when((value != "") & scaled.isNotNull(), F.struct(scaled.alias("value"), F.when(mark == "%", "percent").otherwise("number").alias("unit")))
+
+
+def _scaled(spelling: Column, scale: Column) -> Column:
+    """A canonical number times a scale, exactly; null where it doesn't fit."""
+    return F.when(scale == 1, exact_decimal(spelling)).otherwise((exact_decimal(spelling).try_cast("decimal(25,10)") * scale.cast("decimal(12,0)")).try_cast(DECIMAL))
 
 
 def scaled_count(text: Column) -> Column:
     """A count in digits or a word up to twenty, and thousand, million or billion after it; null for others."""
     count, scale = (F.regexp_extract(F.lower(text), rf"^({NUMBER}|{'|'.join(CARDINALS)})(?: (thousand|million|billion))?$", g) for g in (1, 2))
-    value = F.coalesce(F.try_element_at(_words_of(CARDINALS), count).cast(DECIMAL), F.when(count.rlike("^[+-]?[0-9]"), F.replace(count, F.lit(","), F.lit("")).cast(DECIMAL)))
-    return (value.cast("decimal(25,10)") * F.coalesce(F.try_element_at(_words_of(SCALES), scale), F.lit(1)).cast("decimal(12,0)")).cast(DECIMAL)
+    spelling = F.coalesce(F.try_element_at(_words_of(CARDINALS), count).cast("string"), F.when(count.rlike("^[+-]?[0-9]"), canonical(count)))
+    return _scaled(spelling, F.coalesce(F.try_element_at(_words_of(SCALES), scale), F.lit(1)))
 
 
 def reference_free(claim: Column) -> Column:
     """A claim without the numbers that name things: Table 3, Fig. 2, GPT-4, unless a percentage."""
-    named = r"\b(?:(?i:table|figure|fig\.?|section|appendix|group|fold|phase|chapter|equation)\s+[A-Za-z]?\d+(?:\.\d+)*|[A-Z][A-Za-z0-9]*[-‐‑]\d+(?:\.\d+)*[a-z]?)\b(?![.,]\d|\s*%)"
-    return F.regexp_replace(claim, named, "")
+    return F.regexp_replace(claim, NAMED_NUMBER, "")
 
 
 def token_aligned(quote: Column, source: Column) -> Column:
@@ -147,8 +200,7 @@ def names(text: Column) -> Column:
 
 def evidence_numbers(text: Column) -> Column:
     """Distinct measured numbers, with % and without commas or blanks; numbers of tables, figures, sections and appendices are none."""
-    bare = F.regexp_replace(text, r"(?iU)(?<![\w/])(?:table|figure|section|appendix)[ \t]+\d+(?:\.\d+)*[a-z]?(?!\w|\.\d|[ \t]*%)", "")
-    found = F.regexp_extract_all(bare, F.lit(r"(?U)(?<![\w.])(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:\s*%)?(?!\w|\.\d)"), F.lit(0))
+    found = F.regexp_extract_all(F.regexp_replace(text, NUMBERED_PLACE, ""), F.lit(MEASURED), F.lit(0))
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"[,\s]", "")))
 
 
@@ -161,8 +213,8 @@ def quantifier(text: Column) -> Column:
 
 def split_claims(answer: Column) -> Column:
     """Claims of an answer: items of a list, cut after . ! ? before a blank and a capital, digit or quote; blank ones are none."""
-    sections = F.split(F.trim(answer), r"\n\s*(?=[-*•]\s|\d+[.)]\s)")
-    parts = F.flatten(F.transform(sections, lambda s: F.split(F.regexp_replace(s, r"^\s*(?:[-*•]|\d+[.)])\s+", ""), r"(?<=[.!?])\s+(?=[\p{Lu}\p{N}\"'“‘(])")))
+    sections = F.split(F.trim(answer), LIST_ITEM)
+    parts = F.flatten(F.transform(sections, lambda s: F.split(F.regexp_replace(s, ITEM_MARK, ""), SENTENCE_END)))
     return F.filter(F.transform(parts, F.trim), lambda p: p != "")
 
 
