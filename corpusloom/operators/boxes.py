@@ -14,8 +14,8 @@ def corners(box: Column) -> Column:
 
 
 def normal_box(box: Column, width: Column, height: Column) -> Column:
-    """Corners in thousandths of the page, whole, within it, and in order."""
-    at = lambda v, size: F.least(F.greatest((v * SCALE / size).cast("int"), F.lit(0)), F.lit(SCALE))
+    """Corners in thousandths of the page, whole, within it, and in order; sides under 1 count as 1."""
+    at = lambda v, size: F.least(F.greatest(v * SCALE / F.greatest(size, F.lit(1)), F.lit(0)), F.lit(SCALE)).cast("int")
     x0, y0, x1, y1 = at(box[0], width), at(box[1], height), at(box[2], width), at(box[3], height)
     return F.array(F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1))
 

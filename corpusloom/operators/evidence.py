@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,9 +45,13 @@ def span_containment(spans: DataFrame, docs: DataFrame, span_id: str, doc_id: st
             held = d.where(F.size("w") >= n).select(doc_id, F.explode(grams).alias("gram"))
         else:
             held = d.select(doc_id, F.explode(F.array_distinct("w")).alias("gram"))
-            first = own.select(span_id, F.col("w")[0].alias("first"), (F.size("w") == 1).alias("alone"))
-            fits = F.when(F.col("alone"), F.contains("gram", F.col("first"))).otherwise(F.endswith("gram", F.col("first")))
-            asked = held.select("gram").distinct().join(first, fits).select(span_id, "gram")
+            # A lone word is part of a document's word, the first of two ends one: equal to a part of its length.
+            first = own.select(span_id, F.col("w")[0].alias("part"), (F.size("w") == 1).alias("alone"))
+            vocabulary, parts = held.select("gram").distinct(), None
+            for alone, size in sorted((r["alone"], r["n"]) for r in first.select("alone", F.length("part").alias("n")).distinct().collect()):
+                cut = vocabulary.where(F.length("gram") >= size).select("gram", F.explode(_parts(F.col("gram"), size, alone)).alias("part"), F.lit(alone).alias("alone"))
+                parts = cut if parts is None else parts.union(cut)
+            asked = first.join(parts, ["part", "alone"]).select(span_id, "gram").distinct()
         found.append(asked.join(held, "gram").select(span_id, doc_id))
     if not found:
         return spans.select(span_id).limit(0).crossJoin(docs.select(doc_id).limit(0))
@@ -57,6 +61,12 @@ def span_containment(spans: DataFrame, docs: DataFrame, span_id: str, doc_id: st
     return pairs.join(s.select(span_id, "span"), span_id).join(full, doc_id).where(F.contains("doc", F.col("span"))).select(span_id, doc_id).distinct()
 
 
+def _parts(word: Column, size: int, anywhere: bool) -> Column:
+    """The distinct parts of ``size`` characters of a word that has as many: all of them, or the one at its end."""
+    last = F.length(word) - (size - 1)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, F.lit(size)))) if anywhere else F.array(F.substring(word, last, F.lit(size)))
+
+
 def band_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, width: int) -> DataFrame:
     """Rows of a key whose positions (numbers) differ by at most ``width``: an equi-join on buckets of that width."""
     a = left.withColumn("__b", F.explode(F.array(*[F.floor(F.col(left_at) / width) + k for k in (-1, 0, 1)])))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.skew import join_hot
+
 from corpusloom.functions.text import ratio
 
 
@@ -140,10 +142,13 @@ def row_issues(rows: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def later_duplicates(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``rows`` with duplicate: whether an earlier row by ``order`` has the same key."""
-    from pyspark.sql.window import Window
+    """``rows`` with duplicate: whether a row of a smaller ``order`` has the same key; null keys are none, rows equal in both are one row.
 
-    return rows.withColumn("duplicate", F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1)
+    Only keys that come more than once are looked up, those of many rows by a broadcast, so that none gathers in a task.
+    """
+    firsts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__first"), F.count("*").alias("__rows")).where("__rows > 1")
+    found = join_hot(rows, firsts, key, "__rows")
+    return found.withColumn("duplicate", F.coalesce(F.col(order) > F.col("__first"), F.lit(False))).drop("__first", "__rows")
 
 
 def router_report(rows: DataFrame) -> DataFrame:
@@ -175,3 +180,17 @@ def judge_agreement(label: Column, judged: Column, quoted: Column, lacking: Colu
     agrees = F.coalesce(label == judged, F.lit(False))
     status = F.when(~agrees | (lacking > 0) | (label == "not_enough_info"), "needs_context").otherwise("label_agreement")
     return F.struct(agrees.alias("agrees"), (agrees & (judged == "support") & (quoted > 0) & (lacking == 0)).alias("verified"), status.alias("status"))
+
+
+def probe_gate(outputs: DataFrame, cases: DataFrame, least_valid: int, most_calls: int) -> DataFrame:
+    """One row on a probe of cases (example_id) by outputs (example_id, status, calls): counts, three checks and whether all pass.
+
+    Checks: every case has one output and none is unknown, exactly ``least_valid`` are completed, calls are ``most_calls`` at most.
+    """
+    o = outputs.groupBy("example_id").agg(F.count("*").alias("k"), F.count_if(F.col("status") == "completed").alias("v"), F.sum("calls").alias("c"))
+    j = o.join(cases.select("example_id").distinct().withColumn("asked", F.lit(True)), "example_id", "full_outer")
+    per = j.agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("valid"), F.coalesce(F.sum("c"), F.lit(0)).alias("calls"), F.count_if(F.col("k").isNull() | F.col("asked").isNull() | (F.col("k") > 1)).alias("off")
+    )
+    per = per.select("n", "valid", (F.col("n") - F.col("valid")).alias("incomplete"), "calls", (F.col("off") == 0).alias("all_present"), (F.col("valid") == least_valid).alias("all_valid"), (F.col("calls") <= most_calls).alias("within_calls"))
+    return per.withColumn("passes", F.col("all_present") & F.col("all_valid") & F.col("within_calls"))

@@ -111,7 +111,23 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """One row: hit@k, recall@k and mean reciprocal rank over the queries of ``relevant`` (query, doc)."""
     found = relevant.join(hits.where(F.col("rank") <= k).select("query", "doc", "rank"), ["query", "doc"], "left")
-    per = found.groupBy("query").agg(F.count("rank").alias("found"), F.count("*").alias("wanted"), F.min("rank").alias("first"))
+    return _mean_metrics(found.groupBy("query").agg(F.count("rank").alias("found"), F.count("*").alias("wanted"), F.min("rank").alias("first")))
+
+
+def label_metrics(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``retrieval_metrics`` where a document of the query's label, but itself, is relevant: queries (query, label), docs (doc, label).
+
+    Relevant documents are counted by label, and only hits are looked up, so that pairs of a label are never made.
+    """
+    sizes = docs.groupBy("label").agg((F.count("*") - 1).alias("wanted"))
+    asked = queries.join(sizes, "label").where("wanted > 0")
+    right = hits.where(F.col("rank") <= k).join(docs.withColumnRenamed("label", "doc_label"), "doc").join(queries, "query").where("doc_label = label and query <> doc")
+    per = asked.join(right.groupBy("query").agg(F.count("*").alias("found"), F.min("rank").alias("first")), "query", "left")
+    return _mean_metrics(per.withColumn("found", F.coalesce("found", F.lit(0))))
+
+
+def _mean_metrics(per: DataFrame) -> DataFrame:
+    """One row over (query, found, wanted, first)."""
     return per.agg(
         F.count("*").alias("queries"),
         F.round(F.avg((F.col("found") > 0).cast("double")), 9).alias("hit_at_k"),

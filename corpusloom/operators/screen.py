@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,24 +15,54 @@ QUALIFIED = r"(?i)\b(?:not|never|no|none|all|every|each|some|at least|one or mor
 AUTHORS = ("authors", "our", "we", "proposed", "paper")
 
 
-def support_flags(claim: Column, quotes: Column) -> Column:
-    """Codes of what a support verdict's quotes (array) leave open: a quantity that isn't quoted, a part without a word of theirs, a scope or unit to review, a direction that their one before and after contradicts."""
-    quoted = F.array_join(quotes, "\n")
-    gap = F.when(F.size(G.missing_quantities(claim, quoted)) > 0, "claim_quantity_not_quoted")
+def bound_once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def support_findings(claim: Column, quotes: Column) -> Column:
+    """(code, fragment) of each thing that a support verdict's quotes (array) leave open.
+
+    claim_quantity_not_quoted: quantities of the claim that no quote has, as fragment; conjunct_lexical_gap: a part of a joined
+    claim without a word of the quotes; numeric_scope_requires_review, numeric_units_require_review, numeric_direction_conflict:
+    the one measurement before and after an event that one of the quotes states, by itself, and that quote's words.
+    """
+    none = F.array().cast("array<struct<code:string,fragment:string>>")
+    finding = lambda code, fragment: F.struct(F.lit(code).alias("code"), fragment.alias("fragment"))
     parts = F.split(claim, r"(?i)\s+and\s+")
-    seen = G.content_words(quoted)
-    bare = F.exists(parts, lambda p: (F.size(G.content_words(p)) > 0) & ~F.arrays_overlap(G.content_words(p), seen))
-    lexical = F.when((F.size(parts) > 1) & bare, "conjunct_lexical_gap")
-    found = F.regexp_count(quoted, F.lit(BEFORE_AFTER))
-    part = lambda g: F.regexp_extract(quoted, BEFORE_AFTER, g)
-    wanted = G.direction(claim)
-    terms = G.content_words(claim)
-    value = lambda g: F.replace(part(g), F.lit(","), F.lit("")).cast(G.DECIMAL)
-    moved = F.when(value(5) > value(2), "increase").when(value(5) < value(2), "decrease").otherwise("unchanged")
-    out_of_scope = ~F.arrays_overlap(G.content_words(part(1)), terms) | (F.size(F.array_except(G.content_words(part(4)), terms)) > 0)
-    ready = wanted.isNotNull() & (F.size(parts) == 1) & (found == 1) & ~claim.rlike(QUALIFIED)
-    numeric = F.when(ready, F.when(out_of_scope, "numeric_scope_requires_review").when(F.lower(part(3)) != F.lower(part(6)), "numeric_units_require_review").when(moved != wanted, "numeric_direction_conflict"))
-    return F.array_compact(F.array(gap, lexical, numeric))
+    quoted = F.array_join(quotes, "\n")
+    # A measurement is one quote's; joined quotes would make new ones.
+    hits = F.flatten(F.transform(quotes, lambda q: F.regexp_extract_all(q, F.lit(BEFORE_AFTER), F.lit(0))))
+
+    def gap(missing: Column) -> Column:
+        return F.when(F.size(missing) > 0, F.array(finding("claim_quantity_not_quoted", F.array_join(F.transform(missing, lambda m: F.concat(m["exact"], F.when(m["kind"] == "percent", "%").otherwise(""))), ", ")))).otherwise(none)
+
+    def lexical(seen: Column) -> Column:
+        bare = F.filter(parts, lambda p: bound_once(G.content_words(p), lambda w: (F.size(w) > 0) & ~F.arrays_overlap(w, seen)))
+        return F.when(F.size(parts) > 1, F.transform(bare, lambda p: finding("conjunct_lexical_gap", p))).otherwise(none)
+
+    def measured(hit: Column) -> Column:
+        part = lambda g: F.regexp_extract(hit, BEFORE_AFTER, g)
+        spelled = [G.canonical(part(g)) for g in (2, 5)]
+        return F.struct(hit.alias("quote"), part(1).alias("metric"), part(4).alias("event"), (F.lower(part(3)) != F.lower(part(6))).alias("units"), *[s.alias(n) for s, n in zip(spelled, ("was", "now"))])
+
+    def numeric(m: Column) -> Column:
+        terms = G.content_words(claim)
+        out_of_scope = ~F.arrays_overlap(G.content_words(m["metric"]), terms) | (F.size(F.array_except(G.content_words(m["event"]), terms)) > 0)
+        before, after = G.exact_decimal(m["was"]), G.exact_decimal(m["now"])
+        moved = F.when(m["was"] == m["now"], "unchanged").when(after > before, "increase").when(after < before, "decrease")
+        code = F.when(out_of_scope, "numeric_scope_requires_review").when(m["units"], "numeric_units_require_review").when(moved != G.direction(claim), "numeric_direction_conflict")
+        return F.when(code.isNotNull(), F.array(F.struct(code.alias("code"), m["quote"].alias("fragment")))).otherwise(none)
+
+    ready = (F.size(parts) == 1) & ~claim.rlike(QUALIFIED) & G.direction(claim).isNotNull()
+    one = bound_once(hits, lambda h: F.when(F.size(h) == 1, bound_once(measured(F.get(h, F.lit(0))), numeric)).otherwise(none))
+    lexical_gaps = F.when(F.size(parts) > 1, bound_once(G.content_words(quoted), lexical)).otherwise(none)
+    return F.concat(bound_once(G.missing_quantities(claim, quoted), gap), lexical_gaps, F.when(ready, one).otherwise(none))
+
+
+def support_flags(claim: Column, quotes: Column) -> Column:
+    """The distinct codes of ``support_findings``."""
+    return F.array_distinct(F.transform(support_findings(claim, quotes), lambda f: f["code"]))
 
 
 def same_subject(left: Column, right: Column, left_key: Column, right_key: Column, spans: Column) -> Column:

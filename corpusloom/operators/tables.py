@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.grammar import cell_value, names
+from corpusloom.functions.grammar import CARDINALS, cell_value, names
 
 #: The form of a comparison, its directions, words round a row's name, and metrics of which less is better.
 COMPARISON = r"(?i)\b(higher|greater|more|lower|less|fewer|equal)\b([^,;.!?]*?)\b(?:than|to)\s+"
 ABOVE, BELOW = ("higher", "greater", "more"), ("lower", "less", "fewer")
 WRAPPERS = ("contains", "contained", "has", "had", "achieved", "obtained", "recorded", "scored", "model", "classifier")
 REFUSED = ("not", "without", "but", "only", "except")
+JOINED = r"(?i)\b(?:and|or|but)\b"
+ROSTER = rf"(?i)^Among (?:the )?(\d+|{'|'.join(CARDINALS)}) ([\w -]+?) in (?:([\w.-]+)[’']s )?Table (\d+)$"
 LESS_IS_BETTER = {"mae": True, "mse": True, "rmse": True, "icc": False, "accuracy": False, "f1": False}
 LONG_NAMES = {"mean absolute error": "mae", "mean squared error": "mse", "root mean squared error": "rmse", "intraclass correlation coefficient": "icc", "intraclass correlation": "icc"}
 
@@ -70,8 +72,10 @@ def named_row(rows: DataFrame, by: list[str], side: str, name: str = "name") ->
 def compare_rows(claims: DataFrame, cells: DataFrame, id_col: str = "doc_id", claim_id: str = "claim_id", claim_col: str = "claim") -> DataFrame:
     """(claim_id, label): support or contradict for claims like 'A has a higher metric than B', from the one table that holds both rows and the column; others give no row.
 
-    Both rows are found by their names, one column by the metric's words; words of the claim beside them must be in the
-    caption, cells must be numbers of one unit.
+    Both rows are found by their names, one column by the metric's words, or, where the caption has these, by words before the
+    claim's last comma; other words of the claim must be in the caption, cells must be numbers of one unit. What stands before
+    the comma may be a roster (Among the three models in Table 2), which the table must match: its number, as many rows of
+    different names, and the noun that heads its first column. A second row, joined by and, or or but, isn't compared.
     """
     c = claims.withColumn("__n", F.regexp_count(claim_col, F.lit(COMPARISON))).where("__n = 1")
     c = c.where(~F.arrays_overlap(names(F.col(claim_col)), F.array(*[F.lit(w) for w in REFUSED])))
@@ -79,24 +83,39 @@ def compare_rows(claims: DataFrame, cells: DataFrame, id_col: str = "doc_id", cl
     words = lambda col: F.array_distinct(names(col))
     lead = F.substring_index(parts[0], ",", -1)
     metric = F.array_except(words(F.regexp_extract(claim_col, COMPARISON, 2)), F.array(F.lit("score"), F.lit("scores")))
+    before = F.when(F.contains(parts[0], F.lit(",")), F.substring(parts[0], F.lit(1), F.length(parts[0]) - F.length(lead) - 1)).otherwise("")
+    c = c.where(~parts[1].rlike(JOINED))
     c = c.select(
         id_col, claim_id, F.lower(F.regexp_extract(claim_col, COMPARISON, 1)).alias("dir"), metric.alias("metric"), words(parts[0]).alias("left"), words(parts[1]).alias("right"), words(lead).alias("subject"),
-        F.when(F.contains(parts[0], F.lit(",")), words(F.substring(parts[0], F.lit(1), F.length(parts[0]) - F.length(lead) - 1))).otherwise(F.array().cast("array<string>")).alias("prefix"), F.get(F.regexp_extract_all(F.col(claim_col), F.lit(r"(?i)\btable\s+(\d+)\b"), F.lit(1)), F.lit(0)).alias("table"),
-    ).where((F.size("metric") > 0) & ~F.arrays_overlap("right", F.array(F.lit("but"))))
+        words(before).alias("prefix"), before.alias("before"), F.get(F.regexp_extract_all(F.col(claim_col), F.lit(r"(?i)\btable\s+(\d+)\b"), F.lit(1)), F.lit(0)).alias("table"),
+    ).where(F.size("metric") > 0)
     rows = cells.select(id_col, "block", "caption", "row", "name").distinct().join(c, id_col)
     named = (F.col("table").isNull()) | F.regexp_like("caption", F.concat(F.lit(r"(?i)\btable\s+"), "table", F.lit(r"\b")))
     rows = rows.where(named)
     by = [claim_id, "block"]
     a = named_row(rows, by, "left").select(*by, F.col("row").alias("ra"), F.col("__w").alias("wa"))
     b = named_row(rows, by, "right").select(*by, F.col("row").alias("rb"), F.col("__w").alias("wb"))
-    pair = a.join(b, by).where("ra <> rb").join(rows.select(*by, id_col, "caption", "dir", "metric", "subject", "right", "prefix").distinct(), by)
+    pair = a.join(b, by).where("ra <> rb").join(rows.select(*by, id_col, "caption", "dir", "metric", "subject", "right", "prefix", "before").distinct(), by)
     scope = words(F.col("caption"))
     rest = F.array_union(F.array_except(F.array_except("subject", "wa"), F.array(*[F.lit(w) for w in WRAPPERS])), F.array_except("right", "wb"))
-    qualifiers = F.array_except("prefix", F.array(*[F.lit(w) for w in ("split", "set", "benchmark", "evaluation")]))
     inside = lambda x, y: F.size(F.array_except(x, y)) == 0
-    pair = pair.where(inside(rest, scope) & inside(qualifiers, scope))
+    sizes = cells.where("col = 0").groupBy(id_col, "block").agg(F.count("*").alias("rows"), F.count_distinct(F.array_join(names(F.col("name")), " ")).alias("different"), F.first(words(F.col("header"))).alias("noun"))
+    pair = pair.join(sizes, [id_col, "block"]).withColumn("scope", scope).where(inside(rest, F.col("scope")))
+    of = lambda g: F.regexp_extract("before", ROSTER, g)
+    roster, group = F.col("before").rlike(ROSTER), names(of(2))
+    number = F.coalesce(of(1).try_cast("int"), F.try_element_at(F.create_map(*[F.lit(x) for i, w in enumerate(CARDINALS) for x in (w, i)]), F.lower(of(1))))
+    last = F.try_element_at(group, F.lit(-1))
+    fits = (F.size("noun") == 1) & last.endswith("s") & (F.regexp_replace(last, "s$", "") == F.get("noun", F.lit(0))) & (F.col("rows") == number) & (F.col("different") == number)
+    fits = fits & inside(F.slice(group, 1, F.greatest(F.size(group) - 1, F.lit(0))), F.col("scope")) & inside(words(of(3)), F.col("scope")) & F.regexp_like("caption", F.concat(F.lit(r"(?i)\btable\s+"), of(4), F.lit(r"\b")))
+    pair = pair.where(~roster | F.coalesce(fits, F.lit(False)))
+    plain = F.array_except("prefix", F.array(*[F.lit(w) for w in ("split", "set", "benchmark", "evaluation")]))
+    pair = pair.withColumn("qualifiers", F.when(roster, F.slice(plain, 1, 0)).otherwise(plain))
     heads = cells.where("col > 0").select(id_col, "block", "col", words(F.col("header")).alias("hw")).distinct()
-    column = pair.join(heads, [id_col, "block"]).where(inside("hw", F.col("metric")) & inside("metric", F.col("hw")))
+    met = pair.join(heads, [id_col, "block"])
+    direct = inside("hw", F.col("metric")) & inside("metric", F.col("hw")) & inside("qualifiers", F.col("scope"))
+    by_scope = (F.size("hw") > 0) & inside("metric", F.col("scope")) & inside("hw", F.col("qualifiers")) & inside("qualifiers", F.array_union("scope", "hw"))
+    met = met.withColumn("direct", direct).withColumn("any_direct", F.bool_or("direct").over(Window.partitionBy(*by)))
+    column = met.where(F.col("direct") | (~F.col("any_direct") & by_scope))
     column = column.withColumn("__k", F.count("*").over(Window.partitionBy(*by))).where("__k = 1")
     value = cells.select(id_col, "block", "row", "col", cell_value(F.col("cell")).alias("v"))
     both = column.join(value.select(id_col, "block", "col", F.col("row").alias("ra"), F.col("v").alias("x")), [id_col, "block", "col", "ra"]).join(value.select(id_col, "block", "col", F.col("row").alias("rb"), F.col("v").alias("y")), [id_col, "block", "col", "rb"])

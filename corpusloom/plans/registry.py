@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import claims, curation, evidence, gates, metrics, retrieval, segments, session, verification
+from . import claims, curation, evidence, gates, metrics, requirements, retrieval, segments, session, verification
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (retrieval, metrics, curation, evidence, segments, claims, gates, verification, session):
+for _part in (retrieval, metrics, curation, evidence, segments, claims, gates, verification, session, requirements):
     QUERIES.update(_part.QUERIES)
     SQL.update(_part.SQL)

@@ -52,8 +52,7 @@ def dense_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """A row of the same label is relevant."""
     v = table(spark, sf, "embeddings")
     asked = v.where("vec_id % 20 = 0")
-    relevant = asked.select(F.col("vec_id").alias("query"), "label").join(v.select(F.col("vec_id").alias("doc"), "label"), "label").where("query <> doc").select("query", "doc")
-    return R.retrieval_metrics(R.dense_topk(v, asked, TOP), relevant, TOP)
+    return R.label_metrics(R.dense_topk(v, asked, TOP), asked.select(F.col("vec_id").alias("query"), "label"), v.select(F.col("vec_id").alias("doc"), "label"), TOP)
 
 
 def bm25_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +90,7 @@ def fallback_purity(spark: SparkSession, sf: str) -> DataFrame:
 def page_rank_lexical(spark: SparkSession, sf: str) -> DataFrame:
     """Three best documents for each item by distinct shared words, then by id."""
     words = lambda df, i, o: df.select(F.col(i).alias(o), F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
-    hits = words(table(spark, sf, "benchmark"), "item_id", "query").join(words(table(spark, sf, "documents"), "doc_id", "doc"), "w").groupBy("query", "doc").agg(F.count("*").alias("score"))
+    hits = R.few(words(table(spark, sf, "benchmark"), "item_id", "query"), 500_000).join(words(table(spark, sf, "documents"), "doc_id", "doc"), "w").groupBy("query", "doc").agg(F.count("*").alias("score"))
     return R.topk(hits, 3)
 
 

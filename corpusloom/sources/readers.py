@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
@@ -36,6 +36,36 @@ def read_papers(spark: SparkSession, path: str, paper: StructType) -> DataFrame:
     return keyed.select("id", "p.*").unionByName(listed.unionByName(single).select(F.lit(None).cast("string").alias("id"), "p.*"), allowMissingColumns=True)
 
 
+SCIFACT_CORPUS = "doc_id string, title string, abstract array<string>"
+SCIFACT_CLAIMS = "id long, claim string, evidence_doc_id string, evidence_label string, evidence_sentences array<int>, cited_doc_ids array<string>"
+
+
+def read_scifact(spark: SparkSession, corpus: str, claims: str) -> tuple[DataFrame, DataFrame]:
+    """(corpus, claims) of annotated claims, JSON lines or Parquet by the path's end, as ``examples.build_examples`` takes them.
+
+    Claims are flat: a row for each annotation, in their order; ids are trimmed texts, whatever they are in the files.
+    """
+
+    def read(path: str, schema: str) -> DataFrame:
+        if not path.rstrip("/").endswith(".parquet"):
+            return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        wanted = StructType.fromDDL(schema)
+        found = spark.read.parquet(path)
+        return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+
+    docs = read(corpus, SCIFACT_CORPUS).select(F.trim("doc_id").alias("doc_id"), "title", "abstract")
+    rows = read(claims, SCIFACT_CLAIMS).withColumn("line", F.monotonically_increasing_id())
+    cited = F.transform(F.coalesce("cited_doc_ids", F.array().cast("array<string>")), F.trim)
+    return docs, rows.select(F.col("id").alias("claim_id"), "claim", cited.alias("cited"), F.trim("evidence_doc_id").alias("doc_id"), F.col("evidence_label").alias("label"), F.coalesce("evidence_sentences", F.array().cast("array<int>")).alias("indices"), "line")
+
+
+def write_jsonl(rows: DataFrame, folder: str, mode: str = "overwrite") -> int:
+    """JSON lines in ``folder``, null fields too; the number of rows, counted while they are written."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", "false").json(folder)
+    return seen.get.get("n", 0)
+
+
 def read_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Parquet splits as one table with a column ``split``."""
     out = None
