@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import clauses as C
 from corpusloom.functions import spans
 from corpusloom.functions.grammar import CARDINALS
-from corpusloom.operators import cells, context, ledger, operands, populations, requirements
+from corpusloom.operators import cells, context, ledger, operands, populations, requirements, rules
 from corpusloom.session import materialize, table
 from corpusloom.streaming import budgets
 
@@ -213,6 +213,19 @@ def table_context(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("case_id").agg(F.count("*").alias("n"))
 
 
+def explicit_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims on each order in one of two forms that sources decide, or in none; every fourth differs from its source."""
+    k = F.col("case_id")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
+    n, m, off = (1000 + k % 50).cast("string"), (k % 90).cast("string"), k % 4 == 0
+    text = F.when(k % 3 == 0, F.concat(F.lit("The Alpha corpus contains "), n, F.lit(" documents."))).when(k % 3 == 1, F.concat(F.lit("The lexicon covered "), m, F.lit(".5% of all words in the "), F.when(off, "Blue").otherwise("Red"), F.lit(" dataset."))).otherwise("Orders were counted.")
+    source = F.when(k % 3 == 0, F.concat(F.lit("One corpus (named 'Alpha') contained "), (1000 + k % 50 + off.cast("int")).cast("string"), F.lit(" documents."))).otherwise(F.concat(F.lit("The lexicon covers "), m, F.lit(".50% and 3% of all words in Red and Blue, respectively.")))
+    claims = o.select("case_id", k.alias("claim_id"), text.alias("text"))
+    segments = o.select("case_id", F.lit(0).alias("n"), F.lit("Some words come first.").alias("text")).union(o.select("case_id", F.lit(1), source))
+    windows = o.select(k.alias("claim_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("n"), F.lit(True).alias("selected"))
+    return rules.explicit_verdicts(claims, windows, segments).select("claim_id", "label", "rule", F.array_join(F.transform("citations", lambda c: c.cast("string")), ",").alias("citations"))
+
+
 LIMITS = budgets.Limits(seconds=1_000_000, steps=20, cost=4000.0, searches=5)
 
 
@@ -225,7 +238,7 @@ def session_stops(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interval_gaps, claim_cover, quantity_offsets, operand_choices, requirement_verdicts, slot_ledger, box_words, count_cells, percentage_cells, evidence_tree, claim_labels, closed_population, stated_population, scope_clauses, table_context, session_stops,
+        interval_gaps, claim_cover, quantity_offsets, operand_choices, requirement_verdicts, slot_ledger, box_words, count_cells, percentage_cells, evidence_tree, claim_labels, closed_population, stated_population, scope_clauses, table_context, session_stops, explicit_numbers,
     )
 }
 _TOKEN = r"[+−-]?[0-9]+(?:[.,/][0-9]+)*|\p{L}+(?:[-‐‑]\p{L}+)*|[^\s\p{L}\p{N}_]"
@@ -290,6 +303,8 @@ WHEN quantifier = 'some' THEN CASE WHEN yes > 0 THEN true WHEN closed THEN false
 SELECT case_id, quantifier, n_members, n_observed, closed, truth, CASE WHEN n_members IS NULL THEN 'no_population' WHEN beyond THEN 'outside_member' WHEN truth IS NULL THEN 'population_closure_required' END AS issue FROM e""",
     "stated_population": """SELECT o_orderkey AS case_id, (o_orderkey % 20)::INT AS n_members, (o_orderkey % 20) || ' certified stores' AS anchor, (length('The audit covered exactly ' || (o_orderkey % 20) || ' certified stores.') + 26)::BIGINT AS n_chars
 FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 16 AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0""",
+    "explicit_numbers": """SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 4 = 0 THEN 'contradict' ELSE 'support' END AS label,
+CASE o_orderkey % 3 WHEN 0 THEN 'named corpus count' ELSE 'ordered percentage' END AS rule, '1' AS citations FROM orders WHERE o_orderkey % 3 < 2""",
     "table_context": """WITH l AS (SELECT l_orderkey AS k, l_partkey % 200 AS x, l_suppkey * 7 % 700 AS y FROM lineitem),
 g AS (SELECT k, count(*) FILTER (y BETWEEN 210 AND 390) AS up, count(*) FILTER (y BETWEEN 410 AND 520) AS down FROM l WHERE x < 200 AND x + 60 > 100 GROUP BY k)
 SELECT o_orderkey AS case_id, 1 + CASE WHEN o_orderkey % 3 = 0 THEN coalesce(down, 0) + 1 ELSE coalesce(up, 0) END AS n FROM orders LEFT JOIN g ON k = o_orderkey WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0""",
