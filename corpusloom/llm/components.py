@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import hold, materialize, release
@@ -54,17 +54,15 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
 
-    def settled(e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-        """``e`` written, with its number of links and a sum of their hashes, taken while they are written."""
-        seen = Observation()
-        out = materialize(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), name)
-        return out, (seen.get["n"], seen.get["h"])
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges, last = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    last = state(edges)
     for _ in range(max_rounds):
-        before = edges
-        edges, now = settled(small(large(before)), "stars")
+        before, edges = edges, materialize(small(large(edges)), "stars")
         release(before)
+        now = state(edges)
         if now == last:
             break
         last = now
