@@ -19,6 +19,8 @@ NO_UNIT = "before after to and on in at for with than or".split()
 UNCOUNTED = r"\b(?:at least one|one or more)\b"
 PHRASE_END = "%)]\"'’"
 PHRASE_TOKENS, PHRASE_CHARS = 16, 160
+#: Letters that are set as one in print.
+LIGATURES = str.maketrans({"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"})
 _TOKEN = re.compile(TOKEN.removeprefix("(?U)"))
 _DIGITS = re.compile(rf"(?i)(?<![\w.]){NUMBER}(?:\s*(?:%|percent\b))?(?!\w|\.\d)")
 _WORDS = re.compile(rf"(?i)\b(?:{'|'.join(CARDINALS)})\b")
@@ -85,6 +87,48 @@ def _places(quotes: list[str], text: str) -> list[list[int]]:
     return [found.get(q, []) for q in quotes]
 
 
+def _slice(quote: str, text: str) -> dict | None:
+    """Where a quote stands in a text, but for blanks and ligatures; whole ligatures only."""
+    at = text.find(quote)
+    if at >= 0 and quote.strip():
+        return {"start": at, "end": at + len(quote), "slice": quote}
+    wanted = " ".join(quote.translate(LIGATURES).split())
+    if not wanted:
+        return None
+    # Words with the places of their letters; what a blank run was is forgotten.
+    letters, places = [], []
+    for i, c in enumerate(text):
+        for x in (" " if c.isspace() else c.translate(LIGATURES)):
+            if x != " " or (letters and letters[-1] != " "):
+                letters.append(x)
+                places.append(i)
+    flat = "".join(letters)
+    at = flat.find(wanted)
+    while at >= 0:
+        start, end = places[at], places[at + len(wanted) - 1] + 1
+        if " ".join(text[start:end].translate(LIGATURES).split()) == wanted:
+            return {"start": start, "end": end, "slice": text[start:end]}
+        at = flat.find(wanted, at + 1)
+    return None
+
+
+def source_slice(quote: Column, text: Column) -> Column:
+    """(start, end, slice): the original words of a text that a quote copies, blanks and ligatures apart; null where it has none.
+
+    Case, marks and numbers must be the quote's. The first place counts, an exact one before others.
+    """
+
+    @F.pandas_udf(f"struct<{SPAN},slice:string>")
+    def slices(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        found = [None if q is None or t is None else _slice(q, t) for q, t in zip(quotes, texts)]
+        out = pd.DataFrame([x or {"start": -1, "end": -1, "slice": None} for x in found], columns=["start", "end", "slice"])
+        return out.astype({"start": "int32", "end": "int32", "slice": object})
+
+    # Arrow carries no null struct from Python: a place that isn't there is null here.
+    bound = F.transform(F.array(slices(quote, text)), lambda s: F.when(s["start"] >= 0, s))
+    return F.get(bound, F.lit(0))
+
+
 def token_spans(text: Column) -> Column:
     """(start, end, token) of each token, in order."""
 

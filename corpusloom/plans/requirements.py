@@ -226,6 +226,16 @@ def explicit_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return rules.explicit_verdicts(claims, windows, segments).select("claim_id", "label", "rule", F.array_join(F.transform("citations", lambda c: c.cast("string")), ",").alias("citations"))
 
 
+def source_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The original words on each order that a quote with plain blanks and letters copies; every sixth quote has another number."""
+    k = F.col("o_orderkey")
+    number = (k % 1000).cast("string")
+    text = F.concat(F.lit("Row  "), k.cast("string"), F.lit("\n\nhas  a ﬁne\tvalue "), number, F.lit(" \n."))
+    quote = F.concat(F.lit(" has a fine value "), F.when(k % 6 == 0, F.concat(number, F.lit("7"))).otherwise(number))
+    s = table(spark, sf, "orders").select("o_orderkey", spans.source_slice(quote, text).alias("s")).where("s is not null")
+    return s.select("o_orderkey", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.slice")
+
+
 LIMITS = budgets.Limits(seconds=1_000_000, steps=20, cost=4000.0, searches=5)
 
 
@@ -238,7 +248,7 @@ def session_stops(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interval_gaps, claim_cover, quantity_offsets, operand_choices, requirement_verdicts, slot_ledger, box_words, count_cells, percentage_cells, evidence_tree, claim_labels, closed_population, stated_population, scope_clauses, table_context, session_stops, explicit_numbers,
+        interval_gaps, claim_cover, quantity_offsets, operand_choices, requirement_verdicts, slot_ledger, box_words, count_cells, percentage_cells, evidence_tree, claim_labels, closed_population, stated_population, scope_clauses, table_context, session_stops, explicit_numbers, source_slices,
     )
 }
 _TOKEN = r"[+−-]?[0-9]+(?:[.,/][0-9]+)*|\p{L}+(?:[-‐‑]\p{L}+)*|[^\s\p{L}\p{N}_]"
@@ -303,6 +313,8 @@ WHEN quantifier = 'some' THEN CASE WHEN yes > 0 THEN true WHEN closed THEN false
 SELECT case_id, quantifier, n_members, n_observed, closed, truth, CASE WHEN n_members IS NULL THEN 'no_population' WHEN beyond THEN 'outside_member' WHEN truth IS NULL THEN 'population_closure_required' END AS issue FROM e""",
     "stated_population": """SELECT o_orderkey AS case_id, (o_orderkey % 20)::INT AS n_members, (o_orderkey % 20) || ' certified stores' AS anchor, (length('The audit covered exactly ' || (o_orderkey % 20) || ' certified stores.') + 26)::BIGINT AS n_chars
 FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 16 AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0""",
+    "source_slices": r"""WITH o AS (SELECT o_orderkey, length(o_orderkey::VARCHAR) AS n, 'has  a ﬁne' || chr(9) || 'value ' || (o_orderkey % 1000) AS slice FROM orders WHERE o_orderkey % 6 <> 0)
+SELECT o_orderkey, (7 + n)::BIGINT AS start, (7 + n + length(slice))::BIGINT AS "end", slice FROM o""",
     "explicit_numbers": """SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 4 = 0 THEN 'contradict' ELSE 'support' END AS label,
 CASE o_orderkey % 3 WHEN 0 THEN 'named corpus count' ELSE 'ordered percentage' END AS rule, '1' AS citations FROM orders WHERE o_orderkey % 3 < 2""",
     "table_context": """WITH l AS (SELECT l_orderkey AS k, l_partkey % 200 AS x, l_suppkey * 7 % 700 AS y FROM lineitem),

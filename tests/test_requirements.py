@@ -52,6 +52,15 @@ def test_spans_equal_slices_of_the_text(spark):
     assert value(spark, spans.quote_places(F.array(F.lit("aa"), F.lit(""), F.lit(None), F.lit("b")), F.lit("aaab"))) == [[0, 1], [], [], [3]]
 
 
+def test_quotes_find_their_original_words(spark):
+    text = "The  ﬁrst\n line. The first line, oﬃcial."
+    cases = {"The first line.": (0, 16), "The first line": (17, 31), "The ﬁrst line,": (17, 32), "official": (33, 39), "ficial": None, "the first": None, " ": None, "first line. The": (5, 20)}
+    df = spark.createDataFrame([(q, text) for q in cases] + [(None, text), ("x", None)], "q string, t string")
+    for r in df.select("q", "t", spans.source_slice(F.col("q"), F.col("t")).alias("s")).collect():
+        want = cases.get(r.q) if r.t else None
+        assert (r.s and (r.s.start, r.s.end)) == want and (r.s is None or r.s.slice == text[want[0] : want[1]])
+
+
 def test_interval_cover(spark):
     rng = random.Random(4)
     spans_, whole, want = [], [], {}
