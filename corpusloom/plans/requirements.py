@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import clauses as C
 from corpusloom.functions import spans
 from corpusloom.functions.grammar import CARDINALS
-from corpusloom.operators import cells, context, ledger, operands, populations, requirements, rules
+from corpusloom.operators import cells, context, contract, ledger, operands, populations, requirements, rules
 from corpusloom.session import materialize, table
 from corpusloom.streaming import budgets
 
@@ -236,6 +236,25 @@ def source_slices(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("o_orderkey", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.slice")
 
 
+def claim_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """The issues of an answer of two claims on each order, by its key's remainder."""
+    forms = ("Is it true?", "12.5 %", "Large orders of Alpha.", "Were 5 items.", "Alpha improved.", "Alpha failed.", "Alpha improved recall.")
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Order "), k.cast("string"), F.lit(" has lines. "), F.element_at(F.array(*[F.lit(x) for x in forms]), (k % 7 + 1).cast("int")))
+    return contract.answer_issues(table(spark, sf, "orders").select("o_orderkey", F.when(k % 11 > 0, text).alias("text")), "o_orderkey")
+
+
+def resolved_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """A claim on each order and its sources: the right one, one without its values, one twice, or an unknown one."""
+    k = F.col("case_id")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
+    said = F.concat(F.lit("Order "), k.cast("string"), F.lit(" has "), (k % 50).cast("string"), F.lit(" pieces"))
+    ids = F.when(k % 4 == 0, F.array(F.lit("s1"))).when(k % 4 == 1, F.array(F.lit("s0"), F.lit("s0"))).when(k % 4 == 2, F.array(F.lit("s9"))).otherwise(F.array(F.lit("s0")))
+    claims = o.select("case_id", F.lit(0).alias("at"), F.concat(said, F.lit(".")).alias("text"), ids.alias("source_ids"))
+    units = o.select("case_id", F.lit("s0").alias("source_id"), F.concat(said, F.lit(" in all.")).alias("text")).union(o.select("case_id", F.lit("s1"), F.lit("Nothing else.")))
+    return contract.resolve_sources(claims, units).select("case_id", "issue", F.array_join("candidates", ",").alias("candidates"))
+
+
 LIMITS = budgets.Limits(seconds=1_000_000, steps=20, cost=4000.0, searches=5)
 
 
@@ -248,7 +267,7 @@ def session_stops(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interval_gaps, claim_cover, quantity_offsets, operand_choices, requirement_verdicts, slot_ledger, box_words, count_cells, percentage_cells, evidence_tree, claim_labels, closed_population, stated_population, scope_clauses, table_context, session_stops, explicit_numbers, source_slices,
+        interval_gaps, claim_cover, quantity_offsets, operand_choices, requirement_verdicts, slot_ledger, box_words, count_cells, percentage_cells, evidence_tree, claim_labels, closed_population, stated_population, scope_clauses, table_context, session_stops, explicit_numbers, source_slices, claim_issues, resolved_sources,
     )
 }
 _TOKEN = r"[+−-]?[0-9]+(?:[.,/][0-9]+)*|\p{L}+(?:[-‐‑]\p{L}+)*|[^\s\p{L}\p{N}_]"
@@ -313,6 +332,9 @@ WHEN quantifier = 'some' THEN CASE WHEN yes > 0 THEN true WHEN closed THEN false
 SELECT case_id, quantifier, n_members, n_observed, closed, truth, CASE WHEN n_members IS NULL THEN 'no_population' WHEN beyond THEN 'outside_member' WHEN truth IS NULL THEN 'population_closure_required' END AS issue FROM e""",
     "stated_population": """SELECT o_orderkey AS case_id, (o_orderkey % 20)::INT AS n_members, (o_orderkey % 20) || ' certified stores' AS anchor, (length('The audit covered exactly ' || (o_orderkey % 20) || ' certified stores.') + 26)::BIGINT AS n_chars
 FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 16 AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0""",
+    "claim_issues": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS claim_index, CASE WHEN o_orderkey % 11 = 0 THEN 'empty_answer'
+ELSE (['question_not_claim', 'bare_quantity', 'metric_or_relation_missing', 'entity_missing', 'predicate_incomplete'])[o_orderkey % 7 + 1] END AS code FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 7 < 5""",
+    "resolved_sources": """SELECT o_orderkey AS case_id, CASE o_orderkey % 4 WHEN 0 THEN 'value_absent' WHEN 3 THEN NULL ELSE 'unknown_source' END AS issue, CASE o_orderkey % 4 WHEN 0 THEN 's0' ELSE '' END AS candidates FROM orders""",
     "source_slices": r"""WITH o AS (SELECT o_orderkey, length(o_orderkey::VARCHAR) AS n, 'has  a ﬁne' || chr(9) || 'value ' || (o_orderkey % 1000) AS slice FROM orders WHERE o_orderkey % 6 <> 0)
 SELECT o_orderkey, (7 + n)::BIGINT AS start, (7 + n + length(slice))::BIGINT AS "end", slice FROM o""",
     "explicit_numbers": """SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 4 = 0 THEN 'contradict' ELSE 'support' END AS label,
