@@ -351,7 +351,8 @@ def line_classes(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_C
     entries = texts.mapInArrow(functools.partial(_entries, least), "key long, mark long").repartition("key")
     short, kind = F.shiftright("mark", 2), F.col("mark").bitwiseAND(3)
     shared = entries.groupBy("key").agg(F.min(short).alias("a"), F.max(short).alias("b"), F.bit_or(kind).alias("k")).where("a <> b and k = 3").select("key")
-    found = entries.join(shared, "key").groupBy("key", short.alias("short")).agg(F.bit_or(kind).cast("int").alias("kind"))
+    # Shared keys are few among all: tables of them by partition spare the sort of all entries.
+    found = entries.join(shared.hint("shuffle_hash"), "key").groupBy("key", short.alias("short")).agg(F.bit_or(kind).cast("int").alias("kind"))
     found = materialize(found, "members")
     wanted = found.select("short").distinct()
     few = wanted.count() <= BROADCAST_NODES
