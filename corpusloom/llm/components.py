@@ -82,7 +82,8 @@ def linked_classes(
     bucket offers and bit 2 for nodes that look it up, a pair needs one of either. ``verify``: pairs (a, b) -> those that
     are links. First every bucket's smallest offered and smallest looking node meet the bucket's other nodes: pairs as
     many as members. A bucket of two nodes, or one all of whose nodes are then in one component, can add nothing. ``residual_links`` gets the
-    others, as (key, node, kind, comp, part, part_a, part_b), dealt into blocks of bounded size, and returns enough links
+    others, as (key, node, kind, comp, part, part_a, part_b), dealt into blocks of bounded size, of which those of a bucket's
+    largest component meet only those of its others, and returns enough links
     between different components: those that join what the links of a block join. Between them these two steps miss no
     component.
 
@@ -103,9 +104,14 @@ def linked_classes(
             links, comps = _hub_links(finer, verify, links)
             labelled, split = _split_buckets(finer.union(coarse), comps)
             read += [coarse, links, comps]
-    left = labelled.join(split.select("key", "n"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = left.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # A bucket's largest component needn't meet itself: its blocks meet the others' alone.
+    sizes = labelled.join(split.select("key"), "key", "left_semi").groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("key", F.col("top.comp").alias("largest"), blocks(F.col("n") - F.col("top.c")).alias("others"), blocks(F.col("top.c")).alias("own"))
+    left = labelled.join(sizes, "key").withColumn("apart", F.col("comp") != F.col("largest"))
+    of = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
+    left = left.withColumn("part", F.when(F.col("apart"), of(F.col("others"))).otherwise(F.col("others") + of(F.col("own"))))
+    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(F.col("apart"), F.col("own")).otherwise(0))))
     dealt = dealt.select("key", "node", "kind", "comp", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
     more = materialize(residual_links(dealt).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     out = connected_components(links.union(more))
