@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import clauses as C
 from corpusloom.functions import spans
 from corpusloom.functions.grammar import CARDINALS
-from corpusloom.operators import cells, context, contract, ledger, operands, populations, requirements, rules
+from corpusloom.operators import assessment, cells, context, contract, ledger, operands, populations, requirements, rules
 from corpusloom.session import materialize, table
 from corpusloom.streaming import budgets
 
@@ -255,6 +255,19 @@ def resolved_sources(spark: SparkSession, sf: str) -> DataFrame:
     return contract.resolve_sources(claims, units).select("case_id", "issue", F.array_join("candidates", ",").alias("candidates"))
 
 
+def member_quantifiers(spark: SparkSession, sf: str) -> DataFrame:
+    """From a text on each order to a quantifier: its stated population, what its clauses say of each member, and the truth of all."""
+    k = F.col("case_id")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
+    beta = F.when(k % 4 == 0, "leaked").when(k % 4 == 1, "never leaked").otherwise("was closed")
+    contexts = o.select("case_id", F.concat(F.lit("The stores were Alpha and Beta. Alpha leaked; Beta "), beta, F.lit(".")).alias("text"))
+    parts = o.select("case_id", F.lit("stores").alias("entity"), F.lit("").alias("time"), F.lit("").alias("condition"), F.lit("leaked").alias("metric"), F.lit("stores leaked").alias("quote"))
+    stated = materialize(populations.stated_populations(parts, contexts), "stated")
+    seen = assessment.member_truths(parts, stated)
+    cases = o.select("case_id", F.element_at(F.array(F.lit("all"), F.lit("some"), F.lit("none")), (k % 3 + 1).cast("int")).alias("quantifier"))
+    return populations.closed_truth(cases, stated, seen).select("case_id", "quantifier", "closed", "truth", "issue")
+
+
 LIMITS = budgets.Limits(seconds=1_000_000, steps=20, cost=4000.0, searches=5)
 
 
@@ -267,7 +280,7 @@ def session_stops(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interval_gaps, claim_cover, quantity_offsets, operand_choices, requirement_verdicts, slot_ledger, box_words, count_cells, percentage_cells, evidence_tree, claim_labels, closed_population, stated_population, scope_clauses, table_context, session_stops, explicit_numbers, source_slices, claim_issues, resolved_sources,
+        interval_gaps, claim_cover, quantity_offsets, operand_choices, requirement_verdicts, slot_ledger, box_words, count_cells, percentage_cells, evidence_tree, claim_labels, closed_population, stated_population, scope_clauses, table_context, session_stops, explicit_numbers, source_slices, claim_issues, resolved_sources, member_quantifiers,
     )
 }
 _TOKEN = r"[+−-]?[0-9]+(?:[.,/][0-9]+)*|\p{L}+(?:[-‐‑]\p{L}+)*|[^\s\p{L}\p{N}_]"
@@ -332,6 +345,9 @@ WHEN quantifier = 'some' THEN CASE WHEN yes > 0 THEN true WHEN closed THEN false
 SELECT case_id, quantifier, n_members, n_observed, closed, truth, CASE WHEN n_members IS NULL THEN 'no_population' WHEN beyond THEN 'outside_member' WHEN truth IS NULL THEN 'population_closure_required' END AS issue FROM e""",
     "stated_population": """SELECT o_orderkey AS case_id, (o_orderkey % 20)::INT AS n_members, (o_orderkey % 20) || ' certified stores' AS anchor, (length('The audit covered exactly ' || (o_orderkey % 20) || ' certified stores.') + 26)::BIGINT AS n_chars
 FROM orders WHERE o_orderkey % 20 BETWEEN 1 AND 16 AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0""",
+    "member_quantifiers": """SELECT o_orderkey AS case_id, (['all', 'some', 'none'])[o_orderkey % 3 + 1] AS quantifier, o_orderkey % 4 < 2 AS closed,
+CASE o_orderkey % 3 WHEN 0 THEN CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false END WHEN 1 THEN true ELSE false END AS truth,
+CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 > 1 THEN 'population_closure_required' END AS issue FROM orders""",
     "claim_issues": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS claim_index, CASE WHEN o_orderkey % 11 = 0 THEN 'empty_answer'
 ELSE (['question_not_claim', 'bare_quantity', 'metric_or_relation_missing', 'entity_missing', 'predicate_incomplete'])[o_orderkey % 7 + 1] END AS code FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 7 < 5""",
     "resolved_sources": """SELECT o_orderkey AS case_id, CASE o_orderkey % 4 WHEN 0 THEN 'value_absent' WHEN 3 THEN NULL ELSE 'unknown_source' END AS issue, CASE o_orderkey % 4 WHEN 0 THEN 's0' ELSE '' END AS candidates FROM orders""",
