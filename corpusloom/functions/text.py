@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,13 @@ def sentences(text: Column) -> Column:
 def ratio(part: Column, whole: Column) -> Column:
     """0.0 where the whole is 0."""
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body, or a loop in it, uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """``value`` by a generator, in a select of its own: filters on it are not moved below, where it would be computed again."""
+    return F.explode_outer(F.array(value))
