@@ -42,16 +42,16 @@ def gaps(spans: DataFrame, whole: DataFrame, by: list[str], start: str = "start"
 
     A range without spans is a gap as a whole.
     """
-    joined = whole.select(*by, F.col(start).alias("__lo"), F.col(end).alias("__hi")).join(islands(spans, by, start, end), by, "left")
-    s, e = F.greatest(start, "__lo"), F.least(end, "__hi")
-    there = F.col(start).isNotNull() & (s < e)
-    cut = joined.select(*by, "__lo", "__hi", F.when(there, s).alias("s"), F.when(there, e).alias("e"))
-    w = Window.partitionBy(*by, "__lo").orderBy(F.col("s").asc_nulls_first())
-    before = F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__lo"))
-    edges = cut.withColumn("__before", before).withColumn("__last", F.row_number().over(w.orderBy(F.col("s").desc_nulls_last())) == 1)
-    inner = edges.where(F.col("s") > F.col("__before")).select(*by, F.col("__before").alias(start), F.col("s").alias(end))
-    tail = edges.where("__last").select(*by, F.greatest(F.coalesce("e", "__lo"), "__before").alias(start), F.col("__hi").alias(end)).where(F.col(start) < F.col(end))
-    return inner.union(tail)
+    # What no span covers, between minus and plus infinity (null), by one sort of a key's spans; ranges are cut out of that.
+    w = Window.partitionBy(*by).orderBy(start, end)
+    fine = spans.where(F.col(start) < F.col(end)).select(*by, start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    edges = fine.withColumn("__reach", reach).withColumn("__last", F.lead(start).over(w).isNull())
+    before = F.when(F.col("__reach").isNull() | (F.col(start) > F.col("__reach")), F.struct(F.col("__reach").alias("s"), F.col(start).alias("e")))
+    after = F.when(F.col("__last"), F.struct(F.greatest("__reach", end).alias("s"), F.lit(None).cast(fine.schema[start].dataType).alias("e")))
+    free = edges.select(*by, F.explode_outer(F.array(before, after)).alias("g")).where("g is not null").select(*by, "g.s", "g.e")
+    met = whole.select(*by, F.col(start).alias("__lo"), F.col(end).alias("__hi")).join(free, by, "left")
+    return met.select(*by, F.greatest("__lo", "s").alias(start), F.least("__hi", "e").alias(end)).where(F.col(start) < F.col(end))
 
 
 def _enclosed(rows: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
