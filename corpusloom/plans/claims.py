@@ -17,7 +17,7 @@ def claim_quantities(spark: SparkSession, sf: str) -> DataFrame:
     """Quantities of a sentence about each line, without the number that names a table."""
     i = lambda c: F.col(c).cast("int").cast("string")
     text = F.concat(F.lit("Line "), i("l_linenumber"), F.lit(" of Table "), (F.col("l_orderkey") % 9).cast("string"), F.lit(" sold "), i("l_quantity"), F.lit(" units at "), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("% off"))
-    q = table(spark, sf, "lineitem").select("l_returnflag", F.explode(G.quantities(G.reference_free(text))).alias("q"))
+    q = table(spark, sf, "lineitem").select("l_returnflag", F.explode_outer(G.quantities(G.reference_free(text))).alias("q")).where("q is not null")
     return q.groupBy("l_returnflag", "q.kind").agg(F.count("*").alias("n"), F.sum("q.value").cast("long").alias("total"))
 
 
