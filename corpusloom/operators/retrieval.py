@@ -17,6 +17,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 FEW_TERMS = 200_000
 #: Numbers in a block of rows and of queries: 8 MB and 4 MB.
 ROW_NUMBERS, QUERY_NUMBERS = 1 << 20, 1 << 19
+#: Scores of a query and document that a task adds up, at most about so many.
+TASK_SCORES = 2_000_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,6 +35,12 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def by_document(hits: DataFrame, scores: int) -> DataFrame:
+    """``hits`` (doc, ...) by document in so many parts that each gives about TASK_SCORES of its ``scores``; what follows by document stays there."""
+    parts = max(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-scores // TASK_SCORES))
+    return hits.repartition(parts, "doc")
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query, doc, score, rank): Okapi scores of documents that share a term with a query; ties keep document order.
 
@@ -56,7 +64,8 @@ def bm25_from_postings(index: DataFrame, n: int, queries: DataFrame, k: int, que
     met = few(asked.select("term").distinct(), FEW_TERMS)
     # Lengths of all documents, from the same postings, meet the hits.
     lengths = index.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    hits = index.join(met, "term").join(lengths, "doc")
+    scores = asked.join(few(terms.select("term", "df"), FEW_TERMS), "term").agg(F.sum("df")).first()[0] or 0
+    hits = by_document(index.join(met, "term"), scores).join(lengths, "doc")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     scored = hits.join(few(asked, FEW_TERMS), "term").groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))
     return topk(scored, k, "query", "doc")
