@@ -90,7 +90,11 @@ def fallback_purity(spark: SparkSession, sf: str) -> DataFrame:
 def page_rank_lexical(spark: SparkSession, sf: str) -> DataFrame:
     """Three best documents for each item by distinct shared words, then by id."""
     words = lambda df, i, o: df.select(F.col(i).alias(o), F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
-    hits = R.few(words(table(spark, sf, "benchmark"), "item_id", "query"), 500_000).join(words(table(spark, sf, "documents"), "doc_id", "doc"), "w").groupBy("query", "doc").agg(F.count("*").alias("score"))
+    asked = materialize(words(table(spark, sf, "benchmark"), "item_id", "query"), "asked")
+    by_word = asked.groupBy("w").agg(F.count("*").alias("n"))
+    shared = materialize(R.few(by_word, 500_000).join(words(table(spark, sf, "documents"), "doc_id", "doc"), "w").select("doc", "w", "n"), "shared")
+    scores = shared.agg(F.sum("n")).first()[0] or 0
+    hits = R.few(asked, 500_000).join(R.by_document(shared.select("doc", "w"), scores), "w").groupBy("query", "doc").agg(F.count("*").alias("score"))
     return R.topk(hits, 3)
 
 
