@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.grammar import key_tokens, tokens
+from corpusloom.functions.text import let
 
 #: Words that refer to the sentence before, and how many segments a verdict cites and a window holds.
 PLURAL = ("them", "these", "those", "both", "they")
@@ -68,9 +69,13 @@ def evidence_passages(docs: DataFrame, limit: int, id_col: str = "doc_id", text_
     first = placed.where(F.length("text") <= limit).select(id_col, F.col("start").alias("from"), F.explode(F.array(F.floor(F.col("start") / limit), F.floor(F.col("start") / limit) + 1)).alias("block"))
     last = placed.select(id_col, "end", "start", F.floor(F.col("start") / limit).alias("block"))
     runs = first.join(last, [id_col, "block"]).where((F.col("start") >= F.col("from")) & (F.col("end") - F.col("from") <= limit)).select(id_col, "from", "end")
-    # A run never begins in one sentence and ends before it; blanks between sentences are part of it.
-    whole = docs.select(id_col, F.col(text_col).alias("__text"))
-    short = runs.join(whole, id_col).select(id_col, F.substring("__text", F.col("from").cast("int") + 1, (F.col("end") - F.col("from")).cast("int")).alias("passage"))
+    # A run never begins in one sentence and ends before it; blanks between sentences are part of it. It is cut out of the block
+    # that it begins in and the next one, not out of the whole text, whose characters would be counted anew for each run.
+    cut = F.regexp_extract_all(text_col, F.lit(rf"(?s).{{1,{limit}}}"), F.lit(0))
+    pairs = let(cut, lambda b: F.zip_with(b, F.slice(b, 2, F.greatest(F.size(b), F.lit(1))), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))))
+    blocks = docs.select(id_col, F.posexplode_outer(pairs).alias("block", "__text"))
+    at = (F.col("from") % limit).cast("int")
+    short = runs.withColumn("block", F.floor(F.col("from") / limit)).join(blocks, [id_col, "block"]).select(id_col, F.substring("__text", at + 1, (F.col("end") - F.col("from")).cast("int")).alias("passage"))
     words = placed.where(F.length("text") > limit).select(id_col, "pos", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\s*\S+"), F.lit(0))).alias("k", "w"))
     own = Window.partitionBy(id_col, "pos").orderBy("k")
     ends = words.select(id_col, "pos", "k", F.sum(F.length("w")).over(own).alias("e"), F.length(_strip_left(F.col("w"))).alias("l")).select(id_col, "pos", "k", (F.col("e") - F.col("l")).alias("s"), "e")
