@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions.grammar import canonical
+from corpusloom.session import materialize, shuffled
 
 #: Headers of labels and of splits, captions, and how far aligned edges, lines and centres may be apart.
 LABEL_HEADERS = ("type", "category", "label")
@@ -93,17 +95,18 @@ def count_cells(words: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
     caption = caption.groupBy(page).agg(F.count("*").alias("n"), F.first("table_id").alias("table_id"), F.first("y0").alias("cap_y")).where("n = 1").drop("n")
     heads = blocks.where((F.col("kind") != "caption") & count_header(F.col("text"))).groupBy(page).agg(F.count("*").alias("n"), F.first(F.struct("block", "text", "x0", "y0", "x1", "y1")).alias("h")).where("n = 1")
     head = caption.join(heads, page).select(page, "table_id", "cap_y", "h.block", "h.text", "h.x0", "h.y0", "h.x1", "h.y1")
-    inside = words_in_blocks(words.join(head.select(page), page, "left_semi"), blocks.where("kind <> 'caption'"), page)
+    # Read by the header and by the rows.
+    inside = shuffled(materialize(words_in_blocks(words, blocks.where("kind <> 'caption'").join(head.select(page), page, "left_semi"), page), "inside"))
     own = inside.join(head.select(page, "block"), [page, "block"], "left_semi").groupBy(page).agg(F.array_sort(F.collect_list(F.struct("w0", "at", "t0", "w1", "t1", "word"))).alias("ws"))
     head = head.join(own, page).where(F.transform("ws", lambda w: F.lower(w["word"])) == F.split(F.trim(F.lower("text")), r"\s+"))
     head = head.where(F.forall("ws", lambda w: F.abs(w["t0"] - F.get(F.col("ws"), F.lit(0))["t0"]) <= LINE))
     upper = F.when(F.col("cap_y") > F.col("y1"), F.col("cap_y")).otherwise(F.col("y1") + BELOW_HEADER)
     head = head.select(page, "table_id", F.col("block").alias("header_block"), F.col("y1").alias("head_bottom"), upper.alias("upper"), F.get("ws", F.lit(0)).alias("label_head"), F.slice("ws", 2, F.size("ws") - 1).alias("cols"))
     bodies = blocks.where("kind <> 'caption'").select(page, "block", F.col("y0").alias("top"), F.col("text").alias("body")).join(head, page).where("top > head_bottom and top < upper")
-    local = inside.join(bodies.select(page, "block", "upper"), [page, "block"]).where("t1 < upper").drop("upper")
-    starts = local.join(bodies.select(page, "block", F.col("label_head.w0").alias("left")), [page, "block"]).where(F.abs(F.col("w0") - F.col("left")) <= EDGE)
-    starts = starts.select(page, "block", F.col("at").alias("row"), F.col("t0").alias("a_t"), F.col("t1").alias("a_b"))
-    rows = _same_line(local, starts, [page, "block"], F.lit(True)).groupBy(page, "block", "row", "a_t", "a_b").agg(F.array_sort(F.collect_list(F.struct("w0", "at", "t0", "w1", "t1", "word"))).alias("ws"))
+    bodies = shuffled(materialize(bodies, "bodies"))
+    local = inside.join(bodies.select(page, "block", "upper", F.col("label_head.w0").alias("left")), [page, "block"]).where("t1 < upper").drop("upper")
+    starts = local.where(F.abs(F.col("w0") - F.col("left")) <= EDGE).select(page, "block", F.col("at").alias("row"), F.col("t0").alias("a_t"), F.col("t1").alias("a_b"))
+    rows = _same_line(local.drop("left"), starts, [page, "block"], F.lit(True)).groupBy(page, "block", "row", "a_t", "a_b").agg(F.array_sort(F.collect_list(F.struct("w0", "at", "t0", "w1", "t1", "word"))).alias("ws"))
     rows = rows.join(bodies, [page, "block"])
     centre = lambda w: (w["w0"] + w["w1"]) / 2
     under = F.transform("cols", lambda c: F.filter("ws", lambda w: (F.abs(centre(w) - centre(c)) <= CENTRE) & w["word"].rlike(INTEGER)))
@@ -118,9 +121,8 @@ def count_cells(words: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
         page, "table_id", "header_block", "block", "row_label", F.col("x.cols.word").alias("column_header"), F.col("x.values.word").alias("cell_text"), box(F.col("x.cols")).alias("column_box"),
         F.array(F.get("labels", F.lit(0))["w0"], F.col("a_t"), F.element_at("labels", -1)["w1"], F.col("a_b")).alias("label_box"), box(F.col("x.values")).alias("cell_box"),
     )
-    key = [F.lower("row_label").alias("k_row"), F.lower("column_header").alias("k_col")]
-    once = cells.groupBy(page, *key).count().where("count = 1").select(page, "k_row", "k_col")
-    return cells.join(once, (cells[page] == once[page]) & (F.lower(cells["row_label"]) == once["k_row"]) & (F.lower(cells["column_header"]) == once["k_col"]), "left_semi")
+    again = F.count("*").over(Window.partitionBy(page, F.lower("row_label"), F.lower("column_header")))
+    return cells.withColumn("__again", again).where("__again = 1").drop("__again")
 
 
 def percentage_cells(words: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
