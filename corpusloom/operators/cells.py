@@ -51,6 +51,17 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, page: str, closed: floa
     return j.drop("__level", "__gx", "__gy", "__l", "__t", "__r", "__b")
 
 
+def count_in_boxes(points: DataFrame, boxes: DataFrame, page: str, box_id: str) -> DataFrame:
+    """(box_id, n): how many ``points`` (page, x, y) each box (page, box_id, x0, y0, x1, y1) holds, as ``points_in_boxes`` has it; empty boxes are left out.
+
+    Points of one place are one point that counts as often, equal boxes are one box: what meets are places and shapes.
+    """
+    edges = [page, "x0", "y0", "x1", "y1"]
+    held = points_in_boxes(points.groupBy(page, "x", "y").agg(F.count("*").alias("__n")), boxes.select(*edges).distinct(), page)
+    held = held.groupBy(*edges).agg(F.sum("__n").alias("__n"))
+    return boxes.select(box_id, *edges).join(held, edges).groupBy(box_id).agg(F.sum("__n").alias("n"))
+
+
 def read_boxes(words: DataFrame, boxes: DataFrame, page: str, box_id: str) -> DataFrame:
     """(page, box_id, text): the words (page, at, x0, y0, x1, y1, word) whose centre lies in each box, in their order ``at``; boxes without a word have an empty text."""
     centres = words.select(page, "at", "word", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
