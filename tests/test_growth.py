@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import grammar as G
 from corpusloom.functions.text import let, once
-from corpusloom.operators import cells, contract, requirements
+from corpusloom.operators import cells, contract, requirements, retrieval
 from corpusloom.plans import claims, requirements as plans
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +61,9 @@ def test_gaps_sort_spans_once(spark):
 def test_cells_are_made_once(spark):
     text = plans.count_cells(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("arrays_zip") == 1
+
+
+def test_scores_bound_the_parts_of_a_search(spark):
+    hits = spark.createDataFrame([(i, "w") for i in range(100)], "doc int, term string")
+    assert retrieval.by_document(hits, 10 * retrieval.TASK_SCORES).rdd.getNumPartitions() == 10
+    assert retrieval.by_document(hits, 0).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
