@@ -15,6 +15,9 @@ from corpusloom.session import hold, materialize, release
 BLOCK = 1024
 #: A key is hot from so many rows on, or from a HOT_KEYS-th of all rows, whichever is more: HOT_KEYS keys at most are hot.
 HOT_ROWS, HOT_KEYS = 2048, 50_000
+#: Buckets of more nodes than MERGED become one with those they share most nodes with, where that deals fewer rows. Buckets of
+#: more than FINER blocks become finer ones: below, each node is dealt less often than it would have finer keys.
+MERGED, FINER = 64, 16
 #: Keys of large buckets are broadcast up to so many (8 bytes each).
 BROADCAST_KEYS = 500_000
 
@@ -86,24 +89,23 @@ def linked_classes(
     between different components: those that join what the links of a block join. Between them these two steps miss no
     component.
 
-    ``refine``, if given, gets the buckets of more than BLOCK nodes among those others, and returns them as (key, node, kind)
-    of finer buckets in which all their links share a key too: these go through the same steps first, so that blocks are
+    A group of near but unlinked nodes fills many buckets with mostly the same nodes, so overlapping buckets first become one
+    (``_merged``). ``refine``, if given, gets those of more than FINER blocks among what is left, and returns them as (key, node,
+    kind) of finer buckets in which all their links share a key too: these go through the same steps first, so that blocks are
     made only of what two levels of buckets leave.
     """
     links, comps = _hub_links(members, verify, None)
-    labelled, split = _split_buckets(members, comps)
-    read = [links, comps]
+    left = _merged(_split_buckets(members, comps))
+    read = [links, comps, left]
     if refine is not None:
-        large = split.where(F.col("n") > BLOCK).select("key")
-        finer = materialize(refine(join_keys(labelled, large).select("key", "node", "kind")), "finer")
-        read.append(finer)
-        if not finer.isEmpty():
-            coarse = materialize(join_keys(labelled, large, "left_anti").select("key", "node", "kind"), "coarse")
-            release(comps)
+        large = F.col("n") > FINER * BLOCK
+        if not left.where(large).isEmpty():
+            finer = materialize(refine(left.where(large).select("key", "node", "kind")), "finer")
+            coarse = left.where(~large).select("key", "node", "kind")
             links, comps = _hub_links(finer, verify, links)
-            labelled, split = _split_buckets(finer.union(coarse), comps)
-            read += [coarse, links, comps]
-    left = labelled.join(split.select("key", "n"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+            left = _merged(_split_buckets(finer.union(coarse), comps))
+            read += [finer, links, comps, left]
+    left = left.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = left.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", "node", "kind", "comp", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
@@ -114,7 +116,7 @@ def linked_classes(
 
 
 def join_keys(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
-    """``rows`` whose key is among ``keys`` (or isn't), which are broadcast up to BROADCAST_KEYS of them, else shuffled."""
+    """``rows`` whose key is among ``keys`` (or isn't, or joined with them), which are broadcast up to BROADCAST_KEYS of them, else shuffled."""
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     return rows.join(F.broadcast(keys) if few else keys, "key", how)
 
@@ -135,11 +137,38 @@ def _hub_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], kno
     return links, connected_components(links)
 
 
-def _split_buckets(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their component (nodes without a link are their own), and (key, n) of buckets of several ones that can add a link."""
+def _split_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, node, kind, comp, n) of the buckets, of n nodes, that hold several components and can add a link; nodes without a link are their own."""
     labelled = members.join(comps, "node", "left").select("key", "node", "kind", F.coalesce("comp", "node").alias("comp"))
     split = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 <> c2 and n > 2")
-    return labelled, split.select("key", "n")
+    return materialize(labelled.join(split.select("key", "n"), "key"), "left")
+
+
+def _merged(left: DataFrame) -> DataFrame:
+    """``left`` (key, node, kind, comp, n) with overlapping buckets as one: each pair that shared a bucket still does.
+
+    Every bucket of more than MERGED nodes joins the one that is the largest for most of its nodes, if that are a quarter of them.
+    Buckets so connected become one under one of their keys, unless that deals no fewer rows into blocks than they do.
+    """
+    large = left.where(F.col("n") > MERGED)
+    if large.isEmpty():
+        return left
+    home = large.groupBy("node").agg(F.max(F.struct("n", "key")).alias("home")).select("node", F.col("home.key").alias("home"))
+    share = large.join(home, "node").groupBy("key", "n", "home").agg(F.count("*").alias("many"))
+    most = share.groupBy("key", "n").agg(F.max(F.struct("many", "home")).alias("m"))
+    edges = most.where("m.many * 4 >= n and m.home <> key").select(F.col("key").alias("a"), F.col("m.home").alias("b"))
+    roots = connected_components(edges)
+    dealt = F.col("n") * F.ceil(F.col("n") / BLOCK)
+    root = roots.select(F.col("node").alias("key"), F.col("comp").alias("root"))
+    whole = join_keys(large, root, "inner").groupBy("root", "node").agg(F.bit_or("kind").alias("kind"), F.first("comp").alias("comp"))
+    whole = materialize(whole.select(F.col("root").alias("key"), "node", "kind", "comp"), "whole")
+    apart = large.select("key", "n").distinct().join(root, "key").groupBy("root").agg(F.sum(dealt).alias("apart"))
+    fewer = whole.groupBy("key").agg(F.count("*").alias("n")).join(apart.withColumnRenamed("root", "key"), "key").where(dealt < F.col("apart")).select("key", "n")
+    fewer = materialize(fewer, "fewer")
+    gone = root.join(fewer.select(F.col("key").alias("root")), "root").select("key")
+    out = materialize(join_keys(left, gone, "left_anti").union(join_keys(whole, fewer, "inner").select(*left.columns)), "left")
+    release(left, roots, whole, fewer)
+    return out
 
 
 def in_blocks(rows: DataFrame, compare: Callable[[dict[str, np.ndarray], int, int], list[tuple]], schema: str) -> DataFrame:

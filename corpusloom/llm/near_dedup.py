@@ -8,10 +8,10 @@ chunk therefore enters the index once for each of its symbols, that symbol left
 pair.
 
 Documents with the same set are one node, so copies are never paired. Nodes that share a key first meet the bucket's
-smallest node, and links are confirmed on the full sets. Buckets that then still fall into several components are compared
-within bounded blocks by sizes and signatures, and confirmed on the full sets too; those of more than a block's nodes first
-become finer ones by a second pigeonhole, on all symbols in more chunks than a near pair has differences, of which it
-therefore shares one without an error.
+smallest node, and links are confirmed on the full sets. Buckets that then still fall into several components become one
+where they hold mostly the same nodes, and are compared within bounded blocks by sizes and signatures, and confirmed on the
+full sets too; those of more than FINER blocks first become finer ones by a second pigeonhole, on all symbols in more chunks
+than a near pair has differences, of which it therefore shares one without an error.
 
 Defined results: null and empty texts, and texts of blanks, have an empty set and link with nothing; a text of fewer
 words than a shingle is one shingle; each input row gives one row, repeated ones too; rows that repeat a doc_id with other

@@ -1,9 +1,14 @@
 """Shapes of plans and results on which larger tables depend."""
 
+import itertools
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import grammar as G
 from corpusloom.functions.text import let, once
+from corpusloom.llm import components, near_dedup
 from corpusloom.operators import cells, contract, requirements, retrieval
 from corpusloom.plans import claims, requirements as plans
 
@@ -67,3 +72,48 @@ def test_scores_bound_the_parts_of_a_search(spark):
     hits = spark.createDataFrame([(i, "w") for i in range(100)], "doc int, term string")
     assert retrieval.by_document(hits, 10 * retrieval.TASK_SCORES).rdd.getNumPartitions() == 10
     assert retrieval.by_document(hits, 0).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_overlapping_buckets_are_dealt_once(spark, monkeypatch):
+    """Twelve buckets of mostly the same 160 unlinked nodes, and one of others: rows in blocks are those of the nodes, no pair is lost."""
+    monkeypatch.setattr(components, "BLOCK", 40)
+    rng = random.Random(5)
+    buckets = {k: [i for i in range(160) if rng.random() < 0.6] for k in range(12)} | {50: list(range(1000, 1070)), 51: [2000, 2001, 2002]}
+    members = spark.createDataFrame([(k, i, 3) for k, ids in buckets.items() for i in ids], "key long, node long, kind int")
+    seen = []
+
+    def links(dealt):
+        seen.extend(dealt.collect())
+        return spark.createDataFrame([(40, 150)], "a long, b long")
+
+    comps = components.linked_classes(members, lambda pairs: pairs.where("a = 2000 and b = 2001"), links)
+    assert {(r.node, r.comp) for r in comps.collect()} == {(150, 40), (40, 40), (2000, 2000), (2001, 2000)}
+    assert len(seen) <= 160 * 4 + 70 * 2 + 3
+    blocks = {}
+    for r in seen:
+        blocks.setdefault((r.key, r.part_a, r.part_b), {}).setdefault(r.part, set()).add(r.node)
+    met = {frozenset(p) for (_, a, b), parts in blocks.items() for p in itertools.product(parts.get(a, ()), parts.get(b, ()))}
+    assert all(frozenset(p) in met for ids in buckets.values() for p in itertools.combinations(ids, 2))
+
+
+def test_buckets_that_share_little_stay_apart(spark, monkeypatch):
+    """A chain of buckets that share a quarter of their nodes with the next would be more rows as one."""
+    monkeypatch.setattr(components, "BLOCK", 100)
+    rows = [(k, i) for k in range(8) for i in range(72 * k, 72 * k + 96 + k)]
+    left = spark.createDataFrame([(k, i, 3, i, 96 + k) for k, i in rows], "key long, node long, kind int, comp long, n long")
+    assert sorted((r.key, r.node) for r in components._merged(left).collect()) == rows
+
+
+@pytest.mark.parametrize("finer", [1, 16])
+def test_finer_buckets_find_the_links_of_a_merged_one(spark, monkeypatch, finer):
+    """Pairs that share a common passage with all others, by finer buckets or by blocks alone."""
+    monkeypatch.setattr(components, "BLOCK", 32)
+    monkeypatch.setattr(components, "FINER", finer)
+    rng, docs = random.Random(12), []
+    for g in range(70):
+        own = [f"g{g}w{k}" for k in range(110)]
+        docs.append((2 * g, " ".join([f"c{i}" for i in range(90)] + own)))
+        own[rng.randrange(110)] = "changed"
+        docs.append((2 * g + 1, " ".join([f"c{i}" for i in range(90)] + own)))
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {i: i - i % 2 for i, _ in docs}
