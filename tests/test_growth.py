@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import grammar as G
 from corpusloom.functions.text import let, once
 from corpusloom.llm import components, near_dedup
-from corpusloom.operators import cells, contract, requirements, retrieval
+from corpusloom.operators import cells, contract, operands, requirements, retrieval
 from corpusloom.plans import claims, requirements as plans
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +117,14 @@ def test_finer_buckets_find_the_links_of_a_merged_one(spark, monkeypatch, finer)
         docs.append((2 * g + 1, " ".join([f"c{i}" for i in range(90)] + own)))
     out = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == {i: i - i % 2 for i, _ in docs}
+
+
+def test_operands_are_dealt_before_they_are_counted(spark):
+    """Choices are one pass over operands that meet requirements once; what a map task reads isn't held in an aggregate."""
+    text = plan(plans.operand_choices(spark, SF))
+    assert "LeftAnti" not in text and "REPARTITION_BY_NUM" in text
+    asked = spark.createDataFrame([(1, 0, "eq", 3, "kg"), (1, 0, "near", 4, "kg"), (1, None, "ge", 1, "kg"), (2, 0, "near", 1, "kg"), (3, 0, "eq", 1, "m")], "case int, req int, relation string, value int, unit string")
+    seen = spark.createDataFrame([(c, p, v, "KG") for c in (1, 2) for p, v in ((1, 3), (2, 4), (3, 4))], "case int, passage int, value int, unit string")
+    got = operands.operand_choices(asked, seen, "case").select("case", "req", "r_value", "o_value", "truth", "n_passages", "issue").collect()
+    open_ = "no_decisive_operand"
+    assert {tuple(r) for r in got} == {(1, 0, 3, 3, True, 1, None), (1, 0, 3, 4, False, 2, None), (1, None, 1, 3, True, 1, None), (1, None, 1, 4, True, 2, None), (2, 0, 1, None, None, None, open_), (3, 0, 1, None, None, None, open_)} and len(got) == 6
