@@ -17,6 +17,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 FEW_TERMS = 200_000
 #: Numbers in a block of rows and of queries: 8 MB and 4 MB.
 ROW_NUMBERS, QUERY_NUMBERS = 1 << 20, 1 << 19
+#: Scores of a block that are held at once: 8 MB.
+HELD_SCORES = 1 << 20
 #: Scores of a query and document that a task adds up, at most about so many.
 TASK_SCORES = 2_000_000
 
@@ -101,9 +103,11 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
         if len(held) and len(asked):
             held = held.sort_values("doc", kind="stable")
             ids, x = held["doc"].to_numpy(), np.stack(held["v"].to_numpy())
-            for first in range(0, len(asked), 256):
-                part = asked.iloc[first : first + 256]
-                score = np.round(np.stack(part["v"].to_numpy()) @ x.T, digits)
+            step = max(1, HELD_SCORES // len(ids))
+            for first in range(0, len(asked), step):
+                part = asked.iloc[first : first + step]
+                score = np.stack(part["v"].to_numpy()) @ x.T
+                np.round(score, digits, out=score)
                 score[part["query"].to_numpy()[:, None] == ids[None, :]] = -np.inf
                 for i, query in enumerate(part["query"].to_numpy()):
                     least = np.partition(score[i], -min(k, len(ids)))[-min(k, len(ids))]

@@ -128,3 +128,15 @@ def test_operands_are_dealt_before_they_are_counted(spark):
     got = operands.operand_choices(asked, seen, "case").select("case", "req", "r_value", "o_value", "truth", "n_passages", "issue").collect()
     open_ = "no_decisive_operand"
     assert {tuple(r) for r in got} == {(1, 0, 3, 3, True, 1, None), (1, 0, 3, 4, False, 2, None), (1, None, 1, 3, True, 1, None), (1, None, 1, 4, True, 2, None), (2, 0, 1, None, None, None, open_), (3, 0, 1, None, None, None, open_)} and len(got) == 6
+
+
+def test_scores_of_a_block_are_held_in_parts(spark, monkeypatch):
+    """However many rows a block has, about HELD_SCORES scores are made at once; ties and ranks are those of all."""
+    monkeypatch.setattr(retrieval, "HELD_SCORES", 90)
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query, r.rank): r.doc for r in retrieval.dense_topk(v, v.where("vec_id % 2 = 0"), 5).collect()}
+    for q, x in rows[::2]:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), d) for d, y in rows if d != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [d for _, d in best]
