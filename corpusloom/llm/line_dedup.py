@@ -54,6 +54,10 @@ SHORT_SEED = 7
 #: Candidate lines up to so many are broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_NODES = 500_000
 SEEN = 300_000
+#: Entries that a task holds before it sends them, those of each part of the keys as one row, and entries of a part, about.
+HELD, PART = 1 << 20, 1 << 20
+#: Parts there are for each shuffle partition at least, and entries that a line is taken to have.
+PARTS, LINE_ENTRIES = 4, 24
 #: Characters whose keys are made together, and what spans are hashed with.
 CHUNK = 200_000
 BASE, MIX, SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -61,7 +65,10 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def normal(line: str) -> str:
-    return " ".join(line.split()).lower()
+    # Most lines are squeezed already; no blank but the space is printable.
+    if "  " in line or not line.isprintable() or line[:1] == " " or line[-1:] == " ":
+        line = " ".join(line.split())
+    return line.lower()
 
 
 def segments(length: int, parts: int = EDITS + 1) -> list[tuple[int, int]]:
@@ -91,13 +98,12 @@ def _spans(size: int, length: int, edits: int, seed: int) -> list[tuple[int, int
     return out
 
 
-#: Starts, ends, seeds and kinds of a line's spans, in characters or in words.
-Plan = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Starts, ends, seeds and kinds of a line's spans, in characters or in words: four rows.
+Plan = np.ndarray
 
 
 def _arrays(spans: list[tuple[int, int, int, int]]) -> Plan:
-    columns = list(zip(*spans)) or [(), (), (), ()]
-    return tuple(np.array(c, dtype=np.uint64 if k == 2 else np.int64) for k, c in enumerate(columns))
+    return np.array(spans, dtype=np.int64).reshape(-1, 4).T.copy()
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -148,11 +154,11 @@ def _keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for unit, (own, place) in enumerate(zip(plans, places)):
         if not own:
             continue
-        counts = [len(p[0]) for p, _, _ in own]
-        starts, ends, seeds, kind = (np.concatenate([p[c] for p, _, _ in own]) for c in range(4))
+        counts = [p.shape[1] for p, _, _ in own]
+        starts, ends, seeds, kind = np.concatenate([p for p, _, _ in own], axis=1)
         shift = np.repeat([a for _, a, _ in own], counts)
         starts, ends = place[starts + shift], place[ends + shift] - unit
-        h = ((sums[ends] - sums[starts]) * down[starts]) ^ (seeds * MIX)
+        h = ((sums[ends] - sums[starts]) * down[starts]) ^ (seeds.view(np.uint64) * MIX)
         h = (h ^ (h >> np.uint64(29))) * SPREAD
         h = (h ^ (h >> np.uint64(32))) * MIX
         keys.append((h ^ (h >> np.uint64(29))).view(np.int64))
@@ -247,17 +253,24 @@ def _short(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64)[::2] >> 2
 
 
-def _entries(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, mark) of the lines of texts, a mark being a line's short node and the kind in its last two bits; a line that the task has just seen isn't repeated."""
-    seen: set[bytes] = set()
+def _packed(keys: np.ndarray, marks: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, keys, marks): a row for each part of the keys, its entries as arrays of 64-bit numbers."""
+    part = ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    held = np.flatnonzero(np.diff(ends, prepend=0))
+    offsets = pa.py_buffer((np.concatenate(([0], ends[held])) * 8).astype("<i4"))
+    packed = [pa.Array.from_buffers(pa.binary(), len(held), [None, offsets, pa.py_buffer(x[order])]) for x in (keys, marks)]
+    return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *packed], ["part", "keys", "marks"])
 
-    def made() -> pa.RecordBatch:
-        keys, kinds, of = _keys(lines)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array((_short(nodes) << 2)[of] | kinds)], ["key", "mark"])
 
-    for batch in batches:
-        nodes, lines, size = [], [], 0
-        for text in batch.column(0).to_pylist():
+def _entries(least: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, keys, marks) of the lines of texts, a mark being a line's short node and the kind in its last two bits; a line that the task has just seen isn't repeated."""
+    seen: set[bytes] = set()
+    made: list[tuple[np.ndarray, np.ndarray]] = []
+    many, nodes, lines, size = 0, [], [], 0
+    for batch in itertools.chain(batches, [None]):
+        for text in [None] if batch is None else batch.column(0).to_pylist():
             for _, line in _eligible(text, least):
                 d = _node(line)
                 if d in seen:
@@ -268,11 +281,41 @@ def _entries(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 nodes.append(d)
                 lines.append(line)
                 size += len(line) + 1
-                if size >= CHUNK:
-                    yield made()
-                    nodes, lines, size = [], [], 0
-        if nodes:
-            yield made()
+                if size < CHUNK:
+                    continue
+                keys, kinds, of = _keys(lines)
+                made.append((keys, (_short(nodes) << 2)[of] | kinds))
+                many += len(keys)
+                nodes, lines, size = [], [], 0
+                if many >= HELD:
+                    yield _packed(*map(np.concatenate, zip(*made)), parts)
+                    made, many = [], 0
+    if lines:
+        keys, kinds, of = _keys(lines)
+        made.append((keys, (_short(nodes) << 2)[of] | kinds))
+    if made:
+        yield _packed(*map(np.concatenate, zip(*made)), parts)
+
+
+def _members(part: pa.Table) -> pa.Table:
+    """(key, short, kind) of the entries of a part whose key several lines share, one of them offering it and one looking it up."""
+    keys, marks = (np.concatenate([np.frombuffer(x, dtype=np.int64) for x in part[c].to_pylist()]) for c in ("keys", "marks"))
+    order = np.argsort(keys)
+    keys, marks = keys[order], marks[order]
+    same = keys[1:] == keys[:-1]
+    again = np.append(False, same) | np.append(same, False)
+    keys, marks = keys[again], marks[again]
+    order = np.lexsort((marks, keys))
+    keys, short, kind = keys[order], marks[order] >> 2, (marks[order] & 3).astype(np.int32)
+    if len(keys):
+        new = np.append(True, keys[1:] != keys[:-1])
+        first = np.flatnonzero(new)
+        wanted = (np.minimum.reduceat(short, first) != np.maximum.reduceat(short, first)) & (np.bitwise_or.reduceat(kind, first) == 3)
+        first = np.flatnonzero(new | np.append(True, short[1:] != short[:-1]))
+        kind = np.bitwise_or.reduceat(kind, first)
+        held = wanted[np.cumsum(new)[first] - 1]
+        keys, short, kind = keys[first][held], short[first][held], kind[held]
+    return pa.table({"key": keys, "short": short, "kind": kind})
 
 
 def _occurrences(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,16 +386,19 @@ def _links_in_block(cols: dict[str, np.ndarray], first: int, last: int) -> list[
     return out
 
 
-def line_classes(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(node, comp) of the lines of ``min_chars`` or more that are linked to another; node is the 128-bit digest of the normal line."""
+def line_classes(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS, n_lines: int | None = None) -> DataFrame:
+    """(node, comp) of the lines of ``min_chars`` or more that are linked to another; node is the 128-bit digest of the normal line.
+
+    n_lines: about how many lines there are, counted if not given; the parts that keys are dealt into grow with them.
+    """
     least = max(1, min_chars)
     texts = docs.select(F.col(text_col).alias("t")).where(F.octet_length("t") >= least)
-    # Two numbers a row: this is the widest shuffle, and Spark aggregates numbers by hashing, where bytes would have to be sorted.
-    entries = texts.mapInArrow(functools.partial(_entries, least), "key long, mark long").repartition("key")
-    short, kind = F.shiftright("mark", 2), F.col("mark").bitwiseAND(3)
-    shared = entries.groupBy("key").agg(F.min(short).alias("a"), F.max(short).alias("b"), F.bit_or(kind).alias("k")).where("a <> b and k = 3").select("key")
-    # Shared keys are few among all: tables of them by partition spare the sort of all entries.
-    found = entries.join(shared.hint("shuffle_hash"), "key").groupBy("key", short.alias("short")).agg(F.bit_or(kind).cast("int").alias("kind"))
+    if n_lines is None:
+        n_lines = texts.agg(F.sum(F.size(F.split("t", "\n")))).first()[0] or 0
+    parts = max(PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_lines * LINE_ENTRIES // PART)
+    # This is the widest shuffle: entries go packed, a row for all those that a task has for a part, and each of them meets others once.
+    entries = texts.mapInArrow(functools.partial(_entries, least, parts), "part int, keys binary, marks binary")
+    found = entries.groupBy("part").applyInArrow(_members, "key long, short long, kind int")
     found = materialize(found, "members")
     wanted = found.select("short").distinct()
     few = wanted.count() <= BROADCAST_NODES
@@ -391,7 +437,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text")).mapInArrow(functools.partial(_occurrences, max(1, min(min_exact, min_chars))), f"__id {kind}, __key long, n int, lines array<struct<line_no:int,node:binary>>")
     counted = materialize(counted, "occurrences")
     counted_lines = counted.select("__id", "__key", F.explode("lines").alias("x")).select("__id", "__key", "x.line_no", "x.node")
-    comps = line_classes(docs, text_col, min_chars)
+    comps = line_classes(docs, text_col, min_chars, counted.agg(F.sum("n")).first()[0] or 0)
     # A row for each distinct line, so that a very common one is a row too when classes are looked up.
     at = F.struct("__id", "__key", "line_no")
     nodes = counted_lines.groupBy("node").agg(F.count("*").alias("rows"), F.min(at).alias("f"))
