@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.grammar import key_tokens, tokens
+from corpusloom.functions.grammar import key_tokens, tokens, word_tokens
 from corpusloom.functions.text import let
 
 #: Words that refer to the sentence before, and how many segments a verdict cites and a window holds.
@@ -19,18 +19,26 @@ CITED, WINDOW, REACH = 4, 8, 4
 #: Private-use characters that mark boundaries; a text that holds them is cut there too.
 CUT, JOINT = "\uf8fe", "\uf8ff"
 _BOUNDARY = r"(?U)([.!?])(\s+)|(\r?\n[ \t]*\r?\n)"
+#: What the pattern of a blank matches under (?U).
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n")))
 
 
+def _blank(letter: Column) -> Column:
+    """Whether the first or last character of a text is a blank; most texts have none at their ends and go by no pattern."""
+    return (letter != "") & F.contains(F.lit(BLANKS), letter)
+
+
 def _strip_left(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+", "")
+    return F.when(_blank(F.left(text, F.lit(1))), F.regexp_replace(text, r"(?U)^\s+", "")).otherwise(text)
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(_strip_left(text), r"(?U)\s+$", "")
+    left = _strip_left(text)
+    return F.when(_blank(F.right(text, F.lit(1))), F.regexp_replace(left, r"(?U)\s+$", "")).otherwise(left)
 
 
 def source_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,9 +59,10 @@ def source_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = pieces.select(id_col, "pos", (raw + lead).cast("int").alias("start"), (lines + _breaks(F.substring("body", F.lit(1), lead))).alias("line"), _strip(F.col("body")).alias("text")).where("text <> ''")
     before = F.lag(F.col("line") + _breaks(F.col("text"))).over(by)
     found = placed.select(
-        id_col, F.row_number().over(by).alias("n"), "start", (F.col("start") + F.length("text")).alias("end"), "text", F.coalesce(F.col("line") - before, F.lit(0)).cast("int").alias("breaks")
+        id_col, "pos", F.row_number().over(by).alias("n"), "start", (F.col("start") + F.length("text")).alias("end"), "text", F.coalesce(F.col("line") - before, F.lit(0)).cast("int").alias("breaks")
     )
-    return found.withColumn("para", F.sum((F.col("breaks") >= 2).cast("int")).over(Window.partitionBy(id_col).orderBy("n")).cast("int"))
+    # By place, as rows are in that order already.
+    return found.withColumn("para", F.sum((F.col("breaks") >= 2).cast("int")).over(by).cast("int")).drop("pos")
 
 
 def evidence_passages(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,7 +129,8 @@ def related_windows(segments: DataFrame, chosen: DataFrame, id_col: str = "doc_i
 def rank_by_terms(segments: DataFrame, claims: DataFrame, id_col: str = "doc_id", claim_col: str = "claim") -> DataFrame:
     """(id, n, shared, rank): segments by how many of the claim's key words they hold, ties in text order; one claim for each id."""
     asked = claims.select(id_col, F.array_distinct(key_tokens(F.col(claim_col))).alias("__c"))
-    shared = segments.join(asked, id_col).select(id_col, "n", F.size(F.array_intersect("__c", key_tokens(F.col("text")))).alias("shared"))
+    # Claims hold key words alone, so other words needn't be told apart in segments.
+    shared = segments.join(asked, id_col).select(id_col, "n", F.size(F.array_intersect("__c", word_tokens(F.col("text")))).alias("shared"))
     return shared.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("shared"), "n")))
 
 

@@ -20,6 +20,11 @@ def _segments(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(S.source_segments(_documents(spark, sf)), "segments")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments without offsets and paragraphs, which are then not worked out."""
+    return materialize(S.source_segments(_documents(spark, sf)).select("doc_id", "n", "text"), "segments")
+
+
 def source_segments(spark: SparkSession, sf: str) -> DataFrame:
     return S.source_segments(_documents(spark, sf))
 
@@ -54,7 +59,7 @@ def ledger_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def segment_rank(spark: SparkSession, sf: str) -> DataFrame:
-    s = _segments(spark, sf)
+    s = _texts(spark, sf)
     return S.rank_by_terms(s, s.where("n = 3").select("doc_id", F.col("text").alias("claim"))).where("rank <= 5")
 
 
