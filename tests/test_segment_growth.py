@@ -34,7 +34,7 @@ def written(spark, monkeypatch, query):
 
 
 def test_offsets_and_paragraphs_are_not_worked_out_for_ranks(spark, monkeypatch):
-    for query in (plans.segment_rank,):
+    for query in (plans.segment_rank, plans.ledger_window):
         (text,) = written(spark, monkeypatch, query)
         assert len(re.findall(r"\bWindow \[", text)) == 1 and "sum(" not in text
 
