@@ -138,7 +138,8 @@ def ledger_window(segments: DataFrame, claims: DataFrame, proposed: DataFrame, i
     """(id, n): proposed segments, the one before each, then the best by shared words, until there are ``most``."""
     own = proposed.select(id_col, "n").distinct().withColumn("level", F.lit(0)).withColumn("at", F.col("n"))
     before = own.where("n > 1").select(id_col, (F.col("n") - 1).alias("n"), F.lit(1).alias("level"), (F.col("n") - 1).alias("at"))
-    ranked = rank_by_terms(segments, claims, id_col, claim_col).select(id_col, "n", F.lit(2).alias("level"), F.col("rank").alias("at"))
+    # Beyond the ``most`` best, which are as many segments, no other can find room by its rank.
+    ranked = rank_by_terms(segments, claims, id_col, claim_col).where(F.col("rank") <= most).select(id_col, "n", F.lit(2).alias("level"), F.col("rank").alias("at"))
     every = own.union(before).union(ranked).groupBy(id_col, "n").agg(F.min(F.struct("level", "at")).alias("o"))
     return _first_per_text(every, id_col, [F.col("o")], F.lit(most)).select(id_col, "n")
 

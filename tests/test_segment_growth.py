@@ -49,3 +49,14 @@ def test_blanks_are_those_of_the_pattern(spark):
     every = spark.range(1, 0xD800).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
     found = {r.c for r in every.where(F.col("c").rlike(r"(?U)\s")).collect()}
     assert found == set(segments.BLANKS)
+
+
+def test_a_window_takes_the_best_ranks_alone(spark):
+    """Each text's best segments are enough; the others aren't aggregated."""
+    s = spark.createDataFrame([(i, n, f"w{n % (i + 2)} w{n % 3}") for i in range(4) for n in range(1, 21)], "doc_id int, n int, text string")
+    claims, picked = s.where("n = 3").select("doc_id", F.col("text").alias("claim")), s.where("n in (5, 9) and doc_id < 3").select("doc_id", "n")
+    df = segments.ledger_window(s, claims, picked, most=6)
+    rank = {(r.doc_id, r.n): r.rank for r in segments.rank_by_terms(s, claims).collect()}
+    level = lambda i, n: (0, n) if i < 3 and n in (5, 9) else (1, n) if i < 3 and n in (4, 8) else (2, rank[i, n])
+    assert sorted(map(tuple, df.collect())) == [(i, n) for i in range(4) for n in sorted(sorted(range(1, 21), key=lambda n: level(i, n))[:6])]
+    assert "WindowGroupLimit [doc_id" in (text := df._jdf.queryExecution().optimizedPlan().toString()) and text.count("WindowGroupLimit") == 2
