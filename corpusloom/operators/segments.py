@@ -6,12 +6,19 @@ Ids must be unique (``curation.corpus_gate`` says whether they are). Segments of
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
+from array import array
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.grammar import key_tokens, tokens, word_tokens
-from corpusloom.functions.text import let
+from corpusloom.session import ship
 
 #: Words that refer to the sentence before, and how many segments a verdict cites and a window holds.
 PLURAL = ("them", "these", "those", "both", "they")
@@ -21,6 +28,9 @@ CUT, JOINT = "\uf8fe", "\uf8ff"
 _BOUNDARY = r"(?U)([.!?])(\s+)|(\r?\n[ \t]*\r?\n)"
 #: What the pattern of a blank matches under (?U).
 BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_END, _WORD = re.compile(rf"[.!?](?=[{BLANKS}]|\Z)|\n"), re.compile(f"[^{BLANKS}]+")
+#: Passages of one text that are told apart at once, a text with more takes turns; characters of passages sent at once.
+HELD_PASSAGES, BATCH_CHARS = 200_000, 1 << 20
 
 
 def _breaks(text: Column) -> Column:
@@ -65,34 +75,84 @@ def source_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.withColumn("para", F.sum((F.col("breaks") >= 2).cast("int")).over(by).cast("int")).drop("pos")
 
 
+def _sentences(text: str) -> tuple[array, array]:
+    """Starts and ends of a text's sentences without the blanks around them."""
+    starts, ends, at = array("q"), array("q"), 0
+    for to in itertools.chain((m.end() for m in _END.finditer(text)), (len(text),)):
+        body = text[at:to].lstrip(BLANKS)
+        if body:
+            starts.append(to - len(body))
+            ends.append(starts[-1] + len(body.rstrip(BLANKS)))
+        at = to
+    return starts, ends
+
+
+def _reach(starts: array, ends: array, limit: int) -> Iterator[int]:
+    """For each part of a text, the first one from there on that doesn't end within ``limit`` characters of its start."""
+    to = 0
+    for start in starts:
+        while to < len(ends) and ends[to] - start <= limit:
+            to += 1
+        yield to
+
+
+def _spans(text: str, limit: int) -> Iterator[tuple[int, array]]:
+    """Where passages start, and where those that start there end; equal passages come as often as the text has them."""
+    starts, ends = _sentences(text)
+    for i, to in enumerate(_reach(starts, ends, limit)):
+        if to > i:
+            yield starts[i], ends[i:to]
+            continue
+        first, last = array("q"), array("q")
+        for w in _WORD.finditer(text, starts[i], ends[i]):
+            first.append(w.start())
+            last.append(w.end())
+        for k, longest in enumerate(_reach(first, last, limit)):
+            if longest > k:
+                yield first[k], last[longest - 1 : longest]
+
+
+def _distinct_passages(text: str, limit: int) -> Iterator[str]:
+    turns = 1 + sum(len(ends) for _, ends in _spans(text, limit)) // HELD_PASSAGES if len(text) > HELD_PASSAGES // 4 else 1
+    for turn in range(turns):
+        seen = set()
+        for start, ends in _spans(text, limit):
+            for end in ends:
+                passage = text[start:end]
+                if passage not in seen and (turns == 1 or hash(passage) % turns == turn):
+                    seen.add(passage)
+                    yield passage
+
+
+def _passages(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, found, chars = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(found, batch.schema.field(1).type)], names=[batch.schema.names[0], "passage"])  # noqa: B023
+
+        for i, text in enumerate(batch.column(1)):
+            for passage in _distinct_passages(text.as_py(), limit):
+                rows.append(i)
+                found.append(passage)
+                chars += len(passage)
+                if chars >= BATCH_CHARS:
+                    yield out()
+                    rows, found, chars = [], [], 0
+        if rows:
+            yield out()
+
+
 def evidence_passages(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, passage): distinct sentences and runs of adjacent ones of at most ``limit`` characters.
 
     A longer sentence gives, for each of its words, the longest run of words from there that fits. Sentences end after . ! ?
-    before a blank or the end, and at line breaks. Runs are found by a join on blocks of ``limit`` characters.
+    before a blank or the end, and at line breaks; blanks between sentences are part of a run. A text's passages are found and
+    told apart where the text is, so none is shuffled; rows without an id have none.
     """
-    pieces = docs.select(id_col, F.posexplode(F.split(F.regexp_replace(text_col, r"(?U)([.!?])(?=\s|$)|(\n)", f"$1$2{CUT}"), CUT, -1)).alias("pos", "piece"))
-    raw = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = raw + F.length("piece") - F.length(_strip_left(F.col("piece")))
-    placed = pieces.select(id_col, "pos", start.alias("start"), _strip(F.col("piece")).alias("text")).where("text <> ''").withColumn("end", F.col("start") + F.length("text"))
-    first = placed.where(F.length("text") <= limit).select(id_col, F.col("start").alias("from"), F.explode(F.array(F.floor(F.col("start") / limit), F.floor(F.col("start") / limit) + 1)).alias("block"))
-    last = placed.select(id_col, "end", "start", F.floor(F.col("start") / limit).alias("block"))
-    runs = first.join(last, [id_col, "block"]).where((F.col("start") >= F.col("from")) & (F.col("end") - F.col("from") <= limit)).select(id_col, "from", "end")
-    # A run never begins in one sentence and ends before it; blanks between sentences are part of it. It is cut out of the block
-    # that it begins in and the next one, not out of the whole text, whose characters would be counted anew for each run.
-    cut = F.regexp_extract_all(text_col, F.lit(rf"(?s).{{1,{limit}}}"), F.lit(0))
-    pairs = let(cut, lambda b: F.zip_with(b, F.slice(b, 2, F.greatest(F.size(b), F.lit(1))), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))))
-    blocks = docs.select(id_col, F.posexplode_outer(pairs).alias("block", "__text"))
-    at = (F.col("from") % limit).cast("int")
-    short = runs.withColumn("block", F.floor(F.col("from") / limit)).join(blocks, [id_col, "block"]).select(id_col, F.substring("__text", at + 1, (F.col("end") - F.col("from")).cast("int")).alias("passage"))
-    words = placed.where(F.length("text") > limit).select(id_col, "pos", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\s*\S+"), F.lit(0))).alias("k", "w"))
-    own = Window.partitionBy(id_col, "pos").orderBy("k")
-    ends = words.select(id_col, "pos", "k", F.sum(F.length("w")).over(own).alias("e"), F.length(_strip_left(F.col("w"))).alias("l")).select(id_col, "pos", "k", (F.col("e") - F.col("l")).alias("s"), "e")
-    # No more than half of ``limit`` words fit, with their blanks.
-    near = F.collect_list("e").over(own.rowsBetween(0, limit // 2 + 1))
-    longest = ends.select(id_col, "pos", "s", F.array_max(F.filter(near, lambda e: e - F.col("s") <= limit)).alias("e")).where("e is not null")
-    windows = longest.join(placed.select(id_col, "pos", "text"), [id_col, "pos"]).select(id_col, F.substring("text", F.col("s").cast("int") + 1, (F.col("e") - F.col("s")).cast("int")).alias("passage"))
-    return short.union(windows).distinct()
+    ship(docs.sparkSession)
+    texts = docs.select(id_col, F.col(text_col).alias("passage")).where(F.col(id_col).isNotNull() & F.col("passage").isNotNull())
+    return texts.mapInArrow(functools.partial(_passages, limit), texts.schema)
 
 
 def _first_per_text(rows: DataFrame, id_col: str, order: list[Column], room: Column) -> DataFrame:

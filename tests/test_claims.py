@@ -73,6 +73,18 @@ def test_passages_equal_brute_force(spark):
     assert got == {i: p for i, t in enumerate(texts) if (p := passages(t, 12))}
 
 
+def test_passages_are_found_where_their_text_is(spark, monkeypatch):
+    """No passage is shuffled, a text with more passages than are held at once has each once, and a private-use character is one like others."""
+    texts = ["a\uf8feb c. d\uf8ff e.", "One. Two three. " * 40 + "word " * 60, "x.\u2003y z\x85w. " * 3, None, " \n ", "ab cd ef. gh"]
+    df = spark.createDataFrame([*enumerate(texts), (None, "lost. one")], "doc_id long, text string")
+    out = segments.evidence_passages(df, 12)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id, r.passage) for r in out.collect())
+    assert got == sorted((i, p) for i, t in enumerate(texts) if t for p in passages(t, 12))
+    monkeypatch.setattr(segments, "HELD_PASSAGES", 10)
+    assert sorted(segments._distinct_passages(texts[1], 12)) == sorted(passages(texts[1], 12))
+
+
 def test_numbers_and_tokens(spark):
     words = {"three": 3, "tenth": 10, "2.50": Fraction(5, 2), "1,200": 1200, "3/4": Fraction(3, 4), "−4": -4, "two-fold": 2, "5fold": 5, "1/0": None, "12,34": None, "": None, "abc": None, "1/2/3": None}
     df = spark.createDataFrame([(w,) for w in words], "w string")
