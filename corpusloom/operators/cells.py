@@ -6,11 +6,15 @@ squares of a grid whose size follows each box, so a page may hold any number of
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.grammar import canonical
+from corpusloom.functions.text import once
 from corpusloom.session import materialize, shuffled
 
 #: Headers of labels and of splits, captions, and how far aligned edges, lines and centres may be apart.
@@ -24,6 +28,8 @@ COUNT_CLAIM = r"(?i)^In Table (\d+[A-Za-z]?), the count for ([^,;\n]+?) in the (
 PERCENT_CLAIM = r"(?i)^In Table (\d+[A-Za-z]?), the percentage for ([^,;\n]+?) is ([+-]?\d+(?:\.\d+)?\s*%)\.$"
 #: Sides of the smallest squares, a power of two.
 LEAST_LEVEL = 3
+#: Words and blocks of a page that may all meet; those of larger pages meet in the squares of a grid.
+HELD = 1000
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, page: str, closed: float | None = None) -> DataFrame:
@@ -78,6 +84,12 @@ def words_in_blocks(words: DataFrame, blocks: DataFrame, page: str) -> DataFrame
     return held.where((F.col("w1") <= F.col("x1") + INSIDE) & (F.col("t1") <= F.col("y1") + INSIDE)).select(page, "block", "at", "word", "w0", "t0", "w1", "t1")
 
 
+def _squeezed(text: Column) -> Column:
+    """Blanks as one space each; most texts are so already and go by no pattern."""
+    wide = functools.reduce(operator.or_, (F.contains(text, F.lit(b)) for b in ("  ", "\t", "\n", "\x0b", "\f", "\r")))
+    return F.when(wide, F.regexp_replace(text, r"\s+", " ")).otherwise(text)
+
+
 def count_header(text: Column) -> Column:
     """Whether a block's words are a statistic and its value, or a statistic and two or more different splits."""
     words = F.split(F.trim(F.lower(text)), r"\s+")
@@ -93,15 +105,52 @@ def _same_line(rows: DataFrame, anchors: DataFrame, keys: list[str], near: Colum
     return rows.withColumn("__line", line("t0")).join(a, [*keys, "__line"]).where((F.abs(F.col("t0") - F.col("a_t")) <= LINE) & near).drop("__line")
 
 
-def count_cells(words: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
-    """Integer cells of tables under explicit headers: (page, table_id, block, row_label, column_header, cell_text, and boxes).
+#: A word in a list, in the order of a line.
+_WORD = ("w0", "at", "t0", "w1", "t1", "word")
 
-    words: (page, at, x0, y0, x1, y1, word); blocks: (page, block, kind: caption or other, x0, y0, x1, y1, text). A page needs one
-    caption and one header block (``count_header``), whose words must be the header's text on one line. A row of a block below the
-    header (above a caption that is below it, else within BELOW_HEADER) starts at the label header's left edge; it counts if each
-    column has one integer centred under its header, and its label and integers stand in the block's text so. A label and column
-    that come twice, whatever their case, are ambiguous, and all their cells go.
+
+def _upper(cap_y: Column, bottom: Column) -> Column:
+    return F.when(cap_y > bottom, cap_y).otherwise(bottom + BELOW_HEADER)
+
+
+def _header_fits(ws: Column, text: Column) -> Column:
+    """Whether the words of a header block are those of its text, on one line."""
+    return (F.transform(ws, lambda w: F.lower(w["word"])) == F.split(F.trim(F.lower(text)), r"\s+")) & F.forall(ws, lambda w: F.abs(w["t0"] - F.get(ws, F.lit(0))["t0"]) <= LINE)
+
+
+def _near_rows(words: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
+    """(page, table_id, header_block, block, body, cols, a_t, a_b, ws): lines of words that start at the label header's left edge, for pages whose words and blocks may all meet.
+
+    All steps are by page, so that words and blocks are dealt once, and not at all if they come by page.
     """
+    by = Window.partitionBy(page)
+    table_id = F.when(F.col("kind") == "caption", F.regexp_extract("text", CAPTION, 1))
+    heads = blocks.withColumns({"__caption": F.when(table_id != "", F.struct(table_id.alias("table_id"), F.col("y0").alias("y"))), "__head": F.when((F.col("kind") != "caption") & F.col("text").rlike(rf"(?i){STATISTIC[0]}") & count_header(F.col("text")), F.struct("block", "y1"))})
+    alone = lambda c: F.when(F.count(c).over(by) == 1, F.max(c).over(by))
+    heads = heads.withColumns({"__caption": alone("__caption"), "__head": alone("__head")}).where((F.col("kind") != "caption") & F.col("__caption").isNotNull() & F.col("__head").isNotNull())
+    upper = _upper(F.col("__caption.y"), F.col("__head.y1"))
+    # The words of a header that fits aren't integers, so its block has no cells of its own.
+    is_head = F.col("block") == F.col("__head.block")
+    asked = heads.where(is_head | ((F.col("y0") > F.col("__head.y1")) & (F.col("y0") < upper))).select(
+        page, "block", *[F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")],
+        F.when(~is_head, upper).alias("__upper"),
+        F.struct(is_head.alias("is_head"), F.col("text").alias("body"), F.col("__caption.table_id").alias("table_id"), F.col("__head.block").alias("header_block")).alias("b"),
+    )
+    word = words.select(page, "x0", "y0", "x1", "y1", F.struct(*[F.col(c).alias(n) for c, n in zip(("x0", "at", "y0", "x1", "y1", "word"), _WORD)]).alias("w"))
+    inside = (F.col("x0") >= F.col("__x0") - INSIDE) & (F.col("y0") >= F.col("__y0") - INSIDE)
+    for c, edge in (("x0", "__x1"), ("y0", "__y1"), ("x1", "__x1"), ("y1", "__y1")):
+        inside = inside & (F.col(c) <= F.col(edge) + INSIDE)
+    inside = inside & (F.col("__upper").isNull() | (F.col("y1") < F.col("__upper")))
+    held = shuffled(word).join(shuffled(asked), page).where(inside).groupBy(page, "block").agg(F.first("b").alias("b"), F.sort_array(F.collect_list("w")).alias("ws"))
+    header = F.when(F.col("b.is_head") & _header_fits(F.col("ws"), F.col("b.body")), F.struct(F.get("ws", F.lit(0)).alias("label"), F.slice("ws", 2, F.size("ws") - 1).alias("cols")))
+    held = held.withColumn("h", F.max(header).over(by)).where(F.col("h").isNotNull() & ~F.col("b.is_head"))
+    local = held.select(page, "b.table_id", "b.header_block", "block", "b.body", "h.cols", once(F.filter("ws", lambda w: F.abs(w["w0"] - F.col("h.label.w0")) <= EDGE)).alias("starts"), "ws").where(F.size("starts") > 0)
+    line = lambda s: F.struct(s["t0"].alias("a_t"), s["t1"].alias("a_b"), F.filter("ws", lambda w: F.abs(w["t0"] - s["t0"]) <= LINE).alias("ws"))
+    return local.select(page, "table_id", "header_block", "block", "body", "cols", F.inline(F.transform("starts", line)))
+
+
+def _far_rows(words: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
+    """What ``_near_rows`` gives, for pages with any number of words and blocks: they meet in squares, lines and blocks."""
     caption = blocks.where("kind = 'caption'").withColumn("table_id", F.regexp_extract("text", CAPTION, 1)).where("table_id <> ''")
     caption = caption.groupBy(page).agg(F.count("*").alias("n"), F.first("table_id").alias("table_id"), F.first("y0").alias("cap_y")).where("n = 1").drop("n")
     heads = blocks.where((F.col("kind") != "caption") & count_header(F.col("text"))).groupBy(page).agg(F.count("*").alias("n"), F.first(F.struct("block", "text", "x0", "y0", "x1", "y1")).alias("h")).where("n = 1")
@@ -109,23 +158,40 @@ def count_cells(words: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
     # Read by the header and by the rows.
     inside = shuffled(materialize(words_in_blocks(words, blocks.where("kind <> 'caption'").join(head.select(page), page, "left_semi"), page), "inside"))
     own = inside.join(head.select(page, "block"), [page, "block"], "left_semi").groupBy(page).agg(F.array_sort(F.collect_list(F.struct("w0", "at", "t0", "w1", "t1", "word"))).alias("ws"))
-    head = head.join(own, page).where(F.transform("ws", lambda w: F.lower(w["word"])) == F.split(F.trim(F.lower("text")), r"\s+"))
-    head = head.where(F.forall("ws", lambda w: F.abs(w["t0"] - F.get(F.col("ws"), F.lit(0))["t0"]) <= LINE))
-    upper = F.when(F.col("cap_y") > F.col("y1"), F.col("cap_y")).otherwise(F.col("y1") + BELOW_HEADER)
+    head = head.join(own, page).where(_header_fits(F.col("ws"), F.col("text")))
+    upper = _upper(F.col("cap_y"), F.col("y1"))
     head = head.select(page, "table_id", F.col("block").alias("header_block"), F.col("y1").alias("head_bottom"), upper.alias("upper"), F.get("ws", F.lit(0)).alias("label_head"), F.slice("ws", 2, F.size("ws") - 1).alias("cols"))
     bodies = blocks.where("kind <> 'caption'").select(page, "block", F.col("y0").alias("top"), F.col("text").alias("body")).join(head, page).where("top > head_bottom and top < upper")
     bodies = shuffled(materialize(bodies, "bodies"))
     local = inside.join(bodies.select(page, "block", "upper", F.col("label_head.w0").alias("left")), [page, "block"]).where("t1 < upper").drop("upper")
     starts = local.where(F.abs(F.col("w0") - F.col("left")) <= EDGE).select(page, "block", F.col("at").alias("row"), F.col("t0").alias("a_t"), F.col("t1").alias("a_b"))
     rows = _same_line(local.drop("left"), starts, [page, "block"], F.lit(True)).groupBy(page, "block", "row", "a_t", "a_b").agg(F.array_sort(F.collect_list(F.struct("w0", "at", "t0", "w1", "t1", "word"))).alias("ws"))
-    rows = rows.join(bodies, [page, "block"])
+    return rows.join(bodies, [page, "block"]).select(page, "table_id", "header_block", "block", "body", "cols", "a_t", "a_b", "ws")
+
+
+def count_cells(words: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
+    """Integer cells of tables under explicit headers: (page, table_id, block, row_label, column_header, cell_text, and boxes).
+
+    words: (page, at, x0, y0, x1, y1, word); blocks: (page, block, kind: caption or other, x0, y0, x1, y1, text). A page needs one
+    caption and one header block (``count_header``), whose words must be the header's text on one line. A row of a block below the
+    header (above a caption that is below it, else within BELOW_HEADER) starts at the label header's left edge; it counts if each
+    column has one integer centred under its header, and its label and integers stand in the block's text so. A label and column
+    that come twice, whatever their case, are ambiguous, and all their cells go.
+    """
+    words, blocks = words.where(F.col(page).isNotNull()), blocks.where(F.col(page).isNotNull())
+    large = materialize(words.select(page).union(blocks.select(page)).groupBy(page).count().where(F.col("count") > HELD).select(page), "large")
+    if large.isEmpty():
+        rows = _near_rows(words, blocks, page)
+    else:
+        part = lambda how: (words.join(shuffled(large), page, how), blocks.join(shuffled(large), page, how), page)
+        rows = _near_rows(*part("left_anti")).unionByName(_far_rows(*part("left_semi")))
     centre = lambda w: (w["w0"] + w["w1"]) / 2
     under = F.transform("cols", lambda c: F.filter("ws", lambda w: (F.abs(centre(w) - centre(c)) <= CENTRE) & w["word"].rlike(INTEGER)))
-    rows = rows.withColumn("under", under).where(F.forall("under", lambda v: F.size(v) == 1)).withColumn("values", F.transform("under", lambda v: F.get(v, F.lit(0))))
+    rows = rows.withColumn("under", once(under)).where(F.forall("under", lambda v: F.size(v) == 1)).withColumn("values", F.transform("under", lambda v: F.get(v, F.lit(0))))
     labels = F.filter("ws", lambda w: w["w1"] < F.get(F.col("values"), F.lit(0))["w0"])
-    rows = rows.withColumn("labels", labels).where(F.size("labels") > 0).withColumn("row_label", F.array_join(F.transform("labels", lambda w: w["word"]), " "))
+    rows = rows.withColumn("labels", once(labels)).where(F.size("labels") > 0).withColumn("row_label", F.array_join(F.transform("labels", lambda w: w["word"]), " "))
     stated = F.concat_ws(" ", "row_label", F.array_join(F.transform("values", lambda w: w["word"]), " "))
-    rows = rows.where(F.contains(F.regexp_replace(F.trim("body"), r"\s+", " "), stated))
+    rows = rows.where(F.contains(_squeezed(F.trim("body")), stated))
     cells = rows.select(page, "table_id", "header_block", "block", "row_label", "labels", "a_t", "a_b", F.explode(F.arrays_zip("cols", "values")).alias("x"))
     box = lambda w: F.array(*[w[c] for c in ("w0", "t0", "w1", "t1")])
     cells = cells.select(

@@ -68,6 +68,37 @@ def test_cells_are_made_once(spark):
     assert text.count("arrays_zip") == 1
 
 
+def test_cells_deal_words_and_blocks_once(spark, monkeypatch):
+    """Words and blocks are shuffled once at most; pages of any size, however they meet, give the same cells."""
+    assert plans.count_cells(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    rng, words, blocks = random.Random(7), [], []
+    for page in [*range(60), None]:
+        up = rng.choice([0.0, 0.0, 64.0])
+        blocks += [(page, 0, "caption", 0.0, up, 300.0, up + 6, rng.choice(["Table 1: x", "Table 2a. y", "Figure 1"]))] * rng.choice([1, 1, 1, 1, 2])
+        heads = [(10.0, 60.0, "Statistic"), (100.0, 120.0, "Train"), (200.0, 220.0, "TEST")]
+        line = [(1, 20.0, heads)] + [(9, 22.0, heads)] * (rng.random() < 0.1)
+        for k in range(2, 7):
+            label = rng.choice(["All rows", "Words", "words", "A  b"]).split(" ")
+            ws = [(10.0 + rng.choice([0, 0, 1, 3]) + 15 * i, 22.0 + 15 * i, w) for i, w in enumerate(label)]
+            ws += [(100.0 + rng.choice([0, 0, 2, 9]), 120.0, rng.choice(["7", "1,200", "x", "12"])), (200.0, 220.0, str(rng.randint(0, 9)))]
+            line.append((k, 30.0 + 8 * k + rng.choice([0, 0, 0, 40]), ws))
+        at = 0
+        for k, y, ws in line:
+            text = rng.choice([" ", " ", "\n", "  "]).join(w for *_, w in ws)
+            tall = 14.0 if k > 1 and rng.random() < 0.2 else 6.0
+            blocks.append((page, k if rng.random() < 0.97 else None, "text", 0.0, y, 300.0, y + tall, text))
+            for x0, x1, w in ws:
+                words.append((page, at, x0 if rng.random() < 0.99 else None, y + rng.choice([0.0, 0.0, 0.0, 1.5]), x1, y + 6, w if rng.random() < 0.99 else None))
+                at += 1
+    words = spark.createDataFrame(words, "page int, at int, x0 double, y0 double, x1 double, y1 double, word string")
+    blocks = spark.createDataFrame(blocks, "page int, block int, kind string, x0 double, y0 double, x1 double, y1 double, text string")
+    got = {}
+    for held in (1000, 28, 0):
+        monkeypatch.setattr(cells, "HELD", held)
+        got[held] = sorted(map(repr, cells.count_cells(words, blocks, "page").collect()))
+    assert got[1000] == got[28] == got[0] and len(got[0]) > 30
+
+
 def test_scores_bound_the_parts_of_a_search(spark):
     hits = spark.createDataFrame([(i, "w") for i in range(100)], "doc int, term string")
     assert retrieval.by_document(hits, 10 * retrieval.TASK_SCORES).rdd.getNumPartitions() == 10
